@@ -1,42 +1,64 @@
-"""Small Column helpers used across the package."""
+"""Building blocks for Spark SQL expression text.
 
-from __future__ import annotations
+Expressions of this package are SQL text that ``F.expr`` parses in one JVM
+call; the same expression built from Column calls costs a call per node.
+Arguments named ``text``, ``content``, ``path`` and the like are expressions
+too, in the simplest case a column name.
+"""
 
-from collections.abc import Callable, Iterable
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
 # Python's str.isspace() set for the Java regex engine.
 SPACE = r"[\s\x1c-\x1f]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def lit(value: str) -> str:
+    """A SQL string literal."""
+    out = []
+    for char in value:
+        if char in "\\'":
+            out.append("\\" + char)
+        elif ord(char) < 32 or 0x7F <= ord(char) < 0xA0 or 0xD800 <= ord(char) < 0xF900 or 0xFDD0 <= ord(char) < 0xFDF0:
+            out.append(f"\\u{ord(char):04x}")
+        else:
+            out.append(char)
+    return "'" + "".join(out) + "'"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` inside ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def any_of(tests: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+def any_of(tests: Iterable[str]) -> str:
+    joined = " OR ".join(f"({t})" for t in tests)
+    return f"({joined})" if joined else "false"
 
 
-def total(parts: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts, F.lit(0))
+def total(parts: Iterable[str]) -> str:
+    return "(" + " + ".join(parts) + ")"
 
 
-def first_case(pairs: Iterable[tuple[Column, Column | str]], default: Column) -> Column:
+def case(pairs: Iterable[tuple[str, str]], default: str = "NULL") -> str:
     """Ordered CASE: the first true test decides."""
-    chain = F
-    for test, value in pairs:
-        chain = chain.when(test, value if isinstance(value, Column) else F.lit(value))
-    return chain.otherwise(default) if chain is not F else default
+    arms = " ".join(f"WHEN {test} THEN {value}" for test, value in pairs)
+    return f"(CASE {arms} ELSE {default} END)" if arms else default
 
 
-def lookup(key: Column, table: dict[str, str]) -> Column:
+def is_in(value: str, items: Iterable[str]) -> str:
+    return f"({value} IN ({', '.join(lit(i) for i in items)}))"
+
+
+def lookup(key: str, table: dict[str, str]) -> str:
     """Constant map lookup, NULL when the key is missing."""
-    pairs = [F.lit(part) for item in table.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in table.items())
+    return f"try_element_at(map({pairs}), {key})"
+
+
+def has_any(text: str, needles: Iterable[str]) -> str:
+    return any_of(f"contains({text}, {lit(n)})" for n in needles)
 
 
 def quote(text: str) -> str:
@@ -44,55 +66,40 @@ def quote(text: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in text)
 
 
-def count_of(text: Column, needle: str) -> Column:
+def count_of(text: str, needle: str) -> str:
     """Non-overlapping occurrences of a literal."""
-    removed = F.length(F.replace(text, F.lit(needle), F.lit("")))
-    return ((F.length(text) - removed) / len(needle)).cast("int")
+    removed = f"length(replace({text}, {lit(needle)}, ''))"
+    return f"cast((length({text}) - {removed}) div {len(needle)} AS int)"
 
 
-def running_totals(values: Column, block: int = 128) -> Column:
+def _fold(arr: str, acc: str, x: str) -> str:
+    """Inclusive running sums of an int array, growing one result array."""
+    return (
+        f"aggregate({arr}, struct(0 AS s, cast(array() AS array<int>) AS o), "
+        f"({acc}, {x}) -> struct({acc}.s + {x} AS s, concat({acc}.o, array({acc}.s + {x})) AS o)).o"
+    )
+
+
+def running_totals(values: str, block: int = 128) -> str:
     """Inclusive running sums of an int array.
 
     Done in two levels (inside blocks, then over block totals) so the cost of
     growing result arrays stays near n * block instead of n squared.
     """
-
-    def fold(arr: Column) -> Column:
-        start = F.struct(
-            F.lit(0).cast("int").alias("s"), F.array().cast("array<int>").alias("out")
-        )
-        return F.aggregate(
-            arr,
-            start,
-            lambda acc, x: F.struct(
-                (acc["s"] + x).cast("int").alias("s"),
-                F.concat(acc["out"], F.array((acc["s"] + x).cast("int"))).alias("out"),
-            ),
-        )["out"]
-
-    def blocked(arr: Column) -> Column:
-        firsts = F.sequence(F.lit(1), F.size(arr), F.lit(block))
-        inner = F.transform(firsts, lambda b: fold(F.slice(arr, b, F.lit(block))))
-
-        def stitch(parts: Column) -> Column:
-            ends = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
-            return let(
-                ends,
-                lambda e: F.flatten(
-                    F.transform(
-                        parts,
-                        lambda p, i: F.transform(
-                            p, lambda v: v + F.when(i > 0, F.get(e, i - 1)).otherwise(0)
-                        ),
-                    )
-                ),
-            )
-
-        return let(inner, stitch)
-
+    parts = (
+        f"transform(sequence(1, size(rt), {block}), "
+        f"b -> {_fold(f'slice(rt, b, {block})', 'a1', 'x1')})"
+    )
+    ends = _fold("transform(bl, q -> element_at(q, -1))", "a2", "x2")
+    stitched = let(
+        ends,
+        "es",
+        "flatten(transform(bl, (q, j) -> transform(q, v -> v + if(j > 0, get(es, j - 1), 0))))",
+    )
     return let(
         values,
-        lambda arr: F.when(F.size(arr) == 0, F.array().cast("array<int>"))
-        .when(F.size(arr) <= block, fold(arr))
-        .otherwise(blocked(arr)),
+        "rt",
+        f"CASE WHEN size(rt) = 0 THEN cast(array() AS array<int>) "
+        f"WHEN size(rt) <= {block} THEN {_fold('rt', 'a0', 'x0')} "
+        f"ELSE {let(parts, 'bl', stitched)} END",
     )

@@ -1,4 +1,4 @@
-"""Type detection over file bytes as Column expressions.
+"""Type detection over file bytes (SQL text unless noted).
 
 Byte tests run on a Latin-1 view of the bytes (one character per byte), so
 marker searches are aligned by construction and stay inside the JVM.
@@ -10,33 +10,46 @@ import zipfile
 from io import BytesIO
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from glintscan.functions import fixed
-from glintscan.functions.cols import any_of, count_of, first_case, let, lookup, total
+from glintscan.functions.cols import (
+    any_of,
+    case,
+    count_of,
+    has_any,
+    is_in,
+    let,
+    lit,
+    lookup,
+    total,
+)
 from glintscan.functions.paths import expected_mime, suffix
-from glintscan.functions.text import has_any
 
 ZIP_HEX = "504B0304"
 OLE_HEX = "D0CF11E0A1B11AE1"
 
 
-def header_hex(content: Column, n: int = 32) -> Column:
-    return F.hex(F.substring(content, 1, n))
+def header_hex(content: str, n: int = 32) -> str:
+    return f"hex(substring({content}, 1, {n}))"
+
+
+def starts(head: str, *prefixes: str) -> str:
+    return any_of(f"startswith({head}, {lit(p)})" for p in prefixes)
 
 
-def byte_view(content: Column, n: int, start: int = 1) -> Column:
-    return F.decode(F.substring(content, start, n), "ISO-8859-1")
+def byte_view(content: str, n: int, start: int = 1) -> str:
+    return f"decode(substring({content}, {start}, {n}), 'ISO-8859-1')"
 
 
 def from_hex(text: str) -> str:
     return bytes.fromhex(text).decode("latin-1")
 
 
-def has_bytes(view: Column, marker: str) -> Column:
-    return F.contains(view, F.lit(from_hex(marker)))
+def has_bytes(view: str, markers: list[str]) -> str:
+    return has_any(view, [from_hex(m) for m in markers])
 
 
 # ------------------------------------------------------------------ signatures
@@ -48,15 +61,13 @@ def signature_table() -> list[tuple[int, str, str]]:
     return [(i, prefix, label) for i, (prefix, label) in enumerate(labels.items())]
 
 
-def signature_match(header: Column) -> Column:
-    """struct(signature, label) of the first table prefix, or NULL."""
-    return first_case(
-        (
-            (header.startswith(p), F.struct(F.lit(p).alias("signature"), F.lit(l).alias("label")))
-            for _, p, l in signature_table()
-        ),
-        F.lit(None),
-    )
+def signature_match(head: str) -> str:
+    """The first table prefix of a header, or NULL."""
+    return let(head, "hd", case((starts("hd", p), lit(p)) for _, p, _ in signature_table()))
+
+
+def signature_label(prefix: str) -> str:
+    return lookup(prefix, {p: label for _, p, label in signature_table()})
 
 
 # -------------------------------------------------------------------- archives
@@ -91,320 +102,291 @@ def zip_info(content: pd.Series) -> pd.DataFrame:
             return False, None, None, None
 
     rows = [look(raw) for raw in content]
-    return pd.DataFrame(rows, columns=["ok", "names", "mimetype", "content_types"]).astype(
-        {"ok": "object"}
-    )
+    frame = pd.DataFrame(rows, columns=["ok", "names", "mimetype", "content_types"])
+    return frame.astype({"ok": "object"})
 
 
-def with_zip_info(df, content: str = "content", out: str = "zip"):
+def with_zip_info(df: DataFrame, content: str = "content", out: str = "zip") -> DataFrame:
     """Add ``zip_info``; only ZIP rows carry bytes into Python."""
-    is_zip = header_hex(F.col(content), 4) == ZIP_HEX
-    return df.withColumn(out, zip_info(F.when(is_zip, F.col(content))))
+    only = f"if({header_hex(content, 4)} = '{ZIP_HEX}', {content}, NULL)"
+    return df.withColumn(out, zip_info(F.expr(only)))
+
 
+def _named(zip_col: str, name: str) -> str:
+    return f"coalesce(array_contains({zip_col}.names, {lit(name)}), false)"
 
-def _named(zip_col: Column, name: str) -> Column:
-    return F.coalesce(F.array_contains(zip_col["names"], name), F.lit(False))
 
+def _unread(zip_col: str) -> str:
+    return f"NOT coalesce({zip_col}.ok, false)"
 
-def zip_subtype(zip_col: Column) -> Column:
+
+def zip_subtype(zip_col: str) -> str:
     """MIME type by members; NULL when the archive cannot be read."""
-    odf = F.trim(zip_col["mimetype"])
-    return first_case(
+    odf = [f"application/vnd.oasis.opendocument.{k}" for k in ("text", "spreadsheet", "presentation")]
+    mimetype = f"trim({zip_col}.mimetype)"
+    is_odf = f"{_named(zip_col, 'mimetype')} AND {_named(zip_col, 'content.xml')} AND {is_in(mimetype, odf)}"
+    return case(
         [
-            (~F.coalesce(zip_col["ok"], F.lit(False)), F.lit(None).cast("string")),
-            (_named(zip_col, "word/document.xml"), fixed.DOCX),
-            (_named(zip_col, "xl/workbook.xml"), fixed.XLSX),
-            (_named(zip_col, "ppt/presentation.xml"), fixed.PPTX),
-            (
-                _named(zip_col, "mimetype")
-                & _named(zip_col, "content.xml")
-                & odf.isin(
-                    "application/vnd.oasis.opendocument.text",
-                    "application/vnd.oasis.opendocument.spreadsheet",
-                    "application/vnd.oasis.opendocument.presentation",
-                ),
-                odf,
-            ),
+            (_unread(zip_col), "NULL"),
+            (_named(zip_col, "word/document.xml"), lit(fixed.DOCX)),
+            (_named(zip_col, "xl/workbook.xml"), lit(fixed.XLSX)),
+            (_named(zip_col, "ppt/presentation.xml"), lit(fixed.PPTX)),
+            (is_odf, mimetype),
         ],
-        F.lit(fixed.ZIP),
+        lit(fixed.ZIP),
     )
 
 
-def zip_label(zip_col: Column) -> Column:
-    """Report label of a ZIP: Office by content types or folders, APK, JAR, ODF."""
-    types = F.coalesce(zip_col["content_types"], F.lit(""))
-    mimetype = F.coalesce(zip_col["mimetype"], F.lit(""))
+def zip_label_plain(zip_col: str) -> str:
+    """APK, JAR or ODF label of a ZIP, else NULL."""
+    mimetype = f"coalesce({zip_col}.mimetype, '')"
+    classes = f"coalesce(exists({zip_col}.names, n -> endswith(n, '.class')), false)"
+    return case(
+        [
+            (_named(zip_col, "AndroidManifest.xml"), lit("Android应用程序包 (.apk)")),
+            (f"{classes} OR {_named(zip_col, 'META-INF/MANIFEST.MF')}", lit("Java归档文件 (.jar)")),
+            (f"contains({mimetype}, 'opendocument.text')", lit("OpenDocument文本文档 (.odt)")),
+            (f"contains({mimetype}, 'opendocument.spreadsheet')", lit("OpenDocument电子表格 (.ods)")),
+            (f"contains({mimetype}, 'opendocument.presentation')", lit("OpenDocument演示文稿 (.odp)")),
+        ]
+    )
 
-    def member(test) -> Column:
-        return F.coalesce(F.exists(zip_col["names"], test), F.lit(False))
 
-    def part(folder: str, main: str) -> Column:
-        return member(lambda n: F.contains(n, F.lit(main)) | F.contains(n, F.lit(f"/{folder}/")))
+def zip_label_office(zip_col: str) -> str:
+    """Office label by content types, then by folders; NULL if not an Office file."""
+    types = f"coalesce({zip_col}.content_types, '')"
+    kinds = [
+        ("wordprocessingml", "word", "word/document.xml", "Microsoft Word文档 (.docx)"),
+        ("spreadsheetml", "xl", "xl/workbook.xml", "Microsoft Excel工作簿 (.xlsx)"),
+        ("presentationml", "ppt", "ppt/presentation.xml", "Microsoft PowerPoint演示文稿 (.pptx)"),
+    ]
+    tests = [
+        (f"contains({types}, 'application/vnd.openxmlformats-officedocument.{kind}')", lit(label))
+        for kind, _, _, label in kinds
+    ]
+    for _, folder, main, label in kinds:
+        member = f"contains(n, {lit(main)}) OR contains(n, {lit('/' + folder + '/')})"
+        tests.append((f"coalesce(exists({zip_col}.names, n -> {member}), false)", lit(label)))
+    return case([(_unread(zip_col), "NULL"), *tests])
 
-    office = "application/vnd.openxmlformats-officedocument."
-    return first_case(
-        [
-            (~F.coalesce(zip_col["ok"], F.lit(False)), F.lit(None).cast("string")),
-            (F.contains(types, F.lit(office + "wordprocessingml")), "Microsoft Word文档 (.docx)"),
-            (F.contains(types, F.lit(office + "spreadsheetml")), "Microsoft Excel工作簿 (.xlsx)"),
-            (F.contains(types, F.lit(office + "presentationml")), "Microsoft PowerPoint演示文稿 (.pptx)"),
-            (part("word", "word/document.xml"), "Microsoft Word文档 (.docx)"),
-            (part("xl", "xl/workbook.xml"), "Microsoft Excel工作簿 (.xlsx)"),
-            (part("ppt", "ppt/presentation.xml"), "Microsoft PowerPoint演示文稿 (.pptx)"),
-            (_named(zip_col, "AndroidManifest.xml"), "Android应用程序包 (.apk)"),
-            (
-                member(lambda n: n.endswith(".class")) | _named(zip_col, "META-INF/MANIFEST.MF"),
-                "Java归档文件 (.jar)",
-            ),
-            (F.contains(mimetype, F.lit("opendocument.text")), "OpenDocument文本文档 (.odt)"),
-            (F.contains(mimetype, F.lit("opendocument.spreadsheet")), "OpenDocument电子表格 (.ods)"),
-            (F.contains(mimetype, F.lit("opendocument.presentation")), "OpenDocument演示文稿 (.odp)"),
-        ],
-        F.lit("Microsoft Office Open XML文档 (未知类型)"),
-    )
+
+def zip_label(zip_col: str) -> str:
+    """Report label of a readable ZIP: Office, APK, JAR, ODF or unknown kind."""
+    known = f"coalesce({zip_label_office(zip_col)}, {zip_label_plain(zip_col)})"
+    unknown = lit("Microsoft Office Open XML文档 (未知类型)")
+    return f"if({_unread(zip_col)}, NULL, coalesce({known}, {unknown}))"
 
 
 # ------------------------------------------------------------------------- OLE
-def ole_subtype(path: Column, content: Column) -> Column:
+def ole_subtype(path: str, content: str) -> str:
     """Extension first, then marker texts in the first 16 KB."""
-
-    def by_marker(view: Column) -> Column:
-        low = F.lower(view)
-        gate = low.rlike("worddocument|workbook|powerpoint document|microsoft (?:word|excel|powerpoint)")
-        cells = low.rlike("cell[^a-z0-9]") & low.rlike(r"sheet\d")
-        return first_case(
-            [
-                (gate & has_any(view, ["WordDocument", "Microsoft Word"]), fixed.DOC),
-                (gate & has_any(view, ["Workbook", "Microsoft Excel"]), fixed.XLS),
-                (gate & cells, fixed.XLS),
-                (gate & has_any(view, ["PowerPoint Document", "Microsoft PowerPoint"]), fixed.PPT),
-                (has_any(view, ["Standard Jet DB", "Excel.Sheet"]), fixed.XLS),
-            ],
-            F.lit(fixed.OLE),
-        )
-
+    gate = r"lower(vw) RLIKE 'worddocument|workbook|powerpoint document|microsoft (?:word|excel|powerpoint)'"
+    cells = f"lower(vw) RLIKE 'cell[^a-z0-9]' AND lower(vw) RLIKE {lit(r'sheet\d')}"
+    by_marker = case(
+        [
+            (f"{gate} AND {has_any('vw', ['WordDocument', 'Microsoft Word'])}", lit(fixed.DOC)),
+            (f"{gate} AND {has_any('vw', ['Workbook', 'Microsoft Excel'])}", lit(fixed.XLS)),
+            (f"{gate} AND {cells}", lit(fixed.XLS)),
+            (f"{gate} AND {has_any('vw', ['PowerPoint Document', 'Microsoft PowerPoint'])}", lit(fixed.PPT)),
+            (has_any("vw", ["Standard Jet DB", "Excel.Sheet"]), lit(fixed.XLS)),
+        ],
+        lit(fixed.OLE),
+    )
     by_ext = lookup(suffix(path), fixed.OLE_EXTENSIONS_STRICT)
-    return F.coalesce(by_ext, let(byte_view(content, 16384), by_marker))
+    return f"coalesce({by_ext}, {let(byte_view(content, 16384), 'vw', by_marker)})"
 
 
-def ole_subtype_wide(path: Column, content: Column, length: Column) -> Column:
+def ole_subtype_wide(path: str, content: str, length: str) -> str:
     """The wider form: more extensions and markers, Word when undecided."""
-
-    def by_marker(view: Column) -> Column:
-        tables = (count_of(view, "Table") > 5) | (count_of(view, "Cell") > 10)
-        rules = [(has_any(view, words), mime) for mime, words in fixed.OLE_WIDE_MARKERS]
-        rules += [
-            (has_any(view, ["Slide", "PowerPoint"]), fixed.PPT),
-            ((length < 100 * 1024) & tables, fixed.XLS),
-        ]
-        return first_case(rules, F.lit(fixed.DOC))
-
-    known = F.coalesce(
-        lookup(suffix(path), fixed.OLE_EXTENSIONS_WIDE), let(byte_view(content, 16384), by_marker)
-    )
-    return F.when(header_hex(content, 4) == OLE_HEX[:8], known).otherwise(F.lit("unknown"))
+    tables = f"{count_of('vw', 'Table')} > 5 OR {count_of('vw', 'Cell')} > 10"
+    rules = [(has_any("vw", words), lit(mime)) for mime, words in fixed.OLE_WIDE_MARKERS]
+    rules += [
+        (has_any("vw", ["Slide", "PowerPoint"]), lit(fixed.PPT)),
+        (f"{length} < 102400 AND ({tables})", lit(fixed.XLS)),
+    ]
+    by_ext = lookup(suffix(path), fixed.OLE_EXTENSIONS_WIDE)
+    by_marker = let(byte_view(content, 16384), "vw", case(rules, lit(fixed.DOC)))
+    return f"if({header_hex(content, 4)} = '{OLE_HEX[:8]}', coalesce({by_ext}, {by_marker}), 'unknown')"
 
 
-def ole_scores(content: Column) -> Column:
+def ole_scores(content: str) -> str:
     """struct(word, excel, ppt): marker, pattern, sector and byte scores."""
-    sector = byte_view(content, 128, 513)
-    head = byte_view(content, 4096)
 
-    def score(view: Column, kind: str) -> Column:
+    def score(kind: str) -> str:
         at_start, anywhere = fixed.OLE_SECTOR_MARKS[kind]
         in_sector = any_of(
-            [sector.startswith(F.lit(from_hex(m))) for m in at_start]
-            + [has_bytes(sector, m) for m in anywhere]
+            [f"startswith(sc, {lit(from_hex(m))})" for m in at_start] + [has_bytes("sc", anywhere)]
+        )
+        often = " AND ".join(
+            f"{count_of('left(vw, 4096)', chr(b))} > {n}" for b, n in fixed.OLE_BYTE_COUNTS[kind]
         )
-        frequent = F.lit(True)
-        for byte, n in fixed.OLE_BYTE_COUNTS[kind]:
-            frequent = frequent & (count_of(head, chr(byte)) > n)
-        return (
-            total(has_bytes(view, m).cast("int") for m in fixed.OLE_SCORE_MARKERS[kind])
-            + 2 * any_of(has_bytes(view, m) for m in fixed.OLE_SCORE_PATTERNS[kind]).cast("int")
-            + 3 * in_sector.cast("int")
-            + frequent.cast("int")
+        found = [f"cast({has_bytes('vw', [m])} AS int)" for m in fixed.OLE_SCORE_MARKERS[kind]]
+        return total(
+            [
+                *found,
+                f"if({has_bytes('vw', fixed.OLE_SCORE_PATTERNS[kind])}, 2, 0)",
+                f"if({in_sector}, 3, 0)",
+                f"if({often}, 1, 0)",
+            ]
         )
 
-    return let(
-        byte_view(content, 32768),
-        lambda v: F.struct(*[score(v, k).alias(k) for k in ("word", "excel", "ppt")]),
-    )
+    scores = f"struct({', '.join(f'{score(k)} AS {k}' for k in ('word', 'excel', 'ppt'))})"
+    sector = byte_view(content, 128, 513)
+    return let(byte_view(content, 32768), "vw", let(sector, "sc", scores))
 
 
-def ole_score_label(scores: Column, ext: Column) -> Column:
+def ole_score_label(scores: str, ext: str) -> str:
     """Label of the best score: sure from 2, possible from 1, else extension."""
-    best = F.greatest(scores["word"], scores["excel"], scores["ppt"])
-    name = first_case(
-        [(scores[k] == best, fixed.OLE_SCORE_LABELS[k]) for k in ("word", "excel")],
-        F.lit(fixed.OLE_SCORE_LABELS["ppt"]),
-    )
-    by_ext = lookup(
-        ext,
-        {
-            ".doc": fixed.OLE_SCORE_LABELS["word"] + " (基于文件扩展名)",
-            ".xls": fixed.OLE_SCORE_LABELS["excel"] + " (基于文件扩展名)",
-            ".ppt": fixed.OLE_SCORE_LABELS["ppt"] + " (基于文件扩展名)",
-        },
+    labels = fixed.OLE_SCORE_LABELS
+    best = "greatest(so.word, so.excel, so.ppt)"
+    name = case(
+        [(f"so.{k} = {best}", lit(labels[k])) for k in ("word", "excel")], lit(labels["ppt"])
     )
-    return (
-        F.when(best >= 2, name)
-        .when(best > 0, F.concat(F.lit("可能是"), name, F.lit(" (置信度低)")))
-        .otherwise(F.coalesce(by_ext, F.lit(fixed.OLE_UNKNOWN_LABEL)))
+    endings = {".doc": "word", ".xls": "excel", ".ppt": "ppt"}
+    by_ext = lookup(ext, {e: labels[k] + " (基于文件扩展名)" for e, k in endings.items()})
+    return let(
+        scores,
+        "so",
+        case(
+            [
+                (f"{best} >= 2", name),
+                (f"{best} > 0", f"concat('可能是', {name}, ' (置信度低)')"),
+            ],
+            f"coalesce({by_ext}, {lit(fixed.OLE_UNKNOWN_LABEL)})",
+        ),
     )
 
 
-def office_guess(content: Column) -> Column:
+def office_guess(content: str) -> str:
     """Office label by marker counts; NULL without any Office word."""
-
-    def guess(view: Column) -> Column:
-        counts = F.struct(
-            *[
-                total(count_of(view, w) for w in words).alias(kind)
-                for kind, words in fixed.OFFICE_COUNT_WORDS.items()
-            ]
-        )
-
-        def label(c: Column) -> Column:
-            best = F.greatest(c["doc"], c["xls"], c["ppt"])
-            pairs = [(~has_any(view, fixed.OFFICE_GATE_WORDS), F.lit(None).cast("string"))]
-            pairs.append((best == 0, F.lit(fixed.OFFICE_GUESS_UNKNOWN)))
-            for kind, (part, packed, legacy) in fixed.OFFICE_GUESS_LABELS.items():
-                new = has_any(view, [part, "Content_Types"])
-                pairs.append((c[kind] == best, F.when(new, packed).otherwise(legacy)))
-            return first_case(pairs, F.lit(None).cast("string"))
-
-        return let(counts, label)
-
-    return let(byte_view(content, 32768), guess)
+    counts = ", ".join(
+        f"{total(count_of('vw', w) for w in words)} AS {kind}"
+        for kind, words in fixed.OFFICE_COUNT_WORDS.items()
+    )
+    best = "greatest(oc.doc, oc.xls, oc.ppt)"
+    picks = [(f"{best} = 0", lit(fixed.OFFICE_GUESS_UNKNOWN))]
+    for kind, (part, packed, legacy) in fixed.OFFICE_GUESS_LABELS.items():
+        new = has_any("vw", [part, "Content_Types"])
+        picks.append((f"oc.{kind} = {best}", f"if({new}, {lit(packed)}, {lit(legacy)})"))
+    guess = let(f"struct({counts})", "oc", case(picks))
+    gated = f"if({has_any('vw', fixed.OFFICE_GATE_WORDS)}, {guess}, NULL)"
+    return let(byte_view(content, 32768), "vw", gated)
 
 
 # ------------------------------------------------------------------------ text
-def is_utf8(content: Column) -> Column:
-    return F.is_valid_utf8(content.cast("string"))
+def is_utf8(content: str) -> str:
+    return f"is_valid_utf8(cast({content} AS string))"
 
 
-def text_format(ext: Column, text: Column) -> Column:
-    """Format of a text sample, tests in order. ``a or (b and c)`` as listed."""
-    bare = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    commas = count_of(text, ",")
-    lines = count_of(text, "\n")
+def text_format(ext: str, text: str) -> str:
+    """Format of a text sample, tests in order."""
+    edges = lit(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
+    commas, lines = count_of("tx", ","), count_of("tx", "\n")
 
-    def wrapped(left: str, right: str) -> Column:
-        return bare.startswith(left) & bare.endswith(right)
+    def wrapped(left: str, right: str) -> str:
+        return f"(startswith(be, '{left}') AND endswith(be, '{right}'))"
 
-    return first_case(
+    # `a or (b and c)`: the extension alone does not make a CSV, the counts do.
+    many = f"({commas} > 0 AND {lines} > 0 AND {commas} > {lines})"
+    formats = case(
         [
-            ((ext == ".json") | wrapped("{", "}"), "application/json"),
-            ((ext == ".xml") | wrapped("<", ">"), "text/xml"),
-            (
-                ((ext == ".csv") | ((commas > 0) & (lines > 0)))
-                & (commas > 0) & (lines > 0) & (commas > lines),
-                "text/csv",
-            ),
-            ((ext == ".md") | has_any(text, ["##", "```"]), "text/markdown"),
+            (f"{ext} = '.json' OR {wrapped('{', '}')}", "'application/json'"),
+            (f"{ext} = '.xml' OR {wrapped('<', '>')}", "'text/xml'"),
+            (many, "'text/csv'"),
+            (f"{ext} = '.md' OR {has_any('tx', ['##', '```'])}", "'text/markdown'"),
             (
-                ext.isin(".yml", ".yaml") | (F.contains(text, F.lit(":")) & (lines > 0)),
-                "application/yaml",
+                f"{ext} IN ('.yml', '.yaml') OR (contains(tx, ':') AND {lines} > 0)",
+                "'application/yaml'",
             ),
         ],
-        F.lit("text/plain"),
+        "'text/plain'",
     )
+    return let(text, "tx", let(f"regexp_replace(tx, {edges}, '')", "be", formats))
 
 
-def text_mime(ext: Column, content: Column, length: Column) -> Column:
+def text_mime(ext: str, content: str, length: str) -> str:
     """Text format of small UTF-8 files (first 4 KB), else NULL."""
-    head = F.substring(content, 1, 4096)
-    ok = (length < 5 * 1024 * 1024) & is_utf8(head)
-    return F.when(ok, let(head.cast("string"), lambda t: text_format(ext, t)))
-
-
-def riff_subtype(content: Column) -> Column:
-    form = F.hex(F.substring(content, 9, 4))
-    known = lookup(
-        form,
-        {
-            "57454250": "WebP图像 (.webp)",
-            "57415645": "WAV音频 (.wav)",
-            "41564920": "AVI视频 (.avi)",
-        },
-    )
-    return F.when(header_hex(content, 4) == "52494646", known)
+    head = f"substring({content}, 1, 4096)"
+    formats = text_format(ext, f"cast({head} AS string)")
+    return f"if({length} < 5242880 AND {is_utf8(head)}, {formats}, NULL)"
 
 
-def mime_cascade(path: Column, content: Column, length: Column, zip_col: Column | None) -> Column:
-    """MIME type of a file: header, container, text heuristic, extension."""
-    head = header_hex(content, 32)
-    ext = suffix(path)
-    by_zip = zip_subtype(zip_col) if zip_col is not None else F.lit(fixed.ZIP)
+def riff_subtype(content: str) -> str:
+    forms = {
+        "57454250": "WebP图像 (.webp)",
+        "57415645": "WAV音频 (.wav)",
+        "41564920": "AVI视频 (.avi)",
+    }
+    known = lookup(f"hex(substring({content}, 9, 4))", forms)
+    return f"if({header_hex(content, 4)} = '52494646', {known}, NULL)"
 
-    def sign(*prefixes: str) -> Column:
-        return any_of(head.startswith(p) for p in prefixes)
 
-    by_header = first_case(
+def mime_cascade(path: str, content: str, length: str, zip_col: str | None) -> str:
+    """MIME type of a file: header, container, text heuristic, extension."""
+    ext = suffix(path)
+    by_header = case(
         [
-            (sign("25504446"), "application/pdf"),
-            (sign("FFD8FF"), "image/jpeg"),
-            (sign("89504E47"), "image/png"),
-            (sign("47494638"), "image/gif"),
-            (sign("424D"), "image/bmp"),
-            (sign("494433", "FFFB"), "audio/mpeg"),
-            (sign("52494646") & F.contains(head, F.lit("57415645")), "audio/wav"),
-            (sign("00000020667479704D3441"), "video/mp4"),
-            (sign(ZIP_HEX), by_zip),
-            (sign(OLE_HEX), ole_subtype(path, content)),
-            (sign("526172"), "application/x-rar"),
-            (sign("377ABCAF"), "application/x-7z-compressed"),
-            (sign("1F8B08"), "application/gzip"),
-        ],
-        F.lit(None).cast("string"),
+            (starts("hx", "25504446"), "'application/pdf'"),
+            (starts("hx", "FFD8FF"), "'image/jpeg'"),
+            (starts("hx", "89504E47"), "'image/png'"),
+            (starts("hx", "47494638"), "'image/gif'"),
+            (starts("hx", "424D"), "'image/bmp'"),
+            (starts("hx", "494433", "FFFB"), "'audio/mpeg'"),
+            (starts("hx", "52494646") + " AND contains(hx, '57415645')", "'audio/wav'"),
+            (starts("hx", "00000020667479704D3441"), "'video/mp4'"),
+            (starts("hx", ZIP_HEX), zip_subtype(zip_col) if zip_col else lit(fixed.ZIP)),
+            (starts("hx", OLE_HEX), ole_subtype(path, content)),
+            (starts("hx", "526172"), "'application/x-rar'"),
+            (starts("hx", "377ABCAF"), "'application/x-7z-compressed'"),
+            (starts("hx", "1F8B08"), "'application/gzip'"),
+        ]
     )
-    named = expected_mime(ext)
-    return F.when(F.coalesce(length, F.lit(0)) == 0, F.lit(fixed.OCTET)).otherwise(
-        F.coalesce(by_header, text_mime(ext, content, length), named)
+    found = f"coalesce({by_header}, {text_mime(ext, content, length)}, {expected_mime(ext)})"
+    return (
+        f"if(coalesce({length}, 0) = 0, {lit(fixed.OCTET)}, "
+        f"{let(header_hex(content, 32), 'hx', found)})"
     )
 
 
 # ----------------------------------------------------------------------- bytes
-def printable_profile(content: Column, sample: int = 4096) -> Column:
+def printable_profile(content: str, sample: int = 4096) -> str:
     """struct(ratio, has_nul, non_ascii_ratio) of the first bytes."""
-
-    def ratios(view: Column) -> Column:
-        n = F.length(view)
-        kept = F.length(F.regexp_replace(view, r"[^ -~]", ""))
-        high = F.length(F.regexp_replace(view, r"[\x00-\x7f]", ""))
-        return F.struct(
-            F.when(n > 0, kept / n).otherwise(F.lit(0.0)).alias("ratio"),
-            F.contains(view, F.lit("\x00")).alias("has_nul"),
-            F.when(n > 0, high / n).otherwise(F.lit(0.0)).alias("non_ascii_ratio"),
-        )
-
-    return let(byte_view(content, sample), ratios)
+    kept = f"length(regexp_replace(vw, {lit('[^ -~]')}, ''))"
+    high = f"length(regexp_replace(vw, {lit(r'[\x00-\x7f]')}, ''))"
+    ratios = (
+        f"struct(if(length(vw) > 0, {kept} / length(vw), 0D) AS ratio, "
+        f"contains(vw, {lit(chr(0))}) AS has_nul, "
+        f"if(length(vw) > 0, {high} / length(vw), 0D) AS non_ascii_ratio)"
+    )
+    return let(byte_view(content, sample), "vw", ratios)
 
 
-def printable_label(profile: Column) -> Column:
-    return first_case(
-        [
-            ((profile["ratio"] > 0.75) & ~profile["has_nul"], "可能是不带BOM的文本文件 (高可打印字符比例)"),
-            ((profile["ratio"] > 0.3) & profile["has_nul"], "可能是包含二进制数据的数据文件"),
-        ],
-        F.lit("未知二进制文件"),
+def printable_label(profile: str) -> str:
+    return let(
+        profile,
+        "pf",
+        case(
+            [
+                ("pf.ratio > 0.75D AND NOT pf.has_nul", lit("可能是不带BOM的文本文件 (高可打印字符比例)")),
+                ("pf.ratio > 0.3D AND pf.has_nul", lit("可能是包含二进制数据的数据文件")),
+            ],
+            lit("未知二进制文件"),
+        ),
     )
 
 
-def is_binary(profile: Column) -> Column:
-    return profile["has_nul"] | (profile["non_ascii_ratio"] > 0.3)
+def is_binary(profile: str) -> str:
+    return let(profile, "pf", "pf.has_nul OR pf.non_ascii_ratio > 0.3D")
 
 
-def is_encrypted(content: Column, zip_col: Column | None) -> Column:
-    head = header_hex(content, 32)
-    in_ole = head.startswith(OLE_HEX) & has_any(byte_view(content, 4096), fixed.ENCRYPTION_NAMES)
-    tests = [F.contains(head, F.lit(m)) for m in fixed.ENCRYPTION_HEADER_MARKS] + [in_ole]
+def is_encrypted(content: str, zip_col: str | None) -> str:
+    marked = any_of(f"contains(hx, {lit(m)})" for m in fixed.ENCRYPTION_HEADER_MARKS)
+    in_ole = f"{starts('hx', OLE_HEX)} AND {has_any(byte_view(content, 4096), fixed.ENCRYPTION_NAMES)}"
+    tests = [marked, in_ole]
     if zip_col is not None:
-        damaged = ~F.coalesce(zip_col["ok"], F.lit(False))
         named = any_of(_named(zip_col, n) for n in fixed.ENCRYPTION_NAMES)
-        tests.append(head.startswith(ZIP_HEX) & (damaged | named))
-    return any_of(tests)
+        tests.append(f"{starts('hx', ZIP_HEX)} AND ({_unread(zip_col)} OR {named})")
+    return let(header_hex(content, 32), "hx", any_of(tests))
 
 
 @F.pandas_udf(StringType())
@@ -421,10 +403,10 @@ def _gbk_name(content: pd.Series) -> pd.Series:
     return content.map(name)
 
 
-def encoding_guess(content: Column) -> Column:
-    """UTF-8, else GBK, else unknown; only non-UTF-8 bytes go to Python."""
-    valid = is_utf8(content)
-    return F.coalesce(_gbk_name(F.when(~valid, content)), F.lit("UTF-8"))
+def encoding_guess(content: str) -> Column:
+    """UTF-8, else GBK, else unknown (a Column); only other bytes go to Python."""
+    other = F.expr(f"if({is_utf8(content)}, NULL, {content})")
+    return F.coalesce(_gbk_name(other), F.lit("UTF-8"))
 
 
 @F.pandas_udf(StringType())
@@ -442,70 +424,37 @@ def _decode_legacy(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
-def decode_text(content: Column) -> Column:
-    """File bytes as text: UTF-8 natively, else gb18030, else Latin-1."""
-    valid = is_utf8(content)
-    return F.coalesce(
-        F.when(valid, content.cast("string")), _decode_legacy(F.when(~valid, content))
-    )
+def decode_text(content: str) -> Column:
+    """File bytes as text: UTF-8 natively, else gb18030, else Latin-1 (a Column)."""
+    native = F.expr(f"if({is_utf8(content)}, cast({content} AS string), NULL)")
+    other = F.expr(f"if({is_utf8(content)}, NULL, {content})")
+    return F.coalesce(native, _decode_legacy(other))
 
 
-def report_label(path: Column, content: Column, length: Column, zip_col: Column | None) -> Column:
-    """The type label of the signature report."""
-    head = header_hex(content, 32)
-    ext = suffix(path)
-    office = F.when(
-        length >= 4096,
-        first_case(
-            [
-                (head.startswith(OLE_HEX), ole_score_label(ole_scores(content), ext)),
-                (head.startswith(ZIP_HEX), zip_label(zip_col) if zip_col is not None else F.lit(None)),
-            ],
-            office_guess(content),
-        ),
-    )
-    signed = signature_match(head)["label"]
-    deeper = F.coalesce(
-        riff_subtype(content),
-        F.when(head.startswith(ZIP_HEX), zip_label_plain(zip_col)) if zip_col is not None else F.lit(None),
-    )
-    by_ext = F.when(
-        ext != "",
-        F.concat(
-            F.coalesce(
-                lookup(ext, fixed.EXTENSION_LABELS),
-                F.concat(F.lit("未知文件类型 (扩展名: "), ext, F.lit(")")),
-            ),
-            F.lit(" (基于文件扩展名)"),
-        ),
-    )
-    encoding = encoding_guess(content)
-    by_text = first_case(
-        [(encoding == "UTF-8", "可能是UTF-8文本文件"), (encoding == "GBK", "可能是GBK文本文件")],
-        F.lit(None).cast("string"),
-    )
-    return F.when(F.coalesce(length, F.lit(0)) == 0, F.lit("空文件")).otherwise(
-        F.coalesce(
-            office,
-            F.when(signed.isNotNull(), F.coalesce(deeper, signed)),
-            by_ext,
-            by_text,
-            printable_label(printable_profile(content)),
-        )
-    )
-
+def report_label(path: str, content: str, length: str, zip_col: str, encoding: str) -> str:
+    """The type label of the signature report.
 
-def zip_label_plain(zip_col: Column) -> Column:
-    """APK, JAR or ODF label of a ZIP without an Office label, else NULL."""
-    mimetype = F.coalesce(zip_col["mimetype"], F.lit(""))
-    classes = F.coalesce(F.exists(zip_col["names"], lambda n: n.endswith(".class")), F.lit(False))
-    return first_case(
+    ``encoding`` is a column made with :func:`encoding_guess`.
+    """
+    ext = suffix(path)
+    office = case(
         [
-            (_named(zip_col, "AndroidManifest.xml"), "Android应用程序包 (.apk)"),
-            (classes | _named(zip_col, "META-INF/MANIFEST.MF"), "Java归档文件 (.jar)"),
-            (F.contains(mimetype, F.lit("opendocument.text")), "OpenDocument文本文档 (.odt)"),
-            (F.contains(mimetype, F.lit("opendocument.spreadsheet")), "OpenDocument电子表格 (.ods)"),
-            (F.contains(mimetype, F.lit("opendocument.presentation")), "OpenDocument演示文稿 (.odp)"),
+            (f"{length} < 4096", "NULL"),
+            (starts("hx", OLE_HEX), ole_score_label(ole_scores(content), ext)),
+            (starts("hx", ZIP_HEX), zip_label(zip_col)),
         ],
-        F.lit(None).cast("string"),
+        office_guess(content),
+    )
+    deeper = f"coalesce({riff_subtype(content)}, {zip_label_plain(zip_col)})"
+    signed = let(
+        signature_match("hx"),
+        "sg",
+        f"if(sg IS NULL, NULL, coalesce({deeper}, {signature_label('sg')}))",
     )
+    other_ext = f"concat('未知文件类型 (扩展名: ', {ext}, ')')"
+    named = f"coalesce({lookup(ext, fixed.EXTENSION_LABELS)}, {other_ext})"
+    by_ext = f"if({ext} != '', concat({named}, ' (基于文件扩展名)'), NULL)"
+    by_text = lookup(encoding, {"UTF-8": "可能是UTF-8文本文件", "GBK": "可能是GBK文本文件"})
+    by_bytes = printable_label(printable_profile(content))
+    label = f"coalesce({office}, {signed}, {by_ext}, {by_text}, {by_bytes})"
+    return f"if(coalesce({length}, 0) = 0, '空文件', {let(header_hex(content, 32), 'hx', label)})"

@@ -1,4 +1,4 @@
-"""Match positions as native Column expressions.
+"""Match positions as native expressions (SQL text).
 
 One regex pass marks every match in the text with two characters the text
 does not contain; cutting at the marks gives the matched terms, and the
@@ -7,20 +7,17 @@ running sum of piece lengths gives their 0-based code-point positions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from glintscan.functions import fixed
-from glintscan.functions.cols import SPACE, let, quote, running_totals
+from glintscan.functions.cols import case, let, lit, quote, running_totals
 from glintscan.sources.rules import RuleSet, java_pattern
 
 SPAN = "array<struct<term:string,pos:int>>"
 NESTED = "array<struct<kind:string,term:string,positions:array<int>>>"
 
 # Candidate marker pairs; the first pair absent from a text is used for it.
-MARKS = [("\u0001", "\u0002"), ("\ufdd0", "\ufdd1"), ("\ue000", "\ue001")]
+MARKS = [("\u0001", "\u0002"), ("\ufdd0", "\ufdd1"), ("\ue000", "\ue001"), ("\ue002", "\ue003")]
+NO_SPANS = f"cast(array() AS {SPAN})"
+NO_WORDS = f"cast(array() AS {NESTED})"
 
 
 # ------------------------------------------------------------------ patterns
@@ -71,115 +68,78 @@ def keyword_pattern(keywords: list[str], order: str = "config") -> str | None:
 
 
 # ---------------------------------------------------------------- span arrays
-def _from_pieces(pieces: Column, close: str, consuming: bool) -> Column:
-    # A piece is "<term><close><rest>", the first one is plain text.
-    def advance(piece: Column, i: Column) -> Column:
-        if consuming:
-            used = F.length(piece) - 1
-        else:
-            used = F.length(piece) - F.length(F.substring_index(piece, close, 1)) - 1
-        return F.when(i > 0, used).otherwise(F.length(piece))
-
-    starts = running_totals(F.transform(pieces, advance))
-    return F.zip_with(
-        F.slice(pieces, F.lit(2), F.size(pieces) - 1),
-        F.slice(starts, F.lit(1), F.size(pieces) - 1),
-        lambda p, s: F.struct(
-            F.substring_index(p, close, 1).alias("term"), s.alias("pos")
-        ),
-    ).cast(SPAN)
-
-
-def _marked(
-    text: Column, pattern: str, replacement: Callable[[str, str], str], consuming: bool
-) -> Column:
-    none = F.array().cast(SPAN)
-
-    def found(cut: Column, close: str) -> Column:
-        return let(
-            cut,
-            lambda ps: F.when(F.size(ps) < 2, none).otherwise(
-                _from_pieces(ps, close, consuming)
-            ),
-        )
-
-    chain = F
-    for opening, close in MARKS:
-        free = ~(F.contains(text, F.lit(opening)) | F.contains(text, F.lit(close)))
-        cut = F.split(
-            F.regexp_replace(text, pattern, replacement(opening, close)), opening, -1
-        )
-        chain = chain.when(free, found(cut, close))
-    return chain
-
-
-def spans(text: Column, pattern: str) -> Column:
+def _marked(text: str, pattern: str, group: int, otherwise: str) -> str:
+    """Spans of ``text`` by marking matches with a pair of absent characters.
+
+    Group 0 consumes the match. Group 1 of a zero-width pattern is a copy that
+    takes up no text.
+    """
+    pairs = [f"struct({lit(o)} AS o, {lit(c)} AS c)" for o, c in MARKS]
+    pick = (
+        f"get(filter(array({', '.join(pairs)}), "
+        f"m -> NOT contains({text}, m.o) AND NOT contains({text}, m.c)), 0)"
+    )
+    cut = (
+        f"split(regexp_replace({text}, {lit(pattern)}, concat(mk.o, '${group}', mk.c)), mk.o, -1)"
+    )
+    used = "1" if group == 0 else "length(substring_index(p, mk.c, 1)) + 1"
+    starts = running_totals(f"transform(ps, (p, i) -> length(p) - if(i > 0, {used}, 0))")
+    found = (
+        "zip_with(slice(ps, 2, size(ps) - 1), "
+        f"slice({starts}, 1, size(ps) - 1), "
+        "(p, s) -> struct(substring_index(p, mk.c, 1) AS term, s AS pos))"
+    )
+    by_mark = let(cut, "ps", f"if(size(ps) < 2, {NO_SPANS}, {found})")
+    return f"coalesce({let(pick, 'mk', f'if(mk IS NULL, {otherwise}, {by_mark})')}, {NO_SPANS})"
+
+
+def spans(text: str, pattern: str) -> str:
     """All leftmost non-overlapping matches as ``array<struct<term,pos>>``."""
-    marked = _marked(text, pattern, lambda o, c: f"{o}$0{c}", consuming=True)
     # Texts holding every marker character: two regex passes instead of one.
-    tokens = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-
-    def join(toks: Column) -> Column:
-        lengths = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(toks)),
-            F.concat(F.array(F.lit("")), F.slice(toks, F.lit(1), F.size(toks) - 1)),
-            lambda g, t: F.length(g) + F.length(t),
-        )
-        return F.zip_with(
-            toks,
-            running_totals(lengths),
-            lambda t, p: F.struct(t.alias("term"), p.alias("pos")),
-        )
-
-    none = F.array().cast(SPAN)
+    lengths = (
+        f"zip_with(slice(split({text}, {lit(pattern)}, -1), 1, size(tk)), "
+        "concat(array(''), slice(tk, 1, size(tk) - 1)), (g, t) -> length(g) + length(t))"
+    )
     two_pass = let(
-        tokens, lambda toks: F.when(F.size(toks) == 0, none).otherwise(join(toks).cast(SPAN))
+        f"regexp_extract_all({text}, {lit('(' + pattern + ')')}, 1)",
+        "tk",
+        f"if(size(tk) = 0, {NO_SPANS}, "
+        f"zip_with(tk, {running_totals(lengths)}, (t, s) -> struct(t AS term, s AS pos)))",
     )
-    return F.coalesce(marked.otherwise(two_pass), none)
+    return _marked(text, pattern, 0, two_pass)
 
 
-def overlapping_spans(text: Column, keywords: list[str]) -> Column:
+def overlapping_spans(text: str, keywords: list[str]) -> str:
     """Longest keyword starting at each position, overlaps included.
 
     A zero-width lookahead copies the keyword into the mark without consuming
     text, so every start position is seen in one pass.
     """
-    pattern = f"(?=({keyword_pattern(keywords, 'longest')}))"
-    none = F.array().cast(SPAN)
-    marked = _marked(text, pattern, lambda o, c: f"{o}$1{c}", consuming=False)
-    # All marker characters present: test the keywords position by position.
     words = [w for w in sorted(dict.fromkeys(keywords), key=len, reverse=True) if w]
-
-    def at(i: Column) -> Column:
-        hit = F.coalesce(
-            *[F.when(F.substring(text, i + 1, F.lit(len(w))) == w, F.lit(w)) for w in words]
-        )
-        return F.struct(hit.alias("term"), i.cast("int").alias("pos"))
-
-    scanned = F.filter(
-        F.transform(F.sequence(F.lit(0), F.length(text) - 1), at),
-        lambda s: s["term"].isNotNull(),
-    ).cast(SPAN)
-    return F.coalesce(marked.otherwise(scanned), none)
+    # All marker characters present: test the keywords position by position.
+    at = case(
+        (f"substring({text}, i + 1, {len(w)}) = {lit(w)}", lit(w)) for w in words
+    )
+    scanned = (
+        f"filter(transform(sequence(0, length({text}) - 1), "
+        f"i -> struct({at} AS term, i AS pos)), s -> s.term IS NOT NULL)"
+    )
+    return _marked(text, f"(?=({keyword_pattern(keywords, 'longest')}))", 1, scanned)
 
 
 # --------------------------------------------------------------- nested views
-def by_term(found: Column, kind: str, cap: int | None) -> Column:
-    """Group spans by term, terms in order of first occurrence."""
+def _capped(positions: str, cap: int | None) -> str:
+    return f"slice({positions}, 1, {cap})" if cap else positions
 
-    def positions(all_spans: Column, term: Column) -> Column:
-        hits = F.transform(F.filter(all_spans, lambda s: s["term"] == term), lambda s: s["pos"])
-        return F.slice(hits, 1, cap) if cap else hits
 
+def by_term(found: str, kind: str, cap: int | None) -> str:
+    """Group spans by term, terms in order of first occurrence."""
+    mine = "transform(filter(sp, y -> y.term = t), y -> y.pos)"
     return let(
         found,
-        lambda sp: F.transform(
-            F.array_distinct(F.transform(sp, lambda s: s["term"])),
-            lambda t: F.struct(
-                F.lit(kind).alias("kind"), t.alias("term"), positions(sp, t).alias("positions")
-            ),
-        ),
+        "sp",
+        "transform(array_distinct(transform(sp, y -> y.term)), "
+        f"t -> struct({lit(kind)} AS kind, t AS term, {_capped(mine, cap)} AS positions))",
     )
 
 
@@ -188,37 +148,33 @@ def rule_label(prefix: str, pattern: str, width: int = 30) -> str:
     return f"{prefix}[{shown}]"
 
 
-def by_rule(text: Column, kind: str, pattern: str, label: str, cap: int | None) -> Column:
+def by_rule(text: str, kind: str, pattern: str, label: str, cap: int | None) -> str:
     """Positions of one regex rule as a nested array of zero or one entries."""
-
-    def entry(sp: Column) -> Column:
-        pos = F.transform(sp, lambda s: s["pos"])
-        pos = F.slice(pos, 1, cap) if cap else pos
-        one = F.array(
-            F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("term"), pos.alias("positions"))
-        )
-        return F.when(F.size(sp) > 0, one).otherwise(F.array().cast(NESTED))
-
-    return let(spans(text, java_pattern(pattern)), entry)
+    mine = _capped("transform(sp, y -> y.pos)", cap)
+    entry = f"array(struct({lit(kind)} AS kind, {lit(label)} AS term, {mine} AS positions))"
+    return let(
+        spans(text, java_pattern(pattern)), "sp", f"if(size(sp) > 0, {entry}, {NO_WORDS})"
+    )
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+def is_blank(text: str) -> str:
+    visible = lit(r"(?U)[^\s\x1c-\x1f]")
+    return f"({text} IS NULL OR NOT {text} RLIKE {visible})"
 
 
 def checked(
-    text: Column,
+    text: str,
     rules: RuleSet,
     order: str = "config",
     cap: int | None = None,
     labelled: bool = False,
     kinds: tuple[str, ...] = ("keyword", "structured", "number"),
-) -> Column:
+) -> str:
     """Keyword, structured and number results of one text, in that order.
 
     ``order='longest', cap=10, labelled=True`` is the refined form.
     """
-    parts: list[Column] = []
+    parts: list[str] = []
     pattern = keyword_pattern(rules.keywords, order)
     if "keyword" in kinds and pattern:
         parts.append(by_term(spans(text, pattern), "keyword", cap))
@@ -230,14 +186,6 @@ def checked(
             for p in patterns:
                 label = rule_label(prefix, p) if labelled else p
                 parts.append(by_rule(text, kind, p, label, cap))
-    none = F.array().cast(NESTED)
     if not parts:
-        return none
-    found = F.concat(*[p.cast(NESTED) for p in parts])
-    return F.when(is_blank(text), none).otherwise(found)
-
-
-__all__ = [
-    "SPACE", "by_rule", "by_term", "checked", "is_blank", "keyword_pattern",
-    "overlapping_spans", "rule_label", "spans", "trie_pattern",
-]
+        return NO_WORDS
+    return f"if({is_blank(text)}, {NO_WORDS}, cast(concat({', '.join(parts)}) AS {NESTED}))"

@@ -1,45 +1,43 @@
-"""Path and file-name expressions."""
+"""Path and file-name expressions (SQL text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from glintscan.functions import fixed
-from glintscan.functions.cols import lookup
+from glintscan.functions.cols import lit, lookup
 
 
-def base_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def base_name(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"
 
 
-def suffix(path: Column) -> Column:
+def suffix(path: str) -> str:
     """Lower-case suffix with its dot; none for dot-files or a trailing dot."""
-    return F.lower(F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]+)$", 1))
+    pattern = lit(r"(?s)^.+(\.[^.]+)$")
+    return f"lower(regexp_extract({base_name(path)}, {pattern}, 1))"
 
 
-def is_hidden(path: Column) -> Column:
+def is_hidden(path: str) -> str:
     name = base_name(path)
-    return name.startswith(".") | name.startswith("~$")
+    return f"(startswith({name}, '.') OR startswith({name}, '~$'))"
 
 
-def in_hidden_dir(path: Column, root: str | None = None) -> Column:
-    """A directory below the scanned root starts with a dot."""
-    below = path if root is None else F.regexp_replace(path, "^" + root, "")
-    return below.rlike(r"/\.[^/]*/")
+def in_hidden_dir(path: str) -> str:
+    """A directory of the path starts with a dot."""
+    pattern = lit(r"/\.[^/]*/")
+    return f"({path} RLIKE {pattern})"
 
 
-def is_internal_stream(path: Column) -> Column:
-    return base_name(path).rlike(fixed.INTERNAL_STREAM_PATTERN)
+def is_internal_stream(path: str) -> str:
+    return f"({base_name(path)} RLIKE {lit(fixed.INTERNAL_STREAM_PATTERN)})"
 
 
-def expected_mime(ext: Column) -> Column:
+def expected_mime(ext: str) -> str:
     """MIME type by extension, with or without its dot, any case."""
-    dotted = F.lower(F.when(ext.startswith("."), ext).otherwise(F.concat(F.lit("."), ext)))
-    return F.coalesce(lookup(dotted, fixed.EXTENSION_MIME), F.lit(fixed.OCTET))
+    dotted = f"lower(if(startswith({ext}, '.'), {ext}, concat('.', {ext})))"
+    return f"coalesce({lookup(dotted, fixed.EXTENSION_MIME)}, {lit(fixed.OCTET)})"
 
 
-def mime_extension(mime: Column) -> Column:
+def mime_extension(mime: str) -> str:
     """Extension for a MIME type: the last one listed, else ``.bin``."""
     reverse = {m: e for e, m in fixed.EXTENSION_MIME.items()}
-    return F.coalesce(lookup(mime, reverse), F.lit(".bin"))
+    return f"coalesce({lookup(mime, reverse)}, '.bin')"

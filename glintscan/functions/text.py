@@ -1,8 +1,9 @@
-"""Text cleaning, previews and chunking as Column expressions."""
+"""Text cleaning, previews and chunking (SQL text unless noted)."""
 
 from __future__ import annotations
 
 import html
+import zlib
 from collections.abc import Sequence
 
 import pandas as pd
@@ -11,23 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from glintscan.functions import fixed
-from glintscan.functions.cols import SPACE, any_of, let, running_totals
+from glintscan.functions.cols import SPACE, case, count_of, is_in, let, lit, running_totals
 
 TOKEN = r"[^一-龥a-zA-Z0-9]+"
 TOKEN_ALPHA = r"[^一-龥a-zA-Z]+"
+WORDS = "cast(array() AS array<string>)"
 
 
-def token_clean(text: Column, digits: bool = True) -> Column:
+def sub(text: str, pattern: str, replacement: str) -> str:
+    return f"regexp_replace({text}, {lit(pattern)}, {lit(replacement)})"
+
+
+def token_clean(text: str, digits: bool = True) -> str:
     """Lower-case runs of CJK, Latin letters (and digits) joined by one space."""
-    return F.trim(F.regexp_replace(F.lower(text), TOKEN if digits else TOKEN_ALPHA, " "))
+    return f"trim({sub(f'lower({text})', TOKEN if digits else TOKEN_ALPHA, ' ')})"
 
 
-def css_clean(text: Column, digits: bool = True) -> Column:
-    out = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    out = F.regexp_replace(out, r"(?i)url\([^)]*\)", "")
-    out = F.regexp_replace(out, r"var\(--[^)]*\)", "")
-    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return token_clean(out, digits)
+def css_clean(text: str, digits: bool = True) -> str:
+    for pattern in (
+        r"(?s)/\*.*?\*/",
+        r"(?i)url\([^)]*\)",
+        r"var\(--[^)]*\)",
+        r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]",
+    ):
+        text = sub(text, pattern, "")
+    return token_clean(text, digits)
 
 
 @F.pandas_udf(StringType())
@@ -35,254 +44,210 @@ def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def html_unescape(text: Column) -> Column:
-    """HTML character references to text.
+def html_unescape(text: str) -> Column:
+    """HTML character references to text (a Column).
 
     The five XML references are replaced natively (``&amp;`` last, as one pass
     would do). Only texts with any other reference are sent to Python.
     """
-    other = text.rlike(r"&(?!(?:amp|lt|gt|quot|apos);)[#A-Za-z]")
+    other = f"{text} RLIKE {lit('&(?!(?:amp|lt|gt|quot|apos);)[#A-Za-z]')}"
     native = text
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        native = F.replace(native, F.lit(name), F.lit(char))
-    return F.coalesce(_unescape_all(F.when(other, text)), native)
+        native = f"replace({native}, {lit(name)}, {lit(char)})"
+    return F.coalesce(_unescape_all(F.expr(f"if({other}, {text}, NULL)")), F.expr(native))
+
+
+def xml_clean(text: str, digits: bool = True) -> Column:
+    """Tags to spaces, references to text, then token clean (a Column)."""
+    plain = F.lower(html_unescape(sub(text, r"<[^>]+>", " ")))
+    return F.trim(F.regexp_replace(plain, TOKEN if digits else TOKEN_ALPHA, " "))
 
 
-def xml_clean(text: Column, digits: bool = True) -> Column:
-    return token_clean(html_unescape(F.regexp_replace(text, r"<[^>]+>", " ")), digits)
+def cut(text: str, limit: int, notice: str) -> str:
+    return let(text, "tx", f"if(length(tx) > {limit}, concat(left(tx, {limit}), {lit(notice)}), tx)")
 
 
-def general_clean(text: Column, limit: int | None = 100_000) -> Column:
+def general_clean(text: str, limit: int | None = 100_000) -> str:
     """Whitespace collapsed, lower case, words only, cut with ``...``."""
-    out = token_clean(F.regexp_replace(text, f"(?U){SPACE}+", " "), digits=False)
-    if limit is None:
-        return out
-    return let(
-        out,
-        lambda t: F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit("..."))).otherwise(t),
-    )
+    out = token_clean(sub(text, f"(?U){SPACE}+", " "), digits=False)
+    return cut(out, limit, "...") if limit else out
 
 
-def is_markup(file_type: Column) -> Column:
+def is_markup(file_type: str) -> str:
     return (
-        (file_type == "application/zip")
-        | file_type.endswith("+xml")
-        | (file_type == "text/xml")
+        f"({file_type} = 'application/zip' OR endswith({file_type}, '+xml')"
+        f" OR {file_type} = 'text/xml')"
     )
 
 
-def clean_dispatch(text: Column, file_type: Column, digits: bool = True) -> Column:
-    """Markup types through the XML cleaner, others through the CSS one."""
-    failed = text.isNull() | (text == "") | text.isin(fixed.CLEAN_ERRORS)
+def clean_dispatch(text: str, file_type: str, digits: bool = True) -> Column:
+    """Markup types through the XML cleaner, others through the CSS one (a Column)."""
+    failed = f"({text} IS NULL OR {text} = '' OR {is_in(text, fixed.CLEAN_ERRORS)})"
+    markup = f"NOT {failed} AND {is_markup(file_type)}"
     return (
-        F.when(failed, F.lit(""))
-        .when(is_markup(file_type), xml_clean(text, digits))
-        .otherwise(css_clean(text, digits))
+        F.when(F.expr(failed), "")
+        .when(F.expr(markup), xml_clean(f"if({markup}, {text}, NULL)", digits))
+        .otherwise(F.expr(css_clean(text, digits)))
     )
 
 
-def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
+def collapse(text: str) -> str:
+    return f"trim({sub(text, f'(?U){SPACE}+', ' ')})"
 
 
-def preview(text: Column, limit: int = 200, collapsed: bool = True) -> Column:
-    body = F.coalesce(collapse(text) if collapsed else text, F.lit(""))
-    return let(
-        body,
-        lambda t: F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit("..."))).otherwise(t),
-    )
+def preview(text: str, limit: int = 200, collapsed: bool = True) -> str:
+    body = f"coalesce({collapse(text) if collapsed else text}, '')"
+    return cut(body, limit, "...")
 
 
-def truncate(text: Column, limit: int, notice: str) -> Column:
-    return F.when(
-        F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(notice))
-    ).otherwise(text)
+def truncate(text: str, limit: int, notice: str) -> str:
+    return f"if(length({text}) > {limit}, concat(left({text}, {limit}), {lit(notice)}), {text})"
 
 
-def control_share(text: Column) -> Column:
+def control_share(text: str) -> str:
     """Share of control characters other than tab, newline, return."""
-    n = F.regexp_count(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"))
-    return F.when(F.length(text) > 0, n / F.length(text)).otherwise(F.lit(0.0))
+    n = f"regexp_count({text}, {lit(r'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')})"
+    return f"if(length({text}) > 0, {n} / length({text}), 0D)"
 
 
-def rewrite_phrases(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+def rewrite_phrases(text: str, rules: Sequence[tuple[str, str]]) -> str:
     """Ordered regex rewrites; replacements use ``$1`` for groups."""
     for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+        text = sub(text, pattern, replacement)
     return text
 
 
 # ------------------------------------------------------------------ paragraphs
 PLAIN_SYMBOLS = r"[^\p{L}\p{N} .,;:!?\-\"'()\[\]{}<>/\\]"
+BLANK_LINES = r"\n\s*\n|\r\n\s*\r\n|\r\s*\r"
 
 
-def printable_only(text: Column) -> Column:
+def printable_only(text: str) -> str:
     """Drop control, format, surrogate, private and unassigned characters."""
-    return F.regexp_replace(text, r"[\p{C}\p{Zl}\p{Zp}&&[^ \t\n\r]]", "")
+    return sub(text, r"[\p{C}\p{Zl}\p{Zp}&&[^ \t\n\r]]", "")
 
 
 def paragraphs(
-    text: Column,
-    separator: str = r"\n\s*\n|\r\n\s*\r\n|\r\s*\r",
-    min_length: int = 20,
-    max_special: float = 0.3,
-) -> Column:
+    text: str, separator: str = BLANK_LINES, min_length: int = 20, max_special: float = 0.3
+) -> str:
     """Paragraphs long enough and not made of special characters.
 
     Whitespace is collapsed inside each paragraph, after the split.
     """
-    parts = F.transform(F.split(printable_only(text), separator, -1), collapse)
-    return F.filter(
-        parts,
-        lambda p: (F.length(p) >= min_length)
-        & (F.regexp_count(p, F.lit(PLAIN_SYMBOLS)) / F.length(p) <= max_special),
-    )
+    parts = f"transform(split({printable_only(text)}, {lit(separator)}, -1), p -> {collapse('p')})"
+    special = f"regexp_count(p, {lit(PLAIN_SYMBOLS)}) / length(p)"
+    return f"filter({parts}, p -> length(p) >= {min_length} AND {special} <= {max_special}D)"
 
 
-def budget_paragraphs(paras: Column, budget: int = 50_000) -> Column:
+def budget_paragraphs(paras: str, budget: int = 50_000) -> str:
     """Paragraphs that fit a budget of characters.
 
     All of them in order if they fit, else the longest ones (earlier first on
     ties) until the next one would not fit; two characters are spent on each
     separator.
     """
-    lengths = F.transform(paras, F.length)
-    ranked = F.array_sort(
-        F.transform(
-            paras, lambda p, i: F.struct((-F.length(p)).alias("neg"), i.alias("ord"), p.alias("text"))
-        )
+    ranked = "array_sort(transform(pa, (p, i) -> struct(-length(p) AS neg, i AS ord, p AS text)))"
+    used = running_totals("transform(rk, r -> cast(2 - r.neg AS int))")
+    fitting = let(
+        ranked,
+        "rk",
+        f"transform(filter(zip_with(rk, {used}, (r, u) -> struct(r.text AS t, u AS u)), "
+        f"z -> z.u <= {budget}), z -> z.t)",
     )
-
-    def fit(items: Column) -> Column:
-        used = running_totals(F.transform(items, lambda s: (2 - s["neg"]).cast("int")))
-        pairs = F.zip_with(items, used, lambda s, u: F.struct(s["text"].alias("t"), u.alias("u")))
-        return F.transform(F.filter(pairs, lambda x: x["u"] <= budget), lambda x: x["t"])
-
-    total = F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
-    return F.when(total > budget, let(ranked, fit)).otherwise(paras)
+    size = "aggregate(transform(pa, p -> length(p)), 0, (a, b) -> a + b)"
+    return let(paras, "pa", f"if({size} > {budget}, {fitting}, pa)")
 
 
 # ---------------------------------------------------------------------- chunks
-def words_of(text: Column) -> Column:
+def words_of(text: str) -> str:
     """Words split on whitespace, none for blank text."""
-    return let(
-        collapse(text),
-        lambda t: F.when(F.length(t) > 0, F.split(t, " ", -1)).otherwise(F.array().cast("array<string>")),
-    )
+    return let(collapse(text), "ct", f"if(length(ct) > 0, split(ct, ' ', -1), {WORDS})")
 
 
 def word_chunks(
-    text: Column, size: int = 512, stride: int | None = None, max_chunks: int | None = 10
-) -> Column:
+    text: str, size: int = 512, stride: int | None = None, max_chunks: int | None = 10
+) -> str:
     """Overlapping word windows; ``max_chunks=None`` keeps all of them."""
-    step = stride or size // 2
-
-    def cut(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words), F.lit(step))
-        starts = F.slice(starts, 1, max_chunks) if max_chunks else starts
-        chunks = F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(size)), " "))
-        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(chunks)
-
-    return let(words_of(text), cut)
+    starts = f"sequence(1, size(wd), {stride or size // 2})"
+    starts = f"slice({starts}, 1, {max_chunks})" if max_chunks else starts
+    chunks = f"transform({starts}, s -> array_join(slice(wd, s, {size}), ' '))"
+    return let(words_of(text), "wd", f"if(size(wd) = 0, {WORDS}, {chunks})")
 
 
 # ---------------------------------------------------------------- augmentation
-def unit_draw(*parts: Column) -> Column:
+def unit_draw(*parts: str) -> str:
     """A reproducible draw: four hex digits of an MD5 over the parts."""
-    return F.left(F.md5(F.concat_ws(":", *parts)), F.lit(4))
+    return f"left(md5(concat_ws(':', {', '.join(parts)})), 4)"
 
 
 def hex_share(p: float) -> str:
     """Draws below this text happen with probability ``p``."""
-    return format(int(p * 65536), "04x")
+    return f"'{int(p * 65536):04x}'"
 
 
-def delete_words(text: Column, key: Column, seed: int = 42, p: float = 0.2) -> Column:
+def delete_words(text: str, key: str, seed: int = 42, p: float = 0.2) -> str:
     """Drop each word with probability ``p``; never empties a text."""
-
-    def kept(words: Column) -> Column:
-        numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-        stay = F.filter(
-            numbered,
-            lambda x: unit_draw(F.lit(str(seed)), key.cast("string"), x["i"].cast("string"))
-            >= hex_share(p),
-        )
-        chosen = F.array_join(F.transform(stay, lambda x: x["w"]), " ")
-        return (
-            F.when(F.size(words) <= 1, text)
-            .when(F.size(stay) == 0, F.get(words, F.lit(0)))
-            .otherwise(chosen)
-        )
-
-    return let(words_of(text), kept)
+    draw = unit_draw(f"'{seed}'", f"cast({key} AS string)", "cast(x.i AS string)")
+    stay = (
+        "transform(filter(transform(wd, (w, i) -> struct(w AS w, i AS i)), "
+        f"x -> {draw} >= {hex_share(p)}), x -> x.w)"
+    )
+    chosen = let(stay, "st", "if(size(st) = 0, get(wd, 0), array_join(st, ' '))")
+    return let(words_of(text), "wd", f"if(size(wd) <= 1, {text}, {chosen})")
 
 
-def replace_synonyms(text: Column, synonyms: dict[str, str], buckets: int = 64) -> Column:
+def replace_synonyms(text: str, synonyms: dict[str, str], buckets: int = 64) -> str:
     """Dictionary replacement word by word.
 
     The dictionary is a constant array of small maps chosen by CRC, so one
     lookup does not scan the whole dictionary.
     """
-    import zlib
-
     if not synonyms:
         return text
     n = max(1, min(buckets, len(synonyms)))
-    slots: list[list[Column]] = [[] for _ in range(n)]
+    slots: list[list[str]] = [[] for _ in range(n)]
     for word, other in synonyms.items():
-        slots[zlib.crc32(word.encode()) % n] += [F.lit(word), F.lit(other)]
-    empty = F.create_map().cast("map<string,string>")
-    table = F.array(*[F.create_map(*s) if s else empty for s in slots])
-
-    def swap(word: Column) -> Column:
-        slot = F.get(table, (F.crc32(F.encode(word, "UTF-8")) % n).cast("int"))
-        return F.coalesce(F.try_element_at(slot, word), word)
-
-    return F.array_join(F.transform(words_of(text), swap), " ")
+        slots[zlib.crc32(word.encode()) % n] += [lit(word), lit(other)]
+    maps = ", ".join(
+        f"map({', '.join(s)})" if s else "cast(map() AS map<string,string>)" for s in slots
+    )
+    slot = f"get(array({maps}), cast(crc32(encode(w, 'UTF-8')) % {n} AS int))"
+    swap = f"coalesce(try_element_at({slot}, w), w)"
+    return f"array_join(transform({words_of(text)}, w -> {swap}), ' ')"
 
 
 def augmented(
-    text: Column, key: Column, synonyms: dict[str, str], seed: int = 42, share: float = 0.3
-) -> Column:
+    text: str, key: str, synonyms: dict[str, str], seed: int = 42, share: float = 0.3
+) -> str:
     """Augment about ``share`` of the texts, half by deletion, half by synonyms."""
-    pick = unit_draw(F.lit(str(seed)), F.lit("row"), key.cast("string"))
-    kind = unit_draw(F.lit(str(seed)), F.lit("kind"), key.cast("string"))
-    return (
-        F.when(pick >= hex_share(share), text)
-        .when(kind < hex_share(0.5), delete_words(text, key, seed))
-        .otherwise(replace_synonyms(text, synonyms))
+    pick = unit_draw(f"'{seed}'", "'row'", f"cast({key} AS string)")
+    kind = unit_draw(f"'{seed}'", "'kind'", f"cast({key} AS string)")
+    return case(
+        [
+            (f"{pick} >= {hex_share(share)}", text),
+            (f"{kind} < {hex_share(0.5)}", delete_words(text, key, seed)),
+        ],
+        replace_synonyms(text, synonyms),
     )
 
 
 # --------------------------------------------------------------- text profiles
-def markdown_profile(text: Column) -> Column:
-    def n(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern))
-
-    return F.struct(
-        n(r"(?m)^#{1,6}\s+").alias("headers"),
-        (n("```") / 2).cast("int").alias("code_blocks"),
-        n(r"\[.*?\]\(.*?\)").alias("links"),
-        n(r"!\[.*?\]\(.*?\)").alias("images"),
-    )
+def markdown_profile(text: str) -> str:
+    """struct(headers, code_blocks, links, images)."""
 
+    def n(pattern: str) -> str:
+        return f"regexp_count({text}, {lit(pattern)})"
 
-def sniff_delimiter(text: Column, sample: int = 4096) -> Column:
-    """Most frequent of ``, ; tab |`` in the sample; comma below five."""
-    head = F.left(text, F.lit(sample))
-
-    def best(t: Column) -> Column:
-        counts = [
-            (d, F.length(t) - F.length(F.replace(t, F.lit(d), F.lit("")))) for d in fixed.CSV_DELIMITERS
-        ]
-        top = F.greatest(*[c for _, c in counts])
-        chain = F.when(top < 5, F.lit(","))
-        for d, c in counts:
-            chain = chain.when(c == top, F.lit(d))
-        return chain
-
-    return let(head, best)
+    return (
+        f"struct({n(r'(?m)^#{1,6}\s+')} AS headers, cast({n('```')} div 2 AS int) AS code_blocks, "
+        f"{n(r'\[.*?\]\(.*?\)')} AS links, {n(r'!\[.*?\]\(.*?\)')} AS images)"
+    )
 
 
-def has_any(text: Column, needles: Sequence[str]) -> Column:
-    return any_of(F.contains(text, F.lit(n)) for n in needles)
+def sniff_delimiter(text: str, sample: int = 4096) -> str:
+    """Most frequent of ``, ; tab |`` in the sample; comma below five."""
+    counts = {d: count_of("hd", d) for d in fixed.CSV_DELIMITERS}
+    best = f"greatest({', '.join(counts.values())})"
+    picks = [(f"{best} < 5", lit(","))]
+    picks += [(f"{n} = {best}", lit(d)) for d, n in counts.items()]
+    return let(f"left({text}, {sample})", "hd", case(picks))

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintscan.functions.cols import lit
 from glintscan.functions.match import overlapping_spans
 from glintscan.functions.text import word_chunks
 
@@ -89,7 +90,7 @@ def predict_max_chunk(
 ) -> DataFrame:
     """Largest chunk probability per text against a threshold."""
     chunks = df.select(
-        key, F.explode(word_chunks(F.col("text"), size, max_chunks=max_chunks)).alias("text")
+        key, F.explode(F.expr(word_chunks("text", size, max_chunks=max_chunks))).alias("text")
     )
     scored = probability(model.transform(chunks))
     return scored.groupBy(key).agg(F.max("p").alias("p")).withColumn(
@@ -174,31 +175,21 @@ def top_features(
     parts = []
     if long_terms:
         # All terms at one start position are prefixes of the longest one.
-        found = F.array_distinct(
-            F.flatten(
-                F.transform(
-                    F.array_distinct(
-                        F.transform(overlapping_spans(F.col(text), long_terms), lambda s: s["term"])
-                    ),
-                    lambda t: F.filter(
-                        F.array(*[F.lit(w) for w in long_terms]), lambda w: t.startswith(w)
-                    ),
-                )
-            )
-        )
-        parts.append(
-            F.transform(found, lambda t: F.struct(t.alias("feature"), F.lit(1).cast("bigint").alias("n")))
+        listed = f"array({', '.join(lit(t) for t in long_terms)})"
+        longest = f"array_distinct(transform({overlapping_spans(text, long_terms)}, s -> s.term))"
+        found = (
+            f"array_distinct(flatten(transform({longest}, "
+            f"t -> filter({listed}, w -> startswith(t, w)))))"
         )
+        parts.append(f"transform({found}, t -> struct(t AS feature, 1L AS n))")
     for p in phrases:
-        seen = F.filter(
-            F.regexp_extract_all(F.col(text), F.lit(f"(?iU)({p})"), F.lit(1)),
-            lambda m: F.length(m) >= 2,
-        )
+        seen = f"regexp_extract_all({text}, {lit(f'(?iU)({p})')}, 1)"
         parts.append(
-            F.array(F.struct(F.lit(p).alias("feature"), F.size(seen).cast("bigint").alias("n")))
+            f"array(struct({lit(p)} AS feature, "
+            f"cast(size(filter({seen}, m -> length(m) >= 2)) AS bigint) AS n))"
         )
     return (
-        positives.select(F.explode(F.concat(*parts)).alias("f"))
+        positives.select(F.explode(F.expr(f"concat({', '.join(parts)})")).alias("f"))
         .where(F.col("f.n") > 0)
         .groupBy(F.col("f.feature").alias("feature"))
         .agg(F.sum("f.n").alias("weight"))

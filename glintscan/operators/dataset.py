@@ -44,7 +44,7 @@ def migrate(files: DataFrame, digits: bool = True) -> DataFrame:
     if not {"content", "file_type"} <= set(files.columns):
         return files
     return files.withColumn(
-        "content", clean_dispatch(F.col("content"), F.col("file_type"), digits)
+        "content", clean_dispatch("content", "file_type", digits)
     )
 
 

@@ -24,7 +24,7 @@ def with_words(
     df: DataFrame, rules: RuleSet, text: str = "text", out: str = "words", **options
 ) -> DataFrame:
     """Add the nested result of every text. Map-only, no shuffle."""
-    return df.withColumn(out, checked(F.col(text), rules, **options))
+    return df.withColumn(out, F.expr(checked(text, rules, **options)))
 
 
 def explode_words(df: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
@@ -68,7 +68,7 @@ def overlapping_hits(
     chain = spark.createDataFrame(entries, "longest string, ord int, term string")
     if len(entries) <= BROADCAST_RULES:
         chain = F.broadcast(chain)
-    found = df.select(*keys, F.explode(overlapping_spans(F.col(text), words)).alias("s"))
+    found = df.select(*keys, F.explode(F.expr(overlapping_spans(text, words))).alias("s"))
     return (
         found.select(*keys, F.col("s.term").alias("longest"), F.col("s.pos").alias("pos"))
         .join(chain, "longest")
@@ -79,10 +79,9 @@ def overlapping_hits(
 def regex_hits(df: DataFrame, rules: RuleSet, keys: list[str], text: str = "text") -> DataFrame:
     """Named regex rules (declared in configs, kept apart from the checker)."""
     parts = [
-        by_rule(F.col(text), "regex", p, name, None).cast(NESTED)
-        for name, (p, _) in rules.regexes.items()
+        by_rule(text, "regex", p, name, None) for name, (p, _) in rules.regexes.items()
     ]
-    found = df.select(*keys, F.concat(*parts).alias("words"))
+    found = df.select(*keys, F.expr(f"concat({', '.join(parts)})").alias("words"))
     return explode_words(found, keys).select(
         *keys, "kind", "term", F.explode("positions").alias("pos")
     )
@@ -242,7 +241,7 @@ def match_distinct_text(
         keyed.join(
             groups.select(F.col("__first").alias(key), "__copies").hint("shuffle_hash"), key
         )
-        .select("__md5", "__copies", checked(F.col(text), rules, **options).alias("words"))
+        .select("__md5", "__copies", F.expr(checked(text, rules, **options)).alias("words"))
     )
     hot = groups.where(F.col("__copies") > hot_copies).select("__md5", F.lit(True).alias("__hot"))
     spread = F.when(F.col("__copies") > hot_copies, F.lit(salts)).otherwise(F.lit(1))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glintscan.functions import fixed
+from glintscan.functions.cols import lit
 from glintscan.functions.paths import base_name
 from glintscan.functions.text import preview, truncate
 from glintscan.operators.filters import recognition, status
@@ -26,17 +27,16 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part * 100.0 / whole, 2)).otherwise(F.lit(0.0))
 
 
-def terms_text(words: Column, unit: str = "次") -> Column:
-    """``term(n次); ...`` in order of first occurrence."""
-    return F.array_join(
-        F.transform(
-            words,
-            lambda w: F.concat(
-                w["term"], F.lit("("), F.size(w["positions"]).cast("string"), F.lit(unit + ")")
-            ),
-        ),
-        "; ",
-    )
+def terms_text(words: str, unit: str = "次") -> str:
+    """``term(n次); ...`` in order of first occurrence (SQL text)."""
+    one = f"concat(w.term, '(', cast(size(w.positions) AS string), {lit(unit + ')')})"
+    return f"array_join(transform({words}, w -> {one}), '; ')"
+
+
+NAME = base_name("file_path")
+SECONDS = "round(processing_time, 3) AS processing_time"
+ERROR = "coalesce(error, '') AS error"
+FLAG = "if(size(words) > 0, '是', '否') AS is_sensitive"
 
 
 def run_summary(results: DataFrame) -> DataFrame:
@@ -119,90 +119,77 @@ def table_stats(files: DataFrame) -> DataFrame:
 
 def sensitive_detail(results: DataFrame) -> DataFrame:
     """One row per file and term."""
-    return results.select("file_path", F.posexplode("words").alias("ord", "w")).select(
-        base_name(F.col("file_path")).alias("file_name"),
+    return results.select("file_path", F.posexplode("words").alias("ord", "w")).selectExpr(
+        f"{NAME} AS file_name",
         "file_path",
         "ord",
-        F.col("w.term").alias("term"),
-        F.size("w.positions").alias("n"),
-        F.concat(F.lit("["), F.array_join(F.col("w.positions"), ", "), F.lit("]")).alias("positions"),
+        "w.term AS term",
+        "size(w.positions) AS n",
+        "concat('[', array_join(w.positions, ', '), ']') AS positions",
     )
 
 
 def result_projection(results: DataFrame, preview_chars: int = 500) -> DataFrame:
     """Flat result rows: name, type, preview, flags, counts."""
-    return results.select(
+    return results.selectExpr(
         "file_path",
-        base_name(F.col("file_path")).alias("file_name"),
+        f"{NAME} AS file_name",
         "mime_type",
-        preview(F.col("content"), preview_chars).alias("content_preview"),
-        F.size("words").alias("n_terms"),
-        (F.size("words") > 0).alias("has_sensitive_content"),
+        f"{preview('content', preview_chars)} AS content_preview",
+        "size(words) AS n_terms",
+        "size(words) > 0 AS has_sensitive_content",
         "error",
-        F.round("processing_time", 3).alias("processing_time"),
+        SECONDS,
     )
 
 
 def report_results(results: DataFrame, none_text: str = "无", preview_chars: int = 500) -> DataFrame:
     """Main report rows with the terms text."""
-    found = F.size("words") > 0
-    return results.select(
+    return results.selectExpr(
         "file_path",
-        base_name(F.col("file_path")).alias("file_name"),
+        f"{NAME} AS file_name",
         "mime_type",
-        F.when(found, "是").otherwise("否").alias("is_sensitive"),
-        F.when(found, terms_text(F.col("words"))).otherwise(F.lit(none_text)).alias("terms"),
-        F.round("processing_time", 3).alias("processing_time"),
-        F.coalesce("error", F.lit("")).alias("error"),
-        preview(F.col("content"), preview_chars).alias("preview"),
+        FLAG,
+        f"if(size(words) > 0, {terms_text('words')}, {lit(none_text)}) AS terms",
+        SECONDS,
+        ERROR,
+        f"{preview('content', preview_chars)} AS preview",
     )
 
 
 def csv_rows(results: DataFrame) -> DataFrame:
     """CSV report rows: terms without counts."""
-    return results.select(
+    return results.selectExpr(
         "file_path",
-        base_name(F.col("file_path")).alias("file_name"),
+        f"{NAME} AS file_name",
         "mime_type",
-        F.when(F.size("words") > 0, "是").otherwise("否").alias("is_sensitive"),
-        F.array_join(F.transform("words", lambda w: w["term"]), "; ").alias("terms"),
-        F.round("processing_time", 3).alias("processing_time"),
-        F.coalesce("error", F.lit("")).alias("error"),
+        FLAG,
+        "array_join(transform(words, w -> w.term), '; ') AS terms",
+        SECONDS,
+        ERROR,
     )
 
 
 def content_rows(results: DataFrame, limit: int = 10_000) -> DataFrame:
     """Text part of the report, cut with a notice."""
-    return results.select(
-        "file_path",
-        "mime_type",
-        F.coalesce(truncate(F.col("content"), limit, fixed.NOTICE_REPORT_CUT), F.lit("")).alias(
-            "content"
-        ),
-    )
+    body = truncate("content", limit, fixed.NOTICE_REPORT_CUT)
+    return results.selectExpr("file_path", "mime_type", f"coalesce({body}, '') AS content")
 
 
 def json_rows(results: DataFrame, preview_chars: int = 500) -> DataFrame:
     """One JSON document per result."""
-    words = F.transform(
-        "words",
-        lambda w: F.struct(
-            w["term"].alias("word"),
-            w["positions"].alias("positions"),
-            F.size(w["positions"]).alias("count"),
-        ),
+    words = (
+        "transform(words, w -> struct(w.term AS word, w.positions AS positions, "
+        "size(w.positions) AS count))"
     )
-    body = F.struct(
-        "file_path",
-        base_name(F.col("file_path")).alias("file_name"),
-        "mime_type",
-        preview(F.col("content"), preview_chars).alias("content_preview"),
-        words.alias("sensitive_words"),
-        (F.size("words") > 0).alias("has_sensitive_content"),
-        "error",
-        "processing_time",
+    body = (
+        f"struct(file_path, {NAME} AS file_name, mime_type, "
+        f"{preview('content', preview_chars)} AS content_preview, {words} AS sensitive_words, "
+        "size(words) > 0 AS has_sensitive_content, error, processing_time)"
+    )
+    return results.selectExpr(
+        "file_path", f"to_json({body}, map('ignoreNullFields', 'false')) AS json"
     )
-    return results.select("file_path", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def checker_stats(results: DataFrame, n_keywords: int) -> DataFrame:
@@ -220,30 +207,30 @@ def checker_stats(results: DataFrame, n_keywords: int) -> DataFrame:
 
 def run_log(results: DataFrame, order: list[str]) -> DataFrame:
     """Numbered log rows in completion order (eight-column form)."""
-    rows = results.select(
+    rows = results.selectExpr(
         *order,
-        base_name(F.col("file_path")).alias("file_name"),
+        f"{NAME} AS file_name",
         "file_path",
-        recognition(F.col("words")).alias("recognition"),
-        terms_text(F.col("words")).alias("terms"),
-        F.round("processing_time", 3).alias("processing_time"),
-        F.coalesce("error", F.lit("")).alias("error"),
+        f"{recognition('words')} AS recognition",
+        f"{terms_text('words')} AS terms",
+        SECONDS,
+        ERROR,
     )
     return with_row_number(rows, order, "seq")
 
 
 def run_log_wide(results: DataFrame) -> DataFrame:
     """Ten-column log rows with size, emptiness and status."""
-    return results.select(
+    return results.selectExpr(
         "file_path",
         "mime_type",
-        F.col("file_size"),
-        F.when(F.col("is_empty"), "Yes").otherwise("No").alias("is_empty"),
-        F.size("words").alias("n_terms"),
-        terms_text(F.col("words"), "处").alias("terms"),
-        F.round("processing_time", 3).alias("processing_time"),
-        status(F.col("error"), F.col("is_empty"), F.col("skipped")).alias("status"),
-        F.coalesce("error", F.lit("")).alias("error"),
+        "file_size",
+        "if(is_empty, 'Yes', 'No') AS is_empty",
+        "size(words) AS n_terms",
+        f"{terms_text('words', '处')} AS terms",
+        SECONDS,
+        f"{status('error', 'is_empty', 'skipped')} AS status",
+        ERROR,
     )
 
 

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
+from glintscan.functions.cols import any_of, case, is_in, lit
 from glintscan.functions.detect import (
     decode_text,
+    encoding_guess,
+    header_hex,
     is_encrypted,
     mime_cascade,
     report_label,
     with_zip_info,
 )
-from glintscan.functions.match import NESTED, checked
+from glintscan.functions.match import NO_WORDS, checked
 from glintscan.functions.paths import base_name, suffix
 from glintscan.operators import dataset, filters
-from glintscan.sources.archives import archive_members, ooxml_parts
+from glintscan.session import run_dir
+from glintscan.sources.archives import container_text
 from glintscan.sources.rules import RuleSet
 
 OOXML_TYPES = [fixed.DOCX, fixed.XLSX, fixed.PPTX]
@@ -28,130 +33,117 @@ UNREADABLE = [
 
 def typed_files(files: DataFrame, encrypted_first: bool = False) -> DataFrame:
     """Add ``mime_type`` to ``path, length, content`` rows."""
-    zipped = with_zip_info(files)
-    mime = mime_cascade(F.col("path"), F.col("content"), F.col("length"), F.col("zip"))
+    mime = mime_cascade("path", "content", "length", "zip")
     if encrypted_first:
-        mime = F.when(
-            is_encrypted(F.col("content"), F.col("zip")), F.lit("application/encrypted")
-        ).otherwise(mime)
-    return zipped.withColumn("mime_type", mime).drop("zip")
+        mime = f"if({is_encrypted('content', 'zip')}, 'application/encrypted', {mime})"
+    return with_zip_info(files).withColumn("mime_type", F.expr(mime)).drop("zip")
 
 
 def routed_files(typed: DataFrame) -> DataFrame:
     """Add ``is_empty``, ``skipped``, ``error`` and the ``route`` of each file."""
-    mime, length = F.col("mime_type"), F.col("length")
+    skipped = any_of([filters.skips_mime("mime_type"), filters.skips_extension(suffix("path"))])
     flagged = typed.withColumns(
-        {
-            "is_empty": length == 0,
-            "skipped": (length > 0)
-            & (filters.skips_mime(mime) | filters.skips_extension(suffix(F.col("path")))),
-        }
+        {"is_empty": F.expr("length = 0"), "skipped": F.expr(f"length > 0 AND {skipped}")}
     )
-    route = (
-        F.when(F.col("is_empty") | F.col("skipped"), "none")
-        .when(filters.size_error(length).isNotNull(), "too_large")
-        .when(mime.isin(OOXML_TYPES), "ooxml")
-        .when(mime == fixed.ZIP, "archive")
-        .when(mime.isin(UNREADABLE), "unreadable")
-        .otherwise("text")
+    gate = filters.size_gate("length", f"mime_type = {lit(fixed.ZIP)}")
+    route = case(
+        [
+            ("is_empty OR skipped", "'none'"),
+            (f"{gate} = 'error'", "'too_large'"),
+            (is_in("mime_type", OOXML_TYPES), "'ooxml'"),
+            (f"mime_type = {lit(fixed.ZIP)}", "'archive'"),
+            (is_in("mime_type", UNREADABLE), "'unreadable'"),
+        ],
+        "'text'",
     )
-    return flagged.withColumn("route", route)
+    return flagged.withColumn("route", F.expr(route))
 
 
 def extracted(routed: DataFrame) -> DataFrame:
-    """Text of routed files: one row per file with ``text`` and ``error``.
+    """Add ``text`` and ``error`` to routed files, in one pass without a shuffle.
 
-    Text files are decoded natively. Container files go through one Arrow job
-    each, which yields rows per part; the parts of a file are joined in order.
+    Text files are decoded natively; Office and archive bytes cross into one
+    Arrow function; the other routes give no text.
     """
-    keep = ["path", "mime_type", "length", "is_empty", "skipped"]
-    empty = F.lit(None).cast("string")
-    plain = routed.where(F.col("route") == "text").select(
-        *keep, decode_text(F.col("content")).alias("text"), empty.alias("error")
+    boxed = routed.withColumn(
+        "__box", container_text("path", "content", "route IN ('ooxml', 'archive')")
+    ).withColumn("__plain", decode_text("if(route = 'text', content, NULL)"))
+    text = case(
+        [("route = 'text'", "__plain"), ("route IN ('ooxml', 'archive')", "__box.text")], "''"
     )
-    rest = routed.where(F.col("route").isin("none", "too_large", "unreadable")).select(
-        *keep,
-        F.lit("").alias("text"),
-        F.when(F.col("route") == "too_large", filters.size_error(F.col("length")))
-        .when(F.col("route") == "unreadable", F.concat(F.lit("不支持的文件类型: "), F.col("mime_type")))
-        .alias("error"),
+    error = case(
+        [
+            ("route = 'too_large'", filters.too_large_text("length")),
+            ("route = 'unreadable'", "concat('不支持的文件类型: ', mime_type)"),
+        ],
+        "__box.error",
     )
-    office = ooxml_parts(routed.where(F.col("route") == "ooxml")).select(
-        "path", F.col("part").alias("n"), "text", "error"
-    )
-    archives = archive_members(routed.where(F.col("route") == "archive"))
-    members = archives.select(
-        "path",
-        F.struct("depth", "member").alias("n"),
-        F.col("preview").alias("text"),
-        "error",
+    return boxed.withColumns({"text": F.expr(text), "error": F.expr(error)}).drop(
+        "__box", "__plain"
     )
 
-    def joined(parts: DataFrame) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("n", "text")))
-        texts = F.transform(ordered, lambda p: p["text"])
-        return parts.groupBy("path").agg(
-            F.array_join(texts, "\n\n").alias("text"), F.max("error").alias("error")
-        )
-
-    containers = joined(office).unionByName(joined(members))
-    boxed = (
-        routed.where(F.col("route").isin("ooxml", "archive")).select(*keep).join(containers, "path", "left")
-    )
-    return plain.unionByName(rest).unionByName(boxed.select(*keep, "text", "error"))
-
 
 def scan(files: DataFrame, rules: RuleSet, order: str = "config", **options) -> DataFrame:
     """Files to results: type, text, nested words, flags and errors."""
     texts = extracted(routed_files(typed_files(files)))
-    words = F.when(
-        F.col("error").isNull(), checked(F.col("text"), rules, order=order, **options)
-    ).otherwise(F.array().cast(NESTED))
-    return texts.select(
-        F.col("path").alias("file_path"),
+    words = f"if(error IS NULL, {checked('text', rules, order=order, **options)}, {NO_WORDS})"
+    return texts.selectExpr(
+        "path AS file_path",
         "mime_type",
-        F.col("length").alias("file_size"),
-        F.col("text").alias("content"),
-        words.alias("words"),
+        "length AS file_size",
+        "text AS content",
+        f"{words} AS words",
         "error",
-        F.coalesce("is_empty", F.lit(False)).alias("is_empty"),
-        F.coalesce("skipped", F.lit(False)).alias("skipped"),
+        "is_empty",
+        "skipped",
     )
 
 
 def type_labels(files: DataFrame) -> DataFrame:
     """Signature report rows: path, type label, size, header."""
-    zipped = with_zip_info(files)
-    content, length = F.col("content"), F.col("length")
-    return zipped.select(
-        F.col("path").alias("file_path"),
-        report_label(F.col("path"), content, length, F.col("zip")).alias("type"),
-        length.alias("size"),
-        F.hex(F.substring(content, 1, 16)).alias("header_hex"),
-        F.lit(None).cast("string").alias("error"),
+    known = with_zip_info(files).withColumn("encoding", encoding_guess("content"))
+    return known.selectExpr(
+        "path AS file_path",
+        f"{report_label('path', 'content', 'length', 'zip', 'encoding')} AS type",
+        "length AS size",
+        f"{header_hex('content', 16)} AS header_hex",
+        "cast(NULL AS string) AS error",
     )
 
 
-def sample_table(files: DataFrame, flag: int) -> DataFrame:
-    """Inventory rows to deduplicated ``files`` rows with a constant label."""
+def sample_rows(files: DataFrame, flag: int) -> DataFrame:
+    """Inventory rows to ``files`` rows with a constant label, failures dropped."""
     texts = extracted(routed_files(typed_files(files)))
-    hashed = files.select("path", dataset.content_md5(F.col("content")).alias("md5"), "modificationTime")
-    rows = texts.join(hashed, "path").select(
-        F.col("path").alias("id"),
-        "md5",
-        base_name(F.col("path")).alias("filename"),
-        F.col("mime_type").alias("file_type"),
-        F.col("length").alias("file_size"),
-        F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("created_time"),
-        F.when(F.col("error").isNotNull(), F.lit(fixed.EXTRACTION_ERRORS[0])).otherwise(F.col("text")).alias("content"),
-        F.lit(flag).alias("is_sensitive"),
+    failed = lit(fixed.EXTRACTION_ERRORS[0])
+    rows = texts.selectExpr(
+        "path AS id",
+        "md5(content) AS md5",
+        f"{base_name('path')} AS filename",
+        "mime_type AS file_type",
+        "length AS file_size",
+        "date_format(modificationTime, 'yyyy-MM-dd HH:mm:ss') AS created_time",
+        f"if(error IS NOT NULL, {failed}, text) AS content",
+        f"{int(flag)} AS is_sensitive",
     )
-    return dataset.keep_first(filters.drop_failed(rows))
+    return filters.drop_failed(rows)
 
 
 def write_samples(spark: SparkSession, files: DataFrame, flag: int, table: str) -> None:
-    """Append a labelled folder to a Parquet sample table."""
-    sample_table(files, flag).write.mode("append").parquet(table)
+    """Append a labelled folder to a Parquet sample table, new hashes only.
+
+    The extracted rows are written once; deduplication then reads narrow
+    columns of that table instead of extracting again.
+    """
+    staged_at = run_dir(spark, "samples")
+    sample_rows(files, flag).write.parquet(staged_at)
+    fresh = dataset.keep_first(spark.read.parquet(staged_at))
+    try:
+        known = spark.read.parquet(table).select("md5")
+    except AnalysisException:  # first folder: no table yet
+        known = None
+    if known is not None:
+        fresh = fresh.join(known, "md5", "left_anti")
+    fresh.write.mode("append").parquet(table)
 
 
 def load_samples(spark: SparkSession, table: str) -> DataFrame:

@@ -28,7 +28,12 @@ def write_csv(df: DataFrame, folder: str, sep: str = ",", bom: bool = False) ->
 
 
 def write_report(results: DataFrame, folder: str, with_content: bool = True) -> None:
-    """The four report parts as Parquet: results, detail, summary, content."""
+    """The four report parts as Parquet: results, detail, summary, content.
+
+    The scan runs once, into ``base``; the parts are read from there.
+    """
+    results.write.mode("overwrite").parquet(f"{folder}/base")
+    results = results.sparkSession.read.parquet(f"{folder}/base")
     parts = {
         "results": report.report_results(results),
         "detail": report.sensitive_detail(results),

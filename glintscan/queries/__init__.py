@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from glintscan.queries import (  # noqa: F401
+    match_queries,
+)
+from glintscan.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,8 +8,9 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from glintscan.functions import fixed
 
@@ -23,6 +24,62 @@ PART_SCHEMA = (
 )
 
 
+MEMBER_COLUMNS = ["path", "member", "depth", "extension", "size", "kind", "preview", "error"]
+TEXT_EXTENSIONS = frozenset(fixed.ARCHIVE_TEXT_EXTENSIONS)
+JUNK_PREFIXES = tuple(fixed.ARCHIVE_JUNK_PREFIXES)
+
+
+def safe(name: str) -> bool:
+    return not name.startswith("/") and ".." not in name.split("/")
+
+
+def ext_of(leaf: str) -> str:
+    dot = leaf.rfind(".")
+    return leaf[dot:].lower() if dot > 0 else ""
+
+
+def read_members(
+    path: str,
+    raw: bytes,
+    preview_chars: int | None = 1000,
+    max_members: int | None = 100,
+    max_total: int | None = 10 * 1024 * 1024,
+    max_member: int = 100 * 1024,
+) -> list[tuple]:
+    """Rows of one archive, see :func:`archive_members`."""
+    try:
+        archive = zipfile.ZipFile(BytesIO(raw))
+    except Exception as problem:
+        return [(path, None, None, None, None, None, None, f"解压缩失败: {problem}")]
+    out: list[tuple] = []
+    taken = spent = 0
+    infos = [i for i in archive.infolist() if not i.is_dir() and safe(i.filename)]
+    infos.sort(key=lambda i: (i.filename.count("/"), i.filename.rpartition("/")[0], i.filename))
+    for info in infos:
+        folder, _, leaf = info.filename.rpartition("/")
+        depth = info.filename.count("/")
+        ext = ext_of(leaf)
+        kind, shown = "binary", None
+        full = (max_members is not None and taken >= max_members) or (
+            max_total is not None and spent + info.file_size > max_total
+        )
+        if leaf.startswith(JUNK_PREFIXES) or "__MACOSX" in folder.split("/") or full:
+            kind = "skipped"
+        elif ext in TEXT_EXTENSIONS and info.file_size < max_member:
+            try:
+                text = archive.read(info).decode("utf-8", "ignore")
+            except Exception:
+                text = ""
+            if text.strip():
+                cut = preview_chars is not None and len(text) > preview_chars
+                shown = text[:preview_chars] + "...[内容已截断]" if cut else text
+                kind = "text"
+                taken += 1
+                spent += info.file_size
+        out.append((path, info.filename, depth, ext, info.file_size, kind, shown, None))
+    return out
+
+
 def archive_members(
     files: DataFrame,
     preview_chars: int | None = 1000,
@@ -38,54 +95,12 @@ def archive_members(
     member would exceed ``max_total`` bytes of text, members are skipped.
     ``None`` lifts a limit.
     """
-    text_exts = frozenset(fixed.ARCHIVE_TEXT_EXTENSIONS)
-    junk = tuple(fixed.ARCHIVE_JUNK_PREFIXES)
-    columns = ["path", "member", "depth", "extension", "size", "kind", "preview", "error"]
-
-    def safe(name: str) -> bool:
-        return not name.startswith("/") and ".." not in name.split("/")
-
-    def ext_of(leaf: str) -> str:
-        dot = leaf.rfind(".")
-        return leaf[dot:].lower() if dot > 0 else ""
-
-    def members(path: str, raw: bytes) -> list[tuple]:
-        try:
-            archive = zipfile.ZipFile(BytesIO(raw))
-        except Exception as problem:
-            return [(path, None, None, None, None, None, None, f"解压缩失败: {problem}")]
-        out: list[tuple] = []
-        taken = spent = 0
-        infos = [i for i in archive.infolist() if not i.is_dir() and safe(i.filename)]
-        infos.sort(key=lambda i: (i.filename.count("/"), i.filename.rpartition("/")[0], i.filename))
-        for info in infos:
-            folder, _, leaf = info.filename.rpartition("/")
-            depth = info.filename.count("/")
-            ext = ext_of(leaf)
-            kind, shown = "binary", None
-            full = (max_members is not None and taken >= max_members) or (
-                max_total is not None and spent + info.file_size > max_total
-            )
-            if leaf.startswith(junk) or "__MACOSX" in folder.split("/") or full:
-                kind = "skipped"
-            elif ext in text_exts and info.file_size < max_member:
-                try:
-                    text = archive.read(info).decode("utf-8", "ignore")
-                except Exception:
-                    text = ""
-                if text.strip():
-                    cut = preview_chars is not None and len(text) > preview_chars
-                    shown = text[:preview_chars] + "...[内容已截断]" if cut else text
-                    kind = "text"
-                    taken += 1
-                    spent += info.file_size
-            out.append((path, info.filename, depth, ext, info.file_size, kind, shown, None))
-        return out
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame(members(path, raw), columns=columns)
+                rows = read_members(path, raw, preview_chars, max_members, max_total, max_member)
+                yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
 
     small = files.where(F.col("length") <= max_archive).select("path", "content")
     large = files.where(F.col("length") > max_archive).select(
@@ -124,117 +139,124 @@ def archive_extensions(members: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def ooxml_parts(files: DataFrame, sheet_rows: int | None = 5000) -> DataFrame:
-    """Text of docx, xlsx and pptx files: one row per body, sheet or slide.
+PART_COLUMNS = [c.split()[0] for c in PART_SCHEMA.split(", ")]
+PART_NUMBERS = ["part", "rows", "columns", "shapes", "images", "charts", "tables"]
+
+
+def local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def texts(node, leaf: str) -> str:
+    return "".join(n.text or "" for n in node.iter() if local(n.tag) == leaf)
 
-    ``rows``/``columns`` describe the whole sheet; ``sheet_rows`` cuts only the
-    sheet's text (``None`` keeps it whole). Unreadable files give an error row.
-    """
-    names = [c.split()[0] for c in PART_SCHEMA.split(", ")]
 
-    def local(tag: str) -> str:
-        return tag.rpartition("}")[2]
+def numbered(archive: zipfile.ZipFile, prefix: str) -> list[str]:
+    found = [
+        n for n in archive.namelist()
+        if n.startswith(prefix) and n.endswith(".xml") and n[len(prefix):-4].isdigit()
+    ]
+    return sorted(found, key=lambda n: int(n[len(prefix):-4]))
 
-    def texts(node, leaf: str) -> str:
-        return "".join(n.text or "" for n in node.iter() if local(n.tag) == leaf)
 
-    def numbered(archive: zipfile.ZipFile, prefix: str) -> list[str]:
-        found = [
-            n for n in archive.namelist()
-            if n.startswith(prefix) and n.endswith(".xml") and n[len(prefix):-4].isdigit()
+def word(path: str, archive: zipfile.ZipFile) -> list[tuple]:
+    root = ElementTree.fromstring(archive.read("word/document.xml"))
+    body = next(n for n in root.iter() if local(n.tag) == "body")
+    paras = [texts(p, "t") for p in body if local(p.tag) == "p"]
+    tables = sum(local(n.tag) == "tbl" for n in body)
+    row = (path, "docx", 1, "body", "\n\n".join(paras), len(paras), None,
+           None, None, None, tables, None)
+    return [row]
+
+
+def excel(path: str, archive: zipfile.ZipFile, sheet_rows: int | None) -> list[tuple]:
+    shared: list[str] = []
+    if "xl/sharedStrings.xml" in archive.namelist():
+        root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
+        shared = [texts(n, "t") for n in root if local(n.tag) == "si"]
+    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    titles = [n.get("name") for n in book.iter() if local(n.tag) == "sheet"]
+
+    def value(cell) -> str:
+        if cell.get("t") == "inlineStr":
+            return texts(cell, "t")
+        raw = next((n.text or "" for n in cell if local(n.tag) == "v"), "")
+        return shared[int(raw)] if cell.get("t") == "s" and raw else raw
+
+    out = []
+    for i, part in enumerate(numbered(archive, "xl/worksheets/sheet")):
+        root = ElementTree.fromstring(archive.read(part))
+        rows = [
+            [value(c) for c in r if local(c.tag) == "c"]
+            for r in root.iter() if local(r.tag) == "row"
         ]
-        return sorted(found, key=lambda n: int(n[len(prefix):-4]))
-
-    def word(path: str, archive: zipfile.ZipFile) -> list[tuple]:
-        root = ElementTree.fromstring(archive.read("word/document.xml"))
-        body = next(n for n in root.iter() if local(n.tag) == "body")
-        paras = [texts(p, "t") for p in body if local(p.tag) == "p"]
-        tables = sum(local(n.tag) == "tbl" for n in body)
-        row = (path, "docx", 1, "body", "\n\n".join(paras), len(paras), None,
-               None, None, None, tables, None)
-        return [row]
-
-    def excel(path: str, archive: zipfile.ZipFile) -> list[tuple]:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-            shared = [texts(n, "t") for n in root if local(n.tag) == "si"]
-        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-        titles = [n.get("name") for n in book.iter() if local(n.tag) == "sheet"]
-
-        def value(cell) -> str:
-            if cell.get("t") == "inlineStr":
-                return texts(cell, "t")
-            raw = next((n.text or "" for n in cell if local(n.tag) == "v"), "")
-            return shared[int(raw)] if cell.get("t") == "s" and raw else raw
-
-        out = []
-        for i, part in enumerate(numbered(archive, "xl/worksheets/sheet")):
-            root = ElementTree.fromstring(archive.read(part))
-            rows = [
-                [value(c) for c in r if local(c.tag) == "c"]
-                for r in root.iter() if local(r.tag) == "row"
-            ]
-            shown = rows if sheet_rows is None else rows[:sheet_rows]
-            text = "\n".join("\t".join(r) for r in shown)
-            title = titles[i] if i < len(titles) else f"sheet{i + 1}"
-            width = max((len(r) for r in rows), default=0)
-            out.append((path, "xlsx", i + 1, title, text, len(rows), width,
-                        None, None, None, None, None))
-        return out
-
-    def slides(path: str, archive: zipfile.ZipFile) -> list[tuple]:
-        out = []
-        for i, part in enumerate(numbered(archive, "ppt/slides/slide")):
-            tree = next(
-                n for n in ElementTree.fromstring(archive.read(part)).iter()
-                if local(n.tag) == "spTree"
-            )
-            shapes = [n for n in tree if local(n.tag) in ("sp", "pic", "graphicFrame", "grpSp", "cxnSp")]
-            lines, pics, charts, tables = [], 0, 0, 0
-            for shape in shapes:
-                kinds = {local(n.tag) for n in shape.iter()}
-                if local(shape.tag) == "pic":
-                    pics += 1
-                elif "chart" in kinds:
-                    charts += 1
-                elif "tbl" in kinds:
-                    tables += 1
-                    for row in (n for n in shape.iter() if local(n.tag) == "tr"):
-                        cells = [texts(c, "t").strip() for c in row if local(c.tag) == "tc"]
-                        if any(cells):
-                            lines.append(" | ".join(cells))
-                else:
-                    paras = [texts(p, "t") for p in shape.iter() if local(p.tag) == "p"]
-                    text = "\n".join(paras).strip()
-                    if text:
-                        lines.append(text)
-            out.append((path, "pptx", i + 1, f"slide{i + 1}", "\n".join(lines), None, None,
-                        len(shapes), pics, charts, tables, None))
-        return out
-
-    def parts(path: str, raw: bytes) -> list[tuple]:
-        try:
-            with zipfile.ZipFile(BytesIO(raw)) as archive:
-                members = set(archive.namelist())
-                for main, reader in (
-                    ("word/document.xml", word),
-                    ("xl/workbook.xml", excel),
-                    ("ppt/presentation.xml", slides),
-                ):
-                    if main in members:
-                        return reader(path, archive)
-                problem = "not an Office Open XML file"
-        except Exception as error:
-            problem = f"{type(error).__name__}: {error}"
-        return [(path, None, None, None, "", None, None, None, None, None, None, problem)]
+        shown = rows if sheet_rows is None else rows[:sheet_rows]
+        text = "\n".join("\t".join(r) for r in shown)
+        title = titles[i] if i < len(titles) else f"sheet{i + 1}"
+        width = max((len(r) for r in rows), default=0)
+        out.append((path, "xlsx", i + 1, title, text, len(rows), width,
+                    None, None, None, None, None))
+    return out
+
+
+def slides(path: str, archive: zipfile.ZipFile) -> list[tuple]:
+    out = []
+    for i, part in enumerate(numbered(archive, "ppt/slides/slide")):
+        tree = next(
+            n for n in ElementTree.fromstring(archive.read(part)).iter()
+            if local(n.tag) == "spTree"
+        )
+        shapes = [n for n in tree if local(n.tag) in ("sp", "pic", "graphicFrame", "grpSp", "cxnSp")]
+        lines, pics, charts, tables = [], 0, 0, 0
+        for shape in shapes:
+            kinds = {local(n.tag) for n in shape.iter()}
+            if local(shape.tag) == "pic":
+                pics += 1
+            elif "chart" in kinds:
+                charts += 1
+            elif "tbl" in kinds:
+                tables += 1
+                for row in (n for n in shape.iter() if local(n.tag) == "tr"):
+                    cells = [texts(c, "t").strip() for c in row if local(c.tag) == "tc"]
+                    if any(cells):
+                        lines.append(" | ".join(cells))
+            else:
+                paras = [texts(p, "t") for p in shape.iter() if local(p.tag) == "p"]
+                text = "\n".join(paras).strip()
+                if text:
+                    lines.append(text)
+        out.append((path, "pptx", i + 1, f"slide{i + 1}", "\n".join(lines), None, None,
+                    len(shapes), pics, charts, tables, None))
+    return out
+
+
+def read_parts(path: str, raw: bytes, sheet_rows: int | None = 5000) -> list[tuple]:
+    try:
+        with zipfile.ZipFile(BytesIO(raw)) as archive:
+            members = set(archive.namelist())
+            if "word/document.xml" in members:
+                return word(path, archive)
+            if "xl/workbook.xml" in members:
+                return excel(path, archive, sheet_rows)
+            if "ppt/presentation.xml" in members:
+                return slides(path, archive)
+            problem = "not an Office Open XML file"
+    except Exception as error:
+        problem = f"{type(error).__name__}: {error}"
+    return [(path, None, None, None, "", None, None, None, None, None, None, problem)]
+
 
+def ooxml_parts(files: DataFrame, sheet_rows: int | None = 5000) -> DataFrame:
+    """Text of docx, xlsx and pptx files: one row per body, sheet or slide.
+
+    ``rows``/``columns`` describe the whole sheet; ``sheet_rows`` cuts only the
+    sheet's text (``None`` keeps it whole). Unreadable files give an error row.
+    """
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
-                frame = pd.DataFrame(parts(path, raw), columns=names)
-                whole = ["part", "rows", "columns", "shapes", "images", "charts", "tables"]
-                yield frame.astype({c: "Int64" for c in whole})
+                frame = pd.DataFrame(read_parts(path, raw, sheet_rows), columns=PART_COLUMNS)
+                yield frame.astype({c: "Int64" for c in PART_NUMBERS})
 
     return files.select("path", "content").mapInPandas(extract, PART_SCHEMA)
 
@@ -249,3 +271,35 @@ def slide_stats(parts: DataFrame) -> DataFrame:
         F.sum("charts").alias("total_charts"),
         F.sum("tables").alias("total_tables"),
     )
+
+
+# A scan reads archive texts whole; only members above the file size gate are left.
+SCAN_MEMBER_LIMIT = 200 * 1024 * 1024
+TEXT_OR_ERROR = StructType([StructField("text", StringType()), StructField("error", StringType())])
+
+
+@F.pandas_udf(TEXT_OR_ERROR)
+def _container_text(path: pd.Series, content: pd.Series) -> pd.DataFrame:
+    def read(place, raw) -> tuple:
+        if raw is None:
+            return None, None
+        rows = read_parts(place, raw, None)
+        if rows[0][-1] is None:
+            return "\n\n".join(r[4] for r in rows), None
+        if "not an Office" not in rows[0][-1]:
+            return "", rows[0][-1]
+        listed = read_members(place, raw, None, None, None, SCAN_MEMBER_LIMIT)
+        if listed and listed[0][-1] is not None:
+            return "", listed[0][-1]
+        return "\n\n".join(r[6] for r in listed if r[6]), None
+
+    pairs = [read(p, c) for p, c in zip(path, content)]
+    return pd.DataFrame(pairs, columns=["text", "error"])
+
+
+def container_text(path: str, content: str, wanted: str) -> Column:
+    """struct(text, error) of Office Open XML files and archives.
+
+    Only rows with ``wanted`` carry bytes into Python.
+    """
+    return _container_text(F.expr(path), F.expr(f"if({wanted}, {content}, NULL)"))

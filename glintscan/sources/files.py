@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
+from glintscan.functions.cols import any_of, is_in
 from glintscan.functions.detect import decode_text, header_hex
 from glintscan.functions.paths import (
     base_name,
@@ -26,14 +27,11 @@ LISTING_SCHEMA = "path string, is_dir boolean, modificationTime timestamp, lengt
 READ_LIMIT = 200 * 1024 * 1024
 
 
-def wanted(path: Column, root: str | None = None) -> Column:
+def wanted(path: str) -> str:
     """Not hidden, not an Office temporary or internal stream, not skipped by type."""
-    return ~(
-        is_hidden(path)
-        | in_hidden_dir(path, root)
-        | is_internal_stream(path)
-        | suffix(path).isin(fixed.SKIP_EXTENSIONS)
-    )
+    tests = [is_hidden(path), in_hidden_dir(path), is_internal_stream(path)]
+    tests.append(is_in(suffix(path), fixed.SKIP_EXTENSIONS))
+    return f"NOT {any_of(tests)}"
 
 
 def read_binary(
@@ -67,7 +65,7 @@ def scan_files(
     if with_left_out:
         extra = [left_out_files(spark, root, recursive) for root in roots]
         rows = reduce(DataFrame.unionByName, extra, rows)
-    return rows.where(wanted(F.col("path")))
+    return rows.where(wanted("path"))
 
 
 def _open_fs(location: str):
@@ -111,7 +109,7 @@ def list_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     while True:
         listed = checkpointed(level.mapInPandas(children, LISTING_SCHEMA))
         levels.append(listed)
-        below = listed.where(F.col("is_dir") & ~base_name(F.col("path")).startswith("."))
+        below = listed.where(f"is_dir AND NOT startswith({base_name('path')}, '.')")
         if not recursive or below.isEmpty():
             return reduce(DataFrame.unionByName, levels)
         level = below.select(F.col("path").alias("dir")).repartition("dir")
@@ -141,20 +139,19 @@ def left_out_files(spark: SparkSession, root: str, recursive: bool = True) -> Da
                 )
 
     files = list_folder(spark, root, recursive).where(~F.col("is_dir"))
-    left = files.where((F.col("length") == 0) | base_name(F.col("path")).startswith("_"))
+    left = files.where(f"length = 0 OR startswith({base_name('path')}, '_')")
     return left.select("path", "modificationTime", "length").mapInPandas(load, FILE_SCHEMA)
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
     """Name, suffix, size, header and formatted time of inventory rows."""
-    path = F.col("path")
-    return files.select(
+    return files.selectExpr(
         "path",
-        base_name(path).alias("file_name"),
-        suffix(path).alias("extension"),
-        F.col("length").alias("file_size"),
-        header_hex(F.col("content"), 32).alias("header_hex"),
-        F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("modified_at"),
+        f"{base_name('path')} AS file_name",
+        f"{suffix('path')} AS extension",
+        "length AS file_size",
+        f"{header_hex('content', 32)} AS header_hex",
+        "date_format(modificationTime, 'yyyy-MM-dd HH:mm:ss') AS modified_at",
     )
 
 
@@ -162,13 +159,10 @@ def read_text(
     files: DataFrame, limit: int | None = 1_000_000, content: str = "content"
 ) -> DataFrame:
     """Add ``text``: decoded bytes, cut with a notice above ``limit`` characters."""
-    text = decode_text(F.col(content))
-    if limit is not None:
-        decoded = files.withColumn("text", text)
-        return decoded.withColumn(
-            "text", truncate(F.col("text"), limit, fixed.NOTICE_FILE_CUT)
-        )
-    return files.withColumn("text", text)
+    decoded = files.withColumn("text", decode_text(content))
+    if limit is None:
+        return decoded
+    return decoded.withColumn("text", F.expr(truncate("text", limit, fixed.NOTICE_FILE_CUT)))
 
 
 def labelled(files: DataFrame, flag: int) -> DataFrame:
