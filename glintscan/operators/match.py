@@ -14,6 +14,7 @@ from glintscan.functions.match import (
     overlapping_spans,
 )
 from glintscan.sources.rules import RuleSet
+from glintscan.sources.tables import inline_table
 
 # Rule tables are driver-side configuration. Above this many rows a rules side
 # is joined by shuffle instead of being broadcast.
@@ -65,7 +66,7 @@ def overlapping_hits(
         if longest.startswith(w)
     ]
     spark = df.sparkSession
-    chain = spark.createDataFrame(entries, "longest string, ord int, term string")
+    chain = inline_table(spark, entries, "longest string, ord int, term string")
     if len(entries) <= BROADCAST_RULES:
         chain = F.broadcast(chain)
     found = df.select(*keys, F.explode(F.expr(overlapping_spans(text, words))).alias("s"))
@@ -275,8 +276,8 @@ def category_hits(found: DataFrame, rules: RuleSet) -> DataFrame:
     rows = [
         (("keyword" if r[0] == "mark" else r[0]), r[1], r[2], r[3]) for r in rules.rows()
     ]
-    table = found.sparkSession.createDataFrame(
-        rows, "kind string, category string, term string, weight double"
+    table = inline_table(
+        found.sparkSession, rows, "kind string, category string, term string, weight double"
     )
     side = F.broadcast(table) if len(rows) <= BROADCAST_RULES else table
     return found.join(side, ["kind", "term"])

@@ -1,6 +1,8 @@
 """All registered queries."""
 
 from glintscan.queries import (  # noqa: F401
+    file_queries,
     match_queries,
+    text_queries,
 )
 from glintscan.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -21,6 +21,7 @@ from glintscan.functions.paths import (
 )
 from glintscan.functions.text import truncate
 from glintscan.session import checkpointed
+from glintscan.sources.tables import inline_table
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LISTING_SCHEMA = "path string, is_dir boolean, modificationTime timestamp, length bigint"
@@ -104,7 +105,7 @@ def list_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataF
                     }
                 )
 
-    level = spark.createDataFrame([(root,)], "dir string")
+    level = inline_table(spark, [(root,)], "dir string")
     levels: list[DataFrame] = []
     while True:
         listed = checkpointed(level.mapInPandas(children, LISTING_SCHEMA))

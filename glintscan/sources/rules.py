@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glintscan.sources.tables import inline_table
+
 log = logging.getLogger(__name__)
 
 RULE_SCHEMA = "kind string, category string, term string, weight double, ord int"
@@ -41,7 +43,7 @@ class RuleSet:
         return [(*row, i) for i, row in enumerate(out)]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows(), RULE_SCHEMA)
+        return inline_table(spark, self.rows(), RULE_SCHEMA)
 
 
 def java_pattern(pattern: str) -> str:
