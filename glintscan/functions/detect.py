@@ -109,7 +109,8 @@ def zip_info(content: pd.Series) -> pd.DataFrame:
 def with_zip_info(df: DataFrame, content: str = "content", out: str = "zip") -> DataFrame:
     """Add ``zip_info``; only ZIP rows carry bytes into Python."""
     only = f"if({header_hex(content, 4)} = '{ZIP_HEX}', {content}, NULL)"
-    return df.withColumn(out, zip_info(F.expr(only)))
+    # Not to be merged into lambda bodies of later expressions.
+    return df.withColumn(out, zip_info.asNondeterministic()(F.expr(only)))
 
 
 def _named(zip_col: str, name: str) -> str:
@@ -428,7 +429,8 @@ def decode_text(content: str) -> Column:
     """File bytes as text: UTF-8 natively, else gb18030, else Latin-1 (a Column)."""
     native = F.expr(f"if({is_utf8(content)}, cast({content} AS string), NULL)")
     other = F.expr(f"if({is_utf8(content)}, NULL, {content})")
-    return F.coalesce(native, _decode_legacy(other))
+    # Not to be merged into lambda bodies of later expressions.
+    return F.coalesce(native, _decode_legacy.asNondeterministic()(other))
 
 
 def report_label(path: str, content: str, length: str, zip_col: str, encoding: str) -> str:

@@ -254,9 +254,8 @@ def progress_rate(spark, sf_dir):
 )
 def stream_scan(spark, sf_dir):
     folder = run_dir(spark, "stream-scan")
-    path = f"{sf_dir}/documents.parquet"
-    schema = spark.read.parquet(path).schema
-    docs = scans.stream_table(spark, path, schema).select("doc_id", "text")
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = scans.stream_table(spark, f"{sf_dir}/documents[.]parquet", schema).select("doc_id", "text")
     found = scans.scan_stream(docs, RULES).select("doc_id", "words")
     scans.run_to_end(lambda: scans.append_log(found, f"{folder}/log", f"{folder}/state"))
     return match.explode_words(spark.read.parquet(f"{folder}/log"), ["doc_id"]).select(
@@ -270,8 +269,8 @@ def stream_scan(spark, sf_dir):
 )
 def stream_counts(spark, sf_dir):
     folder = run_dir(spark, "stream-counts")
-    path = f"{sf_dir}/events.parquet"
-    events = scans.stream_table(spark, path, spark.read.parquet(path).schema)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = scans.stream_table(spark, f"{sf_dir}/events[.]parquet", schema)
     counted = scans.counters(
         events, ["event_type"], {"processed": F.count(F.lit(1)), "cents": F.sum(F.expr(_CENTS))}
     )

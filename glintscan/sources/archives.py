@@ -302,4 +302,6 @@ def container_text(path: str, content: str, wanted: str) -> Column:
 
     Only rows with ``wanted`` carry bytes into Python.
     """
-    return _container_text(F.expr(path), F.expr(f"if({wanted}, {content}, NULL)"))
+    # Not to be merged into lambda bodies of later expressions.
+    read = _container_text.asNondeterministic()
+    return read(F.expr(path), F.expr(f"if({wanted}, {content}, NULL)"))

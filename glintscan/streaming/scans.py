@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glintscan.operators.match import with_words
+from glintscan.sources.files import FILE_SCHEMA
 from glintscan.sources.rules import RuleSet
 
 
 def stream_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of files as they arrive in a folder."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
+        .option("recursiveFileLookup", "true")
+    )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(folder)
@@ -23,7 +28,7 @@ def stream_files(spark: SparkSession, folder: str, files_per_batch: int | None =
 def stream_table(
     spark: SparkSession, path: str, schema, files_per_batch: int | None = None
 ) -> DataFrame:
-    """A stream over the Parquet files of a growing table."""
+    """A stream over the Parquet files of a growing table (a folder or a glob)."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
