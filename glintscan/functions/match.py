@@ -74,10 +74,12 @@ def _marked(text: str, pattern: str, group: int, otherwise: str) -> str:
     Group 0 consumes the match. Group 1 of a zero-width pattern is a copy that
     takes up no text.
     """
-    pairs = [f"struct({lit(o)} AS o, {lit(c)} AS c)" for o, c in MARKS]
-    pick = (
-        f"get(filter(array({', '.join(pairs)}), "
-        f"m -> NOT contains({text}, m.o) AND NOT contains({text}, m.c)), 0)"
+    pick = case(
+        (
+            f"NOT contains({text}, {lit(o)}) AND NOT contains({text}, {lit(c)})",
+            f"struct({lit(o)} AS o, {lit(c)} AS c)",
+        )
+        for o, c in MARKS
     )
     cut = (
         f"split(regexp_replace({text}, {lit(pattern)}, concat(mk.o, '${group}', mk.c)), mk.o, -1)"

@@ -189,7 +189,7 @@ def top_features(
             f"cast(size(filter({seen}, m -> length(m) >= 2)) AS bigint) AS n))"
         )
     return (
-        positives.select(F.explode(F.expr(f"concat({', '.join(parts)})")).alias("f"))
+        positives.select(F.explode_outer(F.expr(f"concat({', '.join(parts)})")).alias("f"))
         .where(F.col("f.n") > 0)
         .groupBy(F.col("f.feature").alias("feature"))
         .agg(F.sum("f.n").alias("weight"))

@@ -13,6 +13,7 @@ from glintscan.functions.match import (
     checked,
     overlapping_spans,
 )
+from glintscan.session import checkpointed
 from glintscan.sources.rules import RuleSet
 from glintscan.sources.tables import inline_table
 
@@ -29,8 +30,13 @@ def with_words(
 
 
 def explode_words(df: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
-    """One row per (text, term): kind, term, order in the text, positions."""
-    return df.select(*keys, F.posexplode(words).alias("ord", "w")).select(
+    """One row per (text, term): kind, term, order in the text, positions.
+
+    The outer form keeps the optimizer from testing the size of the array
+    first, which would match every text again in a filter.
+    """
+    listed = df.select(*keys, F.posexplode_outer(words).alias("ord", "w")).where("w IS NOT NULL")
+    return listed.select(
         *keys,
         F.col("w.kind").alias("kind"),
         F.col("w.term").alias("term"),
@@ -69,9 +75,10 @@ def overlapping_hits(
     chain = inline_table(spark, entries, "longest string, ord int, term string")
     if len(entries) <= BROADCAST_RULES:
         chain = F.broadcast(chain)
-    found = df.select(*keys, F.explode(F.expr(overlapping_spans(text, words))).alias("s"))
+    found = df.select(*keys, F.explode_outer(F.expr(overlapping_spans(text, words))).alias("s"))
     return (
-        found.select(*keys, F.col("s.term").alias("longest"), F.col("s.pos").alias("pos"))
+        found.where("s IS NOT NULL")
+        .select(*keys, F.col("s.term").alias("longest"), F.col("s.pos").alias("pos"))
         .join(chain, "longest")
         .select(*keys, "ord", "term", "pos")
     )
@@ -235,8 +242,11 @@ def match_distinct_text(
     than ``hot_copies`` copies are joined back over ``salts`` sub-keys.
     """
     keyed = df.select(key, F.md5(F.encode(F.col(text), "UTF-8")).alias("__md5"), F.col(text))
-    groups = keyed.groupBy("__md5").agg(
-        F.count(F.lit(1)).alias("__copies"), F.min(key).alias("__first")
+    # Narrow (hash, copies, first key) rows, used three times below.
+    groups = checkpointed(
+        keyed.groupBy("__md5").agg(
+            F.count(F.lit(1)).alias("__copies"), F.min(key).alias("__first")
+        )
     )
     distinct = (
         keyed.join(

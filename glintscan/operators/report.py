@@ -69,7 +69,8 @@ def term_totals(results: DataFrame) -> DataFrame:
     Each file contributes one count per term, so the shuffle carries counts.
     """
     return (
-        results.select(F.explode("words").alias("w"))
+        results.select(F.explode_outer("words").alias("w"))
+        .where("w IS NOT NULL")
         .groupBy(F.col("w.term").alias("term"))
         .agg(F.sum(F.size("w.positions")).alias("hits"))
     )
@@ -119,7 +120,9 @@ def table_stats(files: DataFrame) -> DataFrame:
 
 def sensitive_detail(results: DataFrame) -> DataFrame:
     """One row per file and term."""
-    return results.select("file_path", F.posexplode("words").alias("ord", "w")).selectExpr(
+    return results.select("file_path", F.posexplode_outer("words").alias("ord", "w")).where(
+        "w IS NOT NULL"
+    ).selectExpr(
         f"{NAME} AS file_name",
         "file_path",
         "ord",

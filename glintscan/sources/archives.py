@@ -24,6 +24,7 @@ PART_SCHEMA = (
 )
 
 
+ROWS_PER_YIELD = 1000
 MEMBER_COLUMNS = ["path", "member", "depth", "extension", "size", "kind", "preview", "error"]
 TEXT_EXTENSIONS = frozenset(fixed.ARCHIVE_TEXT_EXTENSIONS)
 JUNK_PREFIXES = tuple(fixed.ARCHIVE_JUNK_PREFIXES)
@@ -97,10 +98,15 @@ def archive_members(
     """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
-                rows = read_members(path, raw, preview_chars, max_members, max_total, max_member)
-                yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
+                rows += read_members(path, raw, preview_chars, max_members, max_total, max_member)
+                if len(rows) >= ROWS_PER_YIELD:
+                    yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
 
     small = files.where(F.col("length") <= max_archive).select("path", "content")
     large = files.where(F.col("length") > max_archive).select(
@@ -253,10 +259,19 @@ def ooxml_parts(files: DataFrame, sheet_rows: int | None = 5000) -> DataFrame:
     sheet's text (``None`` keeps it whole). Unreadable files give an error row.
     """
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame(rows, columns=PART_COLUMNS)
+            return made.astype({c: "Int64" for c in PART_NUMBERS})
+
+        rows: list[tuple] = []
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
-                frame = pd.DataFrame(read_parts(path, raw, sheet_rows), columns=PART_COLUMNS)
-                yield frame.astype({c: "Int64" for c in PART_NUMBERS})
+                rows += read_parts(path, raw, sheet_rows)
+                if len(rows) >= ROWS_PER_YIELD:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     return files.select("path", "content").mapInPandas(extract, PART_SCHEMA)
 
