@@ -30,6 +30,11 @@ def reachable(keywords: list[str]) -> list[str]:
     return list(kept)
 
 
+def in_class(char: str) -> str:
+    """A character inside a regex class."""
+    return "\\" + char if not char.isalnum() and ord(char) < 128 else char
+
+
 def trie_pattern(keywords: list[str]) -> str:
     """A prefix-sharing regex that prefers the longer branch everywhere."""
     root: dict = {}
@@ -39,17 +44,27 @@ def trie_pattern(keywords: list[str]) -> str:
             node = node.setdefault(char, {})
         node[""] = {}
 
+    def choice(node: dict, chars: list[str]) -> str:
+        # Many branches: halve them behind range tests, so a position costs
+        # about log2(n) tests and not one per branch.
+        if len(chars) <= 4:
+            return "|".join(quote(c) + render(node[c]) for c in chars)
+        middle = len(chars) // 2
+        return "|".join(
+            f"(?=[{in_class(half[0])}-{in_class(half[-1])}])(?:{choice(node, half)})"
+            for half in (chars[:middle], chars[middle:])
+        )
+
     def render(node: dict) -> str:
         tail = ""
-        chars = [c for c in node if c]
+        chars = sorted(c for c in node if c)
         while len(chars) == 1 and "" not in node:
             tail += quote(chars[0])
             node = node[chars[0]]
-            chars = [c for c in node if c]
+            chars = sorted(c for c in node if c)
         if not chars:
             return tail
-        body = "|".join(quote(c) + render(node[c]) for c in chars)
-        return f"{tail}(?:{body})" + ("?" if "" in node else "")
+        return f"{tail}(?:{choice(node, chars)})" + ("?" if "" in node else "")
 
     return render(root)
 

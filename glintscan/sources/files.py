@@ -99,7 +99,7 @@ def list_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataF
                         "path": [prefix + i.path for i in infos],
                         "is_dir": [i.type == fs.FileType.Directory for i in infos],
                         "modificationTime": pd.to_datetime(
-                            [i.mtime_ns or 0 for i in infos], unit="ns"
+                            [(i.mtime_ns or 0) // 1000 for i in infos], unit="us"
                         ),
                         "length": [int(i.size or 0) for i in infos],
                     }
