@@ -12,7 +12,14 @@ from io import BytesIO
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DoubleType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from glintscan.functions import fixed
 from glintscan.functions.cols import (
@@ -27,6 +34,7 @@ from glintscan.functions.cols import (
     total,
 )
 from glintscan.functions.paths import expected_mime, suffix
+from glintscan.functions.text import printable_only
 
 ZIP_HEX = "504B0304"
 OLE_HEX = "D0CF11E0A1B11AE1"
@@ -433,6 +441,55 @@ def decode_text(content: str) -> Column:
     return F.coalesce(native, _decode_legacy.asNondeterministic()(other))
 
 
+BINARY_TEXT = StructType(
+    [
+        StructField("text", StringType()),
+        StructField("encoding", StringType()),
+        StructField("ratio", DoubleType()),
+    ]
+)
+
+
+@F.pandas_udf(BINARY_TEXT)
+def _best_decoding(content: pd.Series) -> pd.DataFrame:
+    # Encodings in the order they are tried.
+    encodings = ["utf-8", "latin1", "cp1252", "gb18030", "big5", "utf-16", "utf-16-le", "utf-16-be"]
+
+    def best(raw) -> tuple:
+        if raw is None:
+            return None, None, None
+        top = ("", "", 0.0)
+        for name in encodings:
+            text = raw.decode(name, errors="ignore")
+            if not text:
+                continue
+            shown = sum(c.isprintable() or c in " \t\n\r" for c in text) / len(text)
+            if shown > top[2]:
+                top = (text, name, shown)
+            if shown > 0.95:
+                break
+        return top
+
+    return pd.DataFrame([best(raw) for raw in content], columns=["text", "encoding", "ratio"])
+
+
+def with_binary_text(df: DataFrame, content: str = "content", out: str = "decoded") -> DataFrame:
+    """Add struct(text, encoding, ratio): the encoding with most printable text.
+
+    UTF-8 bytes with more than 95 % printable characters are settled natively;
+    only other rows go to Python.
+    """
+    text = f"cast({content} AS string)"
+    ratio = f"length({printable_only('tx')}) / length(tx)"
+    clear = f"({is_utf8(content)} AND length({text}) > 0 AND {let(text, 'tx', ratio)} > 0.95D)"
+    native = f"struct({text} AS text, 'utf-8' AS encoding, {let(text, 'tx', ratio)} AS ratio)"
+    settled = F.expr(f"if({clear}, {native}, NULL)")
+    other = _best_decoding.asNondeterministic()(F.expr(f"if({clear}, NULL, {content})"))
+    return df.withColumn("__other", other).withColumn(
+        out, F.coalesce(settled, F.col("__other"))
+    ).drop("__other")
+
+
 def report_label(path: str, content: str, length: str, zip_col: str, encoding: str) -> str:
     """The type label of the signature report.
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from glintscan.functions import fixed
 from glintscan.functions.cols import lit
@@ -82,14 +81,14 @@ def top_terms(results: DataFrame, n: int = 10) -> DataFrame:
 
 def type_report(detected: DataFrame, label: str = "type", size: str = "size") -> DataFrame:
     """Count, share, bytes and mean bytes per type."""
+    whole = detected.agg(F.count(F.lit(1))).scalar()
     counted = detected.groupBy(F.col(label).alias("type")).agg(
         F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes")
     )
-    whole = W.partitionBy()
     return counted.select(
         "type",
         "files",
-        _share(F.col("files"), F.sum("files").over(whole)).alias("percent"),
+        _share(F.col("files"), whole).alias("percent"),
         "bytes",
         F.round(F.col("bytes") / F.col("files"), 2).alias("mean_bytes"),
     )

@@ -327,11 +327,12 @@ def sheet_stats(spark, sf_dir):
     return sheets.sheet_stats({n: table(spark, sf_dir, n) for n in ("part", "supplier", "orders")})
 
 
-@query("sheet_export")
+@query("sheet_export", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def sheet_export(spark, sf_dir):
     folder = run_dir(spark, "sheet")
-    sinks.export_sheet(table(spark, sf_dir, "supplier"), folder, "txt")
-    return spark.read.option("header", True).option("sep", "\t").csv(folder)
+    sheet = table(spark, sf_dir, "supplier")
+    sinks.export_sheet(sheet, folder, "txt")
+    return spark.read.schema(sheet.schema).option("header", True).option("sep", "\t").csv(folder)
 
 
 @query(

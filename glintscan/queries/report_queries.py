@@ -241,9 +241,8 @@ def running_counts(spark, sf_dir):
 )
 def progress_rate(spark, sf_dir):
     totals = _event_totals(spark, sf_dir).selectExpr("event_id", "processed", "cents / 100D AS seconds")
-    n = table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total"))
-    rows = totals.join(F.broadcast(n))  # one-row side
-    return report.progress(rows, "processed", "seconds", F.col("total")).select(
+    total = table(spark, sf_dir, "events").agg(F.count(F.lit(1))).scalar()
+    return report.progress(totals, "processed", "seconds", total).select(
         "event_id", "processed", "percent_done"
     )
 
@@ -299,12 +298,12 @@ def stream_resume(spark, sf_dir):
     )
 
 
-@query("stream_files")
+@query("stream_files", f"WITH {hits_cte()} SELECT term, count(*) AS hits FROM h GROUP BY term")
 def stream_files(spark, sf_dir):
     folder = run_dir(spark, "stream-files")
     documents(spark, sf_dir, "text").select("text").write.text(f"{folder}/in")
     arriving = scans.stream_files(spark, f"{folder}/in").where("endswith(path, '.txt')")
     texts = arriving.selectExpr("path", "cast(content AS string) AS text")
-    found = scans.scan_stream(texts, RULES).selectExpr("path", "size(words) AS n_terms")
+    found = scans.scan_stream(texts, RULES).select("path", "words")
     scans.run_to_end(lambda: scans.append_log(found, f"{folder}/log", f"{folder}/state"))
-    return spark.read.parquet(f"{folder}/log").selectExpr("substring_index(path, '/', -1) AS name", "n_terms")
+    return report.term_totals(spark.read.parquet(f"{folder}/log"))

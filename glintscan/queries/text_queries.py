@@ -164,6 +164,27 @@ def paragraph_budget(spark, sf_dir):
     )
 
 
+@query(
+    "binary_text",
+    f"""WITH {PARA_CTE}, t AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id) AS total,
+      sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY length(p) DESC, ord) AS used FROM p),
+    k AS (SELECT *, CASE WHEN total > 4000 THEN row_number() OVER (PARTITION BY doc_id ORDER BY length(p) DESC, ord) ELSE ord + 1 END AS r
+      FROM t WHERE total <= 4000 OR used <= 4000),
+    j AS (SELECT doc_id, count(*) AS n, string_agg(p, chr(10) || chr(10) ORDER BY r) AS t FROM k GROUP BY doc_id)
+    SELECT d.doc_id, 'utf-8' AS encoding, coalesce(n, 0) AS paragraphs, coalesce(length(t), 0) < 100 AS failed,
+      md5(CASE WHEN coalesce(length(t), 0) < 100 THEN '' ELSE t END) AS text_md5 FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
+)
+def binary_text(spark, sf_dir):
+    from glintscan.sources.files import binary_text as read_binary_text
+
+    raw = documents(spark, sf_dir, "text").selectExpr("doc_id", "encode(text, 'UTF-8') AS content")
+    found = read_binary_text(raw, separator="\n", budget=4000)
+    return found.selectExpr(
+        "doc_id", "encoding", "cast(paragraphs AS bigint) AS paragraphs",
+        "error IS NOT NULL AS failed", "md5(text) AS text_md5",
+    )
+
+
 CTRL = "text || chr(7) || repeat(chr(1), CAST(doc_id % 5 AS INT))"
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
-from glintscan.functions.cols import any_of, is_in
-from glintscan.functions.detect import decode_text, header_hex
+from glintscan.functions.cols import any_of, case, is_in, lit
+from glintscan.functions.detect import decode_text, header_hex, with_binary_text
 from glintscan.functions.paths import (
     base_name,
     in_hidden_dir,
@@ -19,7 +19,7 @@ from glintscan.functions.paths import (
     is_internal_stream,
     suffix,
 )
-from glintscan.functions.text import truncate
+from glintscan.functions.text import BLANK_LINES, budget_paragraphs, paragraphs, truncate
 from glintscan.session import checkpointed
 from glintscan.sources.tables import inline_table
 
@@ -169,3 +169,36 @@ def read_text(
 def labelled(files: DataFrame, flag: int) -> DataFrame:
     """Inventory rows with a constant sample label."""
     return files.withColumn("is_sensitive", F.lit(flag))
+
+
+def binary_text(
+    files: DataFrame,
+    content: str = "content",
+    separator: str = BLANK_LINES,
+    budget: int = 50_000,
+    shortest: int = 100,
+) -> DataFrame:
+    """Text found in binary files: ``text``, ``encoding``, ``paragraphs``, ``error``.
+
+    Readable paragraphs of the best decoding, the longest ones within the
+    budget. Too little readable text is an error.
+    """
+    decoded = with_binary_text(files, content)
+    kept = decoded.withColumn(
+        "__paras", F.expr(budget_paragraphs(paragraphs("decoded.text", separator), budget))
+    )
+    joined = "coalesce(array_join(__paras, '\\n\\n'), '')"
+    error = case(
+        [
+            ("decoded.ratio < 0.5D", lit("二进制内容提取失败: 未能提取到有效的文本内容")),
+            (f"length({joined}) < {shortest}", lit("二进制内容提取失败: 未能提取到足够的文本内容")),
+        ]
+    )
+    failed = kept.withColumn("error", F.expr(error))
+    return failed.withColumns(
+        {
+            "text": F.expr(f"if(error IS NULL, {joined}, '')"),
+            "encoding": F.col("decoded.encoding"),
+            "paragraphs": F.size("__paras"),
+        }
+    ).drop("decoded", "__paras")

@@ -92,5 +92,4 @@ def run_to_end(start: Callable[[], StreamingQuery]) -> None:
 def final_counters(spark: SparkSession, out: str) -> DataFrame:
     """Counters of the last batch written by :func:`latest_counters`."""
     rows = spark.read.parquet(out)
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch").drop("batch")  # one-row side
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")

@@ -107,6 +107,16 @@ def test_legacy_encodings_are_decoded(spark):
     assert cut == "abc" + fixed.NOTICE_FILE_CUT
 
 
+def test_binary_text(spark):
+    rows = [
+        ("/b", b"\x00\x01\x02" * 50),
+        ("/c", b"\n\n".join([b"plain words " * 12, b"short", b"%$#@^&*~" * 10])), ("/d", b"tiny"),
+    ]
+    got = {r.path: r for r in files.binary_text(frame(spark, rows)).collect()}
+    assert got["/c"].text == ("plain words " * 12).strip() and got["/c"].encoding == "utf-8"
+    assert got["/b"].error and got["/d"].error and got["/d"].text == ""
+
+
 def test_encrypted(spark):
     rows = [
         ("/a", OLE + b"EncryptionInfo"), ("/b", b"PK\x03\x04broken"), ("/c", zipped({"EncryptedPackage": "x"})),
