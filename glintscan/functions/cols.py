@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-# Python's str.isspace() set for the Java regex engine.
-SPACE = r"[\s\x1c-\x1f]"
+# A run without whitespace, for the Java regex engine with (?U): together these
+# classes are Python's str.isspace() set.
+WORD = r"[^\s\x1c-\x1f]+"
 
 
 def lit(value: str) -> str:

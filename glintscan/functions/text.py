@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from glintscan.functions import fixed
-from glintscan.functions.cols import SPACE, case, count_of, is_in, let, lit, running_totals
+from glintscan.functions.cols import WORD, case, count_of, is_in, let, lit, running_totals
 
-TOKEN = r"[^一-龥a-zA-Z0-9]+"
-TOKEN_ALPHA = r"[^一-龥a-zA-Z]+"
+TOKEN = r"[一-龥a-zA-Z0-9]+"
+TOKEN_ALPHA = r"[一-龥a-zA-Z]+"
 WORDS = "cast(array() AS array<string>)"
 
 
@@ -25,7 +25,8 @@ def sub(text: str, pattern: str, replacement: str) -> str:
 
 def token_clean(text: str, digits: bool = True) -> str:
     """Lower-case runs of CJK, Latin letters (and digits) joined by one space."""
-    return f"trim({sub(f'lower({text})', TOKEN if digits else TOKEN_ALPHA, ' ')})"
+    pattern = lit(TOKEN if digits else TOKEN_ALPHA)
+    return f"array_join(regexp_extract_all(lower({text}), {pattern}, 0), ' ')"
 
 
 def css_clean(text: str, digits: bool = True) -> str:
@@ -60,7 +61,8 @@ def html_unescape(text: str) -> Column:
 def xml_clean(text: str, digits: bool = True) -> Column:
     """Tags to spaces, references to text, then token clean (a Column)."""
     plain = F.lower(html_unescape(sub(text, r"<[^>]+>", " ")))
-    return F.trim(F.regexp_replace(plain, TOKEN if digits else TOKEN_ALPHA, " "))
+    pattern = F.lit(TOKEN if digits else TOKEN_ALPHA)
+    return F.array_join(F.regexp_extract_all(plain, pattern, F.lit(0)), " ")
 
 
 def cut(text: str, limit: int, notice: str) -> str:
@@ -68,8 +70,8 @@ def cut(text: str, limit: int, notice: str) -> str:
 
 
 def general_clean(text: str, limit: int | None = 100_000) -> str:
-    """Whitespace collapsed, lower case, words only, cut with ``...``."""
-    out = token_clean(sub(text, f"(?U){SPACE}+", " "), digits=False)
+    """Lower case, words only (which also drops whitespace runs), cut with ``...``."""
+    out = token_clean(text, digits=False)
     return cut(out, limit, "...") if limit else out
 
 
@@ -91,8 +93,14 @@ def clean_dispatch(text: str, file_type: str, digits: bool = True) -> Column:
     )
 
 
+def words_of(text: str) -> str:
+    """Words split on whitespace, none for blank text."""
+    return f"regexp_extract_all({text}, {lit('(?U)' + WORD)}, 0)"
+
+
 def collapse(text: str) -> str:
-    return f"trim({sub(text, f'(?U){SPACE}+', ' ')})"
+    """Runs of whitespace to one space, none at the ends."""
+    return f"array_join({words_of(text)}, ' ')"
 
 
 def preview(text: str, limit: int = 200, collapsed: bool = True) -> str:
@@ -159,11 +167,6 @@ def budget_paragraphs(paras: str, budget: int = 50_000) -> str:
 
 
 # ---------------------------------------------------------------------- chunks
-def words_of(text: str) -> str:
-    """Words split on whitespace, none for blank text."""
-    return let(collapse(text), "ct", f"if(length(ct) > 0, split(ct, ' ', -1), {WORDS})")
-
-
 def word_chunks(
     text: str, size: int = 512, stride: int | None = None, max_chunks: int | None = 10
 ) -> str:

@@ -390,11 +390,14 @@ def _typed(spark, sf_dir):
     )
 
 
-@query("empty_flag", "SELECT doc_id, n_chars, n_chars = 2 AS is_empty FROM documents")
+@query(
+    "empty_flag",
+    f"""WITH c AS (SELECT doc_id, {CONTENT_SQL} AS content FROM documents)
+    SELECT doc_id, strlen(content) AS length, content = '' AS is_empty FROM c""",
+)
 def empty_flag(spark, sf_dir):
-    # The shortest texts of the tables (two characters) stand in for empty files.
-    sized = documents(spark, sf_dir, "n_chars").withColumn("length", F.col("n_chars") - 2)
-    return sized.selectExpr("doc_id", "n_chars", "length = 0 AS is_empty")
+    sized = _contents(spark, sf_dir).selectExpr("doc_id", "cast(octet_length(content) AS bigint) AS length")
+    return sized.selectExpr("doc_id", "length", "length = 0 AS is_empty")
 
 
 @query(
