@@ -23,16 +23,17 @@ def keep_first(df: DataFrame, md5: str = "md5", key: str = "id") -> DataFrame:
     """One row per hash, the one with the smallest key.
 
     The surviving keys are found on two narrow columns; the rows follow by a
-    hash semi-join on the unique key, which no repeated hash can skew.
+    semi-join on the unique key, which no repeated hash can skew. Adaptive
+    execution makes it a hash join where every partition of keys is small.
     """
     kept = _group_keys(df, md5, key).select(key)
-    return df.join(kept.hint("shuffle_hash"), key, "left_semi")
+    return df.join(kept, key, "left_semi")
 
 
 def drop_all_repeats(df: DataFrame, md5: str = "md5", key: str = "id") -> DataFrame:
     """Only rows whose hash occurs once."""
     kept = _group_keys(df, md5, key).where(F.col("__n") == 1).select(key)
-    return df.join(kept.hint("shuffle_hash"), key, "left_semi")
+    return df.join(kept, key, "left_semi")
 
 
 def duplicate_groups(df: DataFrame, md5: str = "md5") -> DataFrame:

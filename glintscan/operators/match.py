@@ -249,9 +249,7 @@ def match_distinct_text(
         )
     )
     distinct = (
-        keyed.join(
-            groups.select(F.col("__first").alias(key), "__copies").hint("shuffle_hash"), key
-        )
+        keyed.join(groups.select(F.col("__first").alias(key), "__copies"), key)
         .select("__md5", "__copies", F.expr(checked(text, rules, **options)).alias("words"))
     )
     hot = groups.where(F.col("__copies") > hot_copies).select("__md5", F.lit(True).alias("__hot"))

@@ -24,7 +24,7 @@ from glintscan.sources.tables import table
 from glintscan.streaming import scans
 
 RES_CTE = f"""{hits_cte()}, {NESTED_CTE},
-  a AS (SELECT doc_id, count(*) AS n_terms, sum(cnt) AS total,
+  a AS (SELECT doc_id, count(*) AS n_terms, CAST(sum(cnt) AS BIGINT) AS total,
     string_agg(term || '(' || cnt || '次)', '; ' ORDER BY ord) AS terms,
     string_agg(term || '(' || cnt || '处)', '; ' ORDER BY ord) AS terms_wide,
     string_agg(term, '; ' ORDER BY ord) AS bare FROM n GROUP BY doc_id),
