@@ -10,6 +10,7 @@ a block by its number and unpacks any range of it with numpy.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -27,7 +28,7 @@ from glintscan.llm.common import portions
 END = 1
 BLOCK_IDS = 1 << 16
 STEP = 1 << 16  # ids turned into bits at once
-CACHED = 1_000_000
+CACHED = 300_000
 
 BLOCKS = (
     "part int, block int, first bigint, n_ids bigint, bits int,"
@@ -70,47 +71,75 @@ def unpack(packed: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return ones.reshape(-1, bits) @ weights
 
 
+# Letters whose lower case and canonical form are single characters, and marks
+# that never share a token with a letter before them.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(f"[{_LETTERS}]+").fullmatch
+_MARK = f"([{_LETTERS}])([.,;:!?*$%#&])"
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, encoded by distinct word.
+    """Ids of texts by a tokenizer that drops white space and lower-cases, by distinct word.
 
-    Its tokens never reach over a blank, so a text's ids are those of its
-    blank-separated words one after another. Recent words are kept.
+    Its tokens never reach over a blank, nor from a letter to a mark, so a
+    text's ids are those of its words one after another. Words of plain letters
+    are one piece, which goes straight to the tokenizer's model; all others go
+    through the whole tokenizer. Recent words are kept.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # How the model's table spells the bytes of those letters.
+        letters = [chr(c) for c in range(0x61, 0x100) if _WORD(chr(c))]
+        self.spelling = {ord(c): spell(c)[0][0] for c in letters}
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Each word's number; ``flat`` and ``sizes`` hold the ids by number."""
-        new = [w for w in words if w not in self.number]
-        if len(self.number) + len(new) > CACHED and self.number:
-            self._forget()
-            new = words
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _learn(self, words: pa.Array) -> None:
+        model, new = self.tokenizer.model.tokenize, words.to_pylist()
+        plain = [_WORD(w) is not None for w in new]
+        whole = self.tokenizer.encode_batch_fast(
+            [w for w, p in zip(new, plain) if not p], add_special_tokens=False
+        )
+        rest = iter(whole)
+        ids = [
+            [t.id for t in model(w.lower().translate(self.spelling))] if p else next(rest).ids
+            for w, p in zip(new, plain)
+        ]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum())
+        self.words = pa.concat_arrays([self.words, words])
         self.flat, self.sizes = np.append(self.flat, flat), np.append(self.sizes, sizes)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, ``end`` after each text, and each text's number of ids."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = lists.flatten().dictionary_encode()
-        number = self._numbers(words.dictionary.to_pylist())
+        texts = pc.fill_null(texts, "")
+        if not any(pc.any(pc.match_substring(texts, s, ignore_case=True)).as_py() for s in self.specials):
+            texts = pc.ascii_lower(pc.replace_substring_regex(texts, _MARK, r"\1 \2"))
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten()
+        number = pc.index_in(words, value_set=self.words)
+        if number.null_count:
+            new = words.filter(number.is_null()).unique()
+            if len(self.words) + len(new) > CACHED:
+                self._forget()
+                new = words.unique()
+            self._learn(new)
+            number = pc.index_in(words, value_set=self.words)
         # One more word, after each text: the end id.
         flat, sizes = np.append(self.flat, np.uint32(end)), np.append(self.sizes, 1)
         at = np.cumsum(sizes) - sizes
         stops = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
-        word = np.insert(number[words.indices.to_numpy()], stops, len(sizes) - 1)
+        word = np.insert(number.to_numpy().astype(np.int64), stops, len(sizes) - 1)
         many = sizes[word]
         ends = np.cumsum(many)
         ids = flat[np.repeat(at[word] - (ends - many), many) + np.arange(many.sum())]
@@ -130,7 +159,7 @@ def word_ids(path: str) -> WordIds:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for batch in batches:
         docs, start = batch.column(0).to_pylist(), 0
-        for part in portions(batch.column(1), 8 << 20):
+        for part in portions(batch.column(1), 2 << 20):
             ids, sizes = word_ids(path).encode(part, end)
             yield from zip(docs[start:], np.split(ids, np.cumsum(sizes)[:-1]))
             start += len(part)
