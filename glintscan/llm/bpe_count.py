@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 512
-CACHED = 1_000_000
+CACHED = 300_000
 CACHED_LENGTH = 64
 # A run of ASCII blanks and what follows it. The splitter's pieces never run on
 # from other characters into a blank, so texts can be cut before such runs
