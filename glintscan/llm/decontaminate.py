@@ -12,22 +12,24 @@ verified by the exact edit distance between the item and the best window there.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from glintscan.llm.common import portions
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
-REPEATS = 4
-STEPS = 8
-SAMPLES = 4
-MIN_SEEN = 3
+# Walks over longer items, and over items of under SHORT words: repeats, steps,
+# samples, and the fewest different places that the samples must read.
+LONG_WALKS = (4, 8, 4, 3)
+SHORT_WALKS = (6, 2, 2, 2)
+SHORT = 14
 BLOCK_WORDS = 2_000_000
 # Words of the comparison: letters, digits and all non-ASCII; A-Z lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -48,11 +50,12 @@ def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
 
 @dataclass
 class Walks:
-    """The random bits and sampled steps of the repeated walks; fixed by the seed."""
+    """The sampled steps and random bits of repeated walks; fixed by the seed."""
 
-    repeats: int = REPEATS
-    steps: int = STEPS
-    samples: int = SAMPLES
+    repeats: int
+    steps: int
+    samples: int
+    min_seen: int
     seed: int = 7
     sampled: list[np.ndarray] = field(init=False)
 
@@ -64,20 +67,19 @@ class Walks:
             for _ in range(self.repeats)
         ]
 
-    def bits(self, vocabulary: int, repeat: int) -> np.ndarray:
-        """One bit for each step (bit position) of each word number."""
-        return _hashed(np.arange(vocabulary), 1 + repeat + 1_000 * self.seed)
-
     def keys(
-        self, ids: np.ndarray, at: np.ndarray, ends: np.ndarray, unknown: int, repeat: int, filters=None
+        self, ids: np.ndarray, at: np.ndarray, ends: np.ndarray, content: np.ndarray, repeat: int, filters=None
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the walks from ``at``; walks that read no known word drop out.
 
-        ``filters`` gives for each sampled step a bitmap of the key prefixes that
+        ``content`` has a hash for each word number, the last for all unknown
+        words; walks and keys depend on it alone. ``filters`` gives for each sampled step a bitmap of the key prefixes that
         items have; other walks stop there. Returns positions, keys and the
         number of different places that the samples read.
         """
-        bits = self.bits(unknown + 1, repeat)
+        unknown = len(content) - 1
+        # One bit for each step of each word.
+        bits = _hashed(content, 1 + repeat + 1_000 * self.seed)
         pointer, key = at.copy(), np.zeros(len(at), np.uint64)
         seen, last = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
         rank = 0
@@ -85,7 +87,7 @@ class Walks:
             inside = pointer < ends
             word = np.where(inside, ids[np.minimum(pointer, len(ids) - 1)], unknown)
             if step in self.sampled[repeat]:
-                key = (key + _hashed(word, 11)) * _ODD
+                key = (key + content[word]) * _ODD
                 seen += pointer != last
                 last = pointer.copy()
                 keep = inside & (word != unknown)
@@ -103,8 +105,8 @@ class Walks:
 class Index:
     """Anchors of a bounded block of items, by walk key, for every repeat."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], similarity: float, walks: Walks):
-        self.walks, self.similarity = walks, similarity
+    def __init__(self, items: list[tuple[object, list[str]]], similarity: float):
+        long, short = Walks(*LONG_WALKS), Walks(*SHORT_WALKS)
         self.item_ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.vocabulary = pa.array(dict.fromkeys(w for _, ws in items for w in ws), pa.string())
@@ -118,42 +120,43 @@ class Index:
             for n, w in enumerate(ws):
                 mask[w] = mask.get(w, 0) | 1 << n
             self.masks.append(mask)
+        self.content = np.array([xxh64_intdigest(w, 11) for w in [*number, ""]], np.uint64)
         flat = np.array([w for ws in self.encoded for w in ws], np.int64)
         sizes = np.array([len(ws) for ws in self.encoded], np.int64)
-        starts = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        ends = (starts + sizes)[owner] if len(sizes) else np.zeros(0, np.int64)
-        self.tables, self.filters = [], []
-        for r in range(walks.repeats):
-            at, key, seen = walks.keys(flat, np.arange(len(flat)), ends, self.unknown, r)
-            # A walk that stays on one or two words says little; other walks
-            # and anchors cover the place. Items too short for more keep theirs.
-            strong = seen >= np.minimum(MIN_SEEN, np.maximum(1, sizes[owner[at]] // 3))
-            at, key = at[strong], key[strong]
-            order = np.argsort(key, kind="stable")
-            at, key = at[order], key[order]
-            item = owner[at]
-            self.tables.append((key, item, at - starts[item]))
-            self.filters.append(self._prefixes(flat, at, ends, r))
-
-    def _prefixes(self, flat: np.ndarray, at: np.ndarray, ends: np.ndarray, repeat: int) -> list:
-        """A bitmap of the key prefixes of the anchors for every sampled step."""
-        out = []
-        for stop in range(1, len(self.walks.sampled[repeat]) + 1):
-            cut = Walks(self.walks.repeats, self.walks.steps, self.walks.samples, self.walks.seed)
-            cut.sampled[repeat] = self.walks.sampled[repeat][:stop]
-            key = cut.keys(flat, at, ends[at], self.unknown, repeat)[1]
+        self.tables = []
+        for walks, mine in ((long, sizes >= SHORT), (short, sizes < SHORT)):
+            anchors = np.flatnonzero(mine[owner])
+            for repeat in range(walks.repeats if len(anchors) else 0):
+                self.tables.append(self._table(walks, repeat, anchors, flat, sizes, owner))
+
+    def _table(self, walks: Walks, repeat: int, at: np.ndarray, flat, sizes, owner) -> tuple:
+        """Sorted keys of the anchors with item and place in it, and bitmaps of key prefixes."""
+        starts = np.cumsum(sizes) - sizes
+        ends = (starts + sizes)[owner]
+        at, key, seen = walks.keys(flat, at, ends[at], self.content, repeat)
+        # A walk that stays on one or two words says little; other walks and
+        # anchors cover the place.
+        strong = seen >= walks.min_seen
+        at, key = at[strong], key[strong]
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        filters = []
+        for stop in range(1, len(walks.sampled[repeat]) + 1):
+            cut = replace(walks)
+            cut.sampled = [w[:stop] for w in walks.sampled]
+            prefix = cut.keys(flat, at, ends[at], self.content, repeat)[1]
             bitmap = np.zeros(1 << 20, bool)
-            bitmap[(key >> np.uint64(64 - 20)).astype(np.int64)] = True
-            out.append(bitmap)
-        return out
+            bitmap[(prefix >> np.uint64(64 - 20)).astype(np.int64)] = True
+            filters.append(bitmap)
+        return walks, repeat, key, owner[at], at - starts[owner[at]], filters
 
     def candidates(self, ids: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Distinct rows (doc, item, word where the item's window starts)."""
         known = np.flatnonzero(ids != self.unknown)
         found = []
-        for r, (table, item, anchor) in enumerate(self.tables):
-            at, key, _ = self.walks.keys(ids, known, ends[known], self.unknown, r, self.filters[r])
+        for walks, repeat, table, item, anchor, filters in self.tables:
+            at, key, _ = walks.keys(ids, known, ends[known], self.content, repeat, filters)
             low = np.searchsorted(table, key, "left")
             many = np.searchsorted(table, key, "right") - low
             total = int(many.sum())
@@ -227,7 +230,7 @@ class Index:
 
 
 def item_blocks(
-    items: DataFrame, item_id: str, text: str, similarity: float, walks: Walks,
+    items: DataFrame, item_id: str, text: str, similarity: float,
     min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS,
 ) -> list[Index]:
     """Indexes over the items in blocks of about ``block_words`` words each.
@@ -246,7 +249,7 @@ def item_blocks(
         kept = [(r.item_id, [w for w in ws if w]) for r, ws in zip(rows, words)]
         kept = sorted((k for k in kept if len(k[1]) >= min_words), key=lambda k: (k[0] is None, k[0] or 0, k[1]))
         if kept:
-            out.append(Index(kept, similarity, walks))
+            out.append(Index(kept, similarity))
     return out
 
 
@@ -271,11 +274,11 @@ def _arrow_type(item_type: str) -> pa.DataType:
 
 
 def _found(
-    docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, similarity: float, walks: Walks,
+    docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, similarity: float,
     min_words: int, block_words: int,
 ) -> list[Column]:
     kind = dict(items.dtypes)[item_id]
-    blocks = item_blocks(items, item_id, item_text, similarity, walks, min_words, block_words)
+    blocks = item_blocks(items, item_id, item_text, similarity, min_words, block_words)
     return [_finder(docs, b, kind)(F.col(text)) for b in blocks]
 
 
@@ -287,7 +290,6 @@ def contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     similarity: float = SIMILARITY,
-    walks: Walks | None = None,
     min_words: int = MIN_WORDS,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
@@ -300,7 +302,7 @@ def contaminated(
     ids and repeated rows each keep their rows; empty tables give no rows;
     other columns are ignored.
     """
-    found = _found(docs, items, text, item_id, item_text, similarity, walks or Walks(), min_words, block_words)
+    found = _found(docs, items, text, item_id, item_text, similarity, min_words, block_words)
     kind = dict(items.dtypes)[item_id]
     none = F.expr(
         f"CAST(array() AS array<struct<item_id: {kind}, end_word: bigint, edits: bigint,"
@@ -319,11 +321,10 @@ def without_contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     similarity: float = SIMILARITY,
-    walks: Walks | None = None,
     min_words: int = MIN_WORDS,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows that hold no item, with all their columns."""
-    for hits in _found(docs, items, text, item_id, item_text, similarity, walks or Walks(), min_words, block_words):
+    for hits in _found(docs, items, text, item_id, item_text, similarity, min_words, block_words):
         docs = docs.where(F.size(hits) == 0)
     return docs

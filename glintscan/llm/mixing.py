@@ -66,7 +66,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
 
 def _uniform(draw: np.ndarray, level: int) -> np.ndarray:
     """Numbers in [0, 1) that depend on the draw and the level only."""
-    x = draw.astype(np.uint64) + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)
+    x = draw.astype(np.uint64) + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)

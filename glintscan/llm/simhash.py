@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
 from glintscan.llm.common import LOWER_BYTES, row_hash, stored
@@ -47,7 +48,7 @@ def fingerprint_of(text: bytes) -> int:
     return int.from_bytes(bits, "big", signed=True)
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(
         (fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts),
