@@ -25,6 +25,7 @@ SEED = 42
 # From this many fingerprints with one segment value on, going over the points
 # around each (about 1,600 rows a fingerprint) is less work than going over pairs.
 DENSE = 3_000
+BROADCAST_IDS = 4_000_000
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -197,6 +198,9 @@ def keep_first(
     repeated = stored(repeated.select(F.col("doc_id").alias("__id")), "simhash-repeated")
     lost = groups.where(~first).select(F.col("doc_id").alias("__id"))
     if not repeated.take(1):
+        # Texts stay where they are unless the ids to drop are very many.
+        if lost.count() <= BROADCAST_IDS:
+            lost = F.broadcast(lost)
         return docs.join(lost, same, "left_anti")
     single = docs.join(lost.union(repeated).distinct(), same, "left_anti")
     marked = docs.join(repeated, same, "left_semi").select(
