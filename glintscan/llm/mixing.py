@@ -28,6 +28,7 @@ MOST = 3
 LEAF = 4096
 FAN_IN = 1024
 BROADCAST_SOURCES = 200_000
+BROADCAST_ROWS = 1_000_000
 
 _STATE = "unit bigint, source_no bigint, size bigint, share double, draw bigint, bucket bigint"
 
@@ -234,12 +235,15 @@ def mix(
     plan = copies(rows, weights, most).withColumn("times", F.col("n") * F.col("whole") + F.col("extra"))
     plan = stored(plan.where("times > 0").select("row_key", "n", "times"), "mix-plan")
 
-    def taken(rows: DataFrame, which: str) -> DataFrame:
+    def taken(rows: DataFrame, which: str, how: str) -> DataFrame:
         part = plan.where(which).select(F.col("row_key").alias("__key"), F.col("times").alias("__times"))
-        return rows.join(part, F.col("__row") == F.col("__key"))
+        return rows.join(part.hint(how), F.col("__row") == F.col("__key"))
 
-    single = taken(keyed, "n = 1")
-    repeated = taken(keyed, "n > 1").dropDuplicates(["__row"])
+    # Most rows are taken: both sides are shuffled, at any size. Repeated rows are
+    # few as a rule and then broadcast.
+    many = "broadcast" if plan.where("n > 1").count() <= BROADCAST_ROWS else "merge"
+    single = taken(keyed, "n = 1", "merge")
+    repeated = taken(keyed, "n > 1", many).dropDuplicates(["__row"])
     out = single.union(repeated)
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(
         *[F.col(c) for c in docs.columns]
