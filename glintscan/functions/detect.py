@@ -313,11 +313,14 @@ def text_format(ext: str, text: str) -> str:
     return let(text, "tx", let(f"regexp_replace(tx, {edges}, '')", "be", formats))
 
 
-def text_mime(ext: str, content: str, length: str) -> str:
-    """Text format of small UTF-8 files (first 4 KB), else NULL."""
-    head = f"substring({content}, 1, 4096)"
-    formats = text_format(ext, f"cast({head} AS string)")
-    return f"if({length} < 5242880 AND {is_utf8(head)}, {formats}, NULL)"
+def text_mime(ext: str, content: str) -> str:
+    """Text format of UTF-8 files by their first 4 KB, else NULL.
+
+    The sample ends before a character that byte 4,096 would split.
+    """
+    heads = [f"substring({content}, 1, {size})" for size in (4096, 4095, 4094, 4093)]
+    whole = case([(is_utf8(h), f"cast({h} AS string)") for h in heads], "NULL")
+    return let(whole, "hd", f"if(hd IS NULL, NULL, {text_format(ext, 'hd')})")
 
 
 def riff_subtype(content: str) -> str:
@@ -350,7 +353,7 @@ def mime_cascade(path: str, content: str, length: str, zip_col: str | None) -> s
             (starts("hx", "1F8B08"), "'application/gzip'"),
         ]
     )
-    found = f"coalesce({by_header}, {text_mime(ext, content, length)}, {expected_mime(ext)})"
+    found = f"coalesce({by_header}, {text_mime(ext, content)}, {expected_mime(ext)})"
     return (
         f"if(coalesce({length}, 0) = 0, {lit(fixed.OCTET)}, "
         f"{let(header_hex(content, 32), 'hx', found)})"
@@ -450,27 +453,35 @@ BINARY_TEXT = StructType(
 )
 
 
-@F.pandas_udf(BINARY_TEXT)
-def _best_decoding(content: pd.Series) -> pd.DataFrame:
-    # Encodings in the order they are tried.
-    encodings = ["utf-8", "latin1", "cp1252", "gb18030", "big5", "utf-16", "utf-16-le", "utf-16-be"]
+def _readable(text: str) -> float:
+    """Share of printable characters and line or tab marks."""
+    marks = sum(text.count(mark) for mark in "\t\n\r")
+    return (sum(map(str.isprintable, text)) + marks) / len(text)
 
-    def best(raw) -> tuple:
-        if raw is None:
-            return None, None, None
-        top = ("", "", 0.0)
-        for name in encodings:
-            text = raw.decode(name, errors="ignore")
-            if not text:
-                continue
-            shown = sum(c.isprintable() or c in " \t\n\r" for c in text) / len(text)
-            if shown > top[2]:
-                top = (text, name, shown)
-            if shown > 0.95:
-                break
-        return top
 
-    return pd.DataFrame([best(raw) for raw in content], columns=["text", "encoding", "ratio"])
+@F.pandas_udf(BINARY_TEXT)
+def _most_readable(content: pd.Series) -> pd.DataFrame:
+    """Every decoding of every row as a table; each row's best one stays.
+
+    The first encoding over 95 % comes before all others, then the highest
+    share, then the order of the encodings.
+    """
+    raw = content.dropna()
+    tries = []
+    for rank, name in enumerate(fixed.TEXT_ENCODINGS):
+        text = raw.map(lambda b, name=name: bytes(b).decode(name, errors="ignore"))
+        text = text[text != ""]
+        tries.append(
+            pd.DataFrame({"text": text, "encoding": name, "ratio": text.map(_readable), "rank": rank})
+        )
+    table = pd.concat(tries)
+    table = table[table["ratio"] > 0]
+    table["settled"] = table["rank"].where(table["ratio"] > 0.95, len(fixed.TEXT_ENCODINGS))
+    table = table.rename_axis("row").reset_index()
+    best = table.sort_values(["row", "settled", "ratio", "rank"], ascending=[True, True, False, True])
+    best = best.drop_duplicates("row").set_index("row")[["text", "encoding", "ratio"]]
+    nothing = pd.DataFrame({"text": "", "encoding": "", "ratio": 0.0}, index=raw.index.difference(best.index))
+    return pd.concat([best, nothing]).reindex(content.index).astype(object).where(lambda x: x.notna(), None)
 
 
 def with_binary_text(df: DataFrame, content: str = "content", out: str = "decoded") -> DataFrame:
@@ -484,7 +495,7 @@ def with_binary_text(df: DataFrame, content: str = "content", out: str = "decode
     clear = f"({is_utf8(content)} AND length({text}) > 0 AND {let(text, 'tx', ratio)} > 0.95D)"
     native = f"struct({text} AS text, 'utf-8' AS encoding, {let(text, 'tx', ratio)} AS ratio)"
     settled = F.expr(f"if({clear}, {native}, NULL)")
-    other = _best_decoding.asNondeterministic()(F.expr(f"if({clear}, NULL, {content})"))
+    other = _most_readable.asNondeterministic()(F.expr(f"if({clear}, NULL, {content})"))
     return df.withColumn("__other", other).withColumn(
         out, F.coalesce(settled, F.col("__other"))
     ).drop("__other")

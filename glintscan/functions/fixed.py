@@ -368,3 +368,6 @@ EXTRACTION_ERRORS = ["提取失败", "不支持的文件类型"]
 CLEAN_ERRORS = ["Unsupported file type", "Text extraction failed"]
 UNKNOWN_PREFIX = "未知"
 CSV_DELIMITERS = [",", ";", "\t", "|"]
+
+# Encodings in the order they are tried on binary content.
+TEXT_ENCODINGS = ["utf-8", "latin1", "cp1252", "gb18030", "big5", "utf-16", "utf-16-le", "utf-16-be"]

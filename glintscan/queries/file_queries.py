@@ -481,9 +481,11 @@ def header_warning(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- detection
-_CUT = "(length(hx) > 8192 AND substr(hx, 8193, 1) IN ('8', '9', 'A', 'B'))"
-HEAD_CTE = FILES_CTE + f""", g AS (SELECT *,
-   CASE WHEN {_CUT} THEN NULL ELSE try(decode(unhex(left(hx, 8192)))) END AS t4 FROM f)"""
+# The first 4,096 bytes, less those of a character that the cut would split.
+_ON = "IN ('8', '9', 'A', 'B')"
+_HEAD = f"""left(hx, CASE WHEN length(hx) <= 8192 OR NOT substr(hx, 8193, 1) {_ON} THEN 8192
+     WHEN NOT substr(hx, 8191, 1) {_ON} THEN 8190 WHEN NOT substr(hx, 8189, 1) {_ON} THEN 8188 ELSE 8186 END)"""
+HEAD_CTE = FILES_CTE + f""", g AS (SELECT *, try(decode(unhex({_HEAD}))) AS t4 FROM f)"""
 
 
 def text_format_sql(t: str, ext: str) -> str:
@@ -550,7 +552,7 @@ def mime_mismatch(spark, sf_dir):
     found = files(spark, sf_dir).selectExpr(
         "doc_id",
         f"{paths.suffix('path')} AS ext",
-        f"{detect.text_mime(spark_lit(''), 'content', 'length')} AS mime",
+        f"{detect.text_mime(spark_lit(''), 'content')} AS mime",
     )
     return found.where(f"mime IS NOT NULL AND {filters.mime_mismatch('ext', 'mime')}")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,18 +36,13 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    (tests, one machine) may fall back to a temporary folder.
+    The session names it in ``spark.checkpoint.dir``; the context may have its
+    own checkpoint folder. Without either, a folder beside the warehouse, which
+    the cluster shares too.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            named = current
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="glintscan-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_glintscan"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

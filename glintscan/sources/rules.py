@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +92,26 @@ def rules_from_dict(config: dict) -> RuleSet:
     )
 
 
+def without_bad_patterns(rules: RuleSet, spark: SparkSession) -> RuleSet:
+    """Drop, with a log line, the patterns that Spark's regex functions cannot compile."""
+
+    def usable(kind: str, pattern: str) -> bool:
+        try:
+            spark.sql("SELECT regexp_like('', :p)", {"p": java_pattern(pattern)}).collect()
+        except Exception as problem:  # the error class differs with the place it is raised
+            rules.rejected.append((kind, pattern, str(problem).splitlines()[0]))
+            log.error("rule dropped, pattern does not compile in Java: %r", pattern)
+            return False
+        return True
+
+    return replace(
+        rules,
+        structured={p: w for p, w in rules.structured.items() if usable("structured", p)},
+        numbers=[p for p in rules.numbers if usable("number", p)],
+        regexes={n: pw for n, pw in rules.regexes.items() if usable("regex", pw[0])},
+    )
+
+
 def load_rules(path: str, spark: SparkSession | None = None) -> RuleSet:
     """Read a YAML rule file. With a session, any URI Spark can read works."""
     import yaml
@@ -101,4 +121,5 @@ def load_rules(path: str, spark: SparkSession | None = None) -> RuleSet:
             text = handle.read()
     else:
         text = spark.read.text(path, wholetext=True).head()[0]
-    return rules_from_dict(yaml.safe_load(text) or {})
+    rules = rules_from_dict(yaml.safe_load(text) or {})
+    return without_bad_patterns(rules, spark) if spark else rules
