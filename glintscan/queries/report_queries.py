@@ -238,8 +238,8 @@ def running_counts(spark, sf_dir):
     f"""WITH p AS (SELECT event_id, count(*) OVER w AS processed, CAST(sum({_CENTS}) OVER w AS BIGINT) / 100.0::DOUBLE AS seconds,
       count(*) OVER () AS total FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
     SELECT event_id, processed, round(processed * 100.0::DOUBLE / total, 4) AS percent_done,
-      round(CAST(seconds / processed AS DECIMAL(30, 12)), 4)::DOUBLE AS mean_seconds,
-      round(CAST(seconds / processed * (total - processed) AS DECIMAL(30, 8)), 2)::DOUBLE AS seconds_left FROM p""",
+      round(CAST(CAST(seconds / processed AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS mean_seconds,
+      round(CAST(CAST(seconds / processed * (total - processed) AS VARCHAR) AS DECIMAL(38, 20)), 2)::DOUBLE AS seconds_left FROM p""",
 )
 def progress_rate(spark, sf_dir):
     totals = _event_totals(spark, sf_dir).selectExpr("event_id", "processed", "cents / 100D AS seconds")
