@@ -6,15 +6,10 @@ marker searches are aligned by construction and stay inside the JVM.
 
 from __future__ import annotations
 
-import zipfile
-from io import BytesIO
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType,
-    BooleanType,
     DoubleType,
     StringType,
     StructField,
@@ -35,6 +30,7 @@ from glintscan.functions.cols import (
 )
 from glintscan.functions.paths import expected_mime, suffix
 from glintscan.functions.text import printable_only
+from glintscan.functions.unzip import MEMBER_TEXT, TYPE_FILES, TYPE_MEMBERS, boxed
 
 ZIP_HEX = "504B0304"
 OLE_HEX = "D0CF11E0A1B11AE1"
@@ -79,46 +75,19 @@ def signature_label(prefix: str) -> str:
 
 
 # -------------------------------------------------------------------- archives
-ZIP_INFO = StructType(
-    [
-        StructField("ok", BooleanType()),
-        StructField("names", ArrayType(StringType())),
-        StructField("mimetype", StringType()),
-        StructField("content_types", StringType()),
-    ]
-)
-
-
-@F.pandas_udf(ZIP_INFO)
-def zip_info(content: pd.Series) -> pd.DataFrame:
-    """Member names and the two type files of ZIP bytes, NULL for other rows."""
+def with_zip_info(df: DataFrame, content: str = "content", out: str = "zip", members: str = TYPE_MEMBERS) -> DataFrame:
+    """Add ``box``, the members of a ZIP, and what its type depends on.
 
-    def look(raw) -> tuple:
-        if raw is None:
-            return None, None, None, None
-        try:
-            with zipfile.ZipFile(BytesIO(raw)) as archive:
-                names = archive.namelist()
-                read = {}
-                for name in ("mimetype", "[Content_Types].xml"):
-                    try:
-                        read[name] = archive.read(name).decode("utf-8", "ignore")
-                    except Exception:  # member missing or damaged
-                        read[name] = None
-                return True, names, read["mimetype"], read["[Content_Types].xml"]
-        except Exception:  # not a readable archive
-            return False, None, None, None
-
-    rows = [look(raw) for raw in content]
-    frame = pd.DataFrame(rows, columns=["ok", "names", "mimetype", "content_types"])
-    return frame.astype({"ok": "object"})
-
-
-def with_zip_info(df: DataFrame, content: str = "content", out: str = "zip") -> DataFrame:
-    """Add ``zip_info``; only ZIP rows carry bytes into Python."""
+    Only ZIP rows carry bytes into Python; ``members`` names those to inflate.
+    """
     only = f"if({header_hex(content, 4)} = '{ZIP_HEX}', {content}, NULL)"
-    # Not to be merged into lambda bodies of later expressions.
-    return df.withColumn(out, zip_info.asNondeterministic()(F.expr(only)))
+    text = {n: f"{MEMBER_TEXT.format(f'get(filter(box, m -> m.member = {lit(n)}), 0).data')}" for n in TYPE_FILES}
+    info = (
+        "if(box IS NULL, NULL, named_struct('ok', NOT exists(box, m -> m.member IS NULL), "
+        f"'names', transform(box, m -> m.member), 'mimetype', {text['mimetype']}, "
+        f"'content_types', {text['[Content_Types].xml']}))"
+    )
+    return df.withColumn("box", boxed(only, members)).withColumn(out, F.expr(info))
 
 
 def _named(zip_col: str, name: str) -> str:

@@ -69,8 +69,8 @@ def cut(text: str, limit: int, notice: str) -> str:
     return let(text, "tx", f"if(length(tx) > {limit}, concat(left(tx, {limit}), {lit(notice)}), tx)")
 
 
-def general_clean(text: str, limit: int | None = 100_000) -> str:
-    """Lower case, words only (which also drops whitespace runs), cut with ``...``."""
+def general_clean(text: str, limit: int | None = None) -> str:
+    """Lower case, words only (which also drops whitespace runs), with a ``limit`` cut with ``...``."""
     out = token_clean(text, digits=False)
     return cut(out, limit, "...") if limit else out
 
@@ -168,10 +168,10 @@ def budget_paragraphs(paras: str, budget: int = 50_000) -> str:
 
 # ---------------------------------------------------------------------- chunks
 def word_chunks(
-    text: str, size: int = 512, stride: int | None = None, max_chunks: int | None = 10
+    text: str, size: int = 512, stride: int | None = None, max_chunks: int | None = None
 ) -> str:
-    """Overlapping word windows; ``max_chunks=None`` keeps all of them."""
-    starts = f"sequence(1, size(wd), {stride or size // 2})"
+    """Overlapping word windows; ``max_chunks`` keeps only the first ones."""
+    starts = f"sequence(1, size(wd), {stride or max(1, size // 2)})"
     starts = f"slice({starts}, 1, {max_chunks})" if max_chunks else starts
     chunks = f"transform({starts}, s -> array_join(slice(wd, s, {size}), ' '))"
     return let(words_of(text), "wd", f"if(size(wd) = 0, {WORDS}, {chunks})")

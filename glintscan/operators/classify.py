@@ -70,8 +70,8 @@ def train_classifier(
     return PipelineModel(stages=[*prepared.stages, best]), history
 
 
-def predict(model: PipelineModel, df: DataFrame, chars: int | None = 128) -> DataFrame:
-    """Class and probability per text; ``chars`` is the model's input length."""
+def predict(model: PipelineModel, df: DataFrame, chars: int | None = None) -> DataFrame:
+    """Class and probability per text; ``chars`` limits what the model reads."""
     text = F.left("text", F.lit(chars)) if chars else F.col("text")
     whole = df.withColumn("text", text)
     scored = probability(model.transform(whole))
@@ -86,7 +86,7 @@ def predict_max_chunk(
     key: str,
     threshold: float = 0.7,
     size: int = 512,
-    max_chunks: int | None = 10,
+    max_chunks: int | None = None,
 ) -> DataFrame:
     """Largest chunk probability per text against a threshold."""
     chunks = df.select(

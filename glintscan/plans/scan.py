@@ -17,11 +17,11 @@ from glintscan.functions.detect import (
     report_label,
     with_zip_info,
 )
-from glintscan.functions.match import NO_WORDS, checked
+from glintscan.functions.match import checked
 from glintscan.functions.paths import base_name, suffix
 from glintscan.operators import dataset, filters
 from glintscan.session import run_dir
-from glintscan.sources.archives import container_text
+from glintscan.sources.archives import SCAN_MEMBERS, archive_text, first_error, office_text
 from glintscan.sources.rules import RuleSet
 
 OOXML_TYPES = [fixed.DOCX, fixed.XLSX, fixed.PPTX]
@@ -31,17 +31,31 @@ UNREADABLE = [
 ]
 
 
-def typed_files(files: DataFrame, encrypted_first: bool = False) -> DataFrame:
-    """Add ``mime_type`` to ``path, length, content`` rows."""
+def typed_files(
+    files: DataFrame, encrypted_first: bool = False, members: str | None = None
+) -> DataFrame:
+    """Add ``mime_type`` to ``path, length, content`` rows.
+
+    With ``members`` the same opening of a ZIP also gives the members with such
+    names, kept as ``box``.
+    """
     mime = mime_cascade("path", "content", "length", "zip")
     if encrypted_first:
         mime = f"if({is_encrypted('content', 'zip')}, 'application/encrypted', {mime})"
-    return with_zip_info(files).withColumn("mime_type", F.expr(mime)).drop("zip")
+    known = with_zip_info(files, members=members) if members else with_zip_info(files)
+    typed = known.withColumn("mime_type", F.expr(mime)).drop("zip")
+    return typed if members else typed.drop("box")
 
 
 def routed_files(typed: DataFrame) -> DataFrame:
-    """Add ``is_empty``, ``skipped``, ``error`` and the ``route`` of each file."""
-    skipped = any_of([filters.skips_mime("mime_type"), filters.skips_extension(suffix("path"))])
+    """Add ``is_empty``, ``skipped`` and the ``route`` of each file.
+
+    A damaged ZIP has no type; it goes to its error, not to the skipped files.
+    """
+    damaged = "coalesce(exists(box, m -> m.member IS NULL), false)" if "box" in typed.columns else "false"
+    skipped = any_of(
+        [f"{filters.skips_mime('mime_type')} AND NOT {damaged}", filters.skips_extension(suffix("path"))]
+    )
     flagged = typed.withColumns(
         {"is_empty": F.expr("length = 0"), "skipped": F.expr(f"length > 0 AND {skipped}")}
     )
@@ -50,6 +64,7 @@ def routed_files(typed: DataFrame) -> DataFrame:
         [
             ("is_empty OR skipped", "'none'"),
             (f"{gate} = 'error'", "'too_large'"),
+            (damaged, "'archive'"),
             (is_in("mime_type", OOXML_TYPES), "'ooxml'"),
             (f"mime_type = {lit(fixed.ZIP)}", "'archive'"),
             (is_in("mime_type", UNREADABLE), "'unreadable'"),
@@ -62,31 +77,34 @@ def routed_files(typed: DataFrame) -> DataFrame:
 def extracted(routed: DataFrame) -> DataFrame:
     """Add ``text`` and ``error`` to routed files, in one pass without a shuffle.
 
-    Text files are decoded natively; Office and archive bytes cross into one
-    Arrow function; the other routes give no text.
+    Text files are decoded natively; Office and archive texts come from their
+    members in ``box``, which has an error for each one that cannot be read; the
+    readable ones count all the same. The other routes give no text.
     """
-    boxed = routed.withColumn(
-        "__box", container_text("path", "content", "route IN ('ooxml', 'archive')")
-    ).withColumn("__plain", decode_text("if(route = 'text', content, NULL)"))
+    plain = routed.withColumn("__plain", decode_text("if(route = 'text', content, NULL)"))
     text = case(
-        [("route = 'text'", "__plain"), ("route IN ('ooxml', 'archive')", "__box.text")], "''"
+        [
+            ("route = 'text'", "__plain"),
+            ("route = 'ooxml'", f"coalesce({office_text('box')}, '')"),
+            ("route = 'archive'", f"coalesce({archive_text('box')}, '')"),
+        ],
+        "''",
     )
     error = case(
         [
             ("route = 'too_large'", filters.too_large_text("length")),
             ("route = 'unreadable'", "concat('不支持的文件类型: ', mime_type)"),
-        ],
-        "__box.error",
-    )
-    return boxed.withColumns({"text": F.expr(text), "error": F.expr(error)}).drop(
-        "__box", "__plain"
+            ("route IN ('ooxml', 'archive') AND box IS NULL", "'解压缩失败: 不是ZIP文件'"),
+            ("route IN ('ooxml', 'archive')", first_error("box")),
+        ]
     )
+    return plain.withColumns({"text": F.expr(text), "error": F.expr(error)}).drop("__plain", "box")
 
 
 def scan(files: DataFrame, rules: RuleSet, order: str = "config", **options) -> DataFrame:
     """Files to results: type, text, nested words, flags and errors."""
-    texts = extracted(routed_files(typed_files(files)))
-    words = f"if(error IS NULL, {checked('text', rules, order=order, **options)}, {NO_WORDS})"
+    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS)))
+    words = checked("text", rules, order=order, **options)
     return texts.selectExpr(
         "path AS file_path",
         "mime_type",
@@ -113,7 +131,7 @@ def type_labels(files: DataFrame) -> DataFrame:
 
 def sample_rows(files: DataFrame, flag: int) -> DataFrame:
     """Inventory rows to ``files`` rows with a constant label, failures dropped."""
-    texts = extracted(routed_files(typed_files(files)))
+    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS)))
     failed = lit(fixed.EXTRACTION_ERRORS[0])
     rows = texts.selectExpr(
         "path AS id",

@@ -18,13 +18,13 @@ def write_json_report(results: DataFrame, folder: str) -> None:
 
 
 def write_csv(df: DataFrame, folder: str, sep: str = ",", bom: bool = False) -> None:
-    """CSV or TSV part files. ``bom`` starts the header with a byte-order mark,
+    """CSV or TSV part files, quotes doubled inside quotes. ``bom`` starts the header with a byte-order mark,
     for a table small enough to open as one file elsewhere."""
     out = df
     if bom:
         first = df.columns[0]
         out = df.withColumnRenamed(first, "﻿" + first)
-    out.write.mode("overwrite").option("header", True).option("sep", sep).csv(folder)
+    out.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(folder)
 
 
 def write_report(results: DataFrame, folder: str, with_content: bool = True) -> None:

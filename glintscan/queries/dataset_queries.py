@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glintscan.functions import fixed
 from glintscan.operators import classify, dataset
 from glintscan.plans import scan
-from glintscan.queries.derived import RULES, archives, documents, files, office_files
+from glintscan.queries.derived import (
+    CONTENT_SQL,
+    RULES,
+    archives,
+    documents,
+    files,
+    office_files,
+    sample_files,
+)
 from glintscan.queries.registry import query
 from glintscan.queries.text_queries import TYPE_CASE, XML_SQL, css_sql
 from glintscan.session import run_dir
@@ -193,12 +202,15 @@ def scan_end_to_end(spark, sf_dir):
     )
 
 
-@query("sample_table")
+@query(
+    "sample_table",
+    f"""SELECT DISTINCT md5(content) AS md5, strlen(content) AS file_size, 1 AS is_sensitive
+    FROM (SELECT {CONTENT_SQL} AS content FROM documents)
+    WHERE content <> '' AND content NOT IN ({", ".join(f"'{e}'" for e in fixed.EXTRACTION_ERRORS)})""",
+)
 def sample_table(spark, sf_dir):
-    inputs = files(spark, sf_dir).withColumn(
-        "modificationTime", F.timestamp_seconds(F.col("doc_id") + 1704067200)
-    )
+    inputs = sample_files(spark, sf_dir)
     folder = run_dir(spark, "sample-table")
     scan.write_samples(spark, inputs, 1, folder)
     scan.write_samples(spark, inputs, 0, folder)  # all hashes known: adds nothing
-    return spark.read.parquet(folder).select("md5", "filename", "file_type", "file_size", "is_sensitive")
+    return spark.read.parquet(folder).select("md5", "file_size", "is_sensitive")

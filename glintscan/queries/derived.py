@@ -108,6 +108,17 @@ def ole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of a labelled folder, some without usable content."""
+    docs = documents(spark, sf_dir, "text").selectExpr("doc_id", f"encode({CONTENT_SQL}, 'UTF-8') AS content")
+    return docs.selectExpr(
+        "concat('/in/', doc_id, '.txt') AS path",
+        "timestamp_seconds(doc_id + 1704067200) AS modificationTime",
+        "cast(octet_length(content) AS bigint) AS length",
+        "content",
+    )
+
+
 def results(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """A results table: the documents checked with the fixture rules."""
     docs = documents(spark, sf_dir, "text", "source", "n_chars", "lang")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from glintscan.functions import detect, fixed, paths, text
@@ -24,6 +22,7 @@ from glintscan.queries.derived import (
     files,
     office_files,
     ole_files,
+    sample_files,
 )
 from glintscan.queries.registry import query
 from glintscan.session import run_dir
@@ -59,11 +58,26 @@ TYPED_CTE = FILES_CTE + f", t AS (SELECT *, {MIME_BY_EXT} AS mime FROM f)"
 
 
 # --------------------------------------------------------------------- sources
-@query("file_scan")
+def _lines_of(scanned, origin: str):
+    """``origin`` and the hash of each line of scanned text files."""
+    lines = "split(cast(content AS string), '\\n', -1)"
+    return scanned.selectExpr(
+        f"{origin} AS origin", f"explode(slice({lines}, 1, size({lines}) - 1)) AS line"
+    ).selectExpr("origin", "md5(line) AS line_md5")
+
+
+def _write_texts(df, folder: str, *parts: str) -> None:
+    df.write.option("maxRecordsPerFile", 1000).mode("append").partitionBy(*parts).text(folder)
+
+
+@query(
+    "file_scan",
+    """SELECT lang AS origin, md5(unnest(string_split(text, chr(10)))) AS line_md5 FROM documents""",
+)
 def file_scan(spark, sf_dir):
-    return file_source.scan_files(spark, sf_dir).selectExpr(
-        f"{paths.base_name('path')} AS file_name", f"{paths.suffix('path')} AS extension", "length"
-    )
+    folder = run_dir(spark, "file-scan")
+    _write_texts(documents(spark, sf_dir, "text", "lang").select("text", "lang"), folder, "lang")
+    return _lines_of(file_source.scan_files(spark, folder), f"regexp_extract(path, {spark_lit('/lang=([^/]*)/')}, 1)")
 
 
 @query(
@@ -169,33 +183,30 @@ def load_samples(spark, sf_dir):
 
 @query(
     "labelled_ingest",
-    f"""WITH c AS (SELECT doc_id, {CONTENT_SQL} AS content, md5(text) AS md5 FROM documents),
-    k AS (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY doc_id) AS r FROM c
-      WHERE content <> '' AND content NOT IN {in_list(fixed.EXTRACTION_ERRORS)})
-    SELECT doc_id, md5, 1 AS is_sensitive FROM k WHERE r = 1""",
+    f"""SELECT DISTINCT md5(content) AS md5, 1 AS is_sensitive FROM (SELECT {CONTENT_SQL} AS content FROM documents)
+    WHERE content <> '' AND content NOT IN {in_list(fixed.EXTRACTION_ERRORS)}""",
 )
 def labelled_ingest(spark, sf_dir):
     from glintscan.operators import dataset
 
-    rows = documents(spark, sf_dir, "text").selectExpr(
-        "doc_id", f"{CONTENT_SQL} AS content", "md5(text) AS md5"
-    )
-    kept = dataset.keep_first(filters.drop_failed(rows), "md5", "doc_id")
-    return file_source.labelled(kept, 1).select("doc_id", "md5", "is_sensitive")
+    kept = dataset.keep_first(scan.sample_rows(sample_files(spark, sf_dir), 1))
+    return kept.select("md5", "is_sensitive")
 
 
 @query(
     "multi_path_scan",
-    """SELECT 'documents' AS origin, md5(text) AS text_md5 FROM documents UNION ALL
-    SELECT 'conversations', md5(text) FROM conversations UNION ALL
-    SELECT 'benchmark', md5(text) FROM benchmark""",
+    """SELECT 'documents' AS origin, md5(unnest(string_split(text, chr(10)))) AS line_md5 FROM documents UNION ALL
+    SELECT 'conversations', md5(unnest(string_split(text, chr(10)))) FROM conversations UNION ALL
+    SELECT 'benchmark', md5(unnest(string_split(text, chr(10)))) FROM benchmark""",
 )
 def multi_path_scan(spark, sf_dir):
-    parts = [
-        table(spark, sf_dir, name, "text").select(F.lit(name).alias("origin"), "text")
-        for name in ("documents", "conversations", "benchmark")
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts).selectExpr("origin", "md5(text) AS text_md5")
+    folder = run_dir(spark, "multi-path")
+    names = ("documents", "conversations", "benchmark")
+    for name in names:
+        texts = table(spark, sf_dir, name, "text").select("text")
+        texts.write.option("maxRecordsPerFile", 1000).text(f"{folder}/{name}")
+    scanned = file_source.scan_files(spark, [f"{folder}/{name}" for name in names])
+    return _lines_of(scanned, f"regexp_extract(path, {spark_lit('/([^/]*)/[^/]*$')}, 1)")
 
 
 _MEMBERS_CTE = """l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
@@ -204,19 +215,14 @@ _MEMBERS_CTE = """l AS (SELECT doc_id, text, unnest(string_split(text, chr(10)))
     UNION ALL SELECT doc_id, 'lines/' || lpad(i::VARCHAR, 5, '0') || '.txt', 1, line, '.txt' FROM l
     UNION ALL SELECT doc_id, 'img/0.bin', 1, repeat('x', (doc_id % 7)::INT), '.bin' FROM documents
     UNION ALL SELECT doc_id, '__MACOSX/._readme.md', 1, 'x', '.md' FROM documents),
-  z AS (SELECT *, strlen(body) AS size, member NOT LIKE '\\_\\_MACOSX%' ESCAPE '\\' AND ext <> '.bin'
-      AND strlen(body) < 102400 AND trim(body) <> '' AS is_text FROM m),
-  q AS (SELECT *, sum(CASE WHEN is_text THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id
-      ORDER BY depth, split_part(member, '/', 1), member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM z),
-  k AS (SELECT *, CASE WHEN member LIKE '\\_\\_MACOSX%' ESCAPE '\\' OR coalesce(before, 0) >= 100 THEN 'skipped'
-      WHEN is_text THEN 'text' ELSE 'binary' END AS kind FROM q)"""
+  k AS (SELECT *, strlen(body) AS size, CASE WHEN member LIKE '\\_\\_MACOSX%' ESCAPE '\\' THEN 'skipped'
+      WHEN ext <> '.bin' AND trim(body) <> '' THEN 'text' ELSE 'binary' END AS kind FROM m)"""
 
 
 @query(
     "archive_members",
     f"""WITH {_MEMBERS_CTE} SELECT '/zips/' || doc_id || '.zip' AS path, member, depth, ext AS extension,
-    size, kind, CASE WHEN kind = 'text' THEN md5(CASE WHEN length(body) > 1000
-      THEN left(body, 1000) || '...[内容已截断]' ELSE body END) END AS preview_md5 FROM k""",
+    size, kind, CASE WHEN kind = 'text' THEN md5(body) END AS preview_md5 FROM k""",
 )
 def archive_members(spark, sf_dir):
     return archive_source.archive_members(archives(spark, sf_dir)).selectExpr(
@@ -251,7 +257,7 @@ def archive_extensions(spark, sf_dir):
     SELECT '/office/' || doc_id || '.docx' AS path, 'docx' AS file_type, 1 AS part,
       md5(array_to_string(lines, chr(10) || chr(10))) AS text_md5, len(lines)::INT AS rows FROM l WHERE doc_id % 3 = 0
     UNION ALL SELECT '/office/' || doc_id || '.xlsx', 'xlsx', 1, md5(array_to_string(
-      list_transform(lines[1:5000], lambda x: replace(x, ' ', chr(9))), chr(10))), len(lines)::INT FROM l WHERE doc_id % 3 = 1
+      list_transform(lines, lambda x: replace(x, ' ', chr(9))), chr(10))), len(lines)::INT FROM l WHERE doc_id % 3 = 1
     UNION ALL SELECT '/office/' || doc_id || '.pptx', 'pptx', i::INT, md5(trim(line)), NULL
       FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM l WHERE doc_id % 3 = 2)""",
 )
@@ -559,12 +565,12 @@ def mime_mismatch(spark, sf_dir):
 
 @query(
     "text_format",
-    f"""WITH s AS (SELECT page_id, left(html, 1000) AS h, '' AS ext FROM pages
+    f"""WITH s AS (SELECT page_id, html AS h, '' AS ext FROM pages
       UNION ALL SELECT doc_id + 1000000, text, '' FROM documents)
     SELECT page_id, {text_format_sql('h', 'ext')} AS format FROM s""",
 )
 def text_format(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "left(html, 1000) AS h")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "html AS h")
     docs = documents(spark, sf_dir, "text").selectExpr("doc_id + 1000000 AS page_id", "text AS h")
     return pages.unionByName(docs).selectExpr(
         "page_id", f"{detect.text_format(spark_lit(''), 'h')} AS format"
@@ -728,13 +734,19 @@ def encrypted_flag(spark, sf_dir):
     )
 
 
+# UTF-8 texts, GBK bytes before plain letters, and a byte that neither form has.
+_CODED = "CASE doc_id % 3 WHEN 0 THEN {utf8} WHEN 1 THEN unhex('C3DCC2EB') || {plain} ELSE unhex('FF') || {plain} END"
+
+
 @query(
     "encoding_guess",
-    f"""WITH {FILES_CTE} SELECT doc_id, CASE WHEN try(decode(unhex(hx))) IS NOT NULL THEN 'UTF-8' ELSE 'other' END AS encoding FROM f""",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'GBK' ELSE 'unknown' END AS encoding FROM documents""",
 )
 def encoding_guess(spark, sf_dir):
-    guessed = files(spark, sf_dir).withColumn("guess", detect.encoding_guess("content"))
-    return guessed.selectExpr("doc_id", "if(guess = 'UTF-8', guess, 'other') AS encoding")
+    plain = f"encode(regexp_replace(text, {spark_lit(r'[^\x00-\x7F]')}, ''), 'UTF-8')"
+    coded = _CODED.format(utf8="encode(text, 'UTF-8')", plain=plain)
+    raw = documents(spark, sf_dir, "text").selectExpr("doc_id", f"{coded} AS content")
+    return raw.withColumn("encoding", detect.encoding_guess("content")).drop("content")
 
 
 def _count_sql(hx: str, word: str) -> str:
@@ -755,7 +767,7 @@ def _guess_arm(kind: str) -> str:
 @query(
     "office_guess",
     f"""WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Microsoft Word ' WHEN 1 THEN 'Sheet Excel xl/workbook.xml'
-        WHEN 2 THEN 'Slide Slide PowerPoint ' WHEN 3 THEN 'Office ' ELSE '' END || left(text, 2000) AS text FROM documents),
+        WHEN 2 THEN 'Slide Slide PowerPoint ' WHEN 3 THEN 'Office ' ELSE '' END || text AS text FROM documents),
     s AS (SELECT doc_id, {_V} AS v, {", ".join(f"{e} AS {k}" for k, e in _OG.items())} FROM x),
     b AS (SELECT *, greatest(doc, xls, ppt) AS best FROM s)
     SELECT doc_id, CASE WHEN NOT {any_sql(f"contains(v, {lit(w)})" for w in fixed.OFFICE_GATE_WORDS)} THEN NULL
@@ -765,7 +777,7 @@ def office_guess(spark, sf_dir):
     marked = documents(spark, sf_dir, "text").selectExpr(
         "doc_id",
         """encode(CASE doc_id % 5 WHEN 0 THEN 'Microsoft Word ' WHEN 1 THEN 'Sheet Excel xl/workbook.xml'
-        WHEN 2 THEN 'Slide Slide PowerPoint ' WHEN 3 THEN 'Office ' ELSE '' END || left(text, 2000), 'UTF-8') AS content""",
+        WHEN 2 THEN 'Slide Slide PowerPoint ' WHEN 3 THEN 'Office ' ELSE '' END || text, 'UTF-8') AS content""",
     )
     return marked.selectExpr("doc_id", f"{detect.office_guess('content')} AS label")
 

@@ -143,15 +143,15 @@ def report_content(spark, sf_dir):
 @query(
     "csv_report",
     f"""WITH {RES_CTE} SELECT file_path, file_name, mime_type, CASE WHEN n_terms > 0 THEN '是' ELSE '否' END AS is_sensitive,
-    coalesce(replace(bare, '"', ''), '') AS terms, coalesce(error, '') AS error FROM s""",
+    coalesce(bare, '') AS terms, processing_time, coalesce(error, '') AS error FROM s""",
 )
 def csv_report(spark, sf_dir):
     folder = run_dir(spark, "csv-report")
     sinks.write_csv(report.csv_rows(results(spark, sf_dir)), folder)
-    back = spark.read.option("header", True).option("escape", "\\").csv(folder)
+    back = spark.read.options(header=True, escape='"', multiLine=True).csv(folder)
     return back.selectExpr(
-        "file_path", "file_name", "mime_type", "is_sensitive",
-        "coalesce(replace(terms, '\"', ''), '') AS terms", "coalesce(error, '') AS error",
+        "file_path", "file_name", "mime_type", "is_sensitive", "coalesce(terms, '') AS terms",
+        "cast(processing_time AS double) AS processing_time", "coalesce(error, '') AS error",
     )
 
 

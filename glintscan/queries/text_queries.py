@@ -92,11 +92,11 @@ def clean_dispatch(spark, sf_dir):
 @query(
     "general_clean",
     f"""WITH c AS (SELECT doc_id, {clean_sql("regexp_replace(text, '\\s+', ' ', 'g')", False)} AS t FROM documents)
-    SELECT doc_id, md5(CASE WHEN length(t) > 5000 THEN left(t, 5000) || '...' ELSE t END) AS clean_md5 FROM c""",
+    SELECT doc_id, md5(t) AS clean_md5 FROM c""",
 )
 def general_clean(spark, sf_dir):
     return documents(spark, sf_dir, "text").selectExpr(
-        "doc_id", f"md5({text.general_clean('text', 5000)}) AS clean_md5"
+        "doc_id", f"md5({text.general_clean('text')}) AS clean_md5"
     )
 
 
@@ -166,11 +166,8 @@ def paragraph_budget(spark, sf_dir):
 
 @query(
     "binary_text",
-    f"""WITH {PARA_CTE}, t AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id) AS total,
-      sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY length(p) DESC, ord) AS used FROM p),
-    k AS (SELECT *, CASE WHEN total > 4000 THEN row_number() OVER (PARTITION BY doc_id ORDER BY length(p) DESC, ord) ELSE ord + 1 END AS r
-      FROM t WHERE total <= 4000 OR used <= 4000),
-    j AS (SELECT doc_id, count(*) AS n, string_agg(p, chr(10) || chr(10) ORDER BY r) AS t FROM k GROUP BY doc_id)
+    f"""WITH {PARA_CTE},
+    j AS (SELECT doc_id, count(*) AS n, string_agg(p, chr(10) || chr(10) ORDER BY ord) AS t FROM p GROUP BY doc_id)
     SELECT d.doc_id, 'utf-8' AS encoding, coalesce(n, 0) AS paragraphs, coalesce(length(t), 0) < 100 AS failed,
       md5(CASE WHEN coalesce(length(t), 0) < 100 THEN '' ELSE t END) AS text_md5 FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
 )
@@ -178,7 +175,7 @@ def binary_text(spark, sf_dir):
     from glintscan.sources.files import binary_text as read_binary_text
 
     raw = documents(spark, sf_dir, "text").selectExpr("doc_id", "encode(text, 'UTF-8') AS content")
-    found = read_binary_text(raw, separator="\n", budget=4000)
+    found = read_binary_text(raw, separator="\n")
     return found.selectExpr(
         "doc_id", "encoding", "cast(paragraphs AS bigint) AS paragraphs",
         "error IS NOT NULL AS failed", "md5(text) AS text_md5",
@@ -215,7 +212,7 @@ def phrase_rewrite(spark, sf_dir):
     "word_chunks",
     """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
     c AS (SELECT doc_id, w, unnest(range(0, len(w), 64)) AS s FROM w)
-    SELECT doc_id, s // 64 AS chunk_id, md5(array_to_string(w[s + 1:s + 128], ' ')) AS chunk_md5 FROM c WHERE s // 64 < 10""",
+    SELECT doc_id, s // 64 AS chunk_id, md5(array_to_string(w[s + 1:s + 128], ' ')) AS chunk_md5 FROM c""",
 )
 def word_chunks(spark, sf_dir):
     chunks = documents(spark, sf_dir, "text").selectExpr(

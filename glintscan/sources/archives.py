@@ -1,131 +1,122 @@
-"""ZIP members and Office Open XML text as one-row-in, many-rows-out jobs."""
+"""Archive members, Office Open XML parts and container texts.
 
-from __future__ import annotations
+Names, kinds, texts, paragraphs, cells, slides, counts and limits are Spark
+expressions over inflated members.
+"""
 
-import zipfile
-from collections.abc import Iterator
-from io import BytesIO
-from xml.etree import ElementTree
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
-from glintscan.functions import fixed
-
-MEMBER_SCHEMA = (
-    "path string, member string, depth int, extension string, size bigint, kind string, "
-    "preview string, error string"
-)
-PART_SCHEMA = (
-    "path string, file_type string, part int, name string, text string, rows int, columns int, "
-    "shapes int, images int, charts int, tables int, error string"
-)
-
-
-ROWS_PER_YIELD = 1000
-MEMBER_COLUMNS = ["path", "member", "depth", "extension", "size", "kind", "preview", "error"]
-TEXT_EXTENSIONS = frozenset(fixed.ARCHIVE_TEXT_EXTENSIONS)
-JUNK_PREFIXES = tuple(fixed.ARCHIVE_JUNK_PREFIXES)
-
-
-def safe(name: str) -> bool:
-    return not name.startswith("/") and ".." not in name.split("/")
-
-
-def ext_of(leaf: str) -> str:
-    dot = leaf.rfind(".")
-    return leaf[dot:].lower() if dot > 0 else ""
-
-
-def read_members(
-    path: str,
-    raw: bytes,
-    preview_chars: int | None = 1000,
-    max_members: int | None = 100,
-    max_total: int | None = 10 * 1024 * 1024,
-    max_member: int = 100 * 1024,
-) -> list[tuple]:
-    """Rows of one archive, see :func:`archive_members`."""
-    try:
-        archive = zipfile.ZipFile(BytesIO(raw))
-    except Exception as problem:
-        return [(path, None, None, None, None, None, None, f"解压缩失败: {problem}")]
-    out: list[tuple] = []
-    taken = spent = 0
-    infos = [i for i in archive.infolist() if not i.is_dir() and safe(i.filename)]
-    infos.sort(key=lambda i: (i.filename.count("/"), i.filename.rpartition("/")[0], i.filename))
-    for info in infos:
-        folder, _, leaf = info.filename.rpartition("/")
-        depth = info.filename.count("/")
-        ext = ext_of(leaf)
-        kind, shown = "binary", None
-        full = (max_members is not None and taken >= max_members) or (
-            max_total is not None and spent + info.file_size > max_total
-        )
-        if leaf.startswith(JUNK_PREFIXES) or "__MACOSX" in folder.split("/") or full:
-            kind = "skipped"
-        elif ext in TEXT_EXTENSIONS and info.file_size < max_member:
-            try:
-                text = archive.read(info).decode("utf-8", "ignore")
-            except Exception:
-                text = ""
-            if text.strip():
-                cut = preview_chars is not None and len(text) > preview_chars
-                shown = text[:preview_chars] + "...[内容已截断]" if cut else text
-                kind = "text"
-                taken += 1
-                spent += info.file_size
-        out.append((path, info.filename, depth, ext, info.file_size, kind, shown, None))
-    return out
+
+from glintscan.functions import fixed, office
+from glintscan.functions.cols import any_of, case, is_in, let, lit
+from glintscan.functions.paths import suffix
+from glintscan.functions.unzip import MEMBER_TEXT, TEXT_MEMBERS, TYPE_MEMBERS, boxed, inflated
+
+# --------------------------------------------------------------------- archives
+def folder_of(member: str) -> str:
+    return f"regexp_extract({member}, '^(.*)/', 1)"
+
+
+def leaf_of(member: str) -> str:
+    return f"substring_index({member}, '/', -1)"
+
+
+def is_safe(member: str) -> str:
+    return f"NOT startswith({member}, '/') AND NOT array_contains(split({member}, '/'), '..')"
+
+
+def is_junk(member: str) -> str:
+    prefixed = any_of(f"startswith({leaf_of(member)}, {lit(p)})" for p in fixed.ARCHIVE_JUNK_PREFIXES)
+    return f"({prefixed} OR array_contains(split({folder_of(member)}, '/'), '__MACOSX'))"
+
+
+def skipped_members(rows: DataFrame, max_members: int | None, max_total: int | None) -> DataFrame:
+    """``path, seq`` of the members that the limits leave out.
+
+    Members are taken folder by folder, upper folders first, names sorted. Only
+    names and sizes come together, not texts.
+    """
+    full = any_of(
+        ([f"a.n >= {max_members}"] if max_members is not None else [])
+        + ([f"a.used + x.size > {max_total}"] if max_total is not None else [])
+    )
+    step = (
+        f"(a, x) -> CASE WHEN {full} THEN struct(a.n AS n, a.used AS used, array_append(a.gone, x.seq) AS gone) "
+        "WHEN x.is_text THEN struct(a.n + 1 AS n, a.used + x.size AS used, a.gone AS gone) ELSE a END"
+    )
+    start = "struct(0 AS n, 0L AS used, cast(array() AS array<int>) AS gone)"
+    ranked = rows.where("NOT junk").groupBy("path").agg(
+        F.expr("array_sort(collect_list(struct(depth, folder, member, seq, size, is_text)))").alias("all")
+    )
+    return ranked.select("path", F.explode(F.expr(f"aggregate(all, {start}, {step}).gone")).alias("seq"))
 
 
 def archive_members(
     files: DataFrame,
-    preview_chars: int | None = 1000,
-    max_members: int | None = 100,
-    max_total: int | None = 10 * 1024 * 1024,
-    max_member: int = 100 * 1024,
-    max_archive: int = 100 * 1024 * 1024,
+    preview_chars: int | None = None,
+    max_members: int | None = None,
+    max_total: int | None = None,
+    max_member: int | None = None,
+    max_archive: int | None = None,
 ) -> DataFrame:
-    """One row per archive member; damaged or oversized archives give one error row.
+    """One row per archive member; a damaged or oversized archive is one error row.
 
-    ``kind`` is text, binary or skipped. Members are taken folder by folder,
-    upper folders first, names sorted. After ``max_members`` texts, and where a
-    member would exceed ``max_total`` bytes of text, members are skipped.
-    ``None`` lifts a limit.
+    ``kind`` is text, binary, skipped or error (damaged and encrypted members,
+    with their ``error``). Everything is read whole unless a limit is given:
+    characters of a preview, texts and bytes of text of an archive, bytes of a
+    member to be read as text, bytes of an archive. Members with unsafe names
+    are left out.
     """
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                rows += read_members(path, raw, preview_chars, max_members, max_total, max_member)
-                if len(rows) >= ROWS_PER_YIELD:
-                    yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
-
-    small = files.where(F.col("length") <= max_archive).select("path", "content")
-    large = files.where(F.col("length") > max_archive).select(
+    small = files if max_archive is None else files.where(F.col("length") <= max_archive)
+    rows = inflated(small, TEXT_MEMBERS).where(f"member IS NULL OR ({is_safe('member')})")
+    rows = rows.selectExpr(
         "path",
-        *[F.lit(None).cast(t).alias(n) for n, t in (
-            ("member", "string"), ("depth", "int"), ("extension", "string"), ("size", "bigint"),
-            ("kind", "string"), ("preview", "string"))],
-        F.concat(
-            F.lit("压缩文件过大 ("),
-            F.format_string("%.2f", F.col("length") / (1024 * 1024)),
-            F.lit(" MB)，跳过解压，防止解压炸弹"),
-        ).alias("error"),
+        "seq",
+        "member",
+        "length(member) - length(replace(member, '/', '')) AS depth",
+        f"{folder_of('member')} AS folder",
+        f"{suffix('member')} AS extension",
+        "size",
+        f"coalesce({is_junk('member')}, false) AS junk",
+        f"{MEMBER_TEXT.format('data')} AS text",
+        "error",
+    )
+    short = "true" if max_member is None else f"size < {max_member}"
+    known = is_in("extension", fixed.ARCHIVE_TEXT_EXTENSIONS)
+    rows = rows.withColumn("is_text", F.expr(f"coalesce({known} AND {short} AND text RLIKE {lit(r'(?U)\S')}, false)"))
+    gone = "junk"
+    if max_members is not None or max_total is not None:
+        left_out = skipped_members(rows.where("member IS NOT NULL"), max_members, max_total)
+        rows = rows.join(left_out.withColumn("gone", F.lit(True)), ["path", "seq"], "left")
+        gone = "junk OR coalesce(gone, false)"
+    kind = case(
+        [("member IS NULL", "NULL"), (gone, "'skipped'"), ("error IS NOT NULL", "'error'"), ("is_text", "'text'")],
+        "'binary'",
+    )
+    shown = "text"
+    if preview_chars is not None:
+        shown = f"if(length(text) > {preview_chars}, concat(left(text, {preview_chars}), '...[内容已截断]'), text)"
+    out = rows.withColumn("kind", F.expr(kind)).selectExpr(
+        "path", "member", "depth", "extension", "size", "kind",
+        f"if(kind = 'text', {shown}, NULL) AS preview",
+        "if(kind = 'skipped', NULL, error) AS error",
     )
-    return small.mapInPandas(extract, MEMBER_SCHEMA).unionByName(large)
+    if max_archive is None:
+        return out
+    mb = "format_string('%.2f', length / (1024 * 1024))"
+    large = files.where(F.col("length") > max_archive).selectExpr(
+        "path", "cast(NULL AS string) AS member", "cast(NULL AS int) AS depth", "cast(NULL AS string) AS extension",
+        "cast(NULL AS bigint) AS size", "cast(NULL AS string) AS kind", "cast(NULL AS string) AS preview",
+        f"concat('压缩文件过大 (', {mb}, ' MB)，跳过解压，防止解压炸弹') AS error",
+    )
+    return out.unionByName(large)
 
 
 def archive_stats(members: DataFrame) -> DataFrame:
     """Per archive: member counts by kind and the deepest folder."""
-    return members.where(F.col("error").isNull()).groupBy("path").agg(
+    return members.where(F.col("member").isNotNull()).groupBy("path").agg(
         F.count(F.lit(1)).alias("total_files"),
         F.max("depth").alias("max_depth"),
         F.count_if(F.col("kind") == "text").alias("text_files"),
@@ -137,7 +128,7 @@ def archive_stats(members: DataFrame) -> DataFrame:
 def archive_extensions(members: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent member extensions over all archives."""
     return (
-        members.where((F.col("extension") != "") & F.col("error").isNull())
+        members.where((F.col("extension") != "") & F.col("member").isNotNull())
         .groupBy("extension")
         .agg(F.count(F.lit(1)).alias("files"))
         .orderBy(F.desc("files"), "extension")
@@ -145,135 +136,82 @@ def archive_extensions(members: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-PART_COLUMNS = [c.split()[0] for c in PART_SCHEMA.split(", ")]
-PART_NUMBERS = ["part", "rows", "columns", "shapes", "images", "charts", "tables"]
-
-
-def local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def texts(node, leaf: str) -> str:
-    return "".join(n.text or "" for n in node.iter() if local(n.tag) == leaf)
-
-
-def numbered(archive: zipfile.ZipFile, prefix: str) -> list[str]:
-    found = [
-        n for n in archive.namelist()
-        if n.startswith(prefix) and n.endswith(".xml") and n[len(prefix):-4].isdigit()
-    ]
-    return sorted(found, key=lambda n: int(n[len(prefix):-4]))
-
-
-def word(path: str, archive: zipfile.ZipFile) -> list[tuple]:
-    root = ElementTree.fromstring(archive.read("word/document.xml"))
-    body = next(n for n in root.iter() if local(n.tag) == "body")
-    paras = [texts(p, "t") for p in body if local(p.tag) == "p"]
-    tables = sum(local(n.tag) == "tbl" for n in body)
-    row = (path, "docx", 1, "body", "\n\n".join(paras), len(paras), None,
-           None, None, None, tables, None)
-    return [row]
-
-
-def excel(path: str, archive: zipfile.ZipFile, sheet_rows: int | None) -> list[tuple]:
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in archive.namelist():
-        root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-        shared = [texts(n, "t") for n in root if local(n.tag) == "si"]
-    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-    titles = [n.get("name") for n in book.iter() if local(n.tag) == "sheet"]
-
-    def value(cell) -> str:
-        if cell.get("t") == "inlineStr":
-            return texts(cell, "t")
-        raw = next((n.text or "" for n in cell if local(n.tag) == "v"), "")
-        return shared[int(raw)] if cell.get("t") == "s" and raw else raw
-
-    out = []
-    for i, part in enumerate(numbered(archive, "xl/worksheets/sheet")):
-        root = ElementTree.fromstring(archive.read(part))
-        rows = [
-            [value(c) for c in r if local(c.tag) == "c"]
-            for r in root.iter() if local(r.tag) == "row"
-        ]
-        shown = rows if sheet_rows is None else rows[:sheet_rows]
-        text = "\n".join("\t".join(r) for r in shown)
-        title = titles[i] if i < len(titles) else f"sheet{i + 1}"
-        width = max((len(r) for r in rows), default=0)
-        out.append((path, "xlsx", i + 1, title, text, len(rows), width,
-                    None, None, None, None, None))
-    return out
-
-
-def slides(path: str, archive: zipfile.ZipFile) -> list[tuple]:
-    out = []
-    for i, part in enumerate(numbered(archive, "ppt/slides/slide")):
-        tree = next(
-            n for n in ElementTree.fromstring(archive.read(part)).iter()
-            if local(n.tag) == "spTree"
-        )
-        shapes = [n for n in tree if local(n.tag) in ("sp", "pic", "graphicFrame", "grpSp", "cxnSp")]
-        lines, pics, charts, tables = [], 0, 0, 0
-        for shape in shapes:
-            kinds = {local(n.tag) for n in shape.iter()}
-            if local(shape.tag) == "pic":
-                pics += 1
-            elif "chart" in kinds:
-                charts += 1
-            elif "tbl" in kinds:
-                tables += 1
-                for row in (n for n in shape.iter() if local(n.tag) == "tr"):
-                    cells = [texts(c, "t").strip() for c in row if local(c.tag) == "tc"]
-                    if any(cells):
-                        lines.append(" | ".join(cells))
-            else:
-                paras = [texts(p, "t") for p in shape.iter() if local(p.tag) == "p"]
-                text = "\n".join(paras).strip()
-                if text:
-                    lines.append(text)
-        out.append((path, "pptx", i + 1, f"slide{i + 1}", "\n".join(lines), None, None,
-                    len(shapes), pics, charts, tables, None))
-    return out
-
-
-def read_parts(path: str, raw: bytes, sheet_rows: int | None = 5000) -> list[tuple]:
-    try:
-        with zipfile.ZipFile(BytesIO(raw)) as archive:
-            members = set(archive.namelist())
-            if "word/document.xml" in members:
-                return word(path, archive)
-            if "xl/workbook.xml" in members:
-                return excel(path, archive, sheet_rows)
-            if "ppt/presentation.xml" in members:
-                return slides(path, archive)
-            problem = "not an Office Open XML file"
-    except Exception as error:
-        problem = f"{type(error).__name__}: {error}"
-    return [(path, None, None, None, "", None, None, None, None, None, None, problem)]
-
-
-def ooxml_parts(files: DataFrame, sheet_rows: int | None = 5000) -> DataFrame:
+# ------------------------------------------------------------ Office Open XML
+def office_kind(names: str) -> str:
+    """docx, xlsx, pptx or NULL by the member names of a file."""
+    return case(
+        [(f"array_contains({names}, {lit(n)})", f"'{kind}'") for n, kind in (
+            ("word/document.xml", "docx"), (office.BOOK, "xlsx"), (office.DECK, "pptx"))]
+    )
+
+
+def part_of(member: str, data: str, sheets: str, strings: str, sheet_rows: int | None) -> str:
+    """One member's part: text and counts; NULL for members without text of their own."""
+    none = {"rows": "int", "columns": "int", "shapes": "int", "images": "int", "charts": "int", "tables": "int"}
+
+    def row(file_type: str, part: str, name: str, text: str, **counts: str) -> str:
+        fields = ", ".join(f"cast({counts.get(n, 'NULL')} AS {t}) AS {n}" for n, t in none.items())
+        return f"struct('{file_type}' AS file_type, cast({part} AS int) AS part, {name} AS name, {text} AS text, {fields})"
+
+    xml = f"make_valid_utf8(cast({data} AS string))"
+    body = let(
+        xml, "xm", let(office.paragraphs("xm"), "ps", row(
+            "docx", "1", "'body'", "array_join(ps, '\\n\\n')", rows="size(ps)",
+            tables=f"size({office.tags('xm', 'tbl')})")))
+    shown = "rs" if sheet_rows is None else f"slice(rs, 1, {sheet_rows})"
+    digits = f"try_cast(regexp_extract({member}, {lit(r'(\d+)\.xml$')}, 1) AS int)"
+    place = f"array_position(transform({sheets}, s -> concat('xl/', s.target)), {member})"
+    sheet = let(
+        office.sheet_rows(xml, strings), "rs", let(place, "at", row(
+            "xlsx", f"if(at > 0, at, {digits})", f"coalesce(get({sheets}, cast(at AS int) - 1).title, {leaf_of(member)})",
+            f"array_join(transform({shown}, r -> r.text), '\\n')", rows="size(rs)",
+            columns="coalesce(array_max(transform(rs, r -> r.width)), 0)")))
+    shapes = let(
+        office.slide_shapes(xml), "ss", row(
+            "pptx", digits, f"concat('slide', {digits})",
+            "array_join(transform(filter(ss, s -> s.text <> ''), s -> s.text), '\\n')", shapes="size(ss)",
+            **{n: f"size(filter(ss, s -> s.kind = '{k}'))" for n, k in (("images", "pic"), ("charts", "chart"), ("tables", "table"))}))
+    return case(
+        [(f"{member} RLIKE {lit(f'^(?:{pattern})$')}", value) for pattern, value in (
+            (office.DOCX_BODY, body), (office.SHEET, sheet), (office.SLIDE, shapes))]
+    )
+
+
+def _data(box: str, name: str) -> str:
+    return f"cast(get(filter({box}, m -> m.member = {lit(name)}), 0).data AS string)"
+
+
+def office_parts(box: str, sheet_rows: int | None = None) -> str:
+    """The parts of an Office file in order, from its members; NULL for other files."""
+    part = part_of("m.member", "m.data", "sl", "st", sheet_rows)
+    found = f"filter(transform(bx, m -> {part}), p -> p IS NOT NULL AND p.file_type = kn)"
+    ordered = f"array_sort({found}, (a, b) -> CASE WHEN a.part < b.part THEN -1 WHEN a.part > b.part THEN 1 ELSE 0 END)"
+    sheets = office.sheet_places(_data("bx", office.BOOK), _data("bx", office.RELATIONS))
+    inner = let(sheets, "sl", let(office.shared_strings(_data("bx", office.SHARED)), "st", ordered))
+    kind = office_kind("transform(bx, m -> m.member)")
+    return let(box, "bx", let(kind, "kn", f"if(kn IS NULL, NULL, {inner})"))
+
+
+def first_error(box: str) -> str:
+    return f"get(filter({box}, m -> m.error IS NOT NULL), 0).error"
+
+
+def ooxml_parts(files: DataFrame, sheet_rows: int | None = None) -> DataFrame:
     """Text of docx, xlsx and pptx files: one row per body, sheet or slide.
 
     ``rows``/``columns`` describe the whole sheet; ``sheet_rows`` cuts only the
-    sheet's text (``None`` keeps it whole). Unreadable files give an error row.
+    sheet's text (``None`` keeps it whole). Sheets are in workbook order, found
+    by relation id; slides are numbered by their member's name. Unreadable files
+    and files with an unreadable part give one error row.
     """
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            made = pd.DataFrame(rows, columns=PART_COLUMNS)
-            return made.astype({c: "Int64" for c in PART_NUMBERS})
-
-        rows: list[tuple] = []
-        for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                rows += read_parts(path, raw, sheet_rows)
-                if len(rows) >= ROWS_PER_YIELD:
-                    yield frame(rows)
-                    rows = []
-        if rows:
-            yield frame(rows)
-
-    return files.select("path", "content").mapInPandas(extract, PART_SCHEMA)
+    boxes = files.select("path", boxed("content", office.PARTS).alias("box"))
+    made = boxes.selectExpr("path", f"{office_parts('box', sheet_rows)} AS parts", f"{first_error('box')} AS problem")
+    error = "coalesce(problem, if(parts IS NULL, 'not an Office Open XML file', NULL))"
+    rows = made.selectExpr("path", f"{error} AS error", f"explode_outer(if({error} IS NULL, parts, NULL)) AS p")
+    return rows.selectExpr(
+        "path", "p.file_type", "p.part", "p.name", "coalesce(p.text, '') AS text", "p.rows", "p.columns",
+        "p.shapes", "p.images", "p.charts", "p.tables", "error",
+    )
 
 
 def slide_stats(parts: DataFrame) -> DataFrame:
@@ -288,35 +226,17 @@ def slide_stats(parts: DataFrame) -> DataFrame:
     )
 
 
-# A scan reads archive texts whole; only members above the file size gate are left.
-SCAN_MEMBER_LIMIT = 200 * 1024 * 1024
-TEXT_OR_ERROR = StructType([StructField("text", StringType()), StructField("error", StringType())])
-
+# ------------------------------------------------------------------------ scans
+SCAN_MEMBERS = "|".join([office.PARTS, TEXT_MEMBERS, TYPE_MEMBERS])
 
-@F.pandas_udf(TEXT_OR_ERROR)
-def _container_text(path: pd.Series, content: pd.Series) -> pd.DataFrame:
-    def read(place, raw) -> tuple:
-        if raw is None:
-            return None, None
-        rows = read_parts(place, raw, None)
-        if rows[0][-1] is None:
-            return "\n\n".join(r[4] for r in rows), None
-        if "not an Office" not in rows[0][-1]:
-            return "", rows[0][-1]
-        listed = read_members(place, raw, None, None, None, SCAN_MEMBER_LIMIT)
-        if listed and listed[0][-1] is not None:
-            return "", listed[0][-1]
-        return "\n\n".join(r[6] for r in listed if r[6]), None
 
-    pairs = [read(p, c) for p, c in zip(path, content)]
-    return pd.DataFrame(pairs, columns=["text", "error"])
+def archive_text(box: str) -> str:
+    """Texts of an archive's text members, in member order."""
+    taken = f"filter({box}, m -> {is_safe('m.member')} AND NOT {is_junk('m.member')} AND m.member RLIKE {lit(f'^(?:{TEXT_MEMBERS})$')})"
+    body = MEMBER_TEXT.format("m.data")
+    return f"array_join(filter(transform({taken}, m -> {body}), t -> t RLIKE {lit(r'(?U)\S')}), '\n\n')"
 
 
-def container_text(path: str, content: str, wanted: str) -> Column:
-    """struct(text, error) of Office Open XML files and archives.
-
-    Only rows with ``wanted`` carry bytes into Python.
-    """
-    # Not to be merged into lambda bodies of later expressions.
-    read = _container_text.asNondeterministic()
-    return read(F.expr(path), F.expr(f"if({wanted}, {content}, NULL)"))
+def office_text(box: str) -> str:
+    """Texts of all parts of an Office file."""
+    return f"array_join(transform({office_parts(box)}, p -> p.text), '\n\n')"

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from glintscan.functions.text import sniff_delimiter
 
-ROW_CAP = 10_000
-
 
 def file_delimiters(files: DataFrame) -> DataFrame:
     """Delimiter of each delimited file from its first 4 KB."""
@@ -17,9 +15,9 @@ def file_delimiters(files: DataFrame) -> DataFrame:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, rows: int | None = ROW_CAP
+    spark: SparkSession, path: str, sep: str | None = None, rows: int | None = None
 ) -> DataFrame:
-    """A delimited file or folder as strings; ``rows=None`` keeps all rows.
+    """A delimited file or folder as strings, whole unless ``rows`` is given.
 
     Without ``sep`` the delimiter is sniffed from the header line of the files.
     """
@@ -27,7 +25,7 @@ def read_delimited(
         lines = spark.read.text(path).limit(20)
         head = lines.agg(F.array_join(F.collect_list("value"), "\n").alias("head"))
         sep = head.selectExpr(sniff_delimiter("head")).first()[0]
-    df = spark.read.option("header", True).option("sep", sep).csv(path)
+    df = spark.read.options(header=True, sep=sep, escape='"', multiLine=True).csv(path)
     return df.limit(rows) if rows is not None else df
 
 

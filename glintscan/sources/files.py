@@ -157,9 +157,9 @@ def file_metadata(files: DataFrame) -> DataFrame:
 
 
 def read_text(
-    files: DataFrame, limit: int | None = 1_000_000, content: str = "content"
+    files: DataFrame, limit: int | None = None, content: str = "content"
 ) -> DataFrame:
-    """Add ``text``: decoded bytes, cut with a notice above ``limit`` characters."""
+    """Add ``text``: decoded bytes, with a ``limit`` cut above so many characters with a notice."""
     decoded = files.withColumn("text", decode_text(content))
     if limit is None:
         return decoded
@@ -175,18 +175,17 @@ def binary_text(
     files: DataFrame,
     content: str = "content",
     separator: str = BLANK_LINES,
-    budget: int = 50_000,
+    budget: int | None = None,
     shortest: int = 100,
 ) -> DataFrame:
     """Text found in binary files: ``text``, ``encoding``, ``paragraphs``, ``error``.
 
-    Readable paragraphs of the best decoding, the longest ones within the
-    budget. Too little readable text is an error.
+    Readable paragraphs of the best decoding, with a budget the longest ones
+    within it. Too little readable text is an error.
     """
     decoded = with_binary_text(files, content)
-    kept = decoded.withColumn(
-        "__paras", F.expr(budget_paragraphs(paragraphs("decoded.text", separator), budget))
-    )
+    paras = paragraphs("decoded.text", separator)
+    kept = decoded.withColumn("__paras", F.expr(budget_paragraphs(paras, budget) if budget else paras))
     joined = "coalesce(array_join(__paras, '\\n\\n'), '')"
     error = case(
         [

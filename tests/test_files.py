@@ -130,13 +130,15 @@ def test_encrypted(spark):
 def test_archive_limits(spark):
     raw = zipped({"../up.txt": "x", "a.txt": "y" * 1500, "b.png": "z", "d/c.txt": "w", "__MACOSX/._a.txt": "m", "e.txt": " "})
     df = frame(spark, [("/z.zip", raw), ("/bad.zip", b"PK\x03\x04")])
-    rows = archives.archive_members(df).collect()
+    rows = archives.archive_members(df, preview_chars=1000).collect()
     kinds = {r.member: r.kind for r in rows if r.path == "/z.zip"}
     assert kinds == {"a.txt": "text", "b.png": "binary", "e.txt": "binary", "d/c.txt": "text", "__MACOSX/._a.txt": "skipped"}
     preview = next(r.preview for r in rows if r.member == "a.txt")
     assert preview == "y" * 1000 + "...[内容已截断]"
     assert next(r.error for r in rows if r.path == "/bad.zip")
-    whole = archives.archive_members(df, preview_chars=None, max_members=1).collect()
+    read = archives.archive_members(df).collect()
+    assert next(r.preview for r in read if r.member == "a.txt") == "y" * 1500
+    whole = archives.archive_members(df, max_members=1).collect()
     assert {r.member: r.kind for r in whole if r.member}["d/c.txt"] == "skipped"
     big = archives.archive_members(df, max_archive=1).collect()
     assert all(r.error.startswith("压缩文件过大") for r in big)
@@ -153,6 +155,57 @@ def test_scan_reads_containers_whole(spark):
     assert out["/e.jpg"].skipped and out["/e.jpg"].error is None
 
 
+def test_damaged_and_encrypted_members_are_errors(spark):
+    raw = zipped({"a.txt": "the token", "b.txt": "unread"})
+    broken = bytearray(raw)
+    broken[raw.index(b"unread")] ^= 0xFF
+    locked = bytearray(zipped({"c.txt": "secret"}))
+    locked[6] |= 1
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    df = frame(spark, [("/x.zip", bytes(broken)), ("/y.zip", bytes(locked)), ("/z.zip", b"PK\x03\x04")])
+    kinds = {(r.path, r.member): (r.kind, bool(r.error)) for r in archives.archive_members(df).collect()}
+    assert kinds == {
+        ("/x.zip", "a.txt"): ("text", False), ("/x.zip", "b.txt"): ("error", True),
+        ("/y.zip", "c.txt"): ("error", True), ("/z.zip", None): (None, True),
+    }
+    got = {r.file_path: r for r in scan.scan(df, RULES).collect()}
+    assert all(r.error for r in got.values())
+    assert "token" in [w.term for w in got["/x.zip"].words]
+
+
+def test_office_parts(spark):
+    doc = zipped({"word/document.xml": "<w:document><w:body><w:p><w:r><w:t>a &amp; b&#x4e2d;</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:pPr/>"
+                  '<w:r><w:t xml:space="preserve">cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
+    book = zipped({
+        "xl/workbook.xml": '<workbook><sheets><sheet name="last" r:id="r2"/><sheet name="A &lt; B" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="/xl/worksheets/sheet1.xml"/><Relationship Target="worksheets/sheet3.xml" Id="r2"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>x</t></si><si><r><t>y</t></r><r><t>z</t></r></si></sst>",
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="B1" t="s"><v>1</v></c><c r="C1" s="4"/><c r="D1"><v>7</v></c></row><row r="2"/></sheetData></worksheet>',
+        "xl/worksheets/sheet3.xml": "<worksheet><sheetData><row><c><v>1</v></c><c t='inlineStr'><is><t>in</t></is></c></row></sheetData></worksheet>",
+    })
+    deck = zipped({
+        "ppt/presentation.xml": "<p:presentation/>",
+        "ppt/slides/slide1.xml": "<p:sld><p:cSld><p:spTree><p:sp><p:txBody><a:p><a:r><a:t> one</a:t></a:r></a:p><a:p><a:r><a:t>two</a:t></a:r></a:p></p:txBody></p:sp><p:pic/>"
+        "<p:graphicFrame><a:tbl><a:tr><a:tc><a:t>l</a:t></a:tc><a:tc><a:t>r</a:t></a:tc></a:tr></a:tbl></p:graphicFrame></p:spTree></p:cSld></p:sld>",
+    })
+    df = frame(spark, [("/a.docx", doc), ("/b.xlsx", book), ("/c.pptx", deck), ("/d.docx", zipped({"x": "y"})), ("/e.docx", b"no")])
+    got = {(r.path, r.part): r for r in archives.ooxml_parts(df).collect()}
+    assert got["/a.docx", 1].text == "a & b中\n\n\n\ncell" and (got["/a.docx", 1].rows, got["/a.docx", 1].tables) == (3, 1)
+    last, first = got["/b.xlsx", 1], got["/b.xlsx", 2]
+    assert (last.name, last.text, last.columns) == ("last", "1\tin", 2)
+    assert (first.name, first.text, first.rows, first.columns) == ("A < B", "\tyz\t\t7\n", 2, 4)
+    slide = got["/c.pptx", 1]
+    assert slide.text == "one\ntwo\nl | r" and (slide.shapes, slide.images, slide.tables) == (3, 1, 1)
+    assert got["/d.docx", None].error and got["/e.docx", None].error
+
+
+def test_csv_quotes_are_doubled(spark, tmp_path):
+    df = spark.createDataFrame([('a "b", c', "x\ny")], "p string, q string")
+    sinks.write_csv(df, str(tmp_path / "q"))
+    back = spark.read.options(header=True, escape='"', multiLine=True).csv(str(tmp_path / "q"))
+    assert back.collect() == df.collect()
+
+
 def test_report_sinks(spark, tmp_path):
     rows = [("/a.txt", b"the token"), ("/b.txt", b"none"), ("/c.pdf", b"%PDF")]
     results = scan.scan(frame(spark, rows), RULES).withColumn("processing_time", F.lit(0.5))
