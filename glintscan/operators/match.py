@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from glintscan.functions import fixed
 from glintscan.functions.match import (
@@ -65,11 +64,14 @@ def overlapping_hits(
     so one pass finds the longest and a small rules table expands it.
     """
     words = rules.keywords
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
     entries = [
-        (longest, i, w)
-        for longest in dict.fromkeys(words)
-        for i, w in enumerate(words)
-        if longest.startswith(w)
+        (longest, i, longest[:size])
+        for longest in places
+        for size in range(1, len(longest) + 1)
+        for i in places.get(longest[:size], ())
     ]
     spark = df.sparkSession
     chain = inline_table(spark, entries, "longest string, ord int, term string")
@@ -172,57 +174,79 @@ def chunked_hits(
     return found.select(*keys, "kind", "term", pos.alias("pos")).distinct()
 
 
-def first_positions(found: DataFrame, keys: list[str], cap: int = 10) -> DataFrame:
-    """The first ``cap`` positions per (text, term), sorted."""
-    w = W.partitionBy(*keys, "kind", "term").orderBy("pos")
+def chunked_words(
+    df: DataFrame,
+    rules: RuleSet,
+    keys: list[str],
+    text: str = "text",
+    cap: int | None = None,
+    max_chunks: int | None = None,
+    threshold: int = 100_000,
+    width: int = 50_000,
+    step: int = 40_000,
+    spread: int | None = None,
+    **options,
+) -> DataFrame:
+    """One row per (text, term): kind, term, its absolute positions, sorted.
+
+    A chunk gives one row a term, with its first ``cap`` positions: the first
+    ``cap`` of a text are among them, so one aggregate is exact.
+    """
+    chunks = char_chunks(df, keys, text, threshold, width, step, max_chunks, spread)
+    found = with_words(chunks.select(*keys, "start", "chunk"), rules, "chunk", **options)
+    listed = explode_words(found, [*keys, "start"])
+    first = F.array_sort(F.transform("positions", lambda p: p + F.col("start")))
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__first"))))
+    if cap is not None:
+        first, every = F.slice(first, 1, cap), F.slice(every, 1, cap)
     return (
-        found.withColumn("__rank", F.row_number().over(w))
-        .where(F.col("__rank") <= cap)
+        listed.withColumn("__first", first)
         .groupBy(*keys, "kind", "term")
-        .agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        .agg(every.alias("positions"))
     )
 
 
 # ----------------------------------------------------------------------- gates
-def gated_words(
+def _marker() -> Column:
+    return F.array(
+        F.struct(
+            F.lit("model").alias("kind"),
+            F.lit(fixed.MODEL_MARKER).alias("term"),
+            F.array(F.lit(0)).alias("positions"),
+        )
+    ).cast(NESTED)
+
+
+def gated_check(
     df: DataFrame,
+    rules: RuleSet,
     predictions: DataFrame,
     key: str,
+    text: str = "text",
     words: str = "words",
     prediction: str = "prediction",
+    **options,
 ) -> DataFrame:
-    """Rule results only where the classifier says sensitive.
+    """Rule results only where the classifier says sensitive; other texts are not matched.
 
-    A sensitive text without rule results gets one marker at position 0.
-    Texts without a prediction count as not sensitive.
+    A sensitive text without rule results gets one marker at position 0. Texts
+    without a prediction count as not sensitive; a key has one prediction at
+    most.
     """
-    marker = F.array(
-        F.struct(
-            F.lit("model").alias("kind"),
-            F.lit(fixed.MODEL_MARKER).alias("term"),
-            F.array(F.lit(0)).alias("positions"),
-        )
-    ).cast(NESTED)
-    joined = df.join(predictions.select(key, prediction), key, "left")
-    sensitive = F.coalesce(F.col(prediction) == 1, F.lit(False))
-    gated = (
-        F.when(~sensitive, F.array().cast(NESTED))
+    sensitive = predictions.where(F.col(prediction) == 1).select(key, F.lit(True).alias("__sensitive"))
+    joined = df.join(sensitive, key, "left")
+    found = f"if(__sensitive, {checked(text, rules, **options)}, NULL)"
+    return joined.withColumn(words, F.expr(found)).withColumn(
+        words,
+        F.when(F.col("__sensitive").isNull(), F.array().cast(NESTED))
         .when(F.size(words) > 0, F.col(words))
-        .otherwise(marker)
-    )
-    return joined.withColumn(words, gated).drop(prediction)
+        .otherwise(_marker()),
+    ).drop("__sensitive")
 
 
 def model_only_words(sensitive: Column) -> Column:
     """Result of the model-only mode: one marker or nothing."""
-    marker = F.array(
-        F.struct(
-            F.lit("model").alias("kind"),
-            F.lit(fixed.MODEL_MARKER).alias("term"),
-            F.array(F.lit(0)).alias("positions"),
-        )
-    )
-    return F.when(sensitive, marker.cast(NESTED)).otherwise(F.array().cast(NESTED))
+    return F.when(sensitive, _marker()).otherwise(F.array().cast(NESTED))
 
 
 # ----------------------------------------------------------------- repeated text
@@ -233,49 +257,43 @@ def match_distinct_text(
     text: str = "text",
     hot_copies: int = 10_000,
     salts: int = 64,
-    max_hot: int = 50_000,
+    broadcast_ids: int = 1_000_000,
     **options,
 ) -> DataFrame:
     """Match every distinct text once and give the result to all its copies.
 
-    The copies of one text may be a large part of the table: texts with more
-    than ``hot_copies`` copies are joined back over ``salts`` sub-keys.
+    Only narrow rows move: the copies beyond the first of each text are found
+    by hash and left out where the texts lie (broadcast if they are at most
+    ``broadcast_ids``), the others are matched in place, and the copies take
+    their first one's result. Texts with more than ``hot_copies`` copies are
+    joined over ``salts`` sub-keys. Keys are unique; null texts are no copies.
     """
-    keyed = df.select(key, F.md5(F.encode(F.col(text), "UTF-8")).alias("__md5"), F.col(text))
-    # Narrow (hash, copies, first key) rows, used three times below.
-    groups = checkpointed(
-        keyed.groupBy("__md5").agg(
-            F.count(F.lit(1)).alias("__copies"), F.min(key).alias("__first")
-        )
+    keyed = df.select(key, F.md5(F.encode(F.col(text), "UTF-8")).alias("md5"), F.col(text))
+    narrow = keyed.select(key, "md5")
+    groups = narrow.groupBy("md5").agg(
+        F.count(F.lit(1)).alias("__copies"), F.min(key).alias("__first")
     )
-    distinct = (
-        keyed.join(groups.select(F.col("__first").alias(key), "__copies"), key)
-        .select("__md5", "__copies", F.expr(checked(text, rules, **options)).alias("words"))
+    repeated = groups.where("__copies > 1")
+    copies = checkpointed(
+        narrow.join(repeated, "md5").where(F.col(key) != F.col("__first"))
     )
-    hot = groups.where(F.col("__copies") > hot_copies).select("__md5", F.lit(True).alias("__hot"))
-    spread = F.when(F.col("__copies") > hot_copies, F.lit(salts)).otherwise(F.lit(1))
-    right = distinct.select(
-        "__md5", "words", F.explode(F.sequence(F.lit(0), spread - 1)).alias("__salt")
-    )
-    # The hot list holds at most rows / hot_copies keys; it is broadcast only
-    # when that bound, checked here, is small.
-    n_hot = hot.limit(max_hot + 1).count()
-    left = keyed.select(key, "__md5")
-    if n_hot:
-        hot_side = F.broadcast(hot) if n_hot <= max_hot else hot
-        left = left.join(hot_side, "__md5", "left").select(
-            key,
-            "__md5",
-            F.when(F.col("__hot"), F.pmod(F.xxhash64(key), F.lit(salts)))
-            .otherwise(0)
-            .cast("int")
-            .alias("__salt"),
+    skipped = copies.select(key)
+    if copies.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        skipped = F.broadcast(skipped)
+    found = checkpointed(
+        keyed.join(skipped, key, "left_anti").select(
+            key, "md5", F.expr(checked(text, rules, **options)).alias("words")
         )
-    else:
-        left = left.withColumn("__salt", F.lit(0))
-    return left.join(right, ["__md5", "__salt"]).select(
-        key, F.col("__md5").alias("md5"), "words"
     )
+    hot = F.col("__copies") > hot_copies
+    salt = F.when(hot, F.pmod(F.xxhash64(key), F.lit(salts))).otherwise(F.lit(0))
+    firsts = copies.select("__first", "__copies").distinct().join(
+        found.select(F.col(key).alias("__first"), "words"), "__first"
+    )
+    parts = F.sequence(F.lit(0), F.when(hot, F.lit(salts - 1)).otherwise(F.lit(0)))
+    right = firsts.select("__first", "words", F.explode(parts).alias("__salt"))
+    rest = copies.select(key, "md5", "__first", salt.cast("int").alias("__salt"))
+    return found.unionByName(rest.join(right, ["__first", "__salt"]).select(key, "md5", "words"))
 
 
 # -------------------------------------------------------------------- weighting

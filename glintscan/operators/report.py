@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from glintscan.functions import fixed
 from glintscan.functions.cols import lit
@@ -80,8 +81,11 @@ def top_terms(results: DataFrame, n: int = 10) -> DataFrame:
 
 
 def type_report(detected: DataFrame, label: str = "type", size: str = "size") -> DataFrame:
-    """Count, share, bytes and mean bytes per type."""
-    whole = detected.agg(F.count(F.lit(1))).scalar()
+    """Count, share, bytes and mean bytes per type.
+
+    The whole is summed over the counted types, one narrow row each.
+    """
+    whole = F.sum("files").over(W.partitionBy())
     counted = detected.groupBy(F.col(label).alias("type")).agg(
         F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes")
     )

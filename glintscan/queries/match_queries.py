@@ -205,8 +205,8 @@ def char_chunks(spark, sf_dir):
 )
 def chunked_check(spark, sf_dir):
     docs = documents(spark, sf_dir, "text")
-    found = match.chunked_hits(docs, RULES, ["doc_id"], order="longest", **CHUNK)
-    return match.first_positions(found, ["doc_id"]).select(
+    found = match.chunked_words(docs, RULES, ["doc_id"], cap=10, order="longest", **CHUNK)
+    return found.select(
         "doc_id", "kind", "term", F.array_join("positions", ",").alias("positions")
     )
 
@@ -221,14 +221,27 @@ def chunked_check(spark, sf_dir):
     FROM s JOIN documents d USING (doc_id) LEFT JOIN n ON n.doc_id = s.doc_id""",
 )
 def gated_check(spark, sf_dir):
-    docs = match.with_words(documents(spark, sf_dir, "text"), RULES).select("doc_id", "words")
     said = table(spark, sf_dir, "labels", "doc_id", "toxic").withColumnRenamed("toxic", "prediction")
-    gated = match.gated_words(docs, said, "doc_id")
+    gated = match.gated_check(documents(spark, sf_dir, "text"), RULES, said, "doc_id")
     return match.explode_words(gated, ["doc_id"]).select(
         "doc_id", "kind", "term", F.array_join("positions", ",").alias("positions")
     )
 
 
+@query(
+    "model_only_check",
+    f"""SELECT d.doc_id, 'model' AS kind, {lit(fixed.MODEL_MARKER)} AS term, '0' AS positions
+    FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1""",
+)
+def model_only_check(spark, sf_dir):
+    said = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    docs = documents(spark, sf_dir).join(said, "doc_id")
+    found = docs.withColumn("words", match.model_only_words(F.col("toxic") == 1))
+    return match.explode_words(found, ["doc_id"]).select(
+        "doc_id", "kind", "term", F.array_join("positions", ",").alias("positions")
+    )
+
+
 @query(
     "checker_stats",
     f"""WITH {hits_cte()} SELECT count(*) AS check_count, count(x.doc_id) AS hit_count,

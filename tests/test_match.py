@@ -122,13 +122,17 @@ def test_chunked_positions_are_absolute(spark):
     assert [(r.term, r.pos) for r in found.collect()] == [("机密", 95)]
     relative = match.chunked_hits(df, RULES, ["id"], absolute=False, **size)
     assert {r.pos for r in relative.collect()} == {15, 55}
+    many = spark.createDataFrame([(1, "机密xx" * 100), (2, None), (3, "")], "id long, text string")
+    for cap in (None, 3):
+        words = match.chunked_words(many, RULES, ["id"], cap=cap, **size).where("term = '机密'").collect()
+        assert [(r.id, r.positions) for r in words] == [(1, list(range(0, 400, 4))[:cap])]
 
 
 def test_repeated_text_is_matched_once_and_given_to_all(spark):
     rows = [(i, "机密 same") for i in range(400)] + [(1000 + i, f"ab {i}") for i in range(50)]
     df = spark.createDataFrame(rows, "id long, text string")
     want = {(r.id, str(r.words)) for r in match.with_words(df, RULES).collect()}
-    for limits in ({}, {"hot_copies": 20}, {"hot_copies": 20, "max_hot": 0}):
+    for limits in ({}, {"hot_copies": 20}, {"hot_copies": 20, "broadcast_ids": 0}):
         got = match.match_distinct_text(df, RULES, "id", salts=7, **limits).collect()
         assert len(got) == len(rows)
         assert {(r.id, str(r.words)) for r in got} == want
@@ -136,7 +140,7 @@ def test_repeated_text_is_matched_once_and_given_to_all(spark):
 
 def test_gate(spark, table):
     said = spark.createDataFrame([(0, 1), (1, 0), (5, 1)], "id long, prediction int")
-    gated = match.gated_words(match.with_words(table, RULES), said, "id")
+    gated = match.gated_check(table, RULES, said, "id")
     words = {r.id: [w.term for w in r.words] for r in gated.where("id < 10").collect()}
     assert words[0] == ["现金流量"] and words[1] == [] and len(words[5]) == 1 and words[2] == []
 
