@@ -390,29 +390,37 @@ def encoding_guess(content: str) -> Column:
     return F.coalesce(_gbk_name(other), F.lit("UTF-8"))
 
 
-@F.pandas_udf(StringType())
-def _decode_legacy(content: pd.Series) -> pd.Series:
-    def decode(raw) -> str | None:
+DECODED = StructType([StructField("text", StringType()), StructField("encoding", StringType())])
+
+
+@F.pandas_udf(DECODED)
+def _decode_legacy(content: pd.Series) -> pd.DataFrame:
+    def decode(raw) -> tuple[str | None, str | None]:
         if raw is None:
-            return None
-        for name in ("gb18030", "latin-1"):
-            try:
-                return raw.decode(name)
-            except UnicodeDecodeError:
-                continue
-        return None
+            return None, None
+        try:
+            return raw.decode("gb18030"), "gb18030"
+        except UnicodeDecodeError:
+            return raw.decode("latin-1"), "latin-1"
 
-    return content.map(decode)
+    return pd.DataFrame(content.map(decode).tolist(), columns=["text", "encoding"], dtype=object)
 
 
-def decode_text(content: str) -> Column:
-    """File bytes as text: UTF-8 natively, else gb18030, else Latin-1 (a Column)."""
-    native = F.expr(f"if({is_utf8(content)}, cast({content} AS string), NULL)")
+def decoded(content: str) -> Column:
+    """struct(text, encoding) of file bytes: UTF-8 natively, else gb18030, else Latin-1 (a Column)."""
+    native = F.expr(
+        f"if({is_utf8(content)}, named_struct('text', cast({content} AS string), 'encoding', 'utf-8'), NULL)"
+    )
     other = F.expr(f"if({is_utf8(content)}, NULL, {content})")
     # Not to be merged into lambda bodies of later expressions.
     return F.coalesce(native, _decode_legacy.asNondeterministic()(other))
 
 
+def decode_text(content: str) -> Column:
+    """The text of :func:`decoded`."""
+    return decoded(content).getField("text")
+
+
 BINARY_TEXT = StructType(
     [
         StructField("text", StringType()),

@@ -7,18 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
-from glintscan.functions.cols import any_of, case, is_in, lit
+from glintscan.functions.cols import any_of, case, is_in, let, lit
 from glintscan.functions.detect import (
-    decode_text,
+    decoded,
     encoding_guess,
     header_hex,
     is_encrypted,
     mime_cascade,
+    printable_profile,
     report_label,
+    with_binary_text,
     with_zip_info,
 )
 from glintscan.functions.match import checked
 from glintscan.functions.paths import base_name, suffix
+from glintscan.functions.text import markdown_profile, sniff_delimiter
 from glintscan.operators import dataset, filters
 from glintscan.session import run_dir
 from glintscan.sources.archives import SCAN_MEMBERS, archive_text, first_error, office_text
@@ -68,6 +71,7 @@ def routed_files(typed: DataFrame) -> DataFrame:
             (is_in("mime_type", OOXML_TYPES), "'ooxml'"),
             (f"mime_type = {lit(fixed.ZIP)}", "'archive'"),
             (is_in("mime_type", UNREADABLE), "'unreadable'"),
+            (f"{printable_profile('content')}.has_nul", "'binary'"),
         ],
         "'text'",
     )
@@ -75,16 +79,22 @@ def routed_files(typed: DataFrame) -> DataFrame:
 
 
 def extracted(routed: DataFrame) -> DataFrame:
-    """Add ``text`` and ``error`` to routed files, in one pass without a shuffle.
+    """Add ``text``, ``encoding`` and ``error`` to routed files, in one pass without a shuffle.
 
-    Text files are decoded natively; Office and archive texts come from their
-    members in ``box``, which has an error for each one that cannot be read; the
-    readable ones count all the same. The other routes give no text.
+    Text files are decoded natively; files with zero bytes (UTF-16 and others)
+    take the decoding with most printable text; Office and archive texts come
+    from their members in ``box``, which has an error for each one that cannot
+    be read; the readable ones count all the same. The other routes give no
+    text.
     """
-    plain = routed.withColumn("__plain", decode_text("if(route = 'text', content, NULL)"))
+    raw = routed.withColumn("__raw", F.expr("if(route = 'binary', content, NULL)"))
+    plain = with_binary_text(raw, "__raw", "__binary").withColumn(
+        "__plain", decoded("if(route = 'text', content, NULL)")
+    )
     text = case(
         [
-            ("route = 'text'", "__plain"),
+            ("route = 'text'", "__plain.text"),
+            ("route = 'binary'", "coalesce(__binary.text, '')"),
             ("route = 'ooxml'", f"coalesce({office_text('box')}, '')"),
             ("route = 'archive'", f"coalesce({archive_text('box')}, '')"),
         ],
@@ -98,11 +108,49 @@ def extracted(routed: DataFrame) -> DataFrame:
             ("route IN ('ooxml', 'archive')", first_error("box")),
         ]
     )
-    return plain.withColumns({"text": F.expr(text), "error": F.expr(error)}).drop("__plain", "box")
+    encoding = case([("route = 'text'", "__plain.encoding"), ("route = 'binary'", "__binary.encoding")])
+    return plain.withColumns(
+        {"text": F.expr(text), "encoding": F.expr(encoding), "error": F.expr(error)}
+    ).drop("__raw", "__binary", "__plain", "box")
+
+
+def file_metadata(ext: str, mime: str, text: str, encoding: str) -> str:
+    """What is known of a file as a map of texts (SQL text).
+
+    ``file_type`` and ``encoding``; for CSV files ``delimiter``, ``rows`` (lines
+    with text after the first) and ``columns`` (of the first line, quotes not
+    read); for Markdown files the counts of headers, code blocks, links and
+    images.
+    """
+    csv = f"({ext} = '.csv' OR {mime} = 'text/csv') AND {encoding} IS NOT NULL"
+    lines = f"greatest(regexp_count({text}, {lit(r'(?m)^.*[^\s].*$')}) - 1, 0)"
+    first = f"substring_index({text}, {lit(chr(10))}, 1)"
+    columns = "length(fl) - length(replace(fl, dl, '')) + 1"
+    table = let(
+        first,
+        "fl",
+        let(
+            sniff_delimiter(text),
+            "dl",
+            f"map('delimiter', dl, 'rows', cast({lines} AS string), 'columns', cast({columns} AS string))",
+        ),
+    )
+    markdown = f"({ext} IN ('.md', '.markdown') OR {mime} = 'text/markdown') AND {encoding} IS NOT NULL"
+    names = ("headers", "code_blocks", "links", "images")
+    counts = let(
+        markdown_profile(text), "mp", f"map({', '.join(f'{lit(n)}, cast(mp.{n} AS string)' for n in names)})"
+    )
+    empty = "cast(map() AS map<string, string>)"
+    base = f"map_filter(map('file_type', {mime}, 'encoding', {encoding}), (k, v) -> v IS NOT NULL)"
+    return f"map_concat({base}, {case([(csv, table), (markdown, counts)], empty)})"
 
 
 def scan(files: DataFrame, rules: RuleSet, order: str = "config", **options) -> DataFrame:
-    """Files to results: type, text, nested words, flags and errors."""
+    """Files to results: type, text, nested words, flags, errors and metadata.
+
+    ``mime_mismatch``: the extension promises another type than the detected
+    one; ``header_warning``: an Office extension without its container's header.
+    """
     texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS)))
     words = checked("text", rules, order=order, **options)
     return texts.selectExpr(
@@ -114,6 +162,9 @@ def scan(files: DataFrame, rules: RuleSet, order: str = "config", **options) ->
         "error",
         "is_empty",
         "skipped",
+        f"{file_metadata(suffix('path'), 'mime_type', 'text', 'encoding')} AS metadata",
+        f"NOT is_empty AND {filters.mime_mismatch(suffix('path'), 'mime_type')} AS mime_mismatch",
+        f"if(is_empty, NULL, {filters.header_warning(suffix('path'), 'content')}) AS header_warning",
     )
 
 

@@ -306,3 +306,30 @@ def stream_files(spark, sf_dir):
     found = scans.scan_stream(texts, RULES).select("path", "words")
     scans.run_to_end(lambda: scans.append_log(found, f"{folder}/log", f"{folder}/state"))
     return report.term_totals(spark.read.parquet(f"{folder}/log"))
+
+
+# Every seventh document stands in a PDF, which gives an error instead of a text.
+_PDF = "doc_id % 7 = 0"
+
+
+@query(
+    "stream_scan_counts",
+    f"""WITH d AS (SELECT doc_id, text FROM documents WHERE NOT {_PDF}), {hits_cte('config', 'd')}
+    SELECT 'processed' AS counter, '' AS name, count(*)::BIGINT AS n FROM documents
+    UNION ALL SELECT 'errors', '', count(*) FILTER ({_PDF})::BIGINT FROM documents
+    UNION ALL SELECT 'empty', '', count(*) FILTER (text = '' AND NOT {_PDF})::BIGINT FROM documents
+    UNION ALL SELECT 'skipped', '', 0::BIGINT
+    UNION ALL SELECT 'term', term, count(*)::BIGINT FROM h GROUP BY term""",
+)
+def stream_scan_counts(spark, sf_dir):
+    folder = run_dir(spark, "stream-scan-counts")
+    docs = documents(spark, sf_dir, "text").selectExpr(
+        f"if({_PDF}, concat('/in/', doc_id, '.pdf'), concat('/in/', doc_id, '.txt')) AS path",
+        f"encode(if({_PDF}, concat('%PDF', text), text), 'UTF-8') AS content",
+    )
+    docs.selectExpr("*", "cast(octet_length(content) AS bigint) AS length").write.parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").schema
+    arriving = scans.stream_table(spark, f"{folder}/in", schema, files_per_batch=4)
+    counted = scans.scan_counters(scans.scan_file_stream(arriving, RULES))
+    scans.run_to_end(lambda: scans.latest_counters(counted, f"{folder}/out", f"{folder}/state"))
+    return scans.final_counters(spark, f"{folder}/out")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from glintscan.functions.match import NESTED
 from glintscan.operators.match import with_words
-from glintscan.sources.files import FILE_SCHEMA
+from glintscan.plans.scan import scan
+from glintscan.sources.files import FILE_SCHEMA, wanted
 from glintscan.sources.rules import RuleSet
 
 
@@ -40,6 +42,32 @@ def scan_stream(texts: DataFrame, rules: RuleSet, text: str = "text", **options)
     return with_words(texts, rules, text, **options)
 
 
+def scan_file_stream(files: DataFrame, rules: RuleSet, **options) -> DataFrame:
+    """The whole scan on a stream of files: names, types, extraction, matching.
+
+    Every step works within a row, so the stream keeps no state.
+    """
+    return scan(files.where(wanted("path")), rules, **options)
+
+
+def scan_counters(results: DataFrame) -> DataFrame:
+    """``counter, name, n`` over scan results, as a stream or a table.
+
+    Files processed, with errors, empty and skipped, and the hits of each term;
+    a stream's state is one row for each of these.
+    """
+    flags = {"processed": "true", "errors": "error IS NOT NULL", "empty": "is_empty", "skipped": "skipped"}
+    fixed = ", ".join(
+        f"named_struct('counter', '{name}', 'name', '', 'n', cast({flag} AS bigint))" for name, flag in flags.items()
+    )
+    terms = (
+        f"transform(coalesce(words, cast(array() AS {NESTED})), "
+        "w -> named_struct('counter', 'term', 'name', w.term, 'n', cast(size(w.positions) AS bigint)))"
+    )
+    each = results.select(F.explode_outer(F.expr(f"concat(array({fixed}), {terms})")).alias("c"))
+    return each.groupBy("c.counter", "c.name").agg(F.sum("c.n").alias("n"))
+
+
 def append_log(
     stream: DataFrame, out: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:

@@ -155,6 +155,30 @@ def test_scan_reads_containers_whole(spark):
     assert out["/e.jpg"].skipped and out["/e.jpg"].error is None
 
 
+def test_scan_metadata_and_warnings(spark):
+    rows = [
+        ("/a.csv", b"p;q;r\n1;2;3\n4;5;6\n"), ("/b.md", "# h\n[x](y)\n".encode()), ("/c.txt", "机密 token".encode("gb18030")),
+        ("/e.doc", b"plain words"), ("/f.txt", b""),
+    ]
+    got = {r.file_path: r for r in scan.scan(frame(spark, rows), RULES).collect()}
+    meta = {p: r.metadata for p, r in got.items()}
+    assert (meta["/a.csv"]["delimiter"], meta["/a.csv"]["rows"], meta["/a.csv"]["columns"]) == (";", "2", "3")
+    assert (meta["/b.md"]["headers"], meta["/b.md"]["links"]) == ("1", "1")
+    assert meta["/c.txt"]["encoding"] == "gb18030" and got["/c.txt"].content == "机密 token"
+    assert got["/e.doc"].mime_mismatch and got["/e.doc"].header_warning == "文件头不符合 .doc 格式"
+    # Without commas the bytes say plain text.
+    assert got["/a.csv"].mime_mismatch and got["/a.csv"].header_warning is None
+    assert not got["/c.txt"].mime_mismatch and got["/c.txt"].header_warning is None
+    assert not got["/f.txt"].mime_mismatch and len(got) == len(rows)
+
+
+def test_files_with_zero_bytes_take_the_most_readable_decoding(spark):
+    df = frame(spark, [("/d.txt", "the token 机密".encode("utf-16")), ("/e.txt", b"the token")])
+    got = {r.file_path: r for r in scan.scan(df, RULES).collect()}
+    assert got["/d.txt"].metadata["encoding"] == "utf-16" and got["/d.txt"].content == "the token 机密"
+    assert {w.term for w in got["/d.txt"].words} == {w.term for w in got["/e.txt"].words}
+
+
 def test_damaged_and_encrypted_members_are_errors(spark):
     raw = zipped({"a.txt": "the token", "b.txt": "unread"})
     broken = bytearray(raw)
