@@ -20,6 +20,7 @@ from glintscan.llm.common import stored
 
 SHARDS = 8
 SLICES = 256
+SLICE_ROWS = 500_000
 
 Leaf = tuple[str, str, int, float]  # region, rack, shard, weight
 
@@ -82,6 +83,7 @@ def sharded(
     leaves: list[Leaf] | None = None,
     grown: list[Leaf] | None = None,
     slices: int = SLICES,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """One row for each input row under the law ``key``: doc_id and shard count decide.
 
@@ -89,8 +91,9 @@ def sharded(
     text: that of no bytes), ``law, shard, slot`` (gapless from 0 within the
     shard) and ``grown_shard`` (with one more shard). Null ids are one key.
     Equal rows get slots next to each other. Slots follow a hash of the row:
-    each shard has ``slices`` slices, numbered side by side, whose totals give
-    the first slot of each. Equal rows are counted before any shuffle, so
+    each shard has ``slices`` slices, or as many as keep them at about
+    ``slice_rows`` distinct rows if that is more, numbered side by side, whose
+    totals give the first slot of each. Equal rows are counted before any shuffle, so
     copies do not meet in one task. An empty table gives an empty result; other
     columns are ignored.
     """
@@ -108,9 +111,11 @@ def sharded(
         "*",
         shard_of(key, leaves).cast("int").alias("shard"),
         shard_of(key, grown).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slices)).alias("slice"),
     )
     placed = stored(placed, "shard-rows")
+    slices = max(slices, -(-placed.count() // (slice_rows * shards)))
+    number = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slices))
+    placed = placed.withColumn("slice", number)
     earlier = W.partitionBy("shard").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     bases = (
         placed.groupBy("shard", "slice").agg(F.sum("n").alias("rows"))
