@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries (warm, medians) at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import os
 import sys
 import tempfile
 import time
+from statistics import median
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -17,6 +18,7 @@ HEADLINE = [
     "kw_config_order",
     "kw_longest_first",
     "kw_overlapping",
+    "kw_many_terms",
     "check_content",
     "nested_hits",
     "chunked_check",
@@ -52,17 +54,23 @@ def main() -> None:
         },
     )
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors
-    seconds: dict[str, float] = {}
-    for name in names:
+
+    def run(name: str) -> float:
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - began, 3)
+        return time.perf_counter() - began
+
+    run(names[0])  # warm-up, not counted
+    rounds = int(os.environ.get("BENCH_ROUNDS", "3"))
+    seconds: dict[str, float] = {}
+    for name in names:
+        seconds[name] = round(median(run(name) for _ in range(rounds)), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
     spark.stop()
     print(
         json.dumps(
             {
-                "metric": "total seconds of the headline queries",
+                "metric": "total seconds of the headline queries, medians of three runs",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

@@ -8,6 +8,7 @@ from glintscan.functions import fixed
 from glintscan.operators import match, report
 from glintscan.queries.derived import RULES, documents
 from glintscan.queries.registry import query
+from glintscan.sources.rules import rules_from_dict
 from glintscan.sources.tables import table
 
 
@@ -267,6 +268,26 @@ def match_distinct_text(spark, sf_dir):
     )
 
 
+# A dictionary of the size that shipped rule files have, taken from the texts.
+MANY = 250
+
+
+@query(
+    "kw_many_terms",
+    f"""WITH w AS (SELECT unnest(regexp_extract_all(text, '[a-z]{{4,12}}')) AS word FROM documents),
+    k AS (SELECT word FROM w GROUP BY word ORDER BY count(*) DESC, word LIMIT {MANY}),
+    p AS (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) AS p FROM k)
+    SELECT term, count(*) AS hits FROM (SELECT unnest(regexp_extract_all(text, p)) AS term FROM documents, p)
+    GROUP BY term""",
+)
+def kw_many_terms(spark, sf_dir):
+    docs = documents(spark, sf_dir, "text")
+    words = docs.select(F.explode(F.expr("regexp_extract_all(text, '[a-z]{4,12}', 0)")).alias("word"))
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(MANY)
+    many = rules_from_dict({"sensitive_patterns": {"many": {"keywords": [r.word for r in top.collect()], "weight": 0.9}}})
+    return report.term_totals(match.with_words(docs, many, order="longest"))
+
+
 # ---------------------------------------------------- declared in configs only
 def _rules_values() -> str:
     def val(v):
