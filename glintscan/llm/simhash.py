@@ -147,6 +147,22 @@ def links(nodes: DataFrame, radius: int = RADIUS, dense_from: int = DENSE) -> Da
     return _pair_links(sparse, radius).union(_star_links(keyed, dense)).distinct()
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, radius: int, dense_from: int) -> DataFrame:
+    """``doc_id, fp``, the ``label`` of the component (a fingerprint) and its ``component_id`` for every row."""
+    marked = stored(fingerprints(docs, doc_id, text), "simhash-docs")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    labels = components(links(nodes.select("fp"), radius, dense_from))
+    joined = nodes.join(labels, nodes.fp == labels.node, "left").select(
+        "fp", "first_id", F.coalesce("label", "fp").alias("label")
+    )
+    smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = stored(
+        joined.join(smallest, "label").select(F.col("fp").alias("node"), "label", "component_id"),
+        "simhash-named",
+    )
+    return marked.join(named, F.col("fp") == F.col("node")).select("doc_id", "fp", "label", "component_id")
+
+
 def near_groups(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -162,18 +178,7 @@ def near_groups(
     any other; repeated rows keep their rows; an empty table gives an empty
     result; other columns are ignored.
     """
-    marked = stored(fingerprints(docs, doc_id, text), "simhash-docs")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    labels = components(links(nodes.select("fp"), radius, dense_from))
-    joined = nodes.join(labels, nodes.fp == labels.node, "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label")
-    )
-    smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = stored(
-        joined.join(smallest, "label").select(F.col("fp").alias("node"), "component_id"),
-        "simhash-named",
-    )
-    return marked.join(named, F.col("fp") == F.col("node")).select(
+    return _labelled(docs, doc_id, text, radius, dense_from).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -189,9 +194,9 @@ def keep_first(
 
     Where ids repeat, their rows are placed by id and fingerprint, and of
     several first rows of a group the one with the smallest hash stays. Rows
-    with a null id stay only in groups of null ids.
+    with a null id stay only in groups of null ids, one in each.
     """
-    groups = stored(near_groups(docs, doc_id, text, radius, dense_from), "simhash-groups")
+    groups = stored(_labelled(docs, doc_id, text, radius, dense_from), "simhash-groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     same = F.col(doc_id).eqNullSafe(F.col("__id"))
     repeated = groups.groupBy("doc_id").count().where("count > 1")
@@ -207,12 +212,13 @@ def keep_first(
         "*", _fingerprints(F.col(text)).alias("__fp"), row_hash(docs).alias("__row")
     )
     firsts = groups.where(first).select(
-        F.col("doc_id").alias("__id"),
-        F.conv("fingerprint", 16, -10).cast("bigint").alias("__of"),
+        F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), F.col("label").alias("__label")
     ).distinct()
-    here = marked.join(firsts, same & (F.col("__fp") == F.col("__of")), "left_semi")
-    # Every first row of a group has the group's smallest id, so one row an id
-    # and group: groups of one id are told apart by their fingerprints' label.
-    least = here.groupBy(F.col(doc_id).alias("__id")).agg(F.min("__row").alias("__least"))
-    one = here.join(least, same & (F.col("__row") == F.col("__least")), "left_semi")
-    return single.union(one.dropDuplicates(["__row"]).drop("__fp", "__row"))
+    here = marked.join(firsts, same & (F.col("__fp") == F.col("__of"))).drop("__id", "__of", "__fp")
+    # Groups that share their smallest id (or have none) are told apart by the label.
+    least = here.groupBy(F.col(doc_id).alias("__id"), F.col("__label").alias("__in")).agg(
+        F.min("__row").alias("__least")
+    )
+    chosen = same & (F.col("__label") == F.col("__in")) & (F.col("__row") == F.col("__least"))
+    one = here.join(least, chosen, "left_semi")
+    return single.union(one.dropDuplicates([doc_id, "__label"]).drop("__label", "__row"))

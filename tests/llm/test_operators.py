@@ -166,6 +166,15 @@ def test_simhash(docs, rows, empty):
     _same(simhash.keep_first(docs).collect(), want)
 
 
+def test_simhash_groups_that_share_an_id(spark):
+    rnd = random.Random(3)
+    one, two, three, four, five = (" ".join("w%d" % rnd.randrange(10**6) for _ in range(80)) for _ in range(5))
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (8, four), (9, five), (None, five)]
+    want = [(None, one), (None, two), (7, three), (7, four), (9, five)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    _same(simhash.keep_first(table).collect(), want)
+
+
 @pytest.mark.parametrize("dense", [1, 4, 10_000])
 def test_simhash_links(spark, dense):
     rnd = random.Random(dense)
