@@ -207,7 +207,8 @@ class Index:
         done: dict[tuple[int, int], int] = {}
         for d, item, start in self.candidates(ids, doc, ends[doc]).tolist():
             slack, m = self.edits[item], len(self.encoded[item])
-            if done.get((d, item), -1) >= start:  # a place already verified
+            last = done.get((d, item))
+            if last is not None and last >= start:  # a place already verified
                 continue
             low = max(int(starts[d]), start - slack)
             high = min(int(ends[d]), start + m + 2 * slack + 1)

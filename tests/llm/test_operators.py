@@ -246,6 +246,16 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_cut_at_the_start(spark):
+    words = ["v%d" % i for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    for cut in (1, 3, 8):
+        table = spark.createDataFrame([(5, " ".join(words[cut:]))], "doc_id bigint, text string")
+        got = [(r.doc_id, r.item_id, r.end_word, r.edits) for r in decontaminate.contaminated(table, bench).collect()]
+        assert got == [(5, 1, 40 - cut, cut)]
+        assert decontaminate.without_contaminated(table, bench).count() == 0
+
+
 # ---- 1: mixing
 
 
