@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from glintscan.session import run_dir
 from glintscan.sources.archives import SCAN_MEMBERS, archive_text, first_error, office_text
 from glintscan.sources.rules import RuleSet
 
+# Rejects files by size: SQL texts of the length and of whether it is a ZIP to ``error`` or other words.
+Gate = Callable[[str, str], str]
 OOXML_TYPES = [fixed.DOCX, fixed.XLSX, fixed.PPTX]
 UNREADABLE = [
     fixed.DOC, fixed.XLS, fixed.PPT, fixed.OLE, "application/pdf", "application/rtf",
@@ -50,9 +54,11 @@ def typed_files(
     return typed if members else typed.drop("box")
 
 
-def routed_files(typed: DataFrame) -> DataFrame:
+def routed_files(typed: DataFrame, gate: Gate | None = None) -> DataFrame:
     """Add ``is_empty``, ``skipped`` and the ``route`` of each file.
 
+    No file is too large unless a ``gate`` (``filters.size_gate`` for the
+    original's limits) says so or its bytes were not read.
     A damaged ZIP has no type; it goes to its error, not to the skipped files.
     """
     damaged = "coalesce(exists(box, m -> m.member IS NULL), false)" if "box" in typed.columns else "false"
@@ -62,11 +68,14 @@ def routed_files(typed: DataFrame) -> DataFrame:
     flagged = typed.withColumns(
         {"is_empty": F.expr("length = 0"), "skipped": F.expr(f"length > 0 AND {skipped}")}
     )
-    gate = filters.size_gate("length", f"mime_type = {lit(fixed.ZIP)}")
+    too_large = "length > 0 AND content IS NULL"
+    if gate is not None:
+        is_zip = f"mime_type = {lit(fixed.ZIP)}"
+        too_large = f"({too_large}) OR {gate('length', is_zip)} = 'error'"
     route = case(
         [
             ("is_empty OR skipped", "'none'"),
-            (f"{gate} = 'error'", "'too_large'"),
+            (too_large, "'too_large'"),
             (damaged, "'archive'"),
             (is_in("mime_type", OOXML_TYPES), "'ooxml'"),
             (f"mime_type = {lit(fixed.ZIP)}", "'archive'"),
@@ -145,13 +154,17 @@ def file_metadata(ext: str, mime: str, text: str, encoding: str) -> str:
     return f"map_concat({base}, {case([(csv, table), (markdown, counts)], empty)})"
 
 
-def scan(files: DataFrame, rules: RuleSet, order: str = "config", **options) -> DataFrame:
+def scan(
+    files: DataFrame, rules: RuleSet, order: str = "config", gate: Gate | None = None, **options
+) -> DataFrame:
     """Files to results: type, text, nested words, flags, errors and metadata.
 
+    With a ``gate`` files that it rejects get an error instead of a text.
+
     ``mime_mismatch``: the extension promises another type than the detected
     one; ``header_warning``: an Office extension without its container's header.
     """
-    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS)))
+    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS), gate))
     words = checked("text", rules, order=order, **options)
     return texts.selectExpr(
         "path AS file_path",
@@ -180,9 +193,9 @@ def type_labels(files: DataFrame) -> DataFrame:
     )
 
 
-def sample_rows(files: DataFrame, flag: int) -> DataFrame:
+def sample_rows(files: DataFrame, flag: int, gate: Gate | None = None) -> DataFrame:
     """Inventory rows to ``files`` rows with a constant label, failures dropped."""
-    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS)))
+    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS), gate))
     failed = lit(fixed.EXTRACTION_ERRORS[0])
     rows = texts.selectExpr(
         "path AS id",

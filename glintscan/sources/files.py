@@ -25,7 +25,7 @@ from glintscan.sources.tables import inline_table
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LISTING_SCHEMA = "path string, is_dir boolean, modificationTime timestamp, length bigint"
-READ_LIMIT = 200 * 1024 * 1024
+CELL = (1 << 31) - (1 << 20)  # bytes that one value of a row can hold
 
 
 def wanted(path: str) -> str:
@@ -116,17 +116,21 @@ def list_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataF
         level = below.select(F.col("path").alias("dir")).repartition("dir")
 
 
-def left_out_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+def left_out_files(
+    spark: SparkSession, root: str, recursive: bool = True, limit: int | None = None
+) -> DataFrame:
     """Empty files and ``_`` names below ``root``, with the bytes of the latter.
 
-    Bytes of files over 200 MB are not read; the size gate rejects them anyway.
+    Bytes of files over ``limit``, or over what a value can hold, are not read:
+    their content is NULL, and scans give them an error.
     """
+    most = CELL if limit is None else min(limit, CELL)
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                data = b""
-                if 0 < row.length <= READ_LIMIT:
+                data = b"" if row.length == 0 else None
+                if 0 < row.length <= most:
                     system, inner, _ = _open_fs(row.path)
                     with system.open_input_stream(inner) as stream:
                         data = stream.read()

@@ -277,6 +277,28 @@ def test_file_stream_equals_batch_and_resumes(spark, tmp_path):
     assert sorted((r.path[-5:], len(r.words)) for r in rows) == [("a.txt", 2), ("b.txt", 0), ("c.txt", 1)]
 
 
+def test_large_files_are_matched_unless_gated(spark):
+    mb = 1024 * 1024
+    box = zipped({"a.txt": b"secret words"})
+    rows = [("/in/a.log", 201 * mb, bytearray(b"secret words")), ("/in/b.zip", 150 * mb, bytearray(box))]
+    rows += [("/in/_c.log", 7, None)]
+    df = spark.createDataFrame(rows, "path string, length long, content binary")
+    whole = {r.file_path[4:]: (r.error, "secret" in r.content) for r in scan.scan(df, RULES).collect()}
+    assert whole["a.log"] == whole["b.zip"] == (None, True)
+    assert whole["_c.log"][0] and not whole["_c.log"][1]
+    gated = {r.file_path[4:]: (r.error, r.content) for r in scan.scan(df, RULES, gate=filters.size_gate).collect()}
+    assert all(error and not text for error, text in gated.values())
+
+
+def test_left_out_bytes_over_a_limit_are_null(spark, tmp_path):
+    (tmp_path / "_a.txt").write_text("text")
+    (tmp_path / "e.txt").write_text("")
+    for limit, want in ((None, b"text"), (3, None)):
+        got = {r.path[-6:]: r.content for r in files.left_out_files(spark, str(tmp_path), limit=limit).collect()}
+        kept = {n.strip("/"): c if c is None else bytes(c) for n, c in got.items()}
+        assert kept == {"_a.txt": want, "e.txt": b""}
+
+
 def test_size_gate_and_names(spark):
     mb = 1024 * 1024
     df = spark.createDataFrame([(10 * mb,), (60 * mb,), (150 * mb,), (201 * mb,)], "n long")
