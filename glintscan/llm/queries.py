@@ -13,6 +13,7 @@ from glintscan.llm import (
     brown,
     chat,
     decontaminate,
+    filter_audit,
     licences,
     mixing,
     packed_ids,
@@ -21,11 +22,16 @@ from glintscan.llm import (
     simhash,
 )
 from glintscan.llm.sql import CHAT_SQL, QUALITY_SQL
+from glintscan.llm.sql_audit import AUDIT_SQL
 from glintscan.session import run_dir
 from glintscan.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_preference_pairs": CHAT_SQL, "op10_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {
+    "op5_preference_pairs": CHAT_SQL,
+    "op10_quality_rules": QUALITY_SQL,
+    "op11_filter_audit": AUDIT_SQL,
+}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -96,3 +102,9 @@ def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
