@@ -14,6 +14,7 @@ from glintscan.llm import (
     chat,
     decontaminate,
     filter_audit,
+    importance,
     licences,
     mixing,
     packed_ids,
@@ -22,7 +23,7 @@ from glintscan.llm import (
     simhash,
 )
 from glintscan.llm.sql import CHAT_SQL, QUALITY_SQL
-from glintscan.llm.sql_audit import AUDIT_SQL
+from glintscan.llm.sql_audit import AUDIT_SQL, IMPORTANCE_SQL
 from glintscan.session import run_dir
 from glintscan.sources.tables import table
 
@@ -31,6 +32,7 @@ ORACLES: dict[str, str] = {
     "op5_preference_pairs": CHAT_SQL,
     "op10_quality_rules": QUALITY_SQL,
     "op11_filter_audit": AUDIT_SQL,
+    "op12_importance_resampling": IMPORTANCE_SQL,
 }
 
 
@@ -108,3 +110,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+@_query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return importance.resampled(docs, table(spark, sf_dir, "benchmark", "text"))
