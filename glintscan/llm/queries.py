@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.llm import (
+    bpe_codec,
     bpe_count,
     brown,
     chat,
@@ -116,3 +117,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return importance.resampled(docs, table(spark, sf_dir, "benchmark", "text"))
+
+
+@_query
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_codec.round_trip(docs, path, public_tokenizers.PATTERN)
