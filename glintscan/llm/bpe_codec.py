@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from glintscan.llm.common import portions
 from glintscan.session import run_dir
 
-BLOCK_WORDS = 1 << 19  # distinct words after which a block ends
-BLOCK_PIECES = 1 << 23  # pre-tokens after which a block ends
+BLOCK_WORDS = 1 << 18  # distinct words after which a block ends
+BLOCK_PIECES = 1 << 21  # pre-tokens after which a block ends
 MOST_BUCKETS = 8192
-CACHED = 1 << 18  # chunks whose pre-tokens a task keeps
-KEPT = 1 << 20  # words whose ids a task keeps
-AT_ONCE = 1 << 18  # chunks of a long text handled at a time
+PORTION = 1 << 20  # bytes of text cut at a time
+CACHED = 1 << 16  # chunks whose pre-tokens a task keeps
+KEPT = 1 << 19  # words whose ids a task keeps
+AT_ONCE = 1 << 16  # chunks of a long text handled at a time
 
 # All white space of Unicode. Pre-tokens never run on from other characters into
 # white space, so texts are first cut before it, which few steps do.
@@ -153,7 +154,7 @@ def _pretokenized(pattern: str, buckets: int, block_words: int, block_pieces: in
         open_ = False
         for batch in batches:
             start, id_type = 0, batch.schema.types[0]
-            for part in portions(pc.fill_null(batch.column(1), "")):
+            for part in portions(pc.fill_null(batch.column(1), ""), PORTION):
                 numbers, sizes = block.positions(part.to_pylist())
                 ids = batch.column(0).slice(start, len(part)).to_pylist()
                 yield row(number, ids, sizes.tolist(), packed(numbers), None, None, None)
