@@ -137,6 +137,29 @@ class Frequent:
         return self.counts.most_common(self.most)
 
 
+def most_frequent(counts: DataFrame, key: str, most: int) -> list:
+    """At most ``most`` keys of ``key, n`` rows from the top; only rows that are taken reach the driver.
+
+    Counts are binned, 16 bins a doubling; whole bins are taken as long as they
+    fit, and any rows of the next one.
+    """
+    if not most:
+        return []
+    binned = stored(counts.withColumn("bin", F.floor(F.log2("n") * 16)), "importance-counts")
+    left, rows = most, []
+    bins = binned.groupBy("bin").count().orderBy(F.desc("bin")).collect()  # under 1,024 rows
+    for lowest, row in enumerate(bins):
+        if row["count"] > left:
+            rows = binned.where(F.col("bin") == row["bin"]).limit(left).collect()
+            break
+        left -= row["count"]
+    else:
+        lowest = len(bins)
+    if lowest:
+        rows += binned.where(F.col("bin") >= bins[lowest - 1]["bin"]).collect()
+    return [r[key] for r in rows]
+
+
 def frequent_words(docs: DataFrame, text: str, most: int) -> list[str]:
     """At most ``most`` frequent words of all texts, by counts of all tasks together."""
 
@@ -153,8 +176,7 @@ def frequent_words(docs: DataFrame, text: str, most: int) -> list[str]:
         )
 
     parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
-    summed = parts.groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in summed.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return most_frequent(parts.groupBy("word").agg(F.sum("n").alias("n")), "word", most)
 
 
 def frequent_pairs(docs: DataFrame, text: str, words: list[str], most: int) -> list[tuple[int, int]]:
@@ -177,9 +199,8 @@ def frequent_pairs(docs: DataFrame, text: str, words: list[str], most: int) -> l
         )
 
     parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "pair bigint, n bigint")
-    summed = parts.groupBy("pair").agg(F.sum("n").alias("n"))
-    top = summed.orderBy(F.desc("n"), "pair").limit(most).collect()
-    return [divmod(r["pair"], len(words)) for r in top]
+    top = most_frequent(parts.groupBy("pair").agg(F.sum("n").alias("n")), "pair", most)
+    return [divmod(pair, len(words)) for pair in top]
 
 
 def head_of(docs: DataFrame, text: str, max_n: int, words: int, pairs: int) -> Head:

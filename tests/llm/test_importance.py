@@ -98,3 +98,10 @@ def test_head_changes_nothing():
         for n, (states, sizes) in enumerate(levels, 1):
             want = [" ".join(t.split()[i : i + n]) for t in texts.to_pylist() for i in range(len(t.split()) - n + 1)]
             assert states.tolist() == [zlib.crc32(w.encode()) for w in want] and sizes.sum() == len(want)
+
+
+def test_most_frequent_takes_whole_bins_then_any(spark):
+    counts = spark.createDataFrame([("a", 900), ("b", 900), ("c", 50), ("d", 50), ("e", 50), ("f", 1)], "word string, n bigint")
+    for most, sure in ((0, ""), (1, ""), (2, "ab"), (4, "ab"), (5, "abcde"), (6, "abcdef"), (9, "abcdef")):
+        got = importance.most_frequent(counts, "word", most)
+        assert len(got) == min(most, 6) == len(set(got)) and set(sure) <= set(got)
