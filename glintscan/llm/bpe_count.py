@@ -3,99 +3,205 @@
 A piece starts as a linked list of its symbols. A heap holds the adjacent pairs
 that have a merge, by rank and place; the lowest is taken again and again and
 its two symbols become one. The count of a piece is its number of first symbols
-less the number of merges.
+less the number of merges. Of a portion of texts every new piece is counted once.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintscan.llm.common import portions
+
 LIMIT = 512
-CACHED = 300_000
+CACHED = 1 << 18
 CACHED_LENGTH = 64
+PORTION = 1 << 20  # bytes of text counted at a time
+AT_ONCE = 1 << 18  # chunks of a long text counted at a time
 # A run of ASCII blanks and what follows it. The splitter's pieces never run on
 # from other characters into a blank, so texts can be cut before such runs
 # unless other white space makes a longer run.
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _ODD_SPACE = re.compile(r"[^\S \t-\r]|[\x1c-\x1f\x85\xa0]")
+# Fixed value: how byte-level tokenizers of this kind cut texts into pieces.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Chunks that the splitter cuts alike between line ends and alone.
+_PLAIN = re.compile(r" ?[^ \t-\r]+").fullmatch
 
 
-class Merges(dict):
-    """Counts of chunks by a tokenizer's merge table; a dict of the recent short ones."""
+def spelled_bytes() -> list[str]:
+    """The character that stands for each byte: itself if it is printable Latin-1, else one from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD)]
+    others = (b for b in range(256) if b not in own)
+    spelling = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return [spelling[b] for b in range(256)]
 
-    def __init__(self, path: str):
+
+class Recent(dict):
+    """A dict of at most twice ``CACHED`` entries: those used since it was last full, and the ones before."""
+
+    def __init__(self) -> None:
         super().__init__()
-        from tokenizers import Tokenizer
+        self.old: dict = {}
+
+    def new(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are unknown; known ones count as used."""
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        unknown = [k for k in dict.fromkeys(keys) if k not in self]
+        if not self.old:
+            return unknown
+        old = self.old
+        self.update((k, old[k]) for k in unknown if k in old)
+        return [k for k in unknown if k not in old]
+
+
+class Merges:
+    """Counts of texts by a tokenizer's merge table; keeps those of recent short chunks and pieces."""
+
+    def __init__(self, path: str):
+        import regex
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
+        splitter = model["pre_tokenizer"]
+        if splitter["type"] != "ByteLevel" or splitter.get("add_prefix_space") or model.get("normalizer"):
+            raise ValueError(f"not a plain byte-level tokenizer: {path}")
         rules = model["model"]["merges"]
         rules = [tuple(r.split(" ")) if isinstance(r, str) else tuple(r) for r in rules]
-        number: dict[str, int] = {}
-        self.pair: dict[int, tuple[int, int]] = {}
+        number: dict[str, int] = {}  # from 1: 0 stands for symbols without a merge
+        self.pair: dict[int, int] = {}
         for rank, (left, right) in enumerate(rules):
-            a, b = (number.setdefault(x, len(number)) for x in (left, right))
-            self.pair.setdefault(a << 32 | b, (rank, number.setdefault(left + right, len(number))))
-        self.number = number
+            a, b, whole = (number.setdefault(x, len(number) + 1) for x in (left, right, left + right))
+            self.pair.setdefault(a << 32 | b, rank << 32 | whole)
+        self.byte = [number.get(c, 0) for c in spelled_bytes()]
         self.specials = [t["content"] for t in model["added_tokens"]]
-        # The library's own splitter cuts the pieces and spells bytes as the table does.
-        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-
-    def __missing__(self, chunk: str) -> int:
-        n, parts = 0, [chunk]
-        for special in self.specials:  # each of its places is one token
-            split = [p.split(special) for p in parts]
-            n += sum(len(p) - 1 for p in split)
-            parts = [x for p in split for x in p]
-        n += sum(self.merged(piece) for part in parts if part for piece, _ in self.cut(part))
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[chunk] = n
-        return n
+        self.cut = regex.compile(PIECES).findall
+        self.chunks, self.pieces = Recent(), Recent()
 
     def merged(self, piece: str) -> int:
         """First symbols less merges."""
-        size = len(piece)
-        symbol = [self.number.get(c, -1 - i) for i, c in enumerate(piece)]
-        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
-        pair = self.pair
-        heap = []
-        for i in range(size - 1):
-            if symbol[i] >= 0 and symbol[i + 1] >= 0 and (m := pair.get(symbol[i] << 32 | symbol[i + 1])):
-                heap.append((m[0], i, symbol[i], symbol[i + 1], m[1]))
+        pair, data = self.pair.get, piece.encode()
+        size = len(data)
+        if size < 2:
+            return size
+        symbol = list(map(self.byte.__getitem__, data))
+        # The merge of each symbol with the next one: its rank and the whole, 0 if none.
+        merge = [pair(a << 32 | b, 0) for a, b in zip(symbol, symbol[1:])]
+        width = size.bit_length()
+        places = (1 << width) - 1
+        heap = [m << width | i for i, m in enumerate(merge) if m]
+        if not heap:
+            return size
         heapify(heap)
+        merge.append(0)
+        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
         count = size
         while heap:
-            _, i, left, right, whole = heappop(heap)
-            j = after[i] if symbol[i] == left else size
-            if j >= size or symbol[j] != right:
+            low = heappop(heap)
+            i, m = low & places, low >> width
+            if merge[i] != m:
                 continue  # one of the two was merged meanwhile
-            symbol[i], symbol[j] = whole, -1 - size
+            whole = symbol[i] = m & 0xFFFFFFFF
+            j = after[i]
+            merge[j] = 0
             after[i] = k = after[j]
             count -= 1
             if k < size:
                 before[k] = i
-                if symbol[k] >= 0 and (m := pair.get(whole << 32 | symbol[k])):
-                    heappush(heap, (m[0], i, whole, symbol[k], m[1]))
+                merge[i] = m = pair(whole << 32 | symbol[k], 0)
+                if m:
+                    heappush(heap, m << width | i)
+            else:
+                merge[i] = 0
             h = before[i]
-            if h >= 0 and symbol[h] >= 0 and (m := pair.get(symbol[h] << 32 | whole)):
-                heappush(heap, (m[0], h, symbol[h], whole, m[1]))
+            if h >= 0:
+                merge[h] = m = pair(symbol[h] << 32 | whole, 0)
+                if m:
+                    heappush(heap, m << width | h)
         return count
 
+    def _pieces(self, pieces: list[str]) -> None:
+        """Count pieces that are not known yet; short ones stay known."""
+        for piece in self.pieces.new(p for p in pieces if len(p) <= CACHED_LENGTH):
+            self.pieces[piece] = self.merged(piece)
+
+    def _piece(self, piece: str) -> int:
+        return self.pieces[piece] if len(piece) <= CACHED_LENGTH else self.merged(piece)
+
+    def whole(self, text: str) -> int:
+        """Tokens of any text, cut by itself."""
+        n, parts = 0, [text]
+        for special in self.specials:  # each of its places is one token
+            split = [p.split(special) for p in parts]
+            n += sum(len(p) - 1 for p in split)
+            parts = [x for p in split for x in p]
+        pieces = [piece for part in parts for piece in self.cut(part)]
+        self._pieces(pieces)
+        return n + sum(map(self._piece, pieces))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Count short chunks; plain ones are cut together, a line each."""
+        plain = [c for c in chunks if _PLAIN(c) and not any(s in c for s in self.specials)]
+        cut = self.cut("\n".join(plain))
+        self._pieces(cut)
+        known, counts, n = self.pieces, [], 0
+        for piece in cut:
+            if piece == "\n":
+                counts.append(n)
+                n = 0
+            else:
+                n += known[piece] if len(piece) <= CACHED_LENGTH else self.merged(piece)
+        self.chunks.update(zip(plain, [*counts, n]))
+        if len(plain) < len(chunks):
+            done = set(plain)
+            for chunk in chunks:
+                if chunk not in done:
+                    self.chunks[chunk] = self.whole(chunk)
+
+    def _sum(self, chunks: list[str]) -> int:
+        long = [c for c in chunks if len(c) > CACHED_LENGTH]
+        if long:
+            chunks = [c for c in chunks if len(c) <= CACHED_LENGTH]
+        self._learn(self.chunks.new(chunks))
+        return sum(map(self.chunks.__getitem__, chunks)) + sum(map(self.whole, long))
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; what is new in any of them is counted once, together."""
+        cut = [None if len(t) > PORTION or _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+        short = [c for of in cut if of for c in of if len(c) <= CACHED_LENGTH]
+        self._learn(self.chunks.new(short))
+        known, out = self.chunks, []
+        for text, of in zip(texts, cut):
+            if of is None:
+                out.append(self.long(text))
+            elif max(map(len, of), default=0) <= CACHED_LENGTH:
+                out.append(sum(map(known.__getitem__, of)))
+            else:
+                out.append(sum(known[c] if len(c) <= CACHED_LENGTH else self.whole(c) for c in of))
+        return out
+
+    def long(self, text: str) -> int:
+        """Tokens of a text that is long or has other white space than ASCII blanks."""
+        if _ODD_SPACE.search(text):
+            return self.whole(text)
+        found, n = _CHUNK.finditer(text), 0
+        while chunks := [m.group() for m in islice(found, AT_ONCE)]:
+            n += self._sum(chunks)
+        return n
+
     def count(self, text: str) -> int:
         """Tokens of a text."""
-        if _ODD_SPACE.search(text):
-            return self.__missing__(text)
-        if len(text) < 1 << 20:
-            return sum(map(self.__getitem__, _CHUNK.findall(text)))
-        return sum(self[m.group()] for m in _CHUNK.finditer(text))
+        return self.counts([text])[0]
 
 
 _loaded: dict[str, Merges] = {}
@@ -126,8 +232,8 @@ def token_counts(
 
     @F.arrow_udf("bigint")
     def counted(texts: pa.Array) -> pa.Array:
-        table = merges(tokenizer)
-        return pa.array((table.count(t.as_py() or "") for t in texts), pa.int64())
+        table, texts = merges(tokenizer), pc.fill_null(texts, "")
+        return pa.array(chain.from_iterable(table.counts(p.to_pylist()) for p in portions(texts, PORTION)), pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
