@@ -244,8 +244,11 @@ def word_ids(words: DataFrame, path: str, pattern: str, buckets: int) -> DataFra
     return dealt.mapInArrow(encode, "block bigint, bucket int, ids binary, counts binary")
 
 
-def _reassembled(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """The texts of a block with the ids of their words put in their places."""
+def _reassembled(texts: pa.Table, words: pa.Table, path: str | None = None) -> pa.Table:
+    """The texts of a block with the ids of their words put in their places.
+
+    With the ``path`` of a rank file also the bytes that the ids decode to.
+    """
     words = words.sort_by("bucket")
     ids, counts = (
         np.concatenate([np.zeros(0, np.uint32), *(unpacked(x) for x in words[c].to_pylist())])
@@ -269,7 +272,10 @@ def _reassembled(texts: pa.Table, words: pa.Table) -> pa.Table:
         docs += r["doc_ids"]
         out += [x.tobytes() for x in np.split(whole, stops[:-1])]
     id_type = texts.schema.field("doc_ids").type.value_type
-    return pa.table([pa.array(docs, id_type), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+    columns = {"doc_id": pa.array(docs, id_type), "ids": pa.array(out, pa.binary())}
+    if path is not None:
+        columns["bytes"] = pa.array((token_bytes(x, path) for x in out), pa.binary())
+    return pa.table(columns)
 
 
 def encoded(
@@ -281,9 +287,13 @@ def encoded(
     buckets: int | None = None,
     block_words: int = BLOCK_WORDS,
     block_pieces: int = BLOCK_PIECES,
+    with_bytes: bool = False,
 ) -> DataFrame:
     """``doc_id, ids``: every row's ids as little-endian unsigned 32-bit integers.
 
+    ``with_bytes`` adds ``bytes``, decoded from the ids of each text in the task
+    that has them; ``decoded`` does the same for any column of ids.
+
     ``path`` is a file of token bytes and ranks, there on every executor;
     ``pattern`` finds the pre-tokens and must not let one run from other
     characters into white space. A null text counts as empty: no ids. Null and
@@ -302,7 +312,12 @@ def encoded(
     texts = pieces.where("bucket IS NULL OR bucket < 0").select(*_COLUMNS[:5])
     ids = word_ids(pieces.where("bucket >= 0"), path, pattern, buckets)
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids binary"
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembled, schema)
+    schema += ", bytes binary" if with_bytes else ""
+
+    def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        return _reassembled(texts, words, path if with_bytes else None)
+
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassemble, schema)
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -313,21 +328,16 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def join(cells: pa.Array) -> pa.Array:
-        table = _token_bytes(path)
-        out = []
-        for cell in cells:
-            if not cell.is_valid:
-                out.append(None)
-                continue
-            taken = table.take(pa.array(np.frombuffer(cell.as_buffer(), "<u4")))
-            out.append(_joined(taken) if len(taken) else b"")
-        return pa.array(out, pa.binary())
+        return pa.array((token_bytes(c.as_buffer(), path) if c.is_valid else None for c in cells), pa.binary())
 
     return join(ids)
 
 
-def _joined(taken: pa.Array) -> bytes:
-    """The values of a binary array one after another: they lie so in its buffer."""
+def token_bytes(ids, path: str) -> bytes:
+    """The bytes of the tokens one after another, looked up in the token-byte table."""
+    taken = _token_table(path).take(pa.array(np.frombuffer(ids, "<u4")))
+    if not len(taken):
+        return b""
     bounds = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
     return taken.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes()
 
@@ -335,7 +345,7 @@ def _joined(taken: pa.Array) -> bytes:
 _tables: dict[str, pa.Array] = {}
 
 
-def _token_bytes(path: str) -> pa.Array:
+def _token_table(path: str) -> pa.Array:
     if path not in _tables:
         by_id = {i: b for b, i in ranks(path).items()}
         _tables[path] = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
@@ -344,8 +354,7 @@ def _token_bytes(path: str) -> pa.Array:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row: encoded, then decoded."""
-    both = encoded(docs, path, pattern, doc_id, text).withColumn("bytes", decoded(F.col("ids"), path))
-    return both.select(
+    return encoded(docs, path, pattern, doc_id, text, with_bytes=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
