@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from glintscan.llm.common import portions
 
 LIMIT = 512
-CACHED = 1 << 18
+CACHED_CHUNKS, CACHED_PIECES = 1 << 18, 1 << 19
 CACHED_LENGTH = 64
 PORTION = 1 << 20  # bytes of text counted at a time
 AT_ONCE = 1 << 18  # chunks of a long text counted at a time
@@ -46,15 +46,16 @@ def spelled_bytes() -> list[str]:
 
 
 class Recent(dict):
-    """A dict of at most twice ``CACHED`` entries: those used since it was last full, and the ones before."""
+    """A dict of twice ``most`` entries: those used since it was last full, and the ones before."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
+        self.most = most
         self.old: dict = {}
 
     def new(self, keys: Iterable[str]) -> list[str]:
         """The keys that are unknown; known ones count as used."""
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         unknown = [k for k in dict.fromkeys(keys) if k not in self]
@@ -79,55 +80,67 @@ class Merges:
         rules = model["model"]["merges"]
         rules = [tuple(r.split(" ")) if isinstance(r, str) else tuple(r) for r in rules]
         number: dict[str, int] = {}  # from 1: 0 stands for symbols without a merge
-        self.pair: dict[int, int] = {}
-        for rank, (left, right) in enumerate(rules):
+        self.pair: dict[int, int] = {}  # rank from 1
+        self.wholes = [0]
+        for rank, (left, right) in enumerate(rules, 1):
             a, b, whole = (number.setdefault(x, len(number) + 1) for x in (left, right, left + right))
-            self.pair.setdefault(a << 32 | b, rank << 32 | whole)
+            self.pair.setdefault(a << 32 | b, rank)
+            self.wholes.append(whole)
         self.byte = [number.get(c, 0) for c in spelled_bytes()]
+        self.first = [self.pair.get(a << 32 | b, 0) for a in self.byte for b in self.byte]
         self.specials = [t["content"] for t in model["added_tokens"]]
         self.cut = regex.compile(PIECES).findall
-        self.chunks, self.pieces = Recent(), Recent()
+        self.chunks, self.pieces = Recent(CACHED_CHUNKS), Recent(CACHED_PIECES)
 
     def merged(self, piece: str) -> int:
         """First symbols less merges."""
-        pair, data = self.pair.get, piece.encode()
+        data = piece.encode()
         size = len(data)
         if size < 2:
             return size
-        symbol = list(map(self.byte.__getitem__, data))
-        # The merge of each symbol with the next one: its rank and the whole, 0 if none.
-        merge = [pair(a << 32 | b, 0) for a, b in zip(symbol, symbol[1:])]
+        first, pair, wholes = self.first, self.pair.get, self.wholes
+        # The merge of each symbol with the next one, by rank from 1; 0 if none.
+        merge = [first[a << 8 | b] for a, b in zip(data, data[1:])]
         width = size.bit_length()
         places = (1 << width) - 1
         heap = [m << width | i for i, m in enumerate(merge) if m]
-        if not heap:
+        live = len(heap)  # entries that still stand
+        if not live:
             return size
         heapify(heap)
         merge.append(0)
+        symbol = list(map(self.byte.__getitem__, data))
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
         count = size
-        while heap:
+        while live:
             low = heappop(heap)
             i, m = low & places, low >> width
             if merge[i] != m:
                 continue  # one of the two was merged meanwhile
-            whole = symbol[i] = m & 0xFFFFFFFF
+            symbol[i] = whole = wholes[m]
+            count -= 1
+            live -= 1
             j = after[i]
-            merge[j] = 0
+            if merge[j]:
+                merge[j] = 0
+                live -= 1
             after[i] = k = after[j]
-            count -= 1
             if k < size:
                 before[k] = i
                 merge[i] = m = pair(whole << 32 | symbol[k], 0)
                 if m:
                     heappush(heap, m << width | i)
+                    live += 1
             else:
                 merge[i] = 0
             h = before[i]
             if h >= 0:
+                if merge[h]:
+                    live -= 1
                 merge[h] = m = pair(symbol[h] << 32 | whole, 0)
                 if m:
                     heappush(heap, m << width | h)
+                    live += 1
         return count
 
     def _pieces(self, pieces: list[str]) -> None:
