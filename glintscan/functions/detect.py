@@ -28,6 +28,7 @@ from glintscan.functions.cols import (
     lookup,
     total,
 )
+from glintscan.functions.encoding import charset
 from glintscan.functions.paths import expected_mime, suffix
 from glintscan.functions.text import printable_only
 from glintscan.functions.unzip import MEMBER_TEXT, TYPE_FILES, TYPE_MEMBERS, boxed
@@ -282,14 +283,26 @@ def text_format(ext: str, text: str) -> str:
     return let(text, "tx", let(f"regexp_replace(tx, {edges}, '')", "be", formats))
 
 
-def text_mime(ext: str, content: str) -> str:
-    """Text format of UTF-8 files by their first 4 KB, else NULL.
+def text_mime(ext: str, content: str, encoding: str | None = None) -> str:
+    """Text format of text files by their first 4 KB, else NULL.
 
-    The sample ends before a character that byte 4,096 would split.
+    A UTF-8 sample ends before a character that byte 4,096 would split; in
+    other encodings the format's marks are single bytes, with zeros beside them
+    in UTF-16.
     """
     heads = [f"substring({content}, 1, {size})" for size in (4096, 4095, 4094, 4093)]
-    whole = case([(is_utf8(h), f"cast({h} AS string)") for h in heads], "NULL")
-    return let(whole, "hd", f"if(hd IS NULL, NULL, {text_format(ext, 'hd')})")
+    bytes_only = f"replace({byte_view(content, 4096)}, {lit(chr(0))}, '')"
+    whole = case(
+        [
+            ("cs LIKE 'utf-16%' OR cs LIKE 'utf-32%'", bytes_only),
+            *[(is_utf8(h), f"cast({h} AS string)") for h in heads],
+            ("cs IS NOT NULL", bytes_only),
+        ],
+        "NULL",
+    )
+    unmarked = f"regexp_replace(hd, {lit('^(?:\uFEFF|\u00FF\u00FE|\u00FE\u00FF)')}, '')"
+    found = let(whole, "hd", f"if(hd IS NULL, NULL, {text_format(ext, unmarked)})")
+    return let(encoding or charset(content), "cs", found)
 
 
 def riff_subtype(content: str) -> str:
@@ -302,8 +315,11 @@ def riff_subtype(content: str) -> str:
     return f"if({header_hex(content, 4)} = '52494646', {known}, NULL)"
 
 
-def mime_cascade(path: str, content: str, length: str, zip_col: str | None) -> str:
-    """MIME type of a file: header, container, text heuristic, extension."""
+def mime_cascade(path: str, content: str, length: str, zip_col: str | None, encoding: str | None = None) -> str:
+    """MIME type of a file: header, container, text heuristic, extension.
+
+    ``encoding`` is a column with the file's :func:`charset`, if there is one.
+    """
     ext = suffix(path)
     by_header = case(
         [
@@ -322,7 +338,7 @@ def mime_cascade(path: str, content: str, length: str, zip_col: str | None) -> s
             (starts("hx", "1F8B08"), "'application/gzip'"),
         ]
     )
-    found = f"coalesce({by_header}, {text_mime(ext, content)}, {expected_mime(ext)})"
+    found = f"coalesce({by_header}, {text_mime(ext, content, encoding)}, {expected_mime(ext)})"
     return (
         f"if(coalesce({length}, 0) = 0, {lit(fixed.OCTET)}, "
         f"{let(header_hex(content, 32), 'hx', found)})"
@@ -390,37 +406,6 @@ def encoding_guess(content: str) -> Column:
     return F.coalesce(_gbk_name(other), F.lit("UTF-8"))
 
 
-DECODED = StructType([StructField("text", StringType()), StructField("encoding", StringType())])
-
-
-@F.pandas_udf(DECODED)
-def _decode_legacy(content: pd.Series) -> pd.DataFrame:
-    def decode(raw) -> tuple[str | None, str | None]:
-        if raw is None:
-            return None, None
-        try:
-            return raw.decode("gb18030"), "gb18030"
-        except UnicodeDecodeError:
-            return raw.decode("latin-1"), "latin-1"
-
-    return pd.DataFrame(content.map(decode).tolist(), columns=["text", "encoding"], dtype=object)
-
-
-def decoded(content: str) -> Column:
-    """struct(text, encoding) of file bytes: UTF-8 natively, else gb18030, else Latin-1 (a Column)."""
-    native = F.expr(
-        f"if({is_utf8(content)}, named_struct('text', cast({content} AS string), 'encoding', 'utf-8'), NULL)"
-    )
-    other = F.expr(f"if({is_utf8(content)}, NULL, {content})")
-    # Not to be merged into lambda bodies of later expressions.
-    return F.coalesce(native, _decode_legacy.asNondeterministic()(other))
-
-
-def decode_text(content: str) -> Column:
-    """The text of :func:`decoded`."""
-    return decoded(content).getField("text")
-
-
 BINARY_TEXT = StructType(
     [
         StructField("text", StringType()),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from glintscan.functions import fixed
 from glintscan.functions.cols import any_of, case, is_in, let, lit
 from glintscan.functions.detect import (
-    decoded,
     encoding_guess,
     header_hex,
     is_encrypted,
@@ -21,17 +20,19 @@ from glintscan.functions.detect import (
     with_binary_text,
     with_zip_info,
 )
+from glintscan.functions.encoding import charset, with_text
 from glintscan.functions.match import checked
 from glintscan.functions.paths import base_name, suffix
 from glintscan.functions.text import markdown_profile, sniff_delimiter
 from glintscan.operators import dataset, filters
 from glintscan.session import run_dir
-from glintscan.sources.archives import SCAN_MEMBERS, archive_text, first_error, office_text
+from glintscan.sources.archives import SCAN_MEMBERS, archive_text, first_error, odf_text, office_text
 from glintscan.sources.rules import RuleSet
 
 # Rejects files by size: SQL texts of the length and of whether it is a ZIP to ``error`` or other words.
 Gate = Callable[[str, str], str]
 OOXML_TYPES = [fixed.DOCX, fixed.XLSX, fixed.PPTX]
+ODF_TYPES = [f"application/vnd.oasis.opendocument.{k}" for k in ("text", "spreadsheet", "presentation")]
 UNREADABLE = [
     fixed.DOC, fixed.XLS, fixed.PPT, fixed.OLE, "application/pdf", "application/rtf",
     "application/x-rar", "application/x-7z-compressed", "application/gzip",
@@ -41,15 +42,16 @@ UNREADABLE = [
 def typed_files(
     files: DataFrame, encrypted_first: bool = False, members: str | None = None
 ) -> DataFrame:
-    """Add ``mime_type`` to ``path, length, content`` rows.
+    """Add ``mime_type`` and ``charset`` to ``path, length, content`` rows.
 
     With ``members`` the same opening of a ZIP also gives the members with such
     names, kept as ``box``.
     """
-    mime = mime_cascade("path", "content", "length", "zip")
+    mime = mime_cascade("path", "content", "length", "zip", "charset")
     if encrypted_first:
         mime = f"if({is_encrypted('content', 'zip')}, 'application/encrypted', {mime})"
     known = with_zip_info(files, members=members) if members else with_zip_info(files)
+    known = known.withColumn("charset", F.expr(charset("content")))
     typed = known.withColumn("mime_type", F.expr(mime)).drop("zip")
     return typed if members else typed.drop("box")
 
@@ -62,11 +64,13 @@ def routed_files(typed: DataFrame, gate: Gate | None = None) -> DataFrame:
     A damaged ZIP has no type; it goes to its error, not to the skipped files.
     """
     damaged = "coalesce(exists(box, m -> m.member IS NULL), false)" if "box" in typed.columns else "false"
+    # The type of a file whose bytes were not read is unknown.
+    named = f"(content IS NOT NULL OR {filters.skips_extension(suffix('path'))})"
     skipped = any_of(
         [f"{filters.skips_mime('mime_type')} AND NOT {damaged}", filters.skips_extension(suffix("path"))]
     )
     flagged = typed.withColumns(
-        {"is_empty": F.expr("length = 0"), "skipped": F.expr(f"length > 0 AND {skipped}")}
+        {"is_empty": F.expr("length = 0"), "skipped": F.expr(f"length > 0 AND {named} AND {skipped}")}
     )
     too_large = "length > 0 AND content IS NULL"
     if gate is not None:
@@ -74,13 +78,15 @@ def routed_files(typed: DataFrame, gate: Gate | None = None) -> DataFrame:
         too_large = f"({too_large}) OR {gate('length', is_zip)} = 'error'"
     route = case(
         [
-            ("is_empty OR skipped", "'none'"),
+            ("is_empty", "'none'"),
             (too_large, "'too_large'"),
+            ("skipped", "'none'"),
             (damaged, "'archive'"),
             (is_in("mime_type", OOXML_TYPES), "'ooxml'"),
             (f"mime_type = {lit(fixed.ZIP)}", "'archive'"),
             (is_in("mime_type", UNREADABLE), "'unreadable'"),
-            (f"{printable_profile('content')}.has_nul", "'binary'"),
+            (is_in("mime_type", ODF_TYPES), "'odf'"),
+            (f"charset IS NULL AND {printable_profile('content')}.has_nul", "'binary'"),
         ],
         "'text'",
     )
@@ -90,21 +96,22 @@ def routed_files(typed: DataFrame, gate: Gate | None = None) -> DataFrame:
 def extracted(routed: DataFrame) -> DataFrame:
     """Add ``text``, ``encoding`` and ``error`` to routed files, in one pass without a shuffle.
 
-    Text files are decoded natively; files with zero bytes (UTF-16 and others)
+    Text files are decoded by their encoding; other files with zero bytes
     take the decoding with most printable text; Office and archive texts come
     from their members in ``box``, which has an error for each one that cannot
     be read; the readable ones count all the same. The other routes give no
     text.
     """
     raw = routed.withColumn("__raw", F.expr("if(route = 'binary', content, NULL)"))
-    plain = with_binary_text(raw, "__raw", "__binary").withColumn(
-        "__plain", decoded("if(route = 'text', content, NULL)")
+    plain = with_text(
+        with_binary_text(raw, "__raw", "__binary"), "if(route = 'text', content, NULL)", "__plain", "charset"
     )
     text = case(
         [
             ("route = 'text'", "__plain.text"),
             ("route = 'binary'", "coalesce(__binary.text, '')"),
             ("route = 'ooxml'", f"coalesce({office_text('box')}, '')"),
+            ("route = 'odf'", f"coalesce({odf_text('box', 'mime_type')}, '')"),
             ("route = 'archive'", f"coalesce({archive_text('box')}, '')"),
         ],
         "''",
@@ -113,14 +120,14 @@ def extracted(routed: DataFrame) -> DataFrame:
         [
             ("route = 'too_large'", filters.too_large_text("length")),
             ("route = 'unreadable'", "concat('不支持的文件类型: ', mime_type)"),
-            ("route IN ('ooxml', 'archive') AND box IS NULL", "'解压缩失败: 不是ZIP文件'"),
-            ("route IN ('ooxml', 'archive')", first_error("box")),
+            ("route IN ('ooxml', 'odf', 'archive') AND box IS NULL", "'解压缩失败: 不是ZIP文件'"),
+            ("route IN ('ooxml', 'odf', 'archive')", first_error("box")),
         ]
     )
     encoding = case([("route = 'text'", "__plain.encoding"), ("route = 'binary'", "__binary.encoding")])
     return plain.withColumns(
         {"text": F.expr(text), "encoding": F.expr(encoding), "error": F.expr(error)}
-    ).drop("__raw", "__binary", "__plain", "box")
+    ).drop("__raw", "__binary", "__plain", "box", "charset")
 
 
 def file_metadata(ext: str, mime: str, text: str, encoding: str) -> str:

@@ -27,6 +27,7 @@ from glintscan.queries.derived import (
 from glintscan.queries.registry import query
 from glintscan.session import run_dir
 from glintscan.sources import archives as archive_source
+from glintscan.functions.encoding import with_text
 from glintscan.sources import delimited, sheets
 from glintscan.sources import files as file_source
 from glintscan.sources.tables import table
@@ -749,6 +750,31 @@ def encoding_guess(spark, sf_dir):
     return raw.withColumn("encoding", detect.encoding_guess("content")).drop("content")
 
 
+_ENCODED = [
+    ("utf-8", "encode(text, 'UTF-8')"),
+    ("utf-8-sig", "concat(unhex('EFBBBF'), encode(text, 'UTF-8'))"),
+    ("utf-16", "concat(unhex('FFFE'), encode(text, 'UTF-16LE'))"),
+    ("utf-16", "concat(unhex('FEFF'), encode(text, 'UTF-16BE'))"),
+    ("utf-16-le", "encode(text, 'UTF-16LE')"),
+    ("utf-16-be", "encode(text, 'UTF-16BE')"),
+    # A phrase in GBK before the ASCII part of the text, which has to be checked to its end.
+    ("gb18030", "concat(unhex('BBFAC3DCCEC4BCFE'), encode(regexp_replace(text, '[^\\\\x00-\\\\x7F]', ''), 'UTF-8'))"),
+]
+
+
+@query(
+    "charset_detect",
+    f"""WITH c AS (SELECT doc_id, doc_id % {len(_ENCODED)} AS k, CASE WHEN doc_id % {len(_ENCODED)} = 6
+      THEN '机密文件' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') ELSE text END AS text FROM documents)
+    SELECT doc_id, CASE WHEN text = '' AND k IN (4, 5) THEN 'utf-8' {" ".join(f"WHEN k = {i} THEN '{n}'" for i, (n, _) in enumerate(_ENCODED))} END AS encoding,
+      md5(text) AS text_md5 FROM c""",
+)
+def charset_detect(spark, sf_dir):
+    arms = " ".join(f"WHEN {i} THEN {made}" for i, (_, made) in enumerate(_ENCODED))
+    raw = documents(spark, sf_dir, "text").selectExpr("doc_id", f"CASE doc_id % {len(_ENCODED)} {arms} END AS content")
+    return with_text(raw, "content", "t").selectExpr("doc_id", "t.encoding", "md5(t.text) AS text_md5")
+
+
 def _count_sql(hx: str, word: str) -> str:
     return f"(length({hx}) - length(replace({hx}, {lit(word)}, ''))) // {len(word)}"
 

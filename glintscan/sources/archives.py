@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.functions import fixed, office
+from glintscan.functions import fixed, office, opendocument
 from glintscan.functions.cols import any_of, case, is_in, let, lit
 from glintscan.functions.paths import suffix
 from glintscan.functions.unzip import MEMBER_TEXT, TEXT_MEMBERS, TYPE_MEMBERS, boxed, inflated
@@ -227,7 +227,7 @@ def slide_stats(parts: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ scans
-SCAN_MEMBERS = "|".join([office.PARTS, TEXT_MEMBERS, TYPE_MEMBERS])
+SCAN_MEMBERS = "|".join([office.PARTS, opendocument.BODY, TEXT_MEMBERS, TYPE_MEMBERS])
 
 
 def archive_text(box: str) -> str:
@@ -240,3 +240,10 @@ def archive_text(box: str) -> str:
 def office_text(box: str) -> str:
     """Texts of all parts of an Office file."""
     return f"array_join(transform({office_parts(box)}, p -> p.text), '\n\n')"
+
+
+def odf_text(box: str, mime: str) -> str:
+    """Text of an OpenDocument file: paragraphs, or the rows of its sheets."""
+    body = f"make_valid_utf8({_data(box, 'content.xml')})"
+    sheets = f"{mime} = 'application/vnd.oasis.opendocument.spreadsheet'"
+    return let(body, "xm", f"if({sheets}, {opendocument.sheet_text('xm')}, {opendocument.document_text('xm')})")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
 from glintscan.functions.cols import any_of, case, is_in, lit
-from glintscan.functions.detect import decode_text, header_hex, with_binary_text
+from glintscan.functions.detect import header_hex, with_binary_text
+from glintscan.functions.encoding import with_text
 from glintscan.functions.paths import (
     base_name,
     in_hidden_dir,
@@ -164,7 +165,7 @@ def read_text(
     files: DataFrame, limit: int | None = None, content: str = "content"
 ) -> DataFrame:
     """Add ``text``: decoded bytes, with a ``limit`` cut above so many characters with a notice."""
-    decoded = files.withColumn("text", decode_text(content))
+    decoded = with_text(files, content, "text").withColumn("text", F.col("text.text"))
     if limit is None:
         return decoded
     return decoded.withColumn("text", F.expr(truncate("text", limit, fixed.NOTICE_FILE_CUT)))
