@@ -46,3 +46,16 @@ def row_hash(df: DataFrame) -> Column:
     maps = {n for n, kind in df.dtypes if "map<" in kind or kind == "variant"}
     values = [F.to_json(F.struct(F.col(c))) if c in maps else F.col(c) for c in df.columns]
     return F.xxhash64(*values, *[F.col(c).isNull() for c in df.columns])
+
+
+def numbered(df: DataFrame, first: str, last: str, name: str, step: int = 10_000) -> DataFrame:
+    """Each row once for every number from ``first`` to ``last`` (SQL texts), in column ``name``.
+
+    The numbers come in blocks, so that no cell holds those of very many equal
+    rows; rows whose last number is before the first one drop out.
+    """
+    blocks = df.where(F.expr(f"{last} >= {first}")).withColumn(
+        "__block", F.explode(F.expr(f"sequence(0L, ({last} - {first}) DIV {step})"))
+    )
+    inside = f"sequence({first} + __block * {step}, least({last}, {first} + (__block + 1) * {step} - 1))"
+    return blocks.withColumn(name, F.explode(F.expr(inside))).drop("__block")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glintscan.llm.common import WORD, row_hash, stored
+from glintscan.llm.common import WORD, numbered, row_hash, stored
 
 # Weights of the sources by rank, repeating, and the most copies.
 WEIGHTS = (5, 2, 1)
@@ -174,8 +174,10 @@ def copies(
     )
     opened = (
         planned.where("share > 0 AND size > 0")
-        .select("unit", "source_no", "size", "share", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
-        .select("unit", "source_no", "size", "share", F.xxhash64("unit", "copy").alias("draw"))
+        .select("unit", "source_no", "size", "share", "n")
+    )
+    opened = numbered(opened, "1L", "n", "copy").select(
+        "unit", "source_no", "size", "share", F.xxhash64("unit", "copy").alias("draw")
     )
     count = planned.where("share > 0 AND size > 0").agg(F.sum("n")).first()[0] or 0
     won = _reduced(opened, count, leaf, fan_in).where("share = 1D")
@@ -205,8 +207,7 @@ def mixed(
     rows = docs.select(
         F.col(doc_id).alias("row_key"), F.col(source).alias("source"), words(F.col(text)).alias("size")
     )
-    each = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")
-    return copies(rows, weights, most).select("*", each).select(
+    return numbered(copies(rows, weights, most), "1L", "n", "copy").select(
         F.col("row_key").alias("doc_id"),
         "size",
         "source_size",
@@ -245,6 +246,4 @@ def mix(
     single = taken(keyed, "n = 1", "merge")
     repeated = taken(keyed, "n > 1", many).dropDuplicates(["__row"])
     out = single.union(repeated)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(
-        *[F.col(c) for c in docs.columns]
-    )
+    return numbered(out, "1L", "__times", "__copy").select(*[F.col(c) for c in docs.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glintscan.llm.common import stored
+from glintscan.llm.common import numbered, stored
 
 SHARDS = 8
 SLICES = 256
@@ -124,9 +124,7 @@ def sharded(
     )
     inside = W.partitionBy("shard", "slice").orderBy("doc_id", "size", "text_crc32")
     first = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("n") + F.col("base")
-    return (
-        placed.join(F.broadcast(bases), ["shard", "slice"])
-        .withColumn("first", first)
-        .select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    ranged = placed.join(F.broadcast(bases), ["shard", "slice"]).withColumn("first", first)
+    return numbered(ranged, "first", "(first + n - 1)", "slot").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
