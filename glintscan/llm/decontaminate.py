@@ -12,16 +12,18 @@ verified by the exact edit distance between the item and the best window there.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from glintscan.llm.common import portions
+from glintscan.llm.common import portions, stored
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
@@ -30,14 +32,18 @@ MIN_WORDS = 5
 LONG_WALKS = (4, 8, 4, 3)
 SHORT_WALKS = (6, 2, 2, 2)
 SHORT = 14
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 # Words of the comparison: letters, digits and all non-ASCII; A-Z lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Scripts written without blanks: each of their characters is a word.
+_UNSPACED = r"([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])"
 _ODD = np.uint64(0x100000001B3)
 
 
 def _words(texts: pa.Array) -> pa.ListArray:
     spaced = pc.replace_substring_regex(pc.fill_null(texts, ""), _GAP, " ")
+    if pc.any(pc.match_substring_regex(spaced, _UNSPACED)).as_py():
+        spaced = pc.replace_substring_regex(spaced, _UNSPACED, r" \1 ")
     return pc.ascii_split_whitespace(pc.ascii_lower(spaced))
 
 
@@ -124,8 +130,14 @@ class Index:
         flat = np.array([w for ws in self.encoded for w in ws], np.int64)
         sizes = np.array([len(ws) for ws in self.encoded], np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
+        # Items too short for an edit are looked up whole, by their words.
+        self.exact: dict[int, dict[tuple, list[int]]] = {}
+        for i, ws in enumerate(self.encoded):
+            if not self.edits[i]:
+                self.exact.setdefault(len(ws), {}).setdefault(tuple(ws), []).append(i)
+        some = np.array([e > 0 for e in self.edits], bool)
         self.tables = []
-        for walks, mine in ((long, sizes >= SHORT), (short, sizes < SHORT)):
+        for walks, mine in ((long, some & (sizes >= SHORT)), (short, some & (sizes < SHORT))):
             anchors = np.flatnonzero(mine[owner])
             for repeat in range(walks.repeats if len(anchors) else 0):
                 self.tables.append(self._table(walks, repeat, anchors, flat, sizes, owner))
@@ -165,6 +177,11 @@ class Index:
             place = np.repeat(at, many)
             entry = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(total)
             found.append(np.column_stack([doc[place], item[entry], place - anchor[entry]]))
+        for size, runs in self.exact.items():
+            firsts = np.array(sorted({r[0] for r in runs}))
+            for at in known[np.isin(ids[known], firsts) & (known + size <= ends[known])].tolist():
+                for item in runs.get(tuple(ids[at : at + size].tolist()), ()):
+                    found.append(np.array([[doc[at], item, at]]))
         if not found:
             return np.zeros((0, 3), np.int64)
         return np.unique(np.concatenate(found), axis=0)
@@ -233,54 +250,52 @@ class Index:
 def item_blocks(
     items: DataFrame, item_id: str, text: str, similarity: float,
     min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS,
-) -> list[Index]:
-    """Indexes over the items in blocks of about ``block_words`` words each.
+) -> Iterator[Index]:
+    """Indexes over the items in blocks of about ``block_words`` words, one at a time.
 
-    A block's size is measured before it is brought together, so what is sent
-    to the executors at once is bounded whatever the number of items.
+    A block's size is measured before it is brought together. The caller is
+    done with a block before it takes the next one, so what is held at once is
+    bounded whatever the number of items.
     """
     sized = items.select(F.col(item_id).alias("item_id"), F.coalesce(text, F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * block_words)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = []
     for block in range(blocks):
         rows = sized.where(part == block).distinct().collect()
         words = _words(pa.array([r.text for r in rows], pa.string())).to_pylist()
         kept = [(r.item_id, [w for w in ws if w]) for r, ws in zip(rows, words)]
-        kept = sorted((k for k in kept if len(k[1]) >= min_words), key=lambda k: (k[0] is None, k[0] or 0, k[1]))
+        kept = sorted((k for k in kept if len(k[1]) >= max(1, min_words)), key=lambda k: (k[0] is None, str(k[0]), k[1]))
         if kept:
-            out.append(Index(kept, similarity))
-    return out
+            yield Index(kept, similarity)
 
 
-def _finder(docs: DataFrame, index: Index, item_type: str):
-    held = docs.sparkSession.sparkContext.broadcast(index)
+def _finder(index: Broadcast, item_type: str):
+    """Matches of each text with a block; items are named by their number in it."""
 
     @F.arrow_udf(
         f"array<struct<item_id: {item_type}, end_word: bigint, edits: bigint,"
         " item_words: bigint, similarity: double>>"
     )
     def find(texts: pa.Array) -> pa.Array:
-        rows = [row for part in portions(texts) for row in held.value.matches(part)]
-        return pa.array(rows, _arrow_type(item_type))
+        rows = [row for part in portions(texts) for row in index.value.matches(part)]
+        fields = [("item_id", index.value.id_type), ("end_word", pa.int64()), ("edits", pa.int64())]
+        fields += [("item_words", pa.int64()), ("similarity", pa.float64())]
+        return pa.array(rows, pa.list_(pa.struct(fields)))
 
     return find
 
 
-def _arrow_type(item_type: str) -> pa.DataType:
-    item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
-    fields = [("item_id", item), ("end_word", pa.int64()), ("edits", pa.int64())]
-    return pa.list_(pa.struct([*fields, ("item_words", pa.int64()), ("similarity", pa.float64())]))
-
-
-def _found(
-    docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, similarity: float,
-    min_words: int, block_words: int,
-) -> list[Column]:
+def _each_block(
+    docs: DataFrame, items: DataFrame, item_id: str, item_text: str, similarity: float, min_words: int, block_words: int
+) -> Iterator[tuple[object, Broadcast]]:
+    """The function that finds the items of each block, with what it holds."""
     kind = dict(items.dtypes)[item_id]
-    blocks = item_blocks(items, item_id, item_text, similarity, min_words, block_words)
-    return [_finder(docs, b, kind)(F.col(text)) for b in blocks]
+    id_type = items.select(item_id).limit(0).toArrow().schema.types[0]
+    for index in item_blocks(items, item_id, item_text, similarity, min_words, block_words):
+        index.id_type = id_type
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        yield _finder(held, kind), held
 
 
 def contaminated(
@@ -298,21 +313,30 @@ def contaminated(
 
     ``doc_id, item_id, end_word`` (words up to the end of the best window),
     ``edits, item_words, similarity`` (1 - edits / item words, at least
-    ``similarity``). Ties take the earliest window. Items under ``min_words``
-    words are no passages and match nothing; null texts count as empty; null
+    ``similarity``). Ties take the earliest window. Each character of a script
+    without blanks counts as a word. Items under ``min_words`` words are no
+    passages and match nothing; with a smaller ``min_words`` items that allow no
+    edit match where all their words stand; null texts count as empty; null
     ids and repeated rows each keep their rows; empty tables give no rows;
     other columns are ignored.
     """
-    found = _found(docs, items, text, item_id, item_text, similarity, min_words, block_words)
     kind = dict(items.dtypes)[item_id]
-    none = F.expr(
-        f"CAST(array() AS array<struct<item_id: {kind}, end_word: bigint, edits: bigint,"
-        " item_words: bigint, similarity: double>>)"
-    )
-    hits = F.concat(*found) if found else none
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(hits).alias("hit")).select(
-        "doc_id", "hit.*"
-    )
+    rows, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
+    before = None
+    for find, held in _each_block(docs, items, item_id, item_text, similarity, min_words, block_words):
+        if before is not None:  # several blocks: what one finds is written before the next one is built
+            out = _written(out, before)
+        before = rows.select("doc_id", F.explode(find(F.col("text"))).alias("hit")).select("doc_id", "hit.*"), held
+    if before is None:
+        none = f"CAST(array() AS array<struct<item_id: {kind}, end_word: bigint, edits: bigint, item_words: bigint, similarity: double>>)"
+        return rows.select("doc_id", F.explode(F.expr(none)).alias("hit")).select("doc_id", "hit.*")
+    return before[0] if out is None else _written(out, before)
+
+
+def _written(out: DataFrame | None, block: tuple[DataFrame, Broadcast]) -> DataFrame:
+    found = stored(block[0], "decontamination")
+    block[1].unpersist()
+    return found if out is None else out.union(found)
 
 
 def without_contaminated(
@@ -326,6 +350,10 @@ def without_contaminated(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows that hold no item, with all their columns."""
-    for hits in _found(docs, items, text, item_id, item_text, similarity, min_words, block_words):
-        docs = docs.where(F.size(hits) == 0)
+    before = None
+    for find, held in _each_block(docs, items, item_id, item_text, similarity, min_words, block_words):
+        if before is not None:
+            docs = stored(docs, "decontamination")
+            before.unpersist()
+        docs, before = docs.where(F.size(find(F.col(text))) == 0), held
     return docs
