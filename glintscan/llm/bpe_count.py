@@ -30,7 +30,7 @@ AT_ONCE = 1 << 18  # chunks of a long text counted at a time
 # from other characters into a blank, so texts can be cut before such runs
 # unless other white space makes a longer run.
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_ODD_SPACE = re.compile(r"[^\S \t-\r]|[\x1c-\x1f\x85\xa0]")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # Fixed value: how byte-level tokenizers of this kind cut texts into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Chunks that the splitter cuts alike between line ends and alone.
@@ -58,7 +58,7 @@ class Recent(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        unknown = [k for k in dict.fromkeys(keys) if k not in self]
+        unknown = [k for k in set(keys) if k not in self]
         if not self.old:
             return unknown
         old = self.old
@@ -163,7 +163,7 @@ class Merges:
         return n + sum(map(self._piece, pieces))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Count short chunks; plain ones are cut together, a line each."""
+        """Count chunks; plain ones are cut together, a line each."""
         plain = [c for c in chunks if _PLAIN(c) and not any(s in c for s in self.specials)]
         cut = self.cut("\n".join(plain))
         self._pieces(cut)
@@ -181,27 +181,22 @@ class Merges:
                 if chunk not in done:
                     self.chunks[chunk] = self.whole(chunk)
 
-    def _sum(self, chunks: list[str]) -> int:
-        long = [c for c in chunks if len(c) > CACHED_LENGTH]
-        if long:
-            chunks = [c for c in chunks if len(c) <= CACHED_LENGTH]
-        self._learn(self.chunks.new(chunks))
-        return sum(map(self.chunks.__getitem__, chunks)) + sum(map(self.whole, long))
+    def _sums(self, cut: list[list[str]]) -> list[int]:
+        """Tokens of each list of chunks; what is new in any of them is counted once, together."""
+        new = self.chunks.new(chain.from_iterable(cut))
+        self._learn(new)
+        known = self.chunks.__getitem__
+        out = [sum(map(known, of)) for of in cut]
+        for chunk in new:
+            if len(chunk) > CACHED_LENGTH:
+                del self.chunks[chunk]
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; what is new in any of them is counted once, together."""
-        cut = [None if len(t) > PORTION or _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        short = [c for of in cut if of for c in of if len(c) <= CACHED_LENGTH]
-        self._learn(self.chunks.new(short))
-        known, out = self.chunks, []
-        for text, of in zip(texts, cut):
-            if of is None:
-                out.append(self.long(text))
-            elif max(map(len, of), default=0) <= CACHED_LENGTH:
-                out.append(sum(map(known.__getitem__, of)))
-            else:
-                out.append(sum(known[c] if len(c) <= CACHED_LENGTH else self.whole(c) for c in of))
-        return out
+        """Tokens of each text."""
+        plain = [len(t) <= PORTION and not _ODD_SPACE.search(t) for t in texts]
+        short = iter(self._sums([_CHUNK.findall(t) for t, p in zip(texts, plain) if p]))
+        return [next(short) if p else self.long(t) for t, p in zip(texts, plain)]
 
     def long(self, text: str) -> int:
         """Tokens of a text that is long or has other white space than ASCII blanks."""
@@ -209,7 +204,7 @@ class Merges:
             return self.whole(text)
         found, n = _CHUNK.finditer(text), 0
         while chunks := [m.group() for m in islice(found, AT_ONCE)]:
-            n += self._sum(chunks)
+            n += self._sums([chunks])[0]
         return n
 
     def count(self, text: str) -> int:
