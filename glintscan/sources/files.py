@@ -41,12 +41,16 @@ def read_binary(
 ) -> DataFrame:
     """Raw ``binaryFile`` rows of one or many folders.
 
-    ``content`` is read only when a later step uses it.
+    ``content`` is read only when a later step uses it, and is NULL for files
+    over what a value can hold (the length test reaches the reader, which would
+    end the job); ``sources.blocks`` reads those.
     """
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load([paths] if isinstance(paths, str) else list(paths))
+    rows = reader.load([paths] if isinstance(paths, str) else list(paths))
+    large = rows.where(F.col("length") > CELL).withColumn("content", F.lit(None).cast("binary"))
+    return rows.where(F.col("length") <= CELL).unionByName(large)
 
 
 def scan_files(
@@ -70,7 +74,7 @@ def scan_files(
     return rows.where(wanted("path"))
 
 
-def _open_fs(location: str):
+def open_fs(location: str):
     from pyarrow import fs
 
     if "://" not in location and not location.startswith("file:"):
@@ -93,7 +97,7 @@ def list_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataF
 
         for batch in batches:
             for place in batch["dir"]:
-                system, inner, prefix = _open_fs(place)
+                system, inner, prefix = open_fs(place)
                 infos = system.get_file_info(fs.FileSelector(inner))
                 yield pd.DataFrame(
                     {
@@ -132,7 +136,7 @@ def left_out_files(
             for row in batch.itertuples(index=False):
                 data = b"" if row.length == 0 else None
                 if 0 < row.length <= most:
-                    system, inner, _ = _open_fs(row.path)
+                    system, inner, _ = open_fs(row.path)
                     with system.open_input_stream(inner) as stream:
                         data = stream.read()
                 yield pd.DataFrame(
