@@ -26,7 +26,7 @@ from glintscan.functions.paths import base_name, suffix
 from glintscan.functions.text import markdown_profile, sniff_delimiter
 from glintscan.operators import dataset, filters
 from glintscan.session import run_dir
-from glintscan.sources.archives import SCAN_MEMBERS, archive_text, first_error, odf_text, office_text
+from glintscan.sources.archives import SCAN_MEMBERS, all_errors, archive_text, left_members, odf_text, office_text
 from glintscan.sources.rules import RuleSet
 
 # Rejects files by size: SQL texts of the length and of whether it is a ZIP to ``error`` or other words.
@@ -94,13 +94,13 @@ def routed_files(typed: DataFrame, gate: Gate | None = None) -> DataFrame:
 
 
 def extracted(routed: DataFrame) -> DataFrame:
-    """Add ``text``, ``encoding`` and ``error`` to routed files, in one pass without a shuffle.
+    """Add ``text``, ``encoding``, ``error`` and ``left`` to routed files, in one pass without a shuffle.
 
     Text files are decoded by their encoding; other files with zero bytes
     take the decoding with most printable text; Office and archive texts come
     from their members in ``box``, which has an error for each one that cannot
     be read; the readable ones count all the same. The other routes give no
-    text.
+    text. ``left`` names the members of an archive that are not searched.
     """
     raw = routed.withColumn("__raw", F.expr("if(route = 'binary', content, NULL)"))
     plain = with_text(
@@ -121,12 +121,17 @@ def extracted(routed: DataFrame) -> DataFrame:
             ("route = 'too_large'", filters.too_large_text("length")),
             ("route = 'unreadable'", "concat('不支持的文件类型: ', mime_type)"),
             ("route IN ('ooxml', 'odf', 'archive') AND box IS NULL", "'解压缩失败: 不是ZIP文件'"),
-            ("route IN ('ooxml', 'odf', 'archive')", first_error("box")),
+            ("route IN ('ooxml', 'odf', 'archive')", all_errors("box")),
         ]
     )
     encoding = case([("route = 'text'", "__plain.encoding"), ("route = 'binary'", "__binary.encoding")])
     return plain.withColumns(
-        {"text": F.expr(text), "encoding": F.expr(encoding), "error": F.expr(error)}
+        {
+            "text": F.expr(text),
+            "encoding": F.expr(encoding),
+            "error": F.expr(error),
+            "left": F.expr(f"if(route = 'archive', {left_members('box')}, NULL)"),
+        }
     ).drop("__raw", "__binary", "__plain", "box", "charset")
 
 
@@ -166,7 +171,10 @@ def scan(
 ) -> DataFrame:
     """Files to results: type, text, nested words, flags, errors and metadata.
 
-    With a ``gate`` files that it rejects get an error instead of a text.
+    With a ``gate`` files that it rejects get an error instead of a text. Files
+    over a cell and members over what a row may hold have an error here and are
+    searched by :mod:`glintscan.sources.blocks`. ``metadata`` names the members
+    of an archive that are not searched (``skipped_members``).
 
     ``mime_mismatch``: the extension promises another type than the detected
     one; ``header_warning``: an Office extension without its container's header.
@@ -182,7 +190,8 @@ def scan(
         "error",
         "is_empty",
         "skipped",
-        f"{file_metadata(suffix('path'), 'mime_type', 'text', 'encoding')} AS metadata",
+        f"map_concat({file_metadata(suffix('path'), 'mime_type', 'text', 'encoding')}, "
+        "if(size(left) > 0, map('skipped_members', array_join(left, ', ')), cast(map() AS map<string, string>))) AS metadata",
         f"NOT is_empty AND {filters.mime_mismatch(suffix('path'), 'mime_type')} AS mime_mismatch",
         f"if(is_empty, NULL, {filters.header_warning(suffix('path'), 'content')}) AS header_warning",
     )

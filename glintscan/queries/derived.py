@@ -12,11 +12,14 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.functions.match import checked
 from glintscan.functions.paths import expected_mime
+from glintscan.session import checkpointed, run_dir
+from glintscan.sources.files import open_fs, read_binary
 from glintscan.sources.rules import rules_from_dict
 from glintscan.sources.tables import texts
 
@@ -172,6 +175,34 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, length`` of text files that hold all documents, a line end after each."""
+    folder = run_dir(spark, "text-files")
+    documents(spark, sf_dir, "text").select("text").write.text(folder)
+    return read_binary(spark, folder).select("path", "length")
+
+
+def zip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, length`` of ZIP files, one a task, with a text member and a passed-over one per document."""
+    folder = run_dir(spark, "zip-files")
+    named = "/".join([folder, "{}.zip"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path = named.format(TaskContext.get().partitionId())
+        system, inner, _ = open_fs(path)
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(inner) as out:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for batch in batches:
+                    for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                        archive.writestr(f"docs/{doc_id}.txt", text or "")
+                        archive.writestr(f"docs/{doc_id}.dat", text or "")
+            length = out.tell()
+        yield pd.DataFrame({"path": [path], "length": [length]})
+
+    return checkpointed(documents(spark, sf_dir, "text").mapInPandas(pack, "path string, length bigint"))
+
+
 def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One docx, xlsx or pptx per document, its lines as paragraphs, rows or slides."""
     word_ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
 from glintscan.operators import match, report
-from glintscan.queries.derived import RULES, documents
+from glintscan.queries.derived import RULES, documents, text_files, zip_files
 from glintscan.queries.registry import query
+from glintscan.sources import blocks
 from glintscan.sources.rules import rules_from_dict
 from glintscan.sources.tables import table
 
@@ -369,3 +370,35 @@ def regex_rules(spark, sf_dir):
     found = match.regex_hits(documents(spark, sf_dir, "text"), RULES, ["doc_id"])
     return found.select("doc_id", "term", F.col("pos").cast("bigint").alias("pos"))
 
+
+# ------------------------------------------------------- large files and members
+@query(
+    "block_hits",
+    f"WITH {hits_cte()} SELECT kind, term, count(*) AS n FROM h GROUP BY kind, term",
+)
+def block_hits(spark, sf_dir):
+    found = blocks.large_hits(text_files(spark, sf_dir), RULES, size=1 << 20)
+    return found.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "member_block_hits",
+    f"WITH {hits_cte()} SELECT doc_id, kind, term, CAST(pos AS BIGINT) AS pos FROM h",
+)
+def member_block_hits(spark, sf_dir):
+    found = blocks.member_hits(zip_files(spark, sf_dir), RULES, size=1 << 20)
+    doc_id = "cast(regexp_extract(member, '([0-9]+)[.]txt$', 1) AS bigint) AS doc_id"
+    return found.selectExpr(doc_id, "kind", "term", "pos")
+
+
+@query(
+    "member_states",
+    """SELECT doc_id, state, CASE state WHEN 'text' THEN n_chars END AS n_chars FROM
+    (SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, unnest(['text', 'skipped']) AS state
+     FROM documents WHERE text <> '')""",
+)
+def member_states(spark, sf_dir):
+    parts = blocks.member_blocks(blocks.member_list(zip_files(spark, sf_dir)), size=1 << 16)
+    states = parts.groupBy("member", "status").agg(F.sum("chars").alias("n_chars"))
+    doc_id = "cast(regexp_extract(member, '([0-9]+)[.]', 1) AS bigint) AS doc_id"
+    return states.selectExpr(doc_id, "status AS state", "n_chars")

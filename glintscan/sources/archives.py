@@ -192,8 +192,16 @@ def office_parts(box: str, sheet_rows: int | None = None) -> str:
     return let(box, "bx", let(kind, "kn", f"if(kn IS NULL, NULL, {inner})"))
 
 
-def first_error(box: str) -> str:
-    return f"get(filter({box}, m -> m.error IS NOT NULL), 0).error"
+def all_errors(box: str) -> str:
+    """The errors of all members, NULL if there is none."""
+    found = f"transform(filter({box}, m -> m.error IS NOT NULL), m -> m.error)"
+    return f"nullif(array_join(array_distinct({found}), '; '), '')"
+
+
+def left_members(box: str) -> str:
+    """Names of the members of an archive that are not searched, for their name or place."""
+    searched = f"m.member RLIKE {lit(f'^(?:{TEXT_MEMBERS})$')} AND {is_safe('m.member')} AND NOT {is_junk('m.member')}"
+    return f"transform(filter({box}, m -> m.member IS NOT NULL AND NOT ({searched})), m -> m.member)"
 
 
 def ooxml_parts(files: DataFrame, sheet_rows: int | None = None) -> DataFrame:
@@ -205,7 +213,7 @@ def ooxml_parts(files: DataFrame, sheet_rows: int | None = None) -> DataFrame:
     and files with an unreadable part give one error row.
     """
     boxes = files.select("path", boxed("content", office.PARTS).alias("box"))
-    made = boxes.selectExpr("path", f"{office_parts('box', sheet_rows)} AS parts", f"{first_error('box')} AS problem")
+    made = boxes.selectExpr("path", f"{office_parts('box', sheet_rows)} AS parts", f"{all_errors('box')} AS problem")
     error = "coalesce(problem, if(parts IS NULL, 'not an Office Open XML file', NULL))"
     rows = made.selectExpr("path", f"{error} AS error", f"explode_outer(if({error} IS NULL, parts, NULL)) AS p")
     return rows.selectExpr(

@@ -118,3 +118,18 @@ def test_files_over_a_cell_do_not_end_the_scan(spark, tmp_path, monkeypatch):
     assert rows["b.log"].error and not rows["b.log"].words
     large = files.read_binary(spark, str(tmp_path)).where("content IS NULL")
     assert [(r.term, r.pos) for r in blocks.large_hits(large, RULES).collect()] == [("secret", 0)]
+
+
+def test_scan_names_all_errors_and_members_passed_over(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as box:
+        for name in ("a.txt", "b.txt", "c.docx", "d.dat", "e.txt"):
+            box.writestr(name, "secret")
+    raw = bytearray(out.getvalue())
+    for name in (b"a.txt", b"b.txt"):  # data that do not fit their check sums
+        raw[raw.index(name) + len(name)] ^= 1
+    df = spark.createDataFrame([("/in/a.zip", len(raw), raw)], "path string, length long, content binary")
+    row = scan.scan(df, RULES).first()
+    assert "a.txt" in row.error and "b.txt" in row.error
+    assert [w.term for w in row.words] == ["secret"]
+    assert row.metadata["skipped_members"] == "c.docx, d.dat"
