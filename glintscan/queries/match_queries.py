@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
-from glintscan.operators import match, report
+from glintscan.operators import dictionary, match, report
 from glintscan.queries.derived import RULES, documents, text_files, zip_files
 from glintscan.queries.registry import query
 from glintscan.sources import blocks
@@ -402,3 +402,65 @@ def member_states(spark, sf_dir):
     states = parts.groupBy("member", "status").agg(F.sum("chars").alias("n_chars"))
     doc_id = "cast(regexp_extract(member, '([0-9]+)[.]', 1) AS bigint) AS doc_id"
     return states.selectExpr(doc_id, "status AS state", "n_chars")
+
+
+# ------------------------------------------------------------ dictionary tables
+# Names to look for, as a table: words and pairs of words of the benchmark texts.
+TERMS_SQL = """SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,16}')) AS term FROM benchmark
+  UNION SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{2,7} [a-z]{2,8}')) FROM benchmark"""
+PLACES_SQL = f"""k AS (SELECT term, length(term) AS size FROM ({TERMS_SQL})),
+  u AS (SELECT doc_id, unnest(string_split(text, '')) AS c,
+    unnest(range(0, length(text))) AS pos FROM documents),
+  w AS (SELECT doc_id, pos, {" || ".join(f"coalesce(lead(c, {i}) OVER o, '')" for i in range(16))} AS s
+    FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+  z AS (SELECT doc_id, pos, s, unnest(range(5, 17)) AS size FROM w),
+  e AS (SELECT doc_id, term, pos, k.size FROM z JOIN k ON left(s, z.size) = term AND length(left(s, z.size)) = k.size)"""
+_SUMMARY = "count(*) AS n, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos"
+
+
+def _terms(spark, sf_dir):
+    words = "explode(regexp_extract_all(text, '{}', 0)) AS term"
+    items = table(spark, sf_dir, "benchmark", "text")
+    one = items.selectExpr(words.format("[a-z]{5,16}"))
+    return one.unionByName(items.selectExpr(words.format("[a-z]{2,7} [a-z]{2,8}")))
+
+
+def _summary(hits):
+    return hits.groupBy("doc_id", "term").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("pos").cast("bigint").alias("first_pos"),
+        F.max("pos").cast("bigint").alias("last_pos"),
+    )
+
+
+@query("dictionary_hits", f"WITH {PLACES_SQL} SELECT doc_id, term, {_SUMMARY} FROM e GROUP BY doc_id, term")
+def dictionary_hits(spark, sf_dir):
+    docs = documents(spark, sf_dir, "text")
+    return _summary(dictionary.dictionary_hits(docs, _terms(spark, sf_dir), ["doc_id"]))
+
+
+@query(
+    "dictionary_longest",
+    f"""WITH RECURSIVE {PLACES_SQL},
+    b AS (SELECT doc_id, pos, max(size) AS size FROM e GROUP BY doc_id, pos),
+    l AS (SELECT doc_id, pos, pos + size AS ends,
+      CASE WHEN pos < max(pos + size) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      THEN 0 ELSE 1 END AS opens FROM b),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l),
+    s AS (SELECT n.doc_id, n.island, n.pos, n.ends, n.opens, x.pos AS after
+      FROM n ASOF LEFT JOIN n x ON n.doc_id = x.doc_id AND n.island = x.island AND n.ends <= x.pos),
+    t AS (SELECT doc_id, island, pos, ends, after FROM s WHERE opens = 1
+      UNION ALL
+      SELECT s.doc_id, s.island, s.pos, s.ends, s.after
+      FROM t JOIN s ON t.doc_id = s.doc_id AND t.island = s.island AND t.after = s.pos)
+    SELECT doc_id, count(*) AS n, CAST(sum(ends - pos) AS BIGINT) AS covered, CAST(max(pos) AS BIGINT) AS last_pos
+    FROM t GROUP BY doc_id""",
+)
+def dictionary_longest(spark, sf_dir):
+    docs = documents(spark, sf_dir, "text")
+    found = dictionary.dictionary_hits(docs, _terms(spark, sf_dir), ["doc_id"])
+    return dictionary.without_overlaps(found, ["doc_id"]).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.length("term")).cast("bigint").alias("covered"),
+        F.max("pos").cast("bigint").alias("last_pos"),
+    )
