@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -170,7 +171,8 @@ def file_blocks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
 
 
 # --------------------------------------------------------------------- archives
-MEMBER = "path string, member string, chain array<int>, size bigint, error string"
+MEMBER = "path string, slice int, member string, chain array<int>, size bigint, error string"
+SLICE_BYTES, SLICE_MEMBERS = 64 << 20, 1000  # members that one task reads in a row
 
 
 class _Inflated:
@@ -209,23 +211,63 @@ def listed(archive: zipfile.ZipFile, depth: int, name: str = "", chain: tuple =
                 yield member, here, info.file_size, f"解压缩失败: {problem}"
 
 
+class _Archives:
+    """The archive opened last with the inner ones on the way to the last member.
+
+    Members come in the order of their archive, so each one is opened once a
+    slice and inner ones are read forward.
+    """
+
+    def __init__(self) -> None:
+        self.path, self.way, self.open = None, [], []
+
+    def close(self) -> None:
+        for thing in reversed(self.open):
+            thing.close()
+        self.path, self.way, self.open = None, [], []
+
+    def find(self, path: str, chain: list[int]) -> tuple[zipfile.ZipFile, zipfile.ZipInfo]:
+        if self.path != path or self.way != chain[: len(self.way)] or len(self.way) >= len(chain):
+            self.close()
+            system, inner, _ = open_fs(path)
+            self.open = [system.open_input_file(inner)]
+            self.open.append(zipfile.ZipFile(self.open[0]))
+            self.path = path
+        for number in chain[len(self.way) : -1]:
+            archive = self.open[-1]
+            self.open.append(archive.open(archive.infolist()[number]))
+            self.open.append(zipfile.ZipFile(self.open[-1]))
+            self.way.append(number)
+        return self.open[-1], self.open[-1].infolist()[chain[-1]]
+
+
 def member_list(files: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row per member of the ZIP files at ``path``, inner archives opened; no bytes are kept.
 
-    A damaged archive is one row without a member.
+    A damaged archive is one row without a member. Members in a row form slices
+    by their sizes.
     """
 
+    def rows_of(path: str) -> Iterator[tuple]:
+        number = held = count = 0
+        try:
+            system, inner, _ = open_fs(path)
+            with system.open_input_file(inner) as file, zipfile.ZipFile(file) as archive:
+                for row in listed(archive, depth):
+                    yield path, number, *row
+                    held, count = held + row[2], count + 1
+                    if held >= SLICE_BYTES or count >= SLICE_MEMBERS:
+                        number, held, count = number + 1, 0, 0
+        except Exception as problem:
+            yield path, number, None, None, None, f"解压缩失败: {problem}"
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                system, inner, _ = open_fs(path)
-                try:
-                    with system.open_input_file(inner) as file, zipfile.ZipFile(file) as archive:
-                        rows = [(path, *row) for row in listed(archive, depth)]
-                except Exception as problem:
-                    rows = [(path, None, None, None, f"解压缩失败: {problem}")]
-                made = pd.DataFrame(rows, columns=["path", "member", "chain", "size", "error"])
-                yield made.astype({"size": "Int64"})
+                rows = rows_of(path)
+                while some := list(islice(rows, 10_000)):
+                    made = pd.DataFrame(some, columns=["path", "slice", "member", "chain", "size", "error"])
+                    yield made.astype({"size": "Int64"})
 
     return files.select("path").mapInPandas(read, MEMBER)
 
@@ -238,77 +280,77 @@ def member_blocks(
     Columns: ``path, member, status, error`` and those of blocks. Status is
     ``text``, ``skipped`` (a name that is not ``wanted``) or ``error``; the last
     two have one row without a block, and a text that breaks off has its error
-    after the blocks that could be read. Every member is a row of its own task
-    input, so that the members of one archive are dealt over many tasks.
+    after the blocks that could be read. Slices are dealt over all tasks, so
+    that one large archive is read by many.
     """
     size += -size % 4
     columns = ["path", "member", "status", "error", "block", "lead", "chars", "text"]
     name_test = re.compile(wanted)
 
-    def texts(archive: zipfile.ZipFile, chain: list[int], charsets: str | None) -> Iterator[tuple]:
-        info = archive.infolist()[chain[0]]
-        if len(chain) > 1:
-            with archive.open(info) as stream, zipfile.ZipFile(stream) as inner:
-                yield from texts(inner, chain[1:], charsets)
-            return
+    def texts(archive: zipfile.ZipFile, info: zipfile.ZipInfo, charset_name: str | None) -> Iterator[tuple]:
         with archive.open(info) as stream:
             source = _Inflated(stream, 2 * (overlap + REACH) + size)
-            head = source.at(0, 4)
-            name = codec(charsets, head)
+            name = codec(charset_name, source.at(0, 4))
             for block in range(-(-info.file_size // size)):
                 made = block_text(source.at, block * size, name, info.file_size, size, overlap)
                 if made:
                     yield block, *made
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archives, rows, held = _Archives(), [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 key = (row.path, row.member)
+                nothing = (None, None, None, None)
                 if row.error is not None or row.member is None:
-                    yield pd.DataFrame([(*key, "error", row.error, None, None, None, None)], columns=columns)
-                    continue
-                if not name_test.fullmatch(row.member.rpartition("!/")[2]):
-                    yield pd.DataFrame([(*key, "skipped", None, None, None, None, None)], columns=columns)
-                    continue
-                try:
-                    system, inner, _ = open_fs(row.path)
-                    with system.open_input_file(inner) as file, zipfile.ZipFile(file) as archive:
-                        for made in texts(archive, list(row.chain), row.name):
-                            yield pd.DataFrame([(*key, "text", None, *made)], columns=columns)
-                except Exception as problem:  # damaged or encrypted
-                    error = f"解压缩失败: {row.member}: {problem}"
-                    yield pd.DataFrame([(*key, "error", error, None, None, None, None)], columns=columns)
+                    rows.append((*key, "error", row.error, *nothing))
+                elif not name_test.fullmatch(row.member.rpartition("!/")[2]):
+                    rows.append((*key, "skipped", None, *nothing))
+                else:
+                    try:
+                        for made in texts(*archives.find(row.path, list(row.chain)), row.name):
+                            rows.append((*key, "text", None, *made))
+                            held += len(made[-1])
+                            if held >= size:
+                                yield block_rows(rows, columns)
+                                rows, held = [], 0
+                    except Exception as problem:  # damaged or encrypted
+                        archives.close()
+                        rows.append((*key, "error", f"解压缩失败: {row.member}: {problem}", *nothing))
+            if rows:
+                yield block_rows(rows, columns)
+                rows, held = [], 0
+        archives.close()
 
     cores = members.sparkSession.sparkContext.defaultParallelism
-    dealt = _named(members.repartition(4 * cores, "path", "member"), name_test)
-    return dealt.mapInPandas(read, f"path string, member string, status string, error string, {BLOCK}")
+    dealt = members.repartition(4 * cores, "path", "slice").sortWithinPartitions("path", "slice", "chain")
+    return _named(dealt, name_test).mapInPandas(read, f"path string, member string, status string, error string, {BLOCK}")
+
+
+def block_rows(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    made = pd.DataFrame(rows, columns=columns)
+    return made.astype({"block": "Int64", "lead": "Int64", "chars": "Int64"})
 
 
 def _named(members: DataFrame, name_test: re.Pattern) -> DataFrame:
     """Add ``name``: the encoding of each member that will be read, by its head."""
 
-    def head_of(archive: zipfile.ZipFile, chain: list[int]) -> bytes:
-        info = archive.infolist()[chain[0]]
-        with archive.open(info) as stream:
-            if len(chain) == 1:
-                return trimmed(stream.read(SAMPLE), info.file_size)
-            with zipfile.ZipFile(stream) as inner:
-                return head_of(inner, chain[1:])
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archives = _Archives()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 head = None
                 if row.error is None and row.member and name_test.fullmatch(row.member.rpartition("!/")[2]):
                     try:
-                        system, inner, _ = open_fs(row.path)
-                        with system.open_input_file(inner) as file, zipfile.ZipFile(file) as archive:
-                            head = head_of(archive, list(row.chain))
+                        archive, info = archives.find(row.path, list(row.chain))
+                        with archive.open(info) as stream:
+                            head = trimmed(stream.read(SAMPLE), info.file_size)
                     except Exception:  # its error comes with its blocks
-                        head = None
+                        archives.close()
                 out.append(head)
             yield batch.assign(head=out).astype({"size": "Int64"})
+        archives.close()
 
     known = members.mapInPandas(read, f"{MEMBER}, head binary")
     return known.selectExpr("path", "member", "chain", "size", "error", f"{charset('head')} AS name")
