@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from glintscan.functions import fixed
 from glintscan.functions.cols import WORD, case, count_of, is_in, let, lit, running_totals
+from glintscan.functions.xml import character_data
 
 TOKEN = r"[一-龥a-zA-Z0-9]+"
 TOKEN_ALPHA = r"[一-龥a-zA-Z]+"
@@ -59,8 +60,12 @@ def html_unescape(text: str) -> Column:
 
 
 def xml_clean(text: str, digits: bool = True) -> Column:
-    """Tags to spaces, references to text, then token clean (a Column)."""
-    plain = F.lower(html_unescape(sub(text, r"<[^>]+>", " ")))
+    """Character data, references to text, then token clean (a Column).
+
+    Texts that are not well-formed lose what stands between angle brackets.
+    """
+    data = f"coalesce({character_data(text)}, {sub(text, r'<[^>]+>', ' ')})"
+    plain = F.lower(html_unescape(data))
     pattern = F.lit(TOKEN if digits else TOKEN_ALPHA)
     return F.array_join(F.regexp_extract_all(plain, pattern, F.lit(0)), " ")
 

@@ -76,6 +76,30 @@ def xml_clean(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.md5(text.xml_clean("html")).alias("clean_md5"))
 
 
+# Well-formed content around the documents: their lines as elements, sections and text after
+# elements, with attributes, comments and instructions that are no text.
+_ESCAPED = "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_LINE_XML = (
+    "CASE i % 3 WHEN 0 THEN '<p k=\"shown > not\"><b>' || {e} || '</b></p>' "
+    "WHEN 1 THEN '<!-- hidden > <i> --><![CDATA[x > y ' || replace(x, ']]>', ' ') || ']]>' "
+    "ELSE '<br/>' || {e} || '<?tool hidden > ?>' END"
+)
+XML_LINES_SQL = """SELECT doc_id, [CASE (i - 1) % 3 WHEN 1 THEN 'x > y ' || replace(x, ']]>', ' ') ELSE x END
+  FOR x, i IN string_split(text, chr(10))] AS lines FROM documents"""
+
+
+@query(
+    "xml_character_data",
+    f"""SELECT doc_id, md5({clean_sql(unescape_sql("array_to_string(lines, ' ')"))}) AS clean_md5
+    FROM ({XML_LINES_SQL})""",
+)
+def xml_character_data(spark, sf_dir):
+    line = _LINE_XML.format(e=_ESCAPED)
+    body = f"array_join(transform(split(text, '\\n', -1), (x, i) -> {line}), ' ')"
+    docs = documents(spark, sf_dir, "text").selectExpr("doc_id", f"concat('<d a=\"hidden\">', {body}, '</d>') AS t")
+    return docs.select("doc_id", F.md5(text.xml_clean("t")).alias("clean_md5"))
+
+
 TYPE_CASE = """CASE page_id % 4 WHEN 0 THEN 'application/zip' WHEN 1 THEN 'image/svg+xml'
  WHEN 2 THEN 'text/xml' ELSE 'text/css' END"""
 
