@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glintscan.functions import fixed
 from glintscan.operators import filters, match, report
 from glintscan.operators.ordered import running
-from glintscan.plans import sinks
+from glintscan.plans import ledger, sinks
 from glintscan.queries.derived import (
     ERROR_SQL,
     EXT_CASE,
@@ -190,6 +190,21 @@ def run_log(spark, sf_dir):
     return report.run_log(results(spark, sf_dir), ["doc_id"])
 
 
+@query(
+    "run_log_appended",
+    """SELECT row_number() OVER (ORDER BY run, doc_id) AS seq, run, doc_id, n_chars FROM
+    (SELECT CASE WHEN lang = 'en' THEN 'a' ELSE 'b' END AS run, doc_id, n_chars FROM documents)""",
+)
+def run_log_appended(spark, sf_dir):
+    docs = documents(spark, sf_dir, "n_chars", "lang").selectExpr(
+        "if(lang = 'en', 'a', 'b') AS part", "doc_id", "n_chars"
+    )
+    log = run_dir(spark, "run-log")
+    for run in ("a", "b", "a"):  # the repeated run takes its old numbers
+        ledger.append_run(docs.where(F.col("part") == run).drop("part"), ["doc_id"], log, run)
+    return ledger.read_log(spark, log).select("seq", "run", "doc_id", "n_chars")
+
+
 @query(
     "run_log_wide",
     f"""WITH {RES_CTE} SELECT file_path, mime_type, n_chars AS file_size, CASE WHEN n_chars < 400 THEN 'Yes' ELSE 'No' END AS is_empty,

@@ -16,7 +16,7 @@ SOME = [
     "kw_config_order", "kw_overlapping", "nested_hits", "chunked_check", "gated_check", "archive_members",
     "ooxml_text", "mime_cascade", "ole_score", "xml_clean", "xml_character_data", "clean_dispatch", "paragraph_budget", "augment_mixed", "json_report",
     "block_hits", "dictionary_hits", "dictionary_longest", "member_block_hits", "member_states",
-    "run_log", "running_counts", "stream_resume", "dedup_keep_first", "class_report", "top_features", "row_cap",
+    "run_log", "run_log_appended", "running_counts", "stream_resume", "dedup_keep_first", "class_report", "top_features", "row_cap",
 ]
 NAMES = list(entry.oracle_sql()) if os.environ.get("GLINTSCAN_ALL") else SOME
 
