@@ -317,8 +317,10 @@ def stream_files(spark, sf_dir):
     folder = run_dir(spark, "stream-files")
     documents(spark, sf_dir, "text").select("text").write.text(f"{folder}/in")
     arriving = scans.stream_files(spark, f"{folder}/in").where("endswith(path, '.txt')")
-    texts = arriving.selectExpr("path", "cast(content AS string) AS text")
-    found = scans.scan_stream(texts, RULES).select("path", "words")
+    # The tasks write large files: they are read as blocks of a megabyte.
+    found = scans.scan_block_stream(
+        arriving.select("path", "length"), RULES, size=1 << 20, overlap=1 << 16, encoding="utf-8"
+    )
     scans.run_to_end(lambda: scans.append_log(found, f"{folder}/log", f"{folder}/state"))
     return report.term_totals(spark.read.parquet(f"{folder}/log"))
 

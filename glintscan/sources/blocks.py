@@ -80,8 +80,13 @@ def seam(at: At, place: int, name: str, length: int) -> int:
     return min(char_start(at, place, name), length)
 
 
-def decoded(raw: bytes, name: str) -> str:
-    """Bytes as text; blocks that are not UTF-8 where the head was are GB 18030 or Latin-1."""
+def decoded(raw: bytes, name: str, known: bool = False) -> str:
+    """Bytes as text; blocks that are not UTF-8 where the head was are GB 18030 or Latin-1.
+
+    With a ``known`` encoding only the bytes that do not fit it are replaced.
+    """
+    if known:
+        return raw.decode(name, "replace")
     for tried in (name, "gb18030") if name == "utf-8" else (name,):
         try:
             return raw.decode(tried)
@@ -90,7 +95,9 @@ def decoded(raw: bytes, name: str) -> str:
     return raw.decode("latin-1" if name == "utf-8" else name, "replace")
 
 
-def block_text(at: At, place: int, name: str, length: int, size: int, overlap: int) -> tuple | None:
+def block_text(
+    at: At, place: int, name: str, length: int, size: int, overlap: int, known: bool = False
+) -> tuple | None:
     """``lead, chars, text`` of the block that ``place`` belongs to; None if it starts nowhere in it."""
     start, end = seam(at, place, name, length), seam(at, place + size, name, length)
     if start >= end:
@@ -98,9 +105,9 @@ def block_text(at: At, place: int, name: str, length: int, size: int, overlap: i
     low = char_start(at, max(0, start - overlap), name) if start > overlap else 0
     high = min(char_start(at, end + overlap, name), length) if end + overlap < length else length
     low, high = min(low, start), max(high, end)
-    lead = decoded(at(low, start - low), name)
-    body = decoded(at(start, end - start), name)
-    tail = decoded(at(end, high - end), name)
+    lead = decoded(at(low, start - low), name, known)
+    body = decoded(at(start, end - start), name, known)
+    tail = decoded(at(end, high - end), name, known)
     if low == 0:
         lead, body = (lead.removeprefix("﻿"), body) if lead else (lead, body.removeprefix("﻿"))
     return len(lead), len(body), lead + body + tail
@@ -138,11 +145,14 @@ def trimmed(head: bytes, length: int) -> bytes:
     return head[:cut]
 
 
-def file_blocks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def file_blocks(
+    files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, encoding: str | None = None
+) -> DataFrame:
     """``path, block, lead, chars, text``: the blocks of ``path, length`` rows, dealt over all tasks.
 
     The block's own text is the ``chars`` characters after the ``lead`` ones.
-    The encoding is that of the head; empty files have no block.
+    The encoding is that of the head unless it is given; empty files have no
+    block. A stream of files gives a stream of blocks.
     """
     size += -size % 4
 
@@ -157,13 +167,21 @@ def file_blocks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
                         return file.read(max(0, min(n, row.length - place)))
 
                     name = codec(row.name, row.mark)
-                    made = block_text(at, row.block * size, name, row.length, size, overlap)
+                    made = block_text(
+                        at, row.block * size, name, row.length, size, overlap, encoding is not None
+                    )
                 if made:
                     yield pd.DataFrame([(row.path, row.block, *made)], columns=["path", "block", "lead", "chars", "text"])
 
-    known = heads(files.where("length > 0")).selectExpr(
-        "path", "length", "substring(head, 1, 4) AS mark", f"{charset('head')} AS name"
-    )
+    present = files.where("length > 0")
+    if encoding is None:
+        known = heads(present).selectExpr(
+            "path", "length", "substring(head, 1, 4) AS mark", f"{charset('head')} AS name"
+        )
+    else:
+        known = present.select(
+            "path", "length", F.lit(b"").alias("mark"), F.lit(encoding).alias("name")
+        )
     blocks = known.selectExpr("*", f"explode(sequence(0L, (length - 1) div {size})) AS block")
     cores = files.sparkSession.sparkContext.defaultParallelism
     dealt = blocks.repartition(4 * cores, "path", "block")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from glintscan.functions.match import NESTED
 from glintscan.operators.match import with_words
 from glintscan.plans.scan import scan
+from glintscan.sources.blocks import OVERLAP, SIZE, file_blocks
 from glintscan.sources.files import FILE_SCHEMA, wanted
 from glintscan.sources.rules import RuleSet
 
@@ -42,6 +43,23 @@ def scan_stream(texts: DataFrame, rules: RuleSet, text: str = "text", **options)
     return with_words(texts, rules, text, **options)
 
 
+def scan_block_stream(
+    files: DataFrame, rules: RuleSet, size: int = SIZE, overlap: int = OVERLAP,
+    encoding: str | None = None, **options,
+) -> DataFrame:
+    """The check on text files of any size as they arrive: ``path, block, chars, words``.
+
+    ``files`` has ``path, length``; the files are read as blocks, so that no
+    value holds a whole file, and the stream keeps no state. A block has the
+    matches that start in its own ``chars`` characters, their positions counted
+    from there. A match must not be longer than the overlap.
+    """
+    found = scan_stream(file_blocks(files, size, overlap, encoding), rules, **options)
+    own = "transform(filter(w.positions, p -> p >= lead AND p < lead + chars), p -> cast(p - lead AS int))"
+    words = f"transform(words, w -> struct(w.kind AS kind, w.term AS term, {own} AS positions))"
+    return found.selectExpr("path", "block", "chars", f"filter({words}, w -> size(w.positions) > 0) AS words")
+
+
 def scan_file_stream(files: DataFrame, rules: RuleSet, **options) -> DataFrame:
     """The whole scan on a stream of files: names, types, extraction, matching.
 

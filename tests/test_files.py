@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintscan.functions import detect, fixed, paths
-from glintscan.operators import filters
+from glintscan.operators import filters, match
 from glintscan.plans import scan, sinks
 from glintscan.queries.derived import RULES
 from glintscan.sources import archives, files
@@ -277,6 +277,26 @@ def test_file_stream_equals_batch_and_resumes(spark, tmp_path):
     assert sorted((r.path[-5:], len(r.words)) for r in rows) == [("a.txt", 2), ("b.txt", 0), ("c.txt", 1)]
 
 
+def test_block_stream_equals_whole_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("é the token\n" * 3000 + "der Text " * 900)
+    (folder / "b.txt").write_text("nothing")
+    stream = scans.stream_files(spark, str(folder)).select("path", "length")
+    found = scans.scan_block_stream(stream, RULES, size=4096, overlap=64, encoding="utf-8")
+    log = str(tmp_path / "log")
+    scans.run_to_end(lambda: scans.append_log(found, log, str(tmp_path / "state")))
+    rows = spark.read.parquet(log).orderBy("path", "block").collect()
+    assert max(r.chars for r in rows) < 3 * 4096 and sum(r.path.endswith("b.txt") for r in rows) == 1
+    got, at = [], 0
+    for r in (r for r in rows if r.path.endswith("a.txt")):
+        got += [(w.term, at + p) for w in r.words for p in w.positions]
+        at += r.chars
+    whole = files.read_binary(spark, str(folder)).selectExpr("path", "cast(content AS string) AS text")
+    want = match.hits(whole, RULES, ["path"]).collect()
+    assert sorted(got) == sorted((r.term, r.pos) for r in want) and len(want) > 6000
+
+
 def test_large_files_are_matched_unless_gated(spark):
     mb = 1024 * 1024
     box = zipped({"a.txt": b"secret words"})
