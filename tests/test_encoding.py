@@ -108,3 +108,12 @@ def test_opendocument(spark, kind, name, body, text):
 def test_opendocument_without_text(spark):
     row = spark.range(1).selectExpr(opendocument.document_text("''") + " AS a", opendocument.sheet_text("'<x/>'") + " AS b").first()
     assert (row.a, row.b) == ("", "")
+
+
+def test_bytes_are_decoded_in_portions():
+    import pyarrow as pa
+
+    content = pa.array(["é".encode("utf-16-le") * (1 << 20)] * 5 + [None, b"\xef\xbb\xbfa"])
+    names = pa.array(["utf-16-le"] * 5 + [None, "utf-8"])
+    got = list(encoding._decode_as.func(iter([(content, names)])))
+    assert len(got) > 1 and [len(t or "") for a in got for t in a.to_pylist()] == [1 << 20] * 5 + [0, 1]
