@@ -7,14 +7,16 @@ import zipfile
 from collections.abc import Iterator
 from io import BytesIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintscan.functions import fixed
 
 MEMBER = "member string, size bigint, data binary, error string"
-PORTION = 16 << 20  # bytes of members in one Arrow batch
+PORTION = 8 << 20  # bytes of members in one Arrow batch
+ROW = 400  # bytes that a member takes besides its data
+BOX = pa.struct([("member", pa.string()), ("size", pa.int64()), ("data", pa.binary()), ("error", pa.string())])
 # A cell of a row must fit a task's memory: larger members give a visible error.
 LARGEST = 200 << 20
 TEXT_MEMBERS = r".*\.(?i:" + "|".join(e[1:] for e in fixed.ARCHIVE_TEXT_EXTENSIONS) + ")"
@@ -55,49 +57,67 @@ def inflate(raw: bytes, wanted: str, largest: int) -> Iterator[tuple]:
 def inflated(files: DataFrame, wanted: str, largest: int = LARGEST) -> DataFrame:
     """``path, seq`` and one row per member of ``path, content`` rows; each ZIP is opened once."""
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("seq", pa.int32()), *BOX])
         rows: list[tuple] = []
         held = 0
 
-        def flush() -> pd.DataFrame:
-            made = pd.DataFrame(rows, columns=["path", "seq", "member", "size", "data", "error"])
-            return made.astype({"size": "Int64"})
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                for seq, row in enumerate(inflate(raw, wanted, largest)):
-                    rows.append((path, seq, *row))
-                    held += len(row[2] or b"") + 200
+            # One file at a time becomes a value of Python.
+            for path, raw in zip(batch.column(0), batch.column(1)):
+                name = path.as_py()
+                for seq, row in enumerate(inflate(raw.as_py(), wanted, largest)):
+                    rows.append((name, seq, *row))
+                    held += len(row[2] or b"") + ROW
                     if held >= PORTION:
                         yield flush()
                         rows, held = [], 0
         if rows:
             yield flush()
 
-    return files.select("path", "content").mapInPandas(extract, f"path string, seq int, {MEMBER}")
+    return files.select("path", "content").mapInArrow(extract, f"path string, seq int, {MEMBER}")
+
+
+def boxes(batches: Iterator[pa.Array], wanted: str, largest: int) -> Iterator[pa.Array]:
+    """The members of each file as a list, in arrays of about ``PORTION`` bytes."""
+
+    def read(raw) -> list[tuple] | None:
+        if raw is None:
+            return None
+        out, left = [], largest
+        for member, size, data, error in inflate(raw, wanted, largest):
+            if data is not None and len(data) > left:
+                data, error = None, f"成员过大: {member}"
+            left -= len(data or b"")
+            out.append((member, size, data, error))
+        return out
+
+    for batch in batches:
+        out, held = [], 0
+        for raw in batch:
+            out.append(read(raw.as_py()))
+            held += sum(len(m[2] or b"") + ROW for m in out[-1] or ())
+            if held >= PORTION:
+                yield pa.array(out, pa.list_(BOX))
+                out, held = [], 0
+        if out:
+            yield pa.array(out, pa.list_(BOX))
 
 
 def boxed(content: str, wanted: str, largest: int = LARGEST) -> Column:
     """All members of one file as an array, NULL for NULL bytes.
 
     For plans that keep one row per file. The members of one file together may
-    hold ``largest`` bytes; those beyond have an error.
+    hold ``largest`` bytes; those beyond have an error. Results leave in
+    portions, so that a task holds those of a few files, not of a batch.
     """
 
-    @F.pandas_udf("array<struct<member: string, size: bigint, data: binary, error: string>>")
-    def members(content: pd.Series) -> pd.Series:
-        def read(raw) -> list[dict] | None:
-            if raw is None:
-                return None
-            out, left = [], largest
-            for member, size, data, error in inflate(raw, wanted, largest):
-                if data is not None and len(data) > left:
-                    data, error = None, f"成员过大: {member}"
-                left -= len(data or b"")
-                out.append({"member": member, "size": size, "data": data, "error": error})
-            return out
-
-        return pd.Series([read(raw) for raw in content], dtype=object)
+    @F.arrow_udf("array<struct<member: string, size: bigint, data: binary, error: string>>")
+    def members(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from boxes(batches, wanted, largest)
 
     # Not to be merged into lambda bodies of later expressions.
     return members.asNondeterministic()(F.expr(content))
