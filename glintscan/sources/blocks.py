@@ -26,6 +26,7 @@ from glintscan.sources.rules import RuleSet
 
 SIZE = 16 << 20  # bytes of a block
 OVERLAP = 4096  # bytes of the neighbours on either side; no match may be longer
+HEADS = 4 << 20  # bytes of heads that a task holds
 REACH = 65_536  # bytes searched for a line start
 DEPTH = 3  # archives within archives
 BLOCK = "block bigint, lead bigint, chars bigint, text string"
@@ -190,7 +191,7 @@ def file_blocks(
 
 # --------------------------------------------------------------------- archives
 MEMBER = "path string, slice int, member string, chain array<int>, size bigint, error string"
-SLICE_BYTES, SLICE_MEMBERS = 64 << 20, 1000  # members that one task reads in a row
+SLICE_BYTES, SLICE_MEMBERS = 64 << 20, 10_000  # members that one task reads in a row
 
 
 class _Inflated:
@@ -356,8 +357,8 @@ def _named(members: DataFrame, name_test: re.Pattern) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archives = _Archives()
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
+            out, held = [], 0
+            for at, row in enumerate(batch.itertuples(index=False), 1):
                 head = None
                 if row.error is None and row.member and name_test.fullmatch(row.member.rpartition("!/")[2]):
                     try:
@@ -367,7 +368,10 @@ def _named(members: DataFrame, name_test: re.Pattern) -> DataFrame:
                     except Exception:  # its error comes with its blocks
                         archives.close()
                 out.append(head)
-            yield batch.assign(head=out).astype({"size": "Int64"})
+                held += len(head or b"")
+                if held >= HEADS or at == len(batch):
+                    yield batch.iloc[at - len(out) : at].assign(head=out).astype({"size": "Int64"})
+                    out, held = [], 0
         archives.close()
 
     known = members.mapInPandas(read, f"{MEMBER}, head binary")

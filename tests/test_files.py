@@ -6,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from glintscan.functions import detect, fixed, paths
+from glintscan.functions import detect, fixed, paths, unzip
 from glintscan.operators import filters, match
 from glintscan.plans import scan, sinks
+from glintscan.queries import derived
 from glintscan.queries.derived import RULES
 from glintscan.sources import archives, files
 from glintscan.streaming import scans
@@ -297,6 +298,27 @@ def test_block_stream_equals_whole_files(spark, tmp_path):
     assert sorted(got) == sorted((r.term, r.pos) for r in want) and len(want) > 6000
 
 
+def test_members_leave_in_portions():
+    import pyarrow as pa
+
+    raw = zipped({"a.txt": b"x" * (3 << 20), "b.bin": b"y"})
+    got = list(unzip.boxes(iter([pa.array([raw, None, raw, raw, raw, raw, b"PK"])]), r".*[.]txt", 4 << 20))
+    assert len(got) == 2 and all(a.nbytes < unzip.PORTION + (4 << 20) for a in got)
+    boxes = [b for a in got for b in a.to_pylist()]
+    assert [None if b is None else len(b) for b in boxes] == [2, None, 2, 2, 2, 2, 1]
+    assert [m["member"] for m in boxes[0]] == ["a.txt", "b.bin"] and len(boxes[0][0]["data"]) == 3 << 20
+    assert boxes[0][1]["data"] is None and boxes[-1][0]["error"]
+
+
+def test_documents_are_packed_in_portions(spark, tmp_path):
+    # Chance letters do not deflate: two documents of 5 MB are over a portion.
+    letters = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.md5(F.concat(i, F.col("doc_id")))))
+    docs = spark.range(4).select(F.col("id").alias("doc_id"), F.repeat(letters, 4).alias("text"))
+    packed = derived._packed(docs.coalesce(1), lambda d, t: (f"/{d}", t.encode()))
+    sizes = packed.mapInArrow(lambda bs: (b.select(["length"]) for b in bs), "length bigint")
+    assert {r.length for r in sizes.collect()} == {5_120_000} and packed.count() == 4
+
+
 def test_large_files_are_matched_unless_gated(spark):
     mb = 1024 * 1024
     box = zipped({"a.txt": b"secret words"})
