@@ -133,3 +133,16 @@ def test_scan_names_all_errors_and_members_passed_over(spark):
     assert "a.txt" in row.error and "b.txt" in row.error
     assert [w.term for w in row.words] == ["secret"]
     assert row.metadata["skipped_members"] == "c.docx, d.dat"
+
+
+def test_zips_of_documents_have_bounded_directories(spark, tmp_path, monkeypatch):
+    from glintscan.queries import derived
+    from glintscan.sources import blocks
+
+    monkeypatch.setattr(derived, "ZIP_DOCUMENTS", 3)
+    rows = [(i, None if i == 4 else f"text {i}") for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    listed = blocks.member_list(derived.zip_files(spark, str(tmp_path))).collect()
+    by_zip = {path: sum(r.path == path for r in listed) for path in {r.path for r in listed}}
+    assert max(by_zip.values()) <= 6 and len(listed) == 20
+    assert sorted(r.member for r in listed if r.member.endswith(".txt")) == sorted(f"docs/{i}.txt" for i in range(10))

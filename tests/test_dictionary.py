@@ -76,3 +76,29 @@ def test_very_many_keywords(spark, count):
     here = {t for text in planted for t in [text.split(" ")[2]]}
     assert everywhere(rows, here) <= found
     assert all(rows[i][pos : pos + len(term)] == term for i, term, pos in found)
+
+
+def test_lookup_finds_every_row_of_a_piece_in_bounded_arrays():
+    import numpy as np
+    import pyarrow as pa
+
+    from glintscan.operators import dictionary
+
+    pieces = ["aa", "aa", "a", "b\U0001f600c", "xyz"]
+    part = pa.table({"piece": pieces, "term": ["aa", "aab", "a", "b\U0001f600c", "xyz"]})
+    lookup = dictionary._Lookup(part, 3)
+    lookup.most = 3
+    text = "aaa b\U0001f600c xy"
+    found = list(lookup.find(dictionary._codes([text]).astype(np.uint64)))
+    assert all(len(places) <= 3 for places, _ in found)
+    hits = sorted((int(p), int(r)) for places, rows in found for p, r in zip(places, rows))
+    assert hits == sorted((i, r) for r, w in enumerate(pieces) for i in range(len(text)) if text.startswith(w, i))
+
+
+def test_texts_over_a_chunk(spark):
+    from glintscan.operators import dictionary
+
+    rows = ["ab" * dictionary.CHUNK + "needle" + "\U0001f600" * 9 + "needle", None, ""]
+    rows.append("x" * (dictionary.CHUNK - 3) + "needle" + "y" * dictionary.CHUNK)
+    words = ["needle", "y" * 60 + "z", "e\U0001f600", "xxneed"]
+    assert got(dictionary_hits(texts(spark, rows), terms(spark, words), ["id"])) == everywhere(rows, words)
