@@ -1,6 +1,8 @@
 """Cases that earlier versions of the operators lost."""
 
+import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,56 @@ def test_frequent_words_of_a_full_bin(spark):
     assert len(brown.frequent_words(counts, 100)) == 31
 
 
+def test_best_classes_of_many_words():
+    rnd = brown.np.random.default_rng(3)
+    k, v = 7, 40
+    text = rnd.integers(0, v, 3000)
+    text[rnd.integers(1, 3000, 200)] = 0  # one word often, also after itself
+    classes = rnd.integers(0, k - 1, v)
+    m = brown.np.zeros((k, k))
+    brown.np.add.at(m, (classes[text[:-1]], classes[text[1:]]), 1)
+    near = brown.np.zeros((v, 2 * k + 1), int)
+    for x, y in zip(text[:-1], text[1:]):
+        for w, cell in [(x, 2 * k)] if x == y else [(y, classes[x]), (x, k + classes[y])]:
+            near[w, cell] += 1
+    want = [brown.best_class(m, classes[w], near[w, :k], near[w, k:-1], near[w, -1], k - 1) for w in range(v)]
+    owner, cell = brown.np.nonzero(near)
+    assert brown.best_classes(m, classes, owner, cell, near[owner, cell], k - 1).tolist() == want != classes.tolist()
+
+
+def test_words_beyond_the_clustered_move_too(spark):
+    rnd = random.Random(9)
+    kinds = [["%s%dzz" % (k, i) for i in range(300)] for k in "ab"]  # all end alike
+    texts = [" ".join(rnd.choice(kinds[i % 2]) for i in range(40)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = docs.withColumn("train", ~brown.held_out(F.col("doc_id")))
+    counts = brown.word_counts(rows.where("train"), "text").cache()
+    seen: list[float] = []
+    model, words = brown.train(rows, counts, 4, 4, 2, 3, 3, 0.9, seen)
+    assert seen == sorted(seen) and words.matrix.sum() == counts.agg(F.sum("n")).first()[0]
+    assert words.types.sum() == counts.count() - 5 and (words.types > 0).sum() > 1
+    # A plain count of the class bigrams, and of the scores, from the classes of all words.
+    replies = words.replies.where("block >= 0").toArrow()
+    classes, number = {}, {r.word: r.n for r in counts.collect()}
+    for block in words.blocks.toArrow().to_batches(1):
+        block = brown.pa.Table.from_batches([block])
+        here = brown.Block.of(block, replies.filter(brown.pc.equal(replies["block"], block["block"][0])), model.vocabulary)
+        of = here.classes(model.classes[:4], 5, words.level).tolist()
+        classes.update(zip([*model.vocabulary.words.to_pylist(), "\n", *here.words.to_pylist()], of))
+        assert here.n.tolist() == [number.get(w, 0) for w in here.words.to_pylist()]
+    matrix = brown.np.zeros((6, 6))
+    scores = {r.doc_id: r for r in brown.text_scores(words, model).collect()}
+    for i, text in enumerate(texts):
+        tokens, total = ["\n", *text.split(), "\n"], 0.0
+        for before, word in zip(tokens, tokens[1:]):
+            b, c, n = classes[before], classes[word], number.get(word, 0)
+            matrix[b, c] += not zlib.crc32(b"%d" % i) % 5 == 1
+            inside = model.transition[b, c] * (n - (word != "\n") * brown.DISCOUNT) / model.class_tokens[c] if n else model.unknown[b]
+            total += math.log10(0.9 * inside + 0.1 * (n + 0.5) / (model.train_tokens + 0.5 * (model.types + 1)))
+        assert scores[i].score == pytest.approx(total)
+    assert (matrix == words.matrix).all()
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([("a", 3, 2), ("b", 0, 25), ("c", 7, 7)], "k string, f bigint, l bigint")
     got = sorted((r.k, r.x) for r in common.numbered(df, "f", "l", "x", step=10).collect())
