@@ -489,6 +489,7 @@ def text_blocks(rows: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFr
                 if parts and size + part.nbytes > BLOCK:
                     yield block(parts)
                     number, parts, size = number + 1, [], 0
+                    pa.default_memory_pool().release_unused()
                 parts.append(batch.slice(start, len(part)))
                 start, size = start + len(part), size + part.nbytes
         if parts:
