@@ -44,7 +44,7 @@ _CHUNK = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers as compressed bytes: their lowest bytes first, then the next ones, after their count."""
-    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T)
     return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 

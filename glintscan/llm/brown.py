@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glintscan.llm.bpe_codec import packed, unpacked
 from glintscan.llm.common import portions, stored
@@ -44,8 +45,10 @@ END = "\n"  # the end token: no word holds a blank
 BLOCK = 1 << 20  # bytes of text in a block
 MOST_BUCKETS = 8192
 LEVELS = 5  # all moves of a sweep, a half, ... a sixteenth
+LONG = 64  # bytes of a word
 SMALL = 8  # counts whose gains stand in a table
 PORTIONS = 32  # of a bucket's words, which move one after another
+PAIRS = 1 << 20  # bigrams that a task adds up before they leave
 AT_ONCE = 4096  # neighbours of words handled at a time
 
 
@@ -68,6 +71,39 @@ def _ending_numbers(words: pa.Array, endings: int) -> np.ndarray:
     return number[tails.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
 
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ 0xEDB88320, out >> 1).astype(np.uint32)
+    return out
+
+
+_CRC = _crc_table()
+
+
+def crcs(words: pa.Array) -> np.ndarray:
+    """The CRC-32 of each word's bytes: of all words together, byte after byte."""
+    if not len(words):
+        return np.zeros(0, np.uint32)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(at)
+    order = np.argsort(-sizes, kind="stable")
+    sizes, at = sizes[order], at[:-1][order].astype(np.int64)
+    long = int(np.searchsorted(-sizes, -LONG))  # these one by one
+    state = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for i in range(int(sizes[long]) if long < len(sizes) else 0):
+        part = slice(long, int(np.searchsorted(-sizes, -i)))
+        here = state[part]
+        state[part] = _CRC[(here ^ data[at[part] + i]) & 255] ^ here >> 8
+    state = ~state
+    for i in range(long):
+        state[i] = crc32(data[at[i] : at[i] + sizes[i]])
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept out of training; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
@@ -103,45 +139,83 @@ class Vocabulary:
         """Unit numbers: clustered words, endings, the end token."""
         return self.clustered + self.endings + 1
 
-    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-        """The token sequence of texts, an end after each.
 
-        Returns each token's unit, its place among the frequent words (-1
-        others, -2 end), the words without ends, and each text's words.
-        """
-        words, sizes = _lists(texts)
-        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
-        unit = place.copy()
-        rest = np.flatnonzero((place < 0) | (place >= self.clustered))
-        unit[rest] = self.clustered + _ending_numbers(words.take(pa.array(rest)), self.endings)
-        stops = np.cumsum(sizes)
-        return np.insert(unit, stops, self.size - 1), np.insert(place, stops, -2), words, sizes
+def bigram_profiles(train: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
+    """``block_profiles`` of a table all of whose rows train."""
+    rows = train.select(F.lit(0).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.lit(True).alias("train"))
+    buckets = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return block_profiles(text_blocks(rows, vocabulary, buckets), vocabulary)
 
 
-def bigram_profiles(train: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
+def _added(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, in order, with the sum of its counts."""
+    order = np.argsort(pair)
+    pair, n = pair[order], n[order].astype(np.int64)
+    heads = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    return pair[heads], np.add.reduceat(n, heads)
+
+
+def block_profiles(blocks: DataFrame, vocabulary: Vocabulary, most: int = PAIRS) -> DataFrame:
     """One row a unit: ``unit, side, others, counts``; side 0 what comes before, 1 after.
 
     A row has at most as many entries as there are units, whatever the corpus.
+    A task adds up the bigrams of its blocks, about ``most`` of them at a time, and
+    deals them by unit and side, at most as many for each as there are units.
     """
-    held = train.sparkSession.sparkContext.broadcast(vocabulary)
+    spark = blocks.sparkSession
+    held = spark.sparkContext.broadcast(vocabulary)
     size = vocabulary.size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (2 * size * size >> 22) + 1)  # 32 MB of counts each
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = held.value
+
+        def dealt(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            before, after = np.divmod(pair, size)
+            row, other, n = np.r_[2 * after, 2 * before + 1], np.r_[before, after], np.r_[n, n]
+            part, key = row % parts, row // parts * size + other
+            order = np.argsort(part, kind="stable")
+            stops = np.cumsum(np.bincount(part, minlength=parts)).tolist()
+            runs = [(i, order[a:b]) for i, (a, b) in enumerate(zip([0, *stops], stops)) if a < b]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in runs], pa.int32()), pa.array([packed(key[x]) for _, x in runs], pa.binary()),
+                    pa.array([packed(n[x]) for _, x in runs], pa.binary()),
+                ],
+                ["part", "keys", "counts"],
+            )
+
+        pair = n = np.zeros(0, np.int64)
         for batch in batches:
-            for part in portions(batch.column(0), 2 << 20):
-                unit = held.value.units(part)[0]
-                pair = np.r_[size - 1, unit[:-1]] * size + unit
-                pair, n = np.unique(pair, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-    parts = train.select(F.col(text).alias("text")).mapInArrow(count, "pair bigint, n bigint")
-    pairs = stored(parts.groupBy("pair").agg(F.sum("n").alias("n")), "brown-bigrams")
-    sides = pairs.selectExpr(
-        "n",
-        f"inline(array(struct(pair % {size} AS unit, 0 AS side, CAST(pair DIV {size} AS INT) AS other),"
-        f" struct(pair DIV {size} AS unit, 1 AS side, CAST(pair % {size} AS INT) AS other)))",
-    )
-    return sides.groupBy("unit", "side").agg(F.collect_list(F.struct("other", "n")).alias("near"))
+            for i in range(len(batch)):
+                row = {c: batch[c][i].as_py() for c in batch.schema.names}
+                endings = _ending_numbers(_unpacked_words(row["words"]), v.endings)
+                unit = np.r_[np.arange(v.clustered), size - 1, v.clustered + endings]
+                unit = unit[unpacked(row["tokens"])[np.repeat(np.array(row["train"], bool), unpacked(row["sizes"]))]]
+                if len(unit):
+                    new, times = np.unique(np.r_[size - 1, unit[:-1]] * size + unit, return_counts=True)
+                    pair, n = _added(np.r_[pair, new], np.r_[n, times])
+                if len(pair) > most:
+                    yield dealt(pair, n)
+                    pair = n = np.zeros(0, np.int64)
+        if len(pair):
+            yield dealt(pair, n)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        total = np.zeros(((2 * size - 1) // parts + 1) * size, np.int64)
+        for keys, counts in zip(rows["keys"], rows["counts"]):
+            total[unpacked(keys.as_py())] += unpacked(counts.as_py())  # no key twice in a cell
+        key = np.flatnonzero(total)
+        row = key // size * parts + rows["part"][0].as_py()
+        heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        entries = pa.StructArray.from_arrays([pa.array((key % size).astype(np.int32)), pa.array(total[key])], ["other", "n"])
+        near = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(row)].astype(np.int32)), entries)
+        row = row[heads]
+        return pa.table([pa.array(row // 2), pa.array((row % 2).astype(np.int32)), near], ["unit", "side", "near"])
+
+    near = "array<struct<other int, n bigint>>"
+    dealt = blocks.select("train", "sizes", "tokens", "words").mapInArrow(count, "part int, keys binary, counts binary")
+    return dealt.groupBy("part").applyInArrow(gather, f"unit bigint, side int, near {near}")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -306,10 +380,13 @@ def _add_rows(total: np.ndarray, owner: np.ndarray, table: np.ndarray, row: np.n
     """Add rows of a table to those of their owners, which come in order."""
     if len(owner):
         sizes = np.bincount(owner)
-        turn = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.argsort(turn, kind="stable")
-        for part in np.split(order, np.cumsum(np.bincount(turn))[:-1]):  # no owner twice
-            total[owner[part]] += table[row[part]]
+        by = np.argsort(-sizes, kind="stable")  # who has most rows first
+        first, sizes = (np.cumsum(sizes) - sizes)[by], sizes[by]
+        sums = total[by]
+        for turn in range(int(sizes[0])):  # no owner twice
+            last = int(np.searchsorted(-sizes, -turn))
+            sums[:last] += table[row[first[:last] + turn]]
+        total[by] = sums
 
 
 def best_classes(
@@ -363,7 +440,11 @@ def best_classes(
             np.maximum(base, 0.0, out=base)  # portions before may have left less than the word's own
             _add_rows(gain, rw, _xlogx(base + rx[:, None]) - _xlogx(base), np.arange(len(rest)))
         # The diagonal cell gets both sides and the word's own repeats.
-        p, q = np.nonzero(((before > 0) & (after > 0) | (alone > 0)[:, None])[:, :movable])
+        double = follows & (to < movable) & (alone[w] == 0)
+        p, q = w[double], to[double]
+        both = before[p, q] > 0
+        again = np.flatnonzero(alone)
+        p, q = np.r_[p[both], np.repeat(again, movable)], np.r_[q[both], np.tile(b, len(again))]
         f, g, r = before[p, q], after[p, q], alone[p]
         d = np.maximum(m[q, q] - np.where(q == a[p], f + g + r, 0.0), 0.0)
         gain[p, q] += _xlogx(d + f + g + r) + _xlogx(d) - _xlogx(d + f) - _xlogx(d + g)
@@ -379,6 +460,21 @@ def best_classes(
     return out
 
 
+def _distinct(own: np.ndarray, owner: np.ndarray, cell: np.ndarray, counts: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """One word of each kind, and each word's kind.
+
+    Words of one class with the same single neighbour on each side are of one
+    kind; every other word is a kind of its own.
+    """
+    sizes = np.bincount(owner, minlength=len(own))
+    start = np.cumsum(sizes) - sizes
+    plain = np.flatnonzero(sizes == 2)
+    plain = plain[(counts[start[plain]] == 1) & (counts[start[plain] + 1] == 1)]
+    kind = -1 - np.arange(len(own))
+    kind[plain] = (own[plain] * cells + cell[start[plain]]) * cells + cell[start[plain] + 1]
+    return np.unique(kind, return_index=True, return_inverse=True)[1:]
+
+
 def exchanged(
     matrix: np.ndarray, own: np.ndarray, n: np.ndarray, owner: np.ndarray, cell: np.ndarray, counts: np.ndarray, share: float
 ) -> np.ndarray:
@@ -395,7 +491,12 @@ def exchanged(
     for last in np.unique(np.minimum(ends, len(own))).tolist():
         part = slice(*np.searchsorted(owner, [first, last]))
         w, c, x = owner[part], cell[part], counts[part] / share
-        to[first:last] = best_classes(m, own[first:last], w - first, c, counts[part], k - 1)
+        one, kind = _distinct(own[first:last], w - first, c, counts[part], 2 * k + 1)
+        number = np.full(last - first, -1)
+        number[np.sort(one)] = np.arange(len(one))
+        here = number[w - first] >= 0
+        moved = best_classes(m, own[first:last][np.sort(one)], number[w - first][here], c[here], counts[part][here], k - 1)
+        to[first:last] = moved[number[one]][kind]
         moved = to[w] != own[w]
         w, c, x = w[moved], c[moved], x[moved]
         for classes, sign in ((own[w], -1.0), (to[w], 1.0)):
@@ -467,7 +568,7 @@ def text_blocks(rows: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFr
             place = pc.fill_null(pc.index_in(coded.dictionary, value_set=head), -1).to_numpy().astype(np.int64)
             rest = np.flatnonzero(place < 0)
             own = coded.dictionary.take(pa.array(rest))
-            bucket = np.fromiter((crc32(w.encode()) % buckets for w in own.to_pylist()), np.int64, len(own))
+            bucket = crcs(own).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             place[rest[order]] = v.clustered + 1 + np.arange(len(rest))
             code = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
@@ -621,9 +722,8 @@ def word_moves(profiles: DataFrame, matrix: np.ndarray, tokens: float, move: boo
                 matrix, own[ranked], n[ranked], key // (2 * k + 1), key % (2 * k + 1), counts, n.sum() / tokens
             )
             moved = np.flatnonzero(to != own)
-            for i, word in zip(moved.tolist(), words.take(pa.array(moved)).to_pylist()):
-                mark = crc32(word.encode()) >> 16 | 1 << (LEVELS - 1)
-                part[i] = (mark & -mark).bit_length() - 1
+            mark = crcs(words.take(pa.array(moved))).astype(np.int64) >> 16 | 1 << (LEVELS - 1)
+            part[moved] = np.log2(mark & -mark)
         types = [np.bincount(np.where(part >= j, to, own)[known], minlength=k) for j in range(LEVELS + 1)]
         ends = np.cumsum([len(x) for x in lists]).tolist()
         runs = [slice(i, j) for i, j in zip([0, *ends], ends)]
@@ -693,7 +793,8 @@ def exchange_all(
     """
     spark = blocks.sparkSession
     k = vocabulary.classes + vocabulary.endings + 1
-    replies, level, best = spark.createDataFrame([], _REPLY_SQL), LEVELS, log_likelihood(matrix)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(_REPLY_SQL)]
+    replies, level, best = spark.range(0).select(*none), LEVELS, log_likelihood(matrix)
     ends = float(matrix[:, -1].sum())
     tokens = float(matrix.sum()) - ends - float(vocabulary.counts.sum())
     for step in range(max(1, sweeps)):
@@ -724,7 +825,6 @@ def train(
     weight: float, seen: list | None = None,
 ) -> tuple[Model, Words]:
     """The model of the rows (``doc_id, text, train``) that train, and the words of all rows."""
-    docs = rows.where("train").select("text")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = frequent_words(counts, min(clustered, frequent))
     vocabulary = Vocabulary(
@@ -734,11 +834,12 @@ def train(
         classes,
         endings,
     )
-    profiles = stored(bigram_profiles(docs, "text", vocabulary), "brown-units")
-    of_unit, matrix = exchange(profiles, vocabulary, sweeps)
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, max(least, rows.rdd.getNumPartitions()))
-    words = exchange_all(text_blocks(rows, vocabulary, buckets), vocabulary, of_unit, matrix, sweeps, buckets, seen)
+    blocks = text_blocks(rows, vocabulary, buckets)
+    profiles = stored(block_profiles(blocks, vocabulary), "brown-units")
+    of_unit, matrix = exchange(profiles, vocabulary, sweeps)
+    words = exchange_all(blocks, vocabulary, of_unit, matrix, sweeps, buckets, seen)
 
     matrix = words.matrix
     k = len(matrix)

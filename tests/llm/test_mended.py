@@ -101,6 +101,61 @@ def test_best_classes_of_many_words():
     assert brown.best_classes(m, classes, owner, cell, near[owner, cell], k - 1).tolist() == want != classes.tolist()
 
 
+def test_equal_profiles_are_weighed_once(monkeypatch):
+    rnd = brown.np.random.default_rng(4)
+    k, v = 7, 600
+    m = rnd.integers(0, 50, (k, k)).astype(float)
+    own = rnd.integers(0, k - 1, v)
+    near = brown.np.zeros((v, 2 * k + 1), int)
+    for w in range(v):  # the first words have more neighbours, all others one on each side
+        for _ in range(1 + 9 * (w < 40)):
+            near[w, rnd.integers(0, k)] += 1
+            near[w, k + rnd.integers(0, k)] += 1
+    near[50] = 0
+    near[50, 2 * k], near[50, 0], near[50, 2 * k - 1] = 1, 1, 1
+    near[51, :k] *= 2
+    n = near[:, :k].sum(1) + near[:, -1]
+    owner, cell = brown.np.nonzero(near)
+    seen, plain = [], brown.best_classes
+    monkeypatch.setattr(brown, "PORTIONS", 1)
+    monkeypatch.setattr(brown, "best_classes", lambda matrix, own, *a: seen.append(len(own)) or plain(matrix, own, *a))
+    got = brown.exchanged(m, own, n, owner, cell, near[owner, cell], 1.0)
+    assert got.tolist() == plain(m, own, owner, cell, near[owner, cell], k - 1).tolist() != own.tolist()
+    assert len(seen) == 1 and seen[0] <= 42 + (k - 1) * k * k < v - 100
+
+
+def test_crcs_of_all_words_at_once():
+    words = ["left out", "a", "", "é" * 20, "字" * 30, "x" * 64, "y" * 65, "z" * 3000, "ab", "ab"]
+    array = brown.pa.array(words)
+    for part in (slice(1, 10), slice(0, 10), slice(4, 5), slice(2, 3), slice(0, 0)):
+        got = brown.crcs(array.slice(part.start, part.stop - part.start))
+        assert got.tolist() == [zlib.crc32(w.encode()) for w in words[part]]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 5])
+def test_bigrams_of_blocks(spark, most):
+    rnd = random.Random(6)
+    texts = [" ".join("Ww%d" % rnd.randrange(9) for _ in range(i % 30)) for i in range(60)] + [None, "  "]
+    rows = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id bigint, text string, train boolean")
+    v = brown.Vocabulary(brown.pa.array(["ww3", "ww1"]), brown.np.array([9, 8]), 2, 2, 3)
+    want = {}
+    for t in (t for i, t in enumerate(texts) if i % 4):
+        words = [*(t or "").lower().split(), "\n"]
+        units = [{"ww3": 0, "ww1": 1, "\n": 5}.get(w, 2 + zlib.crc32(w[-2:].encode()) % 3) for w in words]
+        for x, y in zip([5, *units], units):
+            for key in ((y, 0, x), (x, 1, y)):
+                want[key] = want.get(key, 0) + 1
+    blocks = brown.text_blocks(rows.repartition(3), v, 2)
+    got = brown.block_profiles(blocks, v, most).collect()
+    assert len(got) == len({(r.unit, r.side) for r in got})
+    found = {}
+    for r in got:
+        for x in r.near:
+            found[r.unit, r.side, x.other] = found.get((r.unit, r.side, x.other), 0) + x.n
+    assert found == want
+    assert brown.block_profiles(brown.text_blocks(rows.limit(0), v, 2), v).count() == 0
+
+
 def test_words_beyond_the_clustered_move_too(spark):
     rnd = random.Random(9)
     kinds = [["%s%dzz" % (k, i) for i in range(300)] for k in "ab"]  # all end alike
