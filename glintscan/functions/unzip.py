@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from io import BytesIO
 
@@ -25,6 +27,48 @@ TYPE_MEMBERS = r"mimetype|\[Content_Types\]\.xml"
 MEMBER_TEXT = "replace(make_valid_utf8(cast({} AS string)), '\\uFFFD', '')"
 
 
+def _plain_member(raw: bytes, info: zipfile.ZipInfo, largest: int) -> bytes | None:
+    """The bytes of a sound stored or deflated member, NULL for any other: those are left to ``zipfile``."""
+    at, flags = info.header_offset, info.flag_bits
+    if flags & ~0x80E or info.compress_type not in (0, 8) or info.file_size > largest or not 0 <= at <= len(raw) - 30:
+        return None
+    # Flags and name of the member itself, which zipfile checks too.
+    mark, own_flags, name_size, extra_size = struct.unpack_from("<4s2xH18x2H", raw, at)
+    start = at + 30 + name_size
+    try:
+        name = info.orig_filename.encode("utf-8" if flags & 0x800 else "cp437")
+    except UnicodeEncodeError:
+        return None
+    if mark != b"PK\3\4" or own_flags != flags or raw[at + 30 : start] != name:
+        return None
+    start += extra_size
+    end = start + info.compress_size
+    limit = getattr(info, "_end_offset", None)
+    if end > len(raw) or (limit is not None and end > limit):
+        return None
+    if info.compress_type == 0:
+        data = raw[start:end]
+    else:
+        stream = zlib.decompressobj(-15)
+        try:
+            data = stream.decompress(memoryview(raw)[start:end], info.file_size + 1)
+        except zlib.error:
+            return None
+        if not stream.eof:
+            return None
+    return data if len(data) == info.file_size and zlib.crc32(data) == info.CRC else None
+
+
+def _opened_member(archive: zipfile.ZipFile, info: zipfile.ZipInfo, largest: int) -> tuple[bytes | None, str | None]:
+    """Bytes or error of any member."""
+    try:
+        with archive.open(info) as member:
+            data = member.read(largest + 1)
+    except Exception as problem:  # damaged or encrypted
+        return None, f"解压缩失败: {info.filename}: {problem}"
+    return (data, None) if len(data) <= largest else (None, f"成员过大: {info.filename}")
+
+
 def inflate(raw: bytes, wanted: str, largest: int) -> Iterator[tuple]:
     """``member, size, data, error`` of each file member of ZIP bytes.
 
@@ -44,13 +88,9 @@ def inflate(raw: bytes, wanted: str, largest: int) -> Iterator[tuple]:
             if info.is_dir():
                 continue
             if name.fullmatch(info.filename):
-                try:
-                    with archive.open(info) as member:
-                        data = member.read(largest + 1)
-                    if len(data) > largest:
-                        data, error = None, f"成员过大: {info.filename}"
-                except Exception as problem:  # damaged or encrypted
-                    error = f"解压缩失败: {info.filename}: {problem}"
+                data = _plain_member(raw, info, largest)
+                if data is None:
+                    data, error = _opened_member(archive, info, largest)
             yield info.filename, info.file_size, data, error
 
 

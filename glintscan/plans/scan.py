@@ -12,21 +12,27 @@ from glintscan.functions import fixed
 from glintscan.functions.cols import any_of, case, is_in, let, lit
 from glintscan.functions.detect import (
     encoding_guess,
+    has_nul,
     header_hex,
+    header_mime,
+    is_clear,
     is_encrypted,
+    is_utf8,
+    is_zip,
     mime_cascade,
-    printable_profile,
     report_label,
-    with_binary_text,
     with_zip_info,
+    zip_info,
+    zip_subtype,
 )
-from glintscan.functions.encoding import charset, with_text
-from glintscan.functions.match import checked
+from glintscan.functions.encoding import charset
+from glintscan.functions.inside import IS_ZIP, opened_files
 from glintscan.functions.paths import base_name, suffix
+from glintscan.functions.search import with_checked
 from glintscan.functions.text import markdown_profile, sniff_delimiter
 from glintscan.operators import dataset, filters
 from glintscan.session import run_dir
-from glintscan.sources.archives import SCAN_MEMBERS, all_errors, archive_text, left_members, odf_text, office_text
+from glintscan.sources.archives import SCAN_MEMBERS, all_errors, left_members, odf_text
 from glintscan.sources.rules import RuleSet
 
 # Rejects files by size: SQL texts of the length and of whether it is a ZIP to ``error`` or other words.
@@ -40,57 +46,99 @@ UNREADABLE = [
 
 
 def typed_files(
-    files: DataFrame, encrypted_first: bool = False, members: str | None = None
+    files: DataFrame, encrypted_first: bool = False, members: str | None = None, gate: Gate | None = None
 ) -> DataFrame:
     """Add ``mime_type`` and ``charset`` to ``path, length, content`` rows.
 
-    With ``members`` the same opening of a ZIP also gives the members with such
-    names, kept as ``box``.
+    With ``members`` one Python step also opens each ZIP and decodes what is
+    not plain UTF-8: ``box`` has the members with such names, ``inside`` the
+    text and encoding of all files that :func:`routed_files` gives a route with
+    text (with the same ``gate``). ``charset`` is then only known of files that
+    are decoded.
     """
+    if members:
+        if encrypted_first:
+            raise ValueError("encrypted_first is for types alone, without members")
+        return _opened(files, members, gate)
     mime = mime_cascade("path", "content", "length", "zip", "charset")
     if encrypted_first:
         mime = f"if({is_encrypted('content', 'zip')}, 'application/encrypted', {mime})"
-    known = with_zip_info(files, members=members) if members else with_zip_info(files)
-    known = known.withColumn("charset", F.expr(charset("content")))
-    typed = known.withColumn("mime_type", F.expr(mime)).drop("zip")
-    return typed if members else typed.drop("box")
-
+    known = with_zip_info(files).withColumn("charset", F.expr(charset("content")))
+    return known.withColumn("mime_type", F.expr(mime)).drop("zip", "box")
+
+
+def _opened(files: DataFrame, members: str, gate: Gate | None) -> DataFrame:
+    """Type, encoding, members and text of files; what is no ZIP is typed and routed before the step in Python."""
+    typed = files.withColumn("__zip", F.expr(f"coalesce({is_zip('content')}, false)"))
+    typed = typed.withColumn("__header", F.expr(f"if(__zip, NULL, {header_mime('path', 'content', None)})"))
+    # Files of these types are skipped, opened by others or not readable.
+    never = is_in("__header", [*OOXML_TYPES, *ODF_TYPES, *UNREADABLE, fixed.ZIP])
+    never = f"(__zip OR coalesce({never} OR {filters.skips_mime('__header')}, false))"
+    typed = typed.withColumn("charset", F.expr(f"if({never}, NULL, {charset('content')})"))
+    mime = mime_cascade("path", "content", "length", None, "charset", "__header")
+    typed = typed.withColumn("__mime", F.expr(f"if(__zip, NULL, {mime})"))
+    typed = typed.withColumn("__route", F.expr(f"if(__zip, 'zip', {_route('__mime', 'false', gate)})"))
+    utf8 = f"charset IN ('utf-8', 'utf-8-sig') AND {is_utf8('content')}"
+    plain = f"coalesce(CASE __route WHEN 'text' THEN {utf8} WHEN 'binary' THEN {is_clear('content')} END, false)"
+    named = typed.withColumn("__plain", F.expr(plain)).withColumn(
+        "__name", F.expr(f"CASE __route WHEN 'zip' THEN '{IS_ZIP}' WHEN 'text' THEN coalesce(charset, 'latin-1') END")
+    )
+    asked = "if(__route IN ('zip', 'text', 'binary') AND NOT __plain, content, NULL)"
+    opened = named.withColumn("__opened", opened_files(asked, "__name", members))
+    native = "cast(if(charset = 'utf-8-sig' AND __route = 'text', substring(content, 4), content) AS string)"
+    inside = (
+        f"if(__plain, struct({native} AS text, coalesce(__name, 'utf-8') AS encoding), "
+        "struct(__opened.text AS text, __opened.encoding AS encoding))"
+    )
+    known = zip_info(opened.withColumns({"box": F.col("__opened.box"), "inside": F.expr(inside)}))
+    by_members = mime_cascade("path", "content", "length", "zip", header=f"({zip_subtype('zip')})")
+    return known.withColumn("mime_type", F.expr(f"if(__zip, {by_members}, __mime)")).drop(
+        "__zip", "__header", "__mime", "__route", "__plain", "__name", "__opened", "zip"
+    )
 
-def routed_files(typed: DataFrame, gate: Gate | None = None) -> DataFrame:
-    """Add ``is_empty``, ``skipped`` and the ``route`` of each file.
 
-    No file is too large unless a ``gate`` (``filters.size_gate`` for the
-    original's limits) says so or its bytes were not read.
-    A damaged ZIP has no type; it goes to its error, not to the skipped files.
-    """
-    damaged = "coalesce(exists(box, m -> m.member IS NULL), false)" if "box" in typed.columns else "false"
+def _skipped(mime: str, damaged: str) -> str:
     # The type of a file whose bytes were not read is unknown.
     named = f"(content IS NOT NULL OR {filters.skips_extension(suffix('path'))})"
-    skipped = any_of(
-        [f"{filters.skips_mime('mime_type')} AND NOT {damaged}", filters.skips_extension(suffix("path"))]
-    )
-    flagged = typed.withColumns(
-        {"is_empty": F.expr("length = 0"), "skipped": F.expr(f"length > 0 AND {named} AND {skipped}")}
-    )
+    by_name = any_of([f"{filters.skips_mime(mime)} AND NOT {damaged}", filters.skips_extension(suffix("path"))])
+    return f"(length > 0 AND {named} AND {by_name})"
+
+
+def _route(mime: str, damaged: str, gate: Gate | None) -> str:
     too_large = "length > 0 AND content IS NULL"
     if gate is not None:
-        is_zip = f"mime_type = {lit(fixed.ZIP)}"
-        too_large = f"({too_large}) OR {gate('length', is_zip)} = 'error'"
-    route = case(
+        too_large = f"({too_large}) OR {gate('length', f'{mime} = {lit(fixed.ZIP)}')} = 'error'"
+    return case(
         [
-            ("is_empty", "'none'"),
+            ("length = 0", "'none'"),
             (too_large, "'too_large'"),
-            ("skipped", "'none'"),
+            (_skipped(mime, damaged), "'none'"),
             (damaged, "'archive'"),
-            (is_in("mime_type", OOXML_TYPES), "'ooxml'"),
-            (f"mime_type = {lit(fixed.ZIP)}", "'archive'"),
-            (is_in("mime_type", UNREADABLE), "'unreadable'"),
-            (is_in("mime_type", ODF_TYPES), "'odf'"),
-            (f"charset IS NULL AND {printable_profile('content')}.has_nul", "'binary'"),
+            (is_in(mime, OOXML_TYPES), "'ooxml'"),
+            (f"{mime} = {lit(fixed.ZIP)}", "'archive'"),
+            (is_in(mime, UNREADABLE), "'unreadable'"),
+            (is_in(mime, ODF_TYPES), "'odf'"),
+            (f"charset IS NULL AND {has_nul('content')}", "'binary'"),
         ],
         "'text'",
     )
-    return flagged.withColumn("route", F.expr(route))
+
+
+def routed_files(typed: DataFrame, gate: Gate | None = None) -> DataFrame:
+    """Add ``is_empty``, ``skipped`` and the ``route`` of each file.
+
+    No file is too large unless a ``gate`` (``filters.size_gate`` for the
+    original's limits) says so or its bytes were not read.
+    A damaged ZIP has no type; it goes to its error, not to the skipped files.
+    """
+    damaged = "coalesce(exists(box, m -> m.member IS NULL), false)" if "box" in typed.columns else "false"
+    return typed.withColumns(
+        {
+            "is_empty": F.expr("length = 0"),
+            "skipped": F.expr(_skipped("mime_type", damaged)),
+            "route": F.expr(_route("mime_type", damaged, gate)),
+        }
+    )
 
 
 def extracted(routed: DataFrame) -> DataFrame:
@@ -98,21 +146,16 @@ def extracted(routed: DataFrame) -> DataFrame:
 
     Text files are decoded by their encoding; other files with zero bytes
     take the decoding with most printable text; Office and archive texts come
-    from their members in ``box``, which has an error for each one that cannot
-    be read; the readable ones count all the same. The other routes give no
-    text. ``left`` names the members of an archive that are not searched.
+    from their members (all of them as ``inside``). ``box`` has an error for
+    each member that cannot be read; the readable ones count all the same. The
+    other routes give no text. ``left`` names the members of an archive that are
+    not searched.
     """
-    raw = routed.withColumn("__raw", F.expr("if(route = 'binary', content, NULL)"))
-    plain = with_text(
-        with_binary_text(raw, "__raw", "__binary"), "if(route = 'text', content, NULL)", "__plain", "charset"
-    )
     text = case(
         [
-            ("route = 'text'", "__plain.text"),
-            ("route = 'binary'", "coalesce(__binary.text, '')"),
-            ("route = 'ooxml'", f"coalesce({office_text('box')}, '')"),
+            ("route = 'text'", "inside.text"),
+            ("route IN ('binary', 'ooxml', 'archive')", "coalesce(inside.text, '')"),
             ("route = 'odf'", f"coalesce({odf_text('box', 'mime_type')}, '')"),
-            ("route = 'archive'", f"coalesce({archive_text('box')}, '')"),
         ],
         "''",
     )
@@ -124,15 +167,15 @@ def extracted(routed: DataFrame) -> DataFrame:
             ("route IN ('ooxml', 'odf', 'archive')", all_errors("box")),
         ]
     )
-    encoding = case([("route = 'text'", "__plain.encoding"), ("route = 'binary'", "__binary.encoding")])
-    return plain.withColumns(
+    encoding = case([("route IN ('text', 'binary')", "inside.encoding")])
+    return routed.withColumns(
         {
             "text": F.expr(text),
             "encoding": F.expr(encoding),
             "error": F.expr(error),
             "left": F.expr(f"if(route = 'archive', {left_members('box')}, NULL)"),
         }
-    ).drop("__raw", "__binary", "__plain", "box", "charset")
+    ).drop("box", "inside", "charset")
 
 
 def file_metadata(ext: str, mime: str, text: str, encoding: str) -> str:
@@ -179,14 +222,13 @@ def scan(
     ``mime_mismatch``: the extension promises another type than the detected
     one; ``header_warning``: an Office extension without its container's header.
     """
-    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS), gate))
-    words = checked("text", rules, order=order, **options)
-    return texts.selectExpr(
+    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS, gate=gate), gate))
+    return with_checked(texts, "text", "words", rules, order=order, **options).selectExpr(
         "path AS file_path",
         "mime_type",
         "length AS file_size",
         "text AS content",
-        f"{words} AS words",
+        "words",
         "error",
         "is_empty",
         "skipped",
@@ -211,7 +253,7 @@ def type_labels(files: DataFrame) -> DataFrame:
 
 def sample_rows(files: DataFrame, flag: int, gate: Gate | None = None) -> DataFrame:
     """Inventory rows to ``files`` rows with a constant label, failures dropped."""
-    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS), gate))
+    texts = extracted(routed_files(typed_files(files, members=SCAN_MEMBERS, gate=gate), gate))
     failed = lit(fixed.EXTRACTION_ERRORS[0])
     rows = texts.selectExpr(
         "path AS id",
